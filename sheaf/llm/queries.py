@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, mixing, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -25,11 +35,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_exact_dedup, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_url_filter, op6_exact_dedup, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontamination": r"""
+            with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+            b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+            g as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as gram
+                  from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s from b where len(w) > 0)),
+            x as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as gram
+                  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from g))),
+            h as (select doc_id, x.n, s, item_id from x join g on x.gram = g.gram and x.n = g.n),
+            p as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from h) group by doc_id),
+            i as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from h group by doc_id)
+            select d.doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+                   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) as contaminated
+            from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id
+        """,
+        "op4_url_filter": r"""
+            with u as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                              coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+            r(h, p, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+            m as (select page_id, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as v from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+            select u.page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left join m on m.page_id = u.page_id
+        """,
         "op6_exact_dedup": r"""
             with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
             g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
