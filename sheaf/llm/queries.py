@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, sharding, url_filter
+from . import decontaminate, exact_dedup, mixing, sharding, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op4_url_filter, op6_exact_dedup, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,6 +66,14 @@ def oracle_sql() -> dict[str, str]:
             m as (select page_id, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as v from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
             select u.page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left join m on m.page_id = u.page_id
         """,
+        "op5_warc": """
+            with p as (select page_id, coalesce(html, '') as html from pages),
+            d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+            g as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by payload_digest)
+            select page_id, payload_bytes, d.payload_digest, case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+                   case when first_id <> page_id then first_id end as refers_to
+            from d left join g on g.payload_digest = d.payload_digest and payload_bytes >= 100
+        """,
         "op6_exact_dedup": r"""
             with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
             g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
