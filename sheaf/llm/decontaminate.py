@@ -110,9 +110,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document")
     flagged = materialize(judge(docs, benchmark).where("contaminated").groupBy("doc_id").agg(F.first("spans").alias("spans")), "contaminated")
     if mode == "document":
         return attach(docs, flagged.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    joined = attach(docs.drop("spans") if "spans" in docs.columns else docs, flagged, "doc_id", "left")
-    kept = F.expr("filter(pieces, (p, i) -> not exists(spans, s -> i + 1 >= s.start and i + 1 < s.stop))")
-    pieces = F.regexp_extract_all("text", F.lit(f"{RAW_WORD}{GAP}"), 0)
-    lead = F.regexp_extract("text", f"^{GAP}", 0)
-    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return joined.withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces)).withColumn("text", cut).select(docs.columns)
+    joined = attach(docs, flagged.withColumnRenamed("spans", "_spans"), "doc_id", "left")
+    pieces = F.when(F.col("_spans").isNotNull(), F.regexp_extract_all("text", F.lit(f"{RAW_WORD}{GAP}"), 0))
+    kept = F.expr("filter(_pieces, (p, i) -> not exists(_spans, s -> i + 1 >= s.start and i + 1 < s.stop))")
+    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", f"^{GAP}", 0), F.array_join(kept, "")))
+    return joined.withColumn("_pieces", pieces).withColumn("text", cut).select(docs.columns)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, sharding, url_filter, warc
+from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op8_quality, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op8_quality, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
