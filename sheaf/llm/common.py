@@ -50,12 +50,13 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def attach(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner", n: int | None = None, most: int = 2_000_000) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, on, how: str = "inner", n: int | None = None, most: int = 2_000_000) -> DataFrame:
     """Join narrow per-key facts to wide rows.
 
     ``facts`` is a written table.  With at most ``most`` rows (some tens of MB) it is broadcast and the wide rows stay
     where they are; beyond that both sides shuffle and adaptive execution splits skewed partitions.
     """
+    on = list(on) if isinstance(on, tuple) else on
     if (facts.count() if n is None else n) <= most:
         return rows.join(F.broadcast(facts), on, how)
     return rows.hint("merge").join(facts, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, url_filter, warc
+from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op8_quality, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op7_substring_dedup, op8_quality, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
