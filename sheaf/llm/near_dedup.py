@@ -7,21 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, materialize
 from .components import components
 from .tokens import STEP, WordHashes, mix, shingle_set, texts_of
 
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 32, 8
 HASHES = BANDS * ROWS
-#: A pair of similarity 0.85 fails to share a band about once in 100,000.
+#: A pair of similarity 0.85 fails to share a band about 4 times in 100,000.
 PERCENT = 85
-#: Signatures that agree in fewer places than this are not looked at further; at 0.85 that is 7 standard deviations off.
-LEAST_AGREED = 60
+#: Signatures that agree in fewer places than this are not looked at further; at 0.85 that is 4 standard deviations off.
+LEAST_AGREED = 195
 #: Rows that are compared with one pivot in one task.
 PER_TASK = 500
+#: Rows of a bucket that one task compares with the bucket's pivots, and how many times more pivots each round has.
+PER_PART, GROWTH = 2000, 32
 CHUNK = 1024
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,17 +70,53 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, set_key binary, sig binary, bands array<long>")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Signature verification: pairs (a, b) whose signatures agree in ``LEAST_AGREED`` places or more."""
-    sig = reps.select("doc_id", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+def agreeing(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Signature verification inside buckets: pairs (a, b) of a row and a pivot of its bucket that are in different
+    components and whose signatures agree in ``LEAST_AGREED`` places or more.
+
+    Rows stream past their bucket's pivots, in parts of about ``PER_PART`` rows, so only pairs that agree leave a task.
+    """
+    parts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PER_PART).alias("parts"))
+    rows = rows.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    pivots = rows.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ("band", "part", "role", "doc_id", "n", "component", "pivot")
+    both = rows.withColumn("role", F.lit(1)).select(*columns).union(pivots.withColumn("role", F.lit(0)).select(*columns))
+    dealt = both.join(reps.select("doc_id", "sig"), "doc_id").select(*columns, "sig").repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for x in batches:
-            a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            yield x.filter(pa.array((a == b).sum(1) >= LEAST_AGREED)).select([0, 1])
+            group = np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()])
+            edges = [0, *(np.flatnonzero((np.diff(group) != 0).any(0)) + 1).tolist(), x.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if s == e:
+                    continue
+                if (here := tuple(group[:, s])) != at:
+                    at, held = here, []
+                some = x.slice(s, e - s)
+                split = int((some.column(2).to_numpy() == 0).sum())
+                if split:
+                    held.append(_rows(some.slice(0, split)))
+                if split < e - s:
+                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _rows(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    sig = np.frombuffer(b"".join(x.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
+    return x.column(3).to_numpy(), x.column(4).to_numpy(), x.column(5).to_numpy(), x.column(6).to_numpy(zero_copy_only=False), sig
+
 
-    return both.mapInArrow(run, pairs.schema)
+def _compared(rows: tuple[np.ndarray, ...], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, n, component, is_pivot, sig = rows
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, m, c, _, s in zip(*pivots, strict=True):
+        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ~(is_pivot & (ids < i)))
+        near = near[(sig[near] == s).sum(1) >= LEAST_AGREED]
+        a.append(ids[near]), b.append(np.full(len(near), i))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,29 +154,34 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
 
     In each round some rows of a bucket are pivots, and every other row that isn't yet in a pivot's component is
     compared with it; a row that was a pivot has met its whole bucket and leaves it.  A bucket is done when its rows
-    are in one component or all were pivots.  One pivot first (copies of one text end there), then 2, 4 and so on, so
-    rounds are logarithmic in the largest bucket and no link is missed.
+    are in one component or all were pivots.  The rows whose buckets hold most rows come first: the text that others
+    are near copies of is linked to most of them, and after it little is left to compare.  One pivot, then 32, 1024 and
+    so on, so rounds are logarithmic in the largest bucket and no link is missed.
     """
     rows = reps.select("doc_id", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    rows = materialize(rows.join(shared, "band").select("band", "doc_id", "n", F.col("doc_id").alias("component")), "bucket_rows")
-    links, round_ = None, 0
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = materialize(rows.join(shared, "band"), "bucket_rows")
+    weight = materialize(rows.groupBy("doc_id").agg(F.sum("size").alias("weight")), "weights")
+    rows = materialize(attach(rows, weight, "doc_id").select("band", "doc_id", "n", "weight", F.col("doc_id").alias("component")), "bucket_rows")
+    links, seen, round_ = None, None, 0
+    first = F.struct(F.col("weight"), -F.col("doc_id"))
     while True:
-        open_ = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        open_ = materialize(open_.select("band", "size", "first"), "open")
+        open_ = rows.groupBy("band").agg(F.max_by("doc_id", first).alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        open_ = materialize(open_.select("band", "first"), "open")
         if open_.isEmpty():
             return links
-        drawn = F.col("doc_id") == F.col("first") if round_ == 0 else F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), "size") < 2**round_
-        rows = materialize(rows.join(open_, "band").withColumn("pivot", drawn).drop("size", "first"), "rows")
-        pivots = rows.where("pivot").select("band", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-        met = rows.hint("merge").join(pivots, "band").where(f"component <> component_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b) and not (pivot and doc_id < b)")
-        pairs = materialize(met.select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-        pairs = materialize(agreeing(pairs, reps), "agreeing")
-        new = materialize(confirmed(pairs, docs), "links")
-        links = new if links is None else links.union(new)
-        nodes = materialize(components(links.toDF("u", "v")), "labels")
-        rows = rows.where("not pivot").drop("pivot", "component")
-        rows = attach(rows, nodes.toDF("doc_id", "component"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        rows = rows.join(open_, "band")
+        drawn = F.col("doc_id") == F.col("first") if round_ == 0 else F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id")) <= GROWTH**round_
+        rows = materialize(rows.withColumn("pivot", drawn).drop("first"), "rows")
+        pairs = agreeing(rows, reps).distinct()
+        pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        rows = rows.where("not pivot").drop("pivot")
+        new = None if pairs.isEmpty() else materialize(confirmed(pairs, docs), "links")
+        if new is not None and not new.isEmpty():
+            links = new if links is None else links.union(new)
+            nodes = materialize(components(links.toDF("u", "v")), "labels")
+            rows = attach(rows.drop("component"), nodes.toDF("doc_id", "component"), "doc_id", "left").select("band", "doc_id", "n", "weight", F.coalesce("component", "doc_id").alias("component"))
         rows, round_ = materialize(rows, "bucket_rows"), round_ + 1
 
 

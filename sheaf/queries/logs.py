@@ -19,10 +19,10 @@ def log_sanitise(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.log_line(F.concat(F.lit("\x1b[31m"), F.col("text"))).alias("line"))
 
 
-@query(r"""select event_id, '{ "user": ' || user_id || ', "kind": "' || event_type || '"}' as line from events""")
+@query(r"""select event_id, '{   "user": ' || user_id || ',   "kind": "' || event_type || '" }' as line from events""")
 def object_line(t: Tables) -> DataFrame:
     line = X.object_line(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")))
-    return t.events.select("event_id", F.replace(F.replace(line, F.lit("  "), F.lit(" ")), F.lit(" }"), F.lit("}")).alias("line"))
+    return t.events.select("event_id", line.alias("line"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -48,7 +48,7 @@ def outbox(t: Tables) -> DataFrame:
     return sinks.outbox(rows, hooks, "item-complete").select("session_id", "kind", "payload")
 
 
-@query("select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_ms(ts) % 1000 as varchar), 3, '0') || 'Z] [ENRICHMENT] ' || upper(event_type) || ' itemId=' || user_id || ' ' || props as line from events")
+@query("select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_us(ts) // 1000 % 1000 as varchar), 3, '0') || 'Z] [ENRICHMENT] ' || upper(event_type) || ' itemId=' || user_id || ' ' || props as line from events")
 def log_lines(t: Tables) -> DataFrame:
     return t.events.select("event_id", sinks.event_line(F.col("ts"), F.col("event_type"), F.col("user_id"), F.col("props")).alias("line"))
 

@@ -76,20 +76,20 @@ def session_valid(t: Tables) -> DataFrame:
     return _validated(t).select("session_id", S.session_valid(F.col("validated_at"), F.col("auth_errors"), F.lit("2024-01-30 00:05:00").cast("timestamp")).alias("valid"))
 
 
-@query("select event_id, epoch_ms(ts) - epoch_ms(lag(ts) over (partition by user_id order by ts, event_id)) as gap_ms from events")
+@query("select event_id, cast(epoch_us(ts) // 1000 - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) // 1000 as double) as gap_ms from events")
 def request_gap(t: Tables) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", (ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap_ms"))
+    return t.events.select("event_id", (ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).cast("double").alias("gap_ms"))
 
 
 @query("""
-    select user_id, sum(case when event_type = 'view' then gap end) as view_ms, sum(gap) as total_ms
-    from (select user_id, event_type, epoch_ms(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_ms(ts) as gap from events) group by user_id
+    select user_id, cast(sum(case when event_type = 'view' then gap end) as double) as view_ms, cast(sum(gap) as double) as total_ms
+    from (select user_id, event_type, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) // 1000 - epoch_us(ts) // 1000 as gap from events) group by user_id
 """)
 def phase_timings(t: Tables) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     gaps = t.events.select("user_id", "event_type", (F.lead(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - ms).alias("gap"))
-    return gaps.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "view", F.col("gap"))).alias("view_ms"), F.sum("gap").alias("total_ms"))
+    return gaps.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "view", F.col("gap"))).cast("double").alias("view_ms"), F.sum("gap").cast("double").alias("total_ms"))
 
 
 @query()

@@ -99,7 +99,10 @@ def replay(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFram
     Batches go to a folder of the shared directory by number, so a batch that is run again replaces itself.
     """
     base = f"{shared_dir(spark)}/sheaf-stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isFile()
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_batch)
+    source = source.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0]) if single else source.parquet(path)
     out = build(source)
 
     def put(rows: DataFrame, number: int) -> None:
