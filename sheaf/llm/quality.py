@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import attach, materialize
 
@@ -165,17 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus score and predicted.  Null and empty texts are scored as texts without words."""
-    names = list(keep)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
+    """``row`` (a struct of the ``keep`` columns, whatever their names), score and predicted.  Null and empty texts are scored as texts without words."""
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t or b"") for t in b.column(len(names)).cast(pa.large_binary()).to_pylist()], np.float64).reshape(b.num_rows, len(FEATURES))
+            x = np.array([features(t or b"") for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.float64).reshape(b.num_rows, len(FEATURES))
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return docs.select(*(F.col(c) for c in names), F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,11 +185,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others.  Without labels
     of both kinds every score is the smoothed share of label 1.  Null ids are never held out; an empty table gives no rows.
     """
-    scored = score_documents(docs, train(docs, labels))
+    scored = score_documents(docs, train(docs, labels)).select("row.doc_id", "score", "predicted")
     return scored.select("doc_id", F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
     scored = score_documents(docs, train(docs, labels), tuple(docs.columns))
-    return scored.where("predicted = 1").select(docs.columns)
+    return scored.where("predicted = 1").select("row.*")
