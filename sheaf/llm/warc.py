@@ -26,6 +26,8 @@ DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD = 16 << 10, 1 << 20, 8 << 10
 LEVEL = 3
 #: Bytes that a reader hands to the decompressor at a time; what it doesn't use is copied, so not too many.
 FEED = 4 << 10
+#: Read tasks at most; with more archives a task reads several, one after the other.
+MAX_READERS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, raw_bytes long, stored_bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -176,7 +178,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield _frame(rows)
 
     files = manifest.select("path")
-    return files.repartition(F.col("path")).mapInPandas(read, RECORDS)
+    tasks = max(1, min(MAX_READERS, files.count()))  # a number of its own: the few bytes of paths would else be merged into one task
+    return files.repartition(tasks, "path").mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
