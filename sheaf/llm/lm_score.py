@@ -20,8 +20,8 @@ CLASSES, RARE = 64, 256
 VOCAB = CLASSES * CLASSES
 PAD, SIDE, WIDTH = VOCAB, 2, 16
 OFFSETS = (-2, -1, 1, 2)
-#: Every document trains the network at every 16th of its positions; two rounds over the corpus.
-STRIDE, BATCH, ROUNDS, RATE = 16, 4096, 2, 0.08
+#: Every position of every document trains the network; two rounds over the corpus.
+BATCH, ROUNDS, RATE = 4096, 2, 0.08
 CHUNK, BLOCK, FAN_IN = 1 << 15, 1 << 14, 16
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
 
@@ -161,15 +161,14 @@ def train_round(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> np.ndar
         for b in batches:
             for t in texts_of(b.column(0)):
                 ids = token_ids(t, vocabulary)
-                at = np.arange(xxhash.xxh3_64_intdigest(t) % STRIDE, len(ids), STRIDE)
-                if not len(at):
-                    continue
                 padded = np.pad(ids, SIDE, constant_values=PAD)
-                contexts.append(windows(padded, at + SIDE)), tokens.append(ids[at])
-                held += len(at)
-                if held >= BATCH:
-                    trainer.step(np.concatenate(contexts), np.concatenate(tokens))
-                    contexts, tokens, held = [], [], 0
+                for i in range(0, len(ids), BATCH):
+                    at = np.arange(i, min(i + BATCH, len(ids)))
+                    contexts.append(windows(padded, at + SIDE)), tokens.append(ids[at])
+                    held += len(at)
+                    if held >= BATCH:
+                        trainer.step(np.concatenate(contexts), np.concatenate(tokens))
+                        contexts, tokens, held = [], [], 0
         if held:
             trainer.step(np.concatenate(contexts), np.concatenate(tokens))
         if trainer.seen:
@@ -234,7 +233,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (sum over all tokens of log p(token | two tokens to each side)), mean_log_prob.
 
     Words (A-Z lower-cased, split at ASCII blanks) are tokens by frequency rank over all documents.  Each partition
-    trains the network on every ``STRIDE``-th position of each of its documents and the copies are averaged.  Null and
+    trains the network on every position of each of its documents and the copies are averaged.  Null and
     wordless texts have no tokens, log_prob 0 and a null mean.  Repeated rows get equal scores; an empty table none.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))

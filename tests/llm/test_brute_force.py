@@ -198,6 +198,16 @@ def test_scores_are_sums_over_windows(spark):
         assert got[d.doc_id].n_tokens == len(ids) and got[d.doc_id].log_prob == pytest.approx(one, rel=1e-3)
 
 
+def test_every_position_trains_the_network(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 7)
+    asked = []
+    monkeypatch.setattr(lm_score, "materialize", lambda df, label: asked.append(df) or df)
+    texts = ["one", "two words", " ".join(f"w{i}" for i in range(40)), "", None]
+    docs = frame(spark, texts)
+    lm_score.train_round(docs, lm_score.build_vocabulary(docs), lm_score.Network().flat)
+    assert sum(r.seen for r in asked[0].where("block = 0").collect()) == 43
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
