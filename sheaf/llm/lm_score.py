@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 from .tokens import WordHashes, texts_of
 
 #: Tokens: the most frequent words by rank, then buckets that share all other words by hash; one more id pads.
@@ -22,6 +22,10 @@ PAD, SIDE, WIDTH = VOCAB, 2, 16
 OFFSETS = (-2, -1, 1, 2)
 #: Every position of every document trains the network; two rounds over the corpus.
 BATCH, ROUNDS, RATE = 4096, 2, 0.08
+#: So many of the words in buckets, the most frequent, are looked up inside tasks; the others meet their counts in a join.
+KNOWN = 1 << 16
+#: Shares are summed as whole multiples of 1 / UNIT, so that the order of the sum doesn't matter.
+UNIT = 1 << 30
 CHUNK, BLOCK, FAN_IN = 1 << 15, 1 << 14, 16
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
 
@@ -147,11 +151,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(docs: DataFrame) -> list[int]:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()
+def build_vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[int]:
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()
     return [r.word & (2**64 - 1) for r in top]
 
 
+class Shares:
+    """Every word's log share of the counts of its bucket: ``near`` for the most frequent words (sorted hashes, shares in
+    units), ``of`` for all as a column over ``word_counts``."""
+
+    def __init__(self, counts: DataFrame, ranked: list[int]):
+        head = np.array(ranked, np.uint64).view(np.int64).tolist()
+        rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(h,) for h in head], "word long")), "word", "left_anti")
+        bucket = F.pmod("word", F.lit(RARE))
+        self.total = {r.bucket: r.n for r in rare.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}
+        totals = F.array(*(F.lit(self.total.get(i, 1)) for i in range(RARE)))
+        share = F.round((F.log(F.col("n")) - F.log(F.get(totals, bucket.cast("int")))) * UNIT).cast("long")
+        self.of = rare.select("word", share.alias("share"))
+        top = rare.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", share.alias("share")).toPandas()
+        word = top["word"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(word)
+        self.near = word[order], top["share"].to_numpy(np.int64)[order]
+
+
 def train_round(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> np.ndarray:
     """Each partition trains a copy of the network on its documents; the copies are averaged by positions seen, in a tree."""
 
@@ -194,8 +216,8 @@ def train_round(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> np.ndar
     return np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(copies.collect(), key=lambda r: r.block)])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[int], np.ndarray]:
-    ranked, flat = build_vocabulary(docs), Network().flat
+def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
+    ranked, flat = build_vocabulary(docs, counts), Network().flat
     for _ in range(rounds):
         flat = train_round(docs, ranked, flat)
     return ranked, flat
@@ -229,12 +251,44 @@ def score_documents(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> Dat
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
 
 
+def score_words(docs: DataFrame, ranked: list[int], flat: np.ndarray, shares: Shares) -> DataFrame:
+    """``score_documents`` over real words: each word of a bucket adds its log share of the bucket."""
+    kind, near = docs.schema["doc_id"].dataType.simpleString(), shares.near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, net, hashes, row = Vocabulary(ranked), Network(flat), WordHashes(), TaskContext.get().partitionId() << 33
+        for b in batches:
+            texts = texts_of(b.column(1))
+            n, total = score_texts(texts, vocabulary, net)
+            rare = [[hashes[w] for w in t.lower().split() if vocabulary[w] >= VOCAB - RARE] for t in texts]
+            many = np.array([len(x) for x in rare], np.int64)
+            word, owner = np.fromiter((h for x in rare for h in x), np.uint64, int(many.sum())), np.repeat(np.arange(len(rare)), many)
+            at = np.minimum(np.searchsorted(near[0], word), max(len(near[0]) - 1, 0))
+            hit = near[0][at] == word if len(near[0]) else np.zeros(len(word), bool)
+            gain = np.zeros(len(rare), np.int64)
+            np.add.at(gain, owner[hit], near[1][at[hit]])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(rare)))]).astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[~hit].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), pa.array(gain), pa.array(np.arange(row, row + len(rare))), left], names=["doc_id", "n_tokens", "log_prob", "gain", "row", "words"])
+            row += len(rare)
+
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, gain long, row long, words array<long>")
+    found = materialize(found, "scores")
+    more = found.select("row", F.explode("words").alias("word")).join(shares.of, "word").groupBy("row").agg(F.sum("share").alias("more"))
+    out = attach(found.drop("words"), materialize(more, "more"), "row", "left")
+    total = F.col("log_prob") + (F.col("gain") + F.coalesce("more", F.lit(0))) / UNIT
+    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (sum over all tokens of log p(token | two tokens to each side)), mean_log_prob.
 
-    Words (A-Z lower-cased, split at ASCII blanks) are tokens by frequency rank over all documents.  Each partition
+    Words (A-Z lower-cased, split at ASCII blanks) are tokens by frequency rank over all documents; a word beyond the
+    ranks has the probability of its bucket times its share of the counts of all words in the bucket.  Each partition
     trains the network on every position of each of its documents and the copies are averaged.  Null and
     wordless texts have no tokens, log_prob 0 and a null mean.  Repeated rows get equal scores; an empty table none.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return score_documents(texts, *train(texts))
+    counts = materialize(word_counts(texts), "words")
+    ranked, flat = train(texts, counts=counts)
+    return score_words(texts, ranked, flat, Shares(counts, ranked))

@@ -208,6 +208,26 @@ def test_every_position_trains_the_network(spark, monkeypatch):
     assert sum(r.seen for r in asked[0].where("block = 0").collect()) == 43
 
 
+@pytest.mark.parametrize("known", [3, 0, 1 << 16])
+def test_a_rare_word_has_its_share_of_its_bucket(spark, monkeypatch, known):
+    monkeypatch.setattr(lm_score, "KNOWN", known)
+    head = " ".join(f"h{i}" for i in range(lm_score.VOCAB - lm_score.RARE))
+    tail = [f"t{i}" for i in range(600)]
+    texts = [" ".join([head] * 20), " ".join(tail), " ".join(tail[:300]) + " t0 t0", "t0 h1 h2", "t1 h1 h2", "h3 h4", "", None, "t0 h1 h2"]
+    docs = frame(spark, texts).repartition(3, "doc_id")
+    counts = Counter(w for t in texts for w in (t or "").split())
+    ranked, flat = lm_score.train(docs)
+    bucket, total = {w: lm_score.xxhash.xxh3_64_intdigest(w.encode()) % lm_score.RARE for w in tail}, Counter()
+    for w in tail:
+        total[bucket[w]] += counts[w]
+    net = {r.doc_id: r for r in lm_score.score_documents(docs, ranked, flat).collect()}
+    got = {r.doc_id: r for r in lm_score.pseudo_likelihood(docs).collect()}
+    for i, t in enumerate(texts):
+        shares = sum(np.log(counts[w] / total[bucket[w]]) for w in (t or "").split() if w in bucket)
+        assert got[i].log_prob == pytest.approx(net[i].log_prob + shares, abs=1e-4)
+        assert got[i].mean_log_prob == (pytest.approx(got[i].log_prob / got[i].n_tokens) if t else None)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
