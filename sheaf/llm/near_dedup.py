@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,7 @@ from .common import attach, materialize
 from .components import components
 from .tokens import STEP, WordHashes, mix, shingle_set, texts_of
 
-BANDS, ROWS = 32, 8
-HASHES = BANDS * ROWS
-#: A pair of similarity 0.85 fails to share a band about 4 times in 100,000.
-PERCENT = 85
-#: Signatures that agree in fewer places than this are not looked at further; at 0.85 that is 4 standard deviations off.
-LEAST_AGREED = 195
+HASHES = 256
 #: Rows that are compared with one pivot in one task.
 PER_TASK = 500
 #: Rows of a bucket that one task compares with the bucket's pivots, and how many times more pivots each round has.
@@ -30,6 +26,24 @@ FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np
 OFFSETS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
+class Search:
+    """Bands, rows a band and least agreeing places of signatures for pairs of ``percent`` similarity or more.
+
+    Bands have as many rows as let a pair just at the threshold share none at most once in 10,000 times; the signature
+    cut loses such a pair 100 times more rarely than banding does.  85: 32 bands of 8; 80: 42 bands of 6.
+    """
+
+    def __init__(self, percent: int):
+        s = percent / 100
+        self.percent = percent
+        self.rows = max(r for r in range(1, 17) if r == 1 or (1 - s**r) ** (HASHES // r) <= 1e-4)
+        self.bands = HASHES // self.rows
+        self.missed = (1 - s**self.rows) ** self.bands
+        self.least, self.cut = 0, 0.0
+        while (lost := self.cut + comb(HASHES, self.least) * s**self.least * (1 - s) ** (HASHES - self.least)) <= self.missed / 100:
+            self.least, self.cut = self.least + 1, lost
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """Smallest value of each universal hash a * x + b (mod 2**64) over the set."""
     out = np.full(HASHES, np.iinfo(np.uint64).max)
@@ -40,14 +54,15 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(least: np.ndarray) -> np.ndarray:
-    h = np.arange(BANDS, dtype=np.uint64) * STEP
-    for i in range(ROWS):
-        h = mix(h * STEP + least.reshape(BANDS, ROWS)[:, i])
+def bands_of(least: np.ndarray, search: Search) -> np.ndarray:
+    h = np.arange(search.bands, dtype=np.uint64) * STEP
+    of = least[: search.bands * search.rows].reshape(search.bands, search.rows)
+    for i in range(search.rows):
+        h = mix(h * STEP + of[:, i])
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
     """doc_id, n (set size), set_key (128 bits of the set), sig (a byte of each minimum), bands; for an empty set the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +76,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     least = minima(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append((mix(least) >> np.uint64(56)).astype(np.uint8).tobytes())
-                    bands.append(bands_of(least))
+                    bands.append(bands_of(least, search))
                 else:
                     keys.append(None), sigs.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "set_key", "sig", "bands"])
@@ -70,9 +85,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, set_key binary, sig binary, bands array<long>")
 
 
-def agreeing(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def agreeing(rows: DataFrame, reps: DataFrame, search: Search) -> DataFrame:
     """Signature verification inside buckets: pairs (a, b) of a row and a pivot of its bucket that are in different
-    components and whose signatures agree in ``LEAST_AGREED`` places or more.
+    components and whose signatures agree in ``search.least`` places or more.
 
     Rows stream past their bucket's pivots, in parts of about ``PER_PART`` rows, so only pairs that agree leave a task.
     """
@@ -98,7 +113,7 @@ def agreeing(rows: DataFrame, reps: DataFrame) -> DataFrame:
                 if split:
                     held.append(_rows(some.slice(0, split)))
                 if split < e - s:
-                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)])
+                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)], search)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -109,18 +124,18 @@ def _rows(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return x.column(3).to_numpy(), x.column(4).to_numpy(), x.column(5).to_numpy(), x.column(6).to_numpy(zero_copy_only=False), sig
 
 
-def _compared(rows: tuple[np.ndarray, ...], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _compared(rows: tuple[np.ndarray, ...], pivots: list[np.ndarray], search: Search) -> tuple[np.ndarray, np.ndarray]:
     ids, n, component, is_pivot, sig = rows
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, m, c, _, s in zip(*pivots, strict=True):
-        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ~(is_pivot & (ids < i)))
-        near = near[(sig[near] == s).sum(1) >= LEAST_AGREED]
+        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= search.percent * np.maximum(n, m)) & ~(is_pivot & (ids < i)))
+        near = near[(sig[near] == s).sum(1) >= search.least]
         a.append(ids[near]), b.append(np.full(len(near), i))
     return np.concatenate(a), np.concatenate(b)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= 85 * union.
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Rows stream past their pivot b: a task holds one set at a time, and a pivot with many rows has several tasks.
     """
@@ -142,14 +157,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     at, pivot = (p, salt), s
                     continue
                 same = len(np.intersect1d(pivot, s, assume_unique=True))
-                if 100 * same >= PERCENT * (len(pivot) + len(s) - same):
+                if 100 * same >= percent * (len(pivot) + len(s) - same):
                     a.append(i), b.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(a, x.schema.field(3).type), pa.array(b, x.schema.field(0).type)], names=["a", "b"])
 
     return dealt.mapInArrow(run, pairs.schema)
 
 
-def link(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+def link(docs: DataFrame, reps: DataFrame, search: Search) -> DataFrame | None:
     """Verified links (a, b) between the different sets of ``reps`` whose closure is that of all links inside buckets.
 
     In each round some rows of a bucket are pivots, and every other row that isn't yet in a pivot's component is
@@ -173,11 +188,11 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         rows = rows.join(open_, "band")
         drawn = F.col("doc_id") == F.col("first") if round_ == 0 else F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id")) <= GROWTH**round_
         rows = materialize(rows.withColumn("pivot", drawn).drop("first"), "rows")
-        pairs = agreeing(rows, reps).distinct()
+        pairs = agreeing(rows, reps, search).distinct()
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.union(pairs)
         rows = rows.where("not pivot").drop("pivot")
-        new = None if pairs.isEmpty() else materialize(confirmed(pairs, docs), "links")
+        new = None if pairs.isEmpty() else materialize(confirmed(pairs, docs, search.percent), "links")
         if new is not None and not new.isEmpty():
             links = new if links is None else links.union(new)
             nodes = materialize(components(links.toDF("u", "v")), "labels")
@@ -185,20 +200,21 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         rows, round_ = materialize(rows, "bucket_rows"), round_ + 1
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
     A document's set holds its distinct 5-word shingles (A-Z lower-cased, ASCII blanks split words); shorter texts are
     one shingle, null and wordless texts are empty and linked with nothing.  Documents are linked when
-    100 * intersection >= 85 * union.  component_id is the smallest id reachable; the document with that id is kept.
+    100 * intersection >= percent * union.  component_id is the smallest id reachable; the document with that id is kept.
     Equal sets meet in an aggregation and only the smallest id of each takes part in the search.  Rows that repeat an
     id share its component and all are kept or none; rows without an id are alone and kept.  An empty table gives no rows.
     """
-    table = materialize(signatures(docs, id_col, text_col), "signatures")
+    search = Search(percent)
+    table = materialize(signatures(docs, id_col, text_col, search), "signatures")
     known = table.where("n > 0 and doc_id is not null")
     sets = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     reps = materialize(known.join(sets.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sig", "bands"), "reps")
-    links = link(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), reps)
+    links = link(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), reps, search)
     found = sets.withColumn("component_id", F.col("rep"))
     if links is not None:
         nodes = components(links.toDF("u", "v")).toDF("rep", "node_component")
@@ -209,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group."""
-    dropped = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    dropped = materialize(near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct(), "dropped")
     return attach(docs, dropped, "doc_id", "left_anti").select(docs.columns)

@@ -57,6 +57,21 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == near_truth(texts)
 
 
+def test_the_stage_drops_pairs_from_four_fifths_on(spark):
+    words = lambda k, n, own: [*(f"k{k}w{i}" for i in range(n - own)), *(f"k{k}x{i}" for i in range(own))]
+    # shingles: 54 each, 48 of 60 shared (0.80); 56 each, 50 of 62 (0.806); 50 each, 44 of 56 (0.786)
+    texts = [" ".join(words(k, n, own)) for k, n in ((0, 58), (1, 60), (2, 54)) for own in (0, 6)]
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(frame(spark, texts)).collect()} == {0, 2, 4, 5}
+    assert all(r.kept for r in near_dedup.near_duplicates(frame(spark, texts)).collect())
+
+
+@pytest.mark.parametrize("percent, bands, rows", [(85, 32, 8), (80, 42, 6)])
+def test_search_misses_few_pairs_at_its_threshold(percent, bands, rows):
+    search = near_dedup.Search(percent)
+    assert (search.bands, search.rows) == (bands, rows)
+    assert search.missed < 1e-4 and search.missed / 1000 < search.cut <= search.missed / 100
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(50, 60), (60, 55)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
