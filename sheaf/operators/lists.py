@@ -42,22 +42,24 @@ def overview(pages: DataFrame) -> DataFrame:
     )
 
 
-def items(pages: DataFrame) -> DataFrame:
-    """list_id, page_no, pos, item_id, name, image_url: every link to an item inside an icon, in page order."""
-    rows = pages.where(f"page_no <= {MAX_ITEM_PAGES}").select("list_id", "page_no", "nodes", F.explode(D.below(N, D.cls("item-icon"), ITEM)).alias("a"))
+def items(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """list_id, page_no, pos, item_id, name, image_url: every link to an item inside an icon, in page order.
+
+    ``max_pages`` is for live crawling (``MAX_ITEM_PAGES``); without it all pages count."""
+    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("list_id", "page_no", "nodes", F.explode(D.below(N, D.cls("item-icon"), ITEM)).alias("a"))
     rows = rows.select("list_id", "page_no", F.col("a.id").alias("at"), path_id(D.attr(F.col("a"), "href"), "item").alias("item_id"), *(c.alias(k) for k, c in _image(F.col("a")).items()))
     pos = F.row_number().over(Window.partitionBy("list_id").orderBy("page_no", "at"))
     return rows.where("item_id is not null").select("list_id", "page_no", pos.alias("pos"), "item_id", "name", "image_url")
 
 
-def detail(pages: DataFrame) -> DataFrame:
+def detail(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """list_id, title, total, description, item_count: the header of the first page, and all pages' items counted."""
     stats = D.text(N, D.first(D.find(N, D.cls("object-stats"))))
     head = pages.where("page_no = 1").select(
         "list_id", filled(D.text(N, D.first(D.find(N, D.both(D.tag("h1"), D.cls("title")))))).alias("title"), group(stats, r"([0-9]+)\s*item").cast("bigint").alias("total"),
         filled(D.text(N, D.first(D.find(N, D.cls("object-description"))))).alias("description"),
     )
-    found = items(pages).groupBy("list_id").agg(F.count(F.lit(1)).alias("item_count"))
+    found = items(pages, max_pages).groupBy("list_id").agg(F.count(F.lit(1)).alias("item_count"))
     out = head.join(found, "list_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     return out.withColumn("total", F.coalesce(F.nullif("total", F.lit(0)), "item_count"))
 

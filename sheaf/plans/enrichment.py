@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cache, rules
 
-#: Requests of a lane beyond this many are rejected.
+#: Requests of a lane beyond this many are rejected where a capacity is asked for.
 LANE_CAPACITY = 10_000
 
 
@@ -66,15 +66,16 @@ def scored(queue: DataFrame, now) -> DataFrame:
     return queue.withColumn("score", rules.score(F.col("status"), F.col("has_cookies") & F.col("session_id").isNotNull(), F.col("users"), age))
 
 
-def admitted(queue: DataFrame, capacity: int = LANE_CAPACITY) -> DataFrame:
-    """The first ``capacity`` requests of each lane in order of arrival."""
+def admitted(queue: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The first ``capacity`` requests of each lane in order of arrival; all without a capacity."""
+    if capacity is None:
+        return queue
     n = F.row_number().over(Window.partitionBy("lane").orderBy("queued_at", "item_id"))
     return queue.withColumn("n", n).where(F.col("n") <= capacity).drop("n")
 
 
 def positions(queue: DataFrame) -> DataFrame:
-    """Place in the whole queue, from 0: lane, then score, then arrival.  Each lane is ranked by itself; lanes hold
-    ``LANE_CAPACITY`` rows at most."""
+    """Place in the whole queue, from 0: lane, then score, then arrival.  Each lane is ranked by itself."""
     inside = F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), "queued_at", "item_id")) - 1
     before = Window.orderBy(F.desc(rules.lane_rank(F.col("lane")))).rowsBetween(Window.unboundedPreceding, -1)  # over one row per lane
     offset = queue.groupBy("lane").count().select("lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
