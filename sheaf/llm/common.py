@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The contract's whitespace: space and \t \n \v \f \r, nothing else.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -18,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and the master is local (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="sheaf-")
@@ -50,13 +53,39 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def attach(rows: DataFrame, facts: DataFrame, on, how: str = "inner", n: int | None = None, most: int = 2_000_000) -> DataFrame:
-    """Join narrow per-key facts to wide rows.
+def row_key(rows: DataFrame) -> list[Column]:
+    """128 bits over all columns as two longs, ``k1`` and ``k2``: what a decision about a row is joined back by, whatever
+    its id.  Rows with equal keys are equal in every column."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    every = [F.array_sort(F.map_entries(rows[f"`{c}`"])) if isinstance(k, T.MapType) else rows[f"`{c}`"] for c, k in kinds.items()]
+    marked = [F.struct(c.isNull(), c) for c in every]  # else a null would leave no trace in the hash
+    return [F.xxhash64(F.lit(1), *marked).alias("k1"), F.xxhash64(F.lit(2), *marked).alias("k2")]
 
-    ``facts`` is a written table.  With at most ``most`` rows (some tens of MB) it is broadcast and the wide rows stay
-    where they are; beyond that both sides shuffle and adaptive execution splits skewed partitions.
+
+def table_bytes(facts: DataFrame) -> int:
+    """Bytes of a narrow table's values, from one pass over it; ``facts`` is a written table."""
+    wide = [F.col(f.name) for f in facts.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    lists = [F.col(f.name) for f in facts.schema if isinstance(f.dataType, T.ArrayType)]
+    fixed = 16 * len(facts.columns) + 32
+    total = F.count(F.lit(1)) * fixed
+    for c in wide:
+        total = total + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    for c in lists:
+        total = total + F.coalesce(F.sum(64 * F.greatest(F.size(c), F.lit(0))), F.lit(0))
+    return facts.agg(total.alias("bytes")).first().bytes
+
+
+#: Facts of at most so many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def attach(rows: DataFrame, facts: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join narrow per-key facts, a written table, to wide rows.
+
+    Facts of at most ``most`` bytes, measured, are broadcast and the wide rows stay where they are; beyond that both sides
+    shuffle and adaptive execution splits skewed partitions.
     """
     on = list(on) if isinstance(on, tuple) else on
-    if (facts.count() if n is None else n) <= most:
+    if table_bytes(facts) <= most:
         return rows.join(F.broadcast(facts), on, how)
     return rows.hint("merge").join(facts, on, how)

@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     """Fit on at most ``most`` labelled rows whose crc32(doc_id) mod 5 is not 0; rows without a label or a text's id don't count."""
     known = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = attach(docs.select("doc_id", "text"), materialize(known, "labels"), "doc_id", n=most)
+    texts = attach(docs.select("doc_id", "text"), materialize(known, "labels"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

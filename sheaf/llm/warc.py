@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, materialize, new_path
@@ -34,13 +34,16 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def record_plan(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Rows that become revisits: page_id and refers_to.  Only digests leave the scan; no payload shuffles."""
-    body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    digests = pages.select(F.col(id_col).alias("page_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).where(f"n >= {MIN_SHARED}")
-    digests = materialize(digests, "digests")
+    """Rows that become revisits: page_id, digest and refers_to.  Only digests leave the scan; no payload shuffles."""
+    digests = pages.select(F.col(id_col).alias("page_id"), F.sha2(_body(html_col), 256).alias("digest"), F.octet_length(_body(html_col)).alias("n")).where(f"n >= {MIN_SHARED}")
+    digests = materialize(digests.select("page_id", "digest"), "digests")
     groups = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
     groups = materialize(groups, "groups")
-    return attach(digests.select("page_id", "digest"), groups, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return attach(digests, groups, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def _body(html_col: str) -> Column:
+    return F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
 
 
 def header_value(text: str) -> str:
@@ -115,13 +118,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every row as a record into ``*.warc.zst`` files under ``folder``; returns the written manifest.
 
     Of rows with equal payloads of at least 100 bytes the one with the smallest page_id is a response and the others
-    are revisits; rows with that same id (repeats of it) are responses too.  Null html is an empty payload, a null url
-    leaves out the target line, a row without an id is never referred to.  A file's name holds its task attempt, and only
-    files of the manifest count, so attempts that were lost leave nothing behind that is read.
+    are revisits; rows that repeat that id and that payload are responses too.  A page_id may come with several payloads:
+    each is judged by its own digest, so every payload is in some response.  Null html is an empty payload, a null url
+    leaves out the target line, a row without an id is a response and never referred to.  Payloads are written whole,
+    however long; an empty table gives an empty manifest.  A file's name holds its task attempt, and only files of the
+    manifest count, so attempts that were lost leave nothing behind that is read.
     """
     plan = materialize(record_plan(pages, id_col, html_col), "revisits")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = attach(rows, plan, "page_id", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    if not plan.isEmpty():
+        rows = attach(rows.withColumn("digest", F.sha2(_body("html"), 256)), plan, ("page_id", "digest"), "left").drop("digest")
+    else:
+        rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, parts = [], 0, 0

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheaf.llm import components, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
@@ -161,18 +162,36 @@ def test_a_large_group_has_its_own_shard(spark):
     assert len(others) == 7 and others.max() < 2 * others.min()
 
 
-def test_mixing(spark, monkeypatch):
+@pytest.mark.parametrize("names", [["a", "b", "b", "b", "c", None], [f"s{i}" for i in range(11)] + [None]])
+def test_mixing(spark, monkeypatch, names):
     monkeypatch.setattr(mixing, "LEAF_ROWS", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
     rng = random.Random(1)
-    sources = [rng.choice(["a", "b", "b", "b", "c", None]) for _ in range(900)]
+    sources = [rng.choice(names) for _ in range(900)]
     docs = frame(spark, [" ".join(["w"] * rng.randint(0, 40)) for _ in sources], sources)
-    first, again = (mixing.draw_copies(d).toPandas().sort_values("doc_id").reset_index(drop=True) for d in (docs, docs.repartition(7)))
-    assert first.equals(again)
+    orders = (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1))
+    first, *others = (mixing.draw_copies(d).toPandas().sort_values("doc_id").reset_index(drop=True) for d in orders)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    others.append(mixing.draw_copies(docs.repartition(3)).toPandas().sort_values("doc_id").reset_index(drop=True))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(first.equals(x) for x in others)
     assert set(first.copies) <= {0, 1, 2}
     first["source"] = sources
     for _, s in first.groupby("source", dropna=False):
         assert abs((s.copies * s["size"]).sum() - s.target.iloc[0]) <= s["size"].max()
-    assert first.drop_duplicates("target").target.sum() == pytest.approx(1.5 * first["size"].sum())
+    assert first.drop_duplicates("source").target.sum() == pytest.approx(1.5 * first["size"].sum())
+
+
+def test_the_mix_holds_each_row_as_often_as_it_was_drawn(spark):
+    rows = [(None, "a b", "en", "s", i) for i in range(6)] + [(1, "a b c", "en", "s", 0)] * 5 + [(2, "x", "en", "t", 0), (2, "y z", "en", "t", 1), (3, None, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    drawn = mixing.draw_copies(docs).collect()
+    assert len(drawn) == len(rows)
+    got = Counter(tuple(r) for r in mixing.mix_sources(docs).collect())
+    assert sum(got.values()) == sum(r.copies for r in drawn)
+    assert sum(v for k, v in got.items() if k[0] is None) == sum(r.copies for r in drawn if r.doc_id is None) > 0
+    assert got[(1, "a b c", "en", "s", 0)] == sum(r.copies for r in drawn if r.doc_id == 1)
+    assert all(got[k] <= 2 * rows.count(k) for k in got)
 
 
 def test_targets_stop_at_twice_the_size():
@@ -261,8 +280,6 @@ def test_cascade_is_exact_on_the_universe(spark, monkeypatch):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 600, 3)], "key string")
     universe = spark.createDataFrame([(f"k{i}",) for i in range(600)], "key string")
     levels = url_filter.cascade(listed, universe)
-    from pyspark.sql import functions as F
-
     got = {r.key for r in universe.where(url_filter.decide(levels, F.col("key"))).collect()}
     assert len(levels) > 2 and got == {f"k{i}" for i in range(0, 600, 3)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -97,6 +99,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_and_read(pages.drop("refers_to").limit(0)).collect() == []
 
 
+def test_warc_keeps_every_payload_of_a_repeated_id(spark):
+    a, b = "A" * 150, "B" * 150
+    pages = spark.createDataFrame([(1, "u", a), (2, "u", a), (2, "u", b), (4, "u", b), (2, "u", b)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect())
+    da, db = (hashlib.sha256(x.encode()).hexdigest() for x in (a, b))
+    assert got == sorted([(1, da, "response", None), (2, da, "revisit", 1), (2, db, "response", None), (2, db, "response", None), (4, db, "revisit", 2)], key=lambda r: r[:3])
+
+
 @pytest.mark.parametrize("rows", [9, 0])
 def test_pipeline_stages(spark, tmp_path, rows):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
