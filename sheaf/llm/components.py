@@ -19,9 +19,10 @@ def _sum(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large-star: every node hands its larger neighbours to the smallest of its neighbourhood.  Small-star: its smaller
     ones and itself.  The minimum comes from an aggregation that combines before it shuffles, so no neighbourhood is
-    held in one place; the join back is one that adaptive execution splits where a node has very many neighbours."""
+    held in one place; it is written before the join back, so that both sides of the join are plain shuffles, which adaptive
+    execution splits where a node has very many neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

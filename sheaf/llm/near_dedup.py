@@ -8,18 +8,22 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize
+from .common import attach, materialize, row_key
 from .components import components
 from .tokens import STEP, WordHashes, mix, shingle_set, texts_of
 
 HASHES = 256
 #: Rows that are compared with one pivot in one task.
 PER_TASK = 500
-#: Rows of a bucket that one task compares with the bucket's pivots, and how many times more pivots each round has.
-PER_PART, GROWTH = 2000, 32
+#: Rows of a bucket that one task compares with the bucket's outsiders.
+PER_PART = 2000
+#: Bands of the first round, in which every set meets one pivot.
+FIRST_BANDS = 8
+#: Agreeing places from which pairs are confirmed first; what they join needs no further look.
+LEVELS = (232, 214)
 CHUNK = 1024
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,13 +67,13 @@ def bands_of(least: np.ndarray, search: Search) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
-    """doc_id, n (set size), set_key (128 bits of the set), sig (a byte of each minimum), bands; for an empty set the last three are null."""
+    """k1, k2 (the row's key), doc_id, n (set size), set_key (128 bits of the set), sig (a byte of each minimum), bands; for an empty set the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             n, keys, sigs, bands = [], [], [], []
-            for t in texts_of(b.column(1)):
+            for t in texts_of(b.column(3)):
                 s = shingle_set(t, known)
                 n.append(len(s))
                 if len(s):
@@ -79,24 +83,44 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, search: Search) -> D
                     bands.append(bands_of(least, search))
                 else:
                     keys.append(None), sigs.append(None), bands.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["k1", "k2", "doc_id", "n", "set_key", "sig", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, set_key binary, sig binary, bands array<long>")
+    rows = docs.select(*row_key(docs), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, n long, set_key binary, sig binary, bands array<long>")
 
 
-def agreeing(rows: DataFrame, reps: DataFrame, search: Search) -> DataFrame:
-    """Signature verification inside buckets: pairs (a, b) of a row and a pivot of its bucket that are in different
-    components and whose signatures agree in ``search.least`` places or more.
+def _agreement(pairs: DataFrame, reps: DataFrame, search: Search) -> DataFrame:
+    """Signature verification of given pairs: those (a, b) that agree in ``search.least`` places or more."""
+    sig = reps.select("node", "sig", "n")
+    both = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+    both = both.where(100 * F.least("na", "nb") >= search.percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
 
-    Rows stream past their bucket's pivots, in parts of about ``PER_PART`` rows, so only pairs that agree leave a task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            one, other = (_matrix(x.column(i)) for i in (2, 3))
+            yield x.select([0, 1]).filter(pa.array((one == other).sum(1) >= search.least))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def agreeing(rows: DataFrame, reps: DataFrame, search: Search, least: int, below: int) -> DataFrame:
+    """Signature verification inside buckets: pairs (a, b) of different components that agree in ``least`` places or
+    more, but in fewer than ``below``.
+
+    ``rows`` has band, node, component, main (the component that holds most of the bucket) and parts.  Rows outside the
+    main component meet all rows of their bucket: they are sent to each of its parts of about ``PER_PART`` rows, and the
+    rows stream past them, so only pairs that agree leave a task and rows of one component are never compared.
     """
-    parts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PER_PART).alias("parts"))
-    rows = rows.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
-    pivots = rows.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ("band", "part", "role", "doc_id", "n", "component", "pivot")
-    both = rows.withColumn("role", F.lit(1)).select(*columns).union(pivots.withColumn("role", F.lit(0)).select(*columns))
-    dealt = both.join(reps.select("doc_id", "sig"), "doc_id").select(*columns, "sig").repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "role")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("outside", F.col("component") != F.col("main"))
+    outside = rows.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ("band", "part", "role", "node", "component", "outside")
+    both = rows.withColumn("role", F.lit(1)).select(*columns).union(outside.withColumn("role", F.lit(0)).select(*columns))
+    dealt = both.join(reps.select("node", "n", "sig"), "node").select(*columns, "n", "sig").repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -113,39 +137,39 @@ def agreeing(rows: DataFrame, reps: DataFrame, search: Search) -> DataFrame:
                 if split:
                     held.append(_rows(some.slice(0, split)))
                 if split < e - s:
-                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)], search)
+                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)], search, least, below)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _rows(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    sig = np.frombuffer(b"".join(x.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
-    return x.column(3).to_numpy(), x.column(4).to_numpy(), x.column(5).to_numpy(), x.column(6).to_numpy(zero_copy_only=False), sig
+    return *(x.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), _matrix(x.column(7))
 
 
-def _compared(rows: tuple[np.ndarray, ...], pivots: list[np.ndarray], search: Search) -> tuple[np.ndarray, np.ndarray]:
-    ids, n, component, is_pivot, sig = rows
+def _compared(rows: tuple[np.ndarray, ...], outside: list[np.ndarray], search: Search, least: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    node, component, is_outside, n, sig = rows
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, m, c, _, s in zip(*pivots, strict=True):
-        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= search.percent * np.maximum(n, m)) & ~(is_pivot & (ids < i)))
-        near = near[(sig[near] == s).sum(1) >= search.least]
-        a.append(ids[near]), b.append(np.full(len(near), i))
+    for i, c, _, m, s in zip(*outside, strict=True):
+        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= search.percent * np.maximum(n, m)) & ~(is_outside & (node < i)))
+        places = (sig[near] == s).sum(1)
+        near = near[(places >= least) & (places < below)]
+        a.append(node[near]), b.append(np.full(len(near), i))
     return np.concatenate(a), np.concatenate(b)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Rows stream past their pivot b: a task holds one set at a time, and a pivot with many rows has several tasks.
     """
-    count = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("parts"))
+    count = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("parts")), "parts")
     salted = materialize(pairs.join(count, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("salt")), "salted")
-    members = salted.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "salt", F.lit(1).alias("role"))
-    pivots = salted.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), "salt", F.lit(0).alias("role")).distinct()
-    needed = materialize(members.union(pivots), "needed")
-    texts = attach(docs, needed, "doc_id").select("pivot", "salt", "role", "doc_id", "text")
-    dealt = texts.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "role")
+    members = salted.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "salt", F.lit(1).alias("role"))
+    pivots = salted.select(F.col("b").alias("node"), F.col("b").alias("pivot"), "salt", F.lit(0).alias("role")).distinct()
+    needed = materialize(members.union(pivots).join(reps.select("node", "k1", "k2"), "node"), "needed")
+    held = attach(texts, needed, ("k1", "k2")).select("pivot", "salt", "role", "node", "text")
+    dealt = held.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at, pivot = WordHashes(), None, None
@@ -159,73 +183,138 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 same = len(np.intersect1d(pivot, s, assume_unique=True))
                 if 100 * same >= percent * (len(pivot) + len(s) - same):
                     a.append(i), b.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(a, x.schema.field(3).type), pa.array(b, x.schema.field(0).type)], names=["a", "b"])
-
-    return dealt.mapInArrow(run, pairs.schema)
-
-
-def link(docs: DataFrame, reps: DataFrame, search: Search) -> DataFrame | None:
-    """Verified links (a, b) between the different sets of ``reps`` whose closure is that of all links inside buckets.
-
-    In each round some rows of a bucket are pivots, and every other row that isn't yet in a pivot's component is
-    compared with it; a row that was a pivot has met its whole bucket and leaves it.  A bucket is done when its rows
-    are in one component or all were pivots.  The rows whose buckets hold most rows come first: the text that others
-    are near copies of is linked to most of them, and after it little is left to compare.  One pivot, then 32, 1024 and
-    so on, so rounds are logarithmic in the largest bucket and no link is missed.
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+class _Links:
+    """Links found so far and the component of every set that has one."""
+
+    def __init__(self, texts: DataFrame, reps: DataFrame, search: Search):
+        self.texts, self.reps, self.search, self.links, self.labels = texts, reps, search, None, None
+
+    def confirm(self, pairs: DataFrame) -> None:
+        if pairs.isEmpty():
+            return
+        new = materialize(confirmed(pairs, self.texts, self.reps, self.search.percent), "links")
+        if not new.isEmpty():
+            self.links = new if self.links is None else self.links.union(new)
+            self.labels = materialize(components(self.links.toDF("u", "v")).toDF("node", "component"), "labels")
+
+    def entries(self, bands: int) -> DataFrame:
+        """node, component, band for the first ``bands`` bands."""
+        nodes = self.reps.select("node", F.slice("bands", 1, bands).alias("bands"))
+        if self.labels is None:
+            nodes = nodes.withColumn("component", F.col("node"))
+        else:
+            nodes = attach(nodes, self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return nodes.select("node", "component", F.explode("bands").alias("band"))
+
+
+def _pivots(found: _Links) -> None:
+    """First round: of each bucket of the first bands the set whose buckets hold most is the pivot, and each set meets the
+    pivot that most of its buckets share, so it is in one pair at most.  The text that others are near copies of is in
+    all their large buckets, so this links most of a large group."""
+    entries = found.entries(FIRST_BANDS).drop("component")
+    sizes = materialize(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = materialize(entries.join(sizes, "band"), "bucket_rows")
+    weight = materialize(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    pivot = shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
+    pivot = materialize(pivot.select("band", F.col("top.node").alias("pivot")), "pivots")
+    met = shared.join(pivot, "band").where("node <> pivot").groupBy("node", "pivot").count()
+    one = met.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("top")).select(F.col("node").alias("a"), F.col("top.pivot").alias("b"))
+    found.confirm(materialize(_agreement(materialize(one, "met"), found.reps, found.search), "pairs"))
+
+
+def _representatives(found: _Links) -> None:
+    """Second round: every component has one set in each of its buckets, and those of a bucket meet one of them."""
+    of = found.entries(found.search.bands).groupBy("band", "component").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    of = materialize(of, "of_components")
+    pivot = of.groupBy("band").agg(F.max(F.struct("n", "component", "node")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    pivot = materialize(pivot.select("band", F.col("top.node").alias("pivot")), "pivots")
+    pairs = of.join(pivot, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    found.confirm(materialize(_agreement(materialize(pairs, "met"), found.reps, found.search), "pairs"))
+
+
+def _rest(found: _Links, least: int, below: int) -> bool:
+    """Last rounds: in every bucket that still holds several components, all pairs between them that agree in ``least``
+    to ``below`` places.  False: there is no such bucket."""
+    entries = materialize(found.entries(found.search.bands), "bucket_rows")
+    open_ = entries.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    open_ = materialize(open_, "open")
+    if open_.isEmpty():
+        return False
+    rows = materialize(entries.join(open_, "band"), "bucket_rows")
+    sizes = rows.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"))
+    sizes = materialize(sizes.select("band", F.col("top.component").alias("main"), F.ceil(F.col("size") / PER_PART).alias("parts")), "sizes")
+    pairs = agreeing(rows.join(sizes, "band"), found.reps, found.search, least, below).distinct()
+    found.confirm(materialize(pairs, "pairs"))
+    return True
+
+
+def link(texts: DataFrame, reps: DataFrame, search: Search) -> DataFrame | None:
+    """Component of every set that is linked (node, component); its closure is that of all links inside buckets.
+
+    Two rounds of a pair a set or component at most gather what is alike; then every pair of a bucket that is still in
+    different components is verified, those that agree most first.  So the pairs sent on follow the number of sets, not
+    the square of a group's size, and no link inside a bucket is missed.
     """
-    rows = reps.select("doc_id", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = materialize(rows.join(shared, "band"), "bucket_rows")
-    weight = materialize(rows.groupBy("doc_id").agg(F.sum("size").alias("weight")), "weights")
-    rows = materialize(attach(rows, weight, "doc_id").select("band", "doc_id", "n", "weight", F.col("doc_id").alias("component")), "bucket_rows")
-    links, seen, round_ = None, None, 0
-    first = F.struct(F.col("weight"), -F.col("doc_id"))
-    while True:
-        open_ = rows.groupBy("band").agg(F.max_by("doc_id", first).alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        open_ = materialize(open_.select("band", "first"), "open")
-        if open_.isEmpty():
-            return links
-        rows = rows.join(open_, "band")
-        drawn = F.col("doc_id") == F.col("first") if round_ == 0 else F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id")) <= GROWTH**round_
-        rows = materialize(rows.withColumn("pivot", drawn).drop("first"), "rows")
-        pairs = agreeing(rows, reps, search).distinct()
-        pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        rows = rows.where("not pivot").drop("pivot")
-        new = None if pairs.isEmpty() else materialize(confirmed(pairs, docs, search.percent), "links")
-        if new is not None and not new.isEmpty():
-            links = new if links is None else links.union(new)
-            nodes = materialize(components(links.toDF("u", "v")), "labels")
-            rows = attach(rows.drop("component"), nodes.toDF("doc_id", "component"), "doc_id", "left").select("band", "doc_id", "n", "weight", F.coalesce("component", "doc_id").alias("component"))
-        rows, round_ = materialize(rows, "bucket_rows"), round_ + 1
+    found = _Links(texts, reps, search)
+    _pivots(found)
+    _representatives(found)
+    below = HASHES + 1
+    for least in (*(x for x in LEVELS if x > search.least), search.least):
+        if not _rest(found, least, below):
+            break
+        below = least
+    return found.labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
-
-    A document's set holds its distinct 5-word shingles (A-Z lower-cased, ASCII blanks split words); shorter texts are
-    one shingle, null and wordless texts are empty and linked with nothing.  Documents are linked when
-    100 * intersection >= percent * union.  component_id is the smallest id reachable; the document with that id is kept.
-    Equal sets meet in an aggregation and only the smallest id of each takes part in the search.  Rows that repeat an
-    id share its component and all are kept or none; rows without an id are alone and kept.  An empty table gives no rows.
+    """Per row: doc_id, n_shingles, component_id, kept, and the row's key k1, k2.
+
+    A document's set holds its distinct 5-word shingles (A-Z lower-cased, ASCII blanks split words) of the whole text,
+    however long; shorter texts are one shingle, null and wordless texts are empty and linked with nothing.  Documents
+    are linked when 100 * intersection >= percent * union, ties included.  component_id is the smallest id reachable,
+    null if no row of the component has an id.  kept marks the first row of each component by id (rows without one come
+    last) and then by key; rows equal in every column share its answer.  Ids may be of any type that sorts.  Equal sets
+    meet in an aggregation and one row of each takes part in the search.  An empty table gives no rows.
     """
     search = Search(percent)
     table = materialize(signatures(docs, id_col, text_col, search), "signatures")
-    known = table.where("n > 0 and doc_id is not null")
-    sets = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    reps = materialize(known.join(sets.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sig", "bands"), "reps")
-    links = link(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), reps, search)
-    found = sets.withColumn("component_id", F.col("rep"))
-    if links is not None:
-        nodes = components(links.toDF("u", "v")).toDF("rep", "node_component")
-        found = sets.join(nodes, "rep", "left").withColumn("component_id", F.coalesce("node_component", "rep"))
-    found = materialize(found.where("copies > 1 or component_id <> rep").select("set_key", "component_id"), "found")
-    out = attach(table.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), found, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    known = table.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2"))
+    sets = materialize(known.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "sets")
+    rep = sets.select("set_key", "first.k1", "first.k2")
+    reps = known.join(rep, ["set_key", "k1", "k2"], "left_semi").dropDuplicates(["set_key"])
+    reps = materialize(reps.select("set_key", "k1", "k2", "n", "sig", "bands", F.monotonically_increasing_id().alias("node")), "reps")
+    texts = docs.select(*row_key(docs), F.col(text_col).cast("string").alias("text"))
+    labels = link(texts, reps, search)
+    found = sets.where("copies > 1")
+    if labels is not None:
+        linked = materialize(attach(reps.select("set_key", "node"), labels, "node").join(sets, "set_key").select("set_key", "component", "first"), "linked")
+        least = materialize(linked.groupBy("component").agg(F.min("first").alias("first")), "least")
+        linked = attach(linked.select("set_key", "component"), least, "component").select("set_key", "first")
+        found = linked.unionByName(found.join(linked.select("set_key"), "set_key", "left_anti").select("set_key", "first"))
+    found = materialize(found.select("set_key", F.col("first.doc_id").alias("component_id"), F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")), "found")
+    out = attach(table.select("doc_id", F.col("n").alias("n_shingles"), "set_key", "k1", "k2"), found, "set_key", "left")
+    kept = F.col("f1").isNull() | ((F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), "k1", "k2")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group."""
-    dropped = materialize(near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct(), "dropped")
-    return attach(docs, dropped, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each group of near-duplicates; all others keep every column.
+
+    Decisions belong to rows: of rows that repeat an id only those whose text is a copy go, rows without an id take
+    part, and of rows equal in every column one stays.  Null and wordless texts are no copies of anything and stay, as
+    often as they are there.  Texts count whole, however long; a pair just at ``percent`` is a copy; of a group the
+    smallest id stays.  An empty table gives no rows.
+    """
+    judged = near_duplicates(docs, percent=percent)
+    facts = judged.where("n_shingles > 0").groupBy("k1", "k2").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1")
+    facts = materialize(facts, "dropped")
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(docs))
+    joined = attach(keyed, facts, ("k1", "k2"), "left").where("_kept is null or _kept")
+    again = joined.where("_kept").dropDuplicates(["k1", "k2"])  # repeats of a row that stays: only these shuffle
+    return joined.where("_kept is null").unionByName(again).select("row.*")

@@ -66,6 +66,34 @@ def test_the_stage_drops_pairs_from_four_fifths_on(spark):
     assert all(r.kept for r in near_dedup.near_duplicates(frame(spark, texts)).collect())
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 texts around one, most of them further from each other than from it, and 300 just below the threshold."""
+    monkeypatch.setattr(near_dedup, "PER_PART", 150)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(160)]
+    texts = [" ".join(base)]
+    for k in range(2300):
+        w, edits = list(base), rng.randint(0, 2) if k < 2000 else 3
+        for n in range(edits):
+            w[10 + 50 * n + rng.randrange(10)] = f"x{k}y{n}"
+        texts.append(" ".join(w))
+    texts += [f"other {i} words of a text that is not like them" for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [i for i, s in enumerate(sets) if 100 * len(s & sets[0]) >= 85 * len(s | sets[0])]
+    assert len(near) > 1900 and all(got[i] == (len(sets[i]), 0) for i in near)
+    assert all(got[i][1] == 0 or i > 2000 for i in range(2301)) and all(got[i][1] == i for i in range(2301, len(texts)))
+
+
+def test_rows_of_a_group_by_row_not_by_id(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "a b c d e f g h"
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a, "en", "s", 0), (3, c, "en", "s", 0), (3, c, "en", "s", 0), (None, b, "en", "s", 0), (None, "z y x w v u", "en", "s", 0), (4, None, "en", "s", 0), (4, None, "en", "s", 0)]
+    kept = Counter(tuple(r) for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == Counter([rows[0], rows[1], rows[3], rows[6], rows[7], rows[8]])
+    texts = spark.createDataFrame([("b", a), ("a", a), ("c", b)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(texts).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
 @pytest.mark.parametrize("percent, bands, rows", [(85, 32, 8), (80, 42, 6)])
 def test_search_misses_few_pairs_at_its_threshold(percent, bands, rows):
     search = near_dedup.Search(percent)
