@@ -20,13 +20,18 @@ CLASSES, RARE = 64, 256
 VOCAB = CLASSES * CLASSES
 PAD, SIDE, WIDTH = VOCAB, 2, 16
 OFFSETS = (-2, -1, 1, 2)
-#: Every position of every document trains the network; two rounds over the corpus.
+#: Every position of every document trains the network once: each round takes one of ``ROUNDS`` disjoint shares of the documents.
 BATCH, ROUNDS, RATE = 4096, 2, 0.08
+#: Tokens that one copy of the network is trained on before copies are averaged.
+BLOCK_TOKENS = 4_000_000
 #: So many of the words in buckets, the most frequent, are looked up inside tasks; the others meet their counts in a join.
 KNOWN = 1 << 16
 #: Shares are summed as whole multiples of 1 / UNIT, so that the order of the sum doesn't matter.
 UNIT = 1 << 30
-CHUNK, BLOCK, FAN_IN = 1 << 15, 1 << 14, 16
+#: Positions that are scored together, weights of one row of a network's copy, and copies that are averaged in one place.
+CHUNK, SLICE, FAN_IN = 1 << 15, 1 << 14, 16
+#: Exponents stop here, so that sums of exponentials stay finite in 32 bits.
+STEEPEST = np.float32(60)
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
 
 
@@ -58,84 +63,127 @@ class Network:
             setattr(self, k, self.flat[at : at + n].reshape(s))
             at += n
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        z = np.tile(self.bias, (len(context), 1))
-        for p in range(len(OFFSETS)):
-            z += self.embed[context[:, p]] * self.gate[p]
-        return np.tanh(z, out=z)
-
-    def log_probs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        kind, inner = np.divmod(token, CLASSES)
-        out = _log_softmax(h @ self.class_w + self.class_b)[np.arange(len(token)), kind]
-        for c, rows in _by_class(kind):
-            out[rows] += _log_softmax(h[rows] @ self.word_w[c] + self.word_b[c])[np.arange(len(rows)), inner[rows]]
+    @classmethod
+    def start(cls, prior: np.ndarray) -> Network:
+        """A network that knows the tokens' frequencies and nothing of their neighbours yet."""
+        net = cls()
+        n = (prior + 0.5).reshape(CLASSES, CLASSES)
+        net.class_b[:] = np.log(n.sum(1) / n.sum())
+        net.word_b[:] = np.log(n / n.sum(1, keepdims=True))
+        net.class_w *= 0.1
+        net.word_w *= 0.1
+        return net
+
+    def hidden(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of a padded sequence and the hidden layer of all but its two outer positions on each side."""
+        near, n = self.embed[seq], len(seq) - 2 * SIDE
+        z = np.tile(self.bias, (n, 1))
+        for p, o in enumerate(OFFSETS):
+            z += near[SIDE + o : SIDE + o + n] * self.gate[p]
+        return near, np.tanh(z, out=z)
+
+    def heads(self, h: np.ndarray, ids: np.ndarray) -> tuple:
+        """Unnormalised probabilities of classes and of tokens within the class, for tokens in ascending order, and their log-probabilities."""
+        kind, inner = np.divmod(ids.astype(np.int64), CLASSES)
+        rows = np.arange(len(ids))
+        u = h @ self.class_w
+        u += self.class_b
+        ends = np.searchsorted(ids, np.arange(CLASSES + 1) * CLASSES)
+        v = np.empty((len(ids), CLASSES), np.float32)
+        for c in np.unique(kind):
+            s, e = ends[c], ends[c + 1]
+            np.matmul(h[s:e], self.word_w[c], out=v[s:e])
+            v[s:e] += self.word_b[c]
+        log_p, sums = np.zeros(len(ids), np.float32), []
+        for z, at in ((u, kind), (v, inner)):
+            np.minimum(z, STEEPEST, out=z)
+            log_p += z[rows, at]
+            sums.append(np.exp(z, out=z).sum(1))
+            log_p -= np.log(sums[-1])
+        return kind, inner, u, v, sums, ends, log_p
+
+    def log_probs(self, seq: np.ndarray) -> np.ndarray:
+        """Of a padded sequence, for all but the two outer positions on each side; 0 at padding."""
+        order, n = in_order(seq[SIDE:-SIDE])
+        out = np.zeros(len(seq) - 2 * SIDE, np.float32)
+        if n:
+            out[order[:n]] = self.heads(self.hidden(seq)[1][order[:n]], seq[SIDE:-SIDE][order[:n]])[-1]
         return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    ends = np.flatnonzero(np.diff(kind[order], append=-1)) + 1
-    at = 0
-    for end in ends:
-        yield int(kind[order[at]]), order[at:end]
-        at = end
+def in_order(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Positions by ascending id, and how many of them are no padding, which comes last."""
+    return np.argsort(ids, kind="stable"), int(np.count_nonzero(ids != PAD))
 
 
 class Trainer:
-    """Adagrad on one partition's positions, from the network it was given."""
+    """Adagrad on one block's positions, from the network it was given."""
 
     def __init__(self, net: Network):
         self.net, self.squares, self.seen = net, Network(np.full(net.flat.shape, 1e-4)), 0
+        self.texts: list[np.ndarray] = []
+        self.held = 0
 
     def _move(self, name: str, grad: np.ndarray, at=...) -> None:
         square = getattr(self.squares, name)
         square[at] += grad * grad
         getattr(self.net, name)[at] -= RATE * grad / np.sqrt(square[at])
 
-    def step(self, context: np.ndarray, token: np.ndarray) -> None:
-        net, n = self.net, len(token)
-        h = net.hidden(context)
-        kind, inner = np.divmod(token, CLASSES)
-        d = np.exp(_log_softmax(h @ net.class_w + net.class_b))
-        d[np.arange(n), kind] -= 1
-        d /= n
-        back = d @ net.class_w.T
-        class_w, class_b = h.T @ d, d.sum(0)
-        for c, rows in _by_class(kind):
-            e = np.exp(_log_softmax(h[rows] @ net.word_w[c] + net.word_b[c]))
-            e[np.arange(len(rows)), inner[rows]] -= 1
-            e /= n
-            back[rows] += e @ net.word_w[c].T
-            self._move("word_w", h[rows].T @ e, c)
-            self._move("word_b", e.sum(0), c)
+    def feed(self, ids: np.ndarray) -> None:
+        """One document; whole documents are gathered until they fill a batch."""
+        self.texts.append(ids)
+        self.held += len(ids)
+        if self.held >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            seq = padded(self.texts)
+            for i in range(SIDE, len(seq) - SIDE, BATCH):
+                self.step(seq[i - SIDE : min(i + BATCH, len(seq) - SIDE) + SIDE])
+        self.texts, self.held = [], 0
+
+    def step(self, seq: np.ndarray) -> None:
+        net, inside = self.net, seq[SIDE:-SIDE]
+        order, n = in_order(inside)
+        if not n:
+            return
+        near, hidden = net.hidden(seq)
+        h, ids = hidden[order[:n]], inside[order[:n]]
+        kind, inner, u, v, sums, ends, _ = net.heads(h, ids)
+        rows = np.arange(n)
+        for z, at, total in ((u, kind, sums[0]), (v, inner, sums[1])):
+            z *= (1 / (n * total))[:, None]
+            z[rows, at] -= np.float32(1 / n)
+        back = u @ net.class_w.T
+        word_w, word_b = np.zeros_like(net.word_w), np.zeros_like(net.word_b)
+        for c in np.unique(kind):
+            s, e = ends[c], ends[c + 1]
+            back[s:e] += v[s:e] @ net.word_w[c].T
+            word_w[c], word_b[c] = h[s:e].T @ v[s:e], v[s:e].sum(0)
         back *= 1 - h * h
-        ids, parts = context.T.ravel(), np.concatenate([back * net.gate[p] for p in range(len(OFFSETS))])
-        gate = np.stack([(back * net.embed[context[:, p]]).sum(0) for p in range(len(OFFSETS))])
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        self._move("embed", np.add.reduceat(parts[order], first, axis=0), ids[order][first])
+        whole = np.zeros_like(hidden)
+        whole[order[:n]] = back
+        to, gate = np.zeros_like(near), np.empty_like(net.gate)
+        for p, o in enumerate(OFFSETS):
+            gate[p] = np.einsum("ij,ij->j", whole, near[SIDE + o : SIDE + o + len(inside)])
+            to[SIDE + o : SIDE + o + len(inside)] += whole * net.gate[p]
+        order = np.argsort(seq, kind="stable")
+        first = np.flatnonzero(np.diff(seq[order].astype(np.int32), prepend=-1))
+        self._move("embed", np.add.reduceat(to[order], first, axis=0), seq[order][first])
         self._move("gate", gate)
         self._move("bias", back.sum(0))
-        self._move("class_w", class_w)
-        self._move("class_b", class_b)
+        self._move("class_w", h.T @ u)
+        self._move("class_b", u.sum(0))
+        self._move("word_w", word_w)
+        self._move("word_b", word_b)
         self.seen += n
 
 
-def token_ids(text: bytes, vocabulary: Vocabulary) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-
-
-def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context ids at positions ``at`` of one or more documents that are padded on both sides."""
-    return np.stack([ids[at + o] for o in OFFSETS], axis=1)
+def padded(texts: list[np.ndarray]) -> np.ndarray:
+    """Documents in one sequence, with padding before, between and after them."""
+    pad = np.full(SIDE, PAD, np.uint16)
+    return np.concatenate([*(y for x in texts for y in (pad, x)), pad])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -151,17 +199,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[int]:
-    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()
-    return [r.word & (2**64 - 1) for r in top]
-
-
 class Shares:
-    """Every word's log share of the counts of its bucket: ``near`` for the most frequent words (sorted hashes, shares in
-    units), ``of`` for all as a column over ``word_counts``."""
+    """The vocabulary of a corpus from its ``word_counts``.
 
-    def __init__(self, counts: DataFrame, ranked: list[int]):
-        head = np.array(ranked, np.uint64).view(np.int64).tolist()
+    ``ranked``: hashes of the words with a token of their own; ``prior``: counts of all tokens.  Every other word has a log
+    share of the counts of its bucket: ``near`` for the most frequent ones (sorted hashes, shares in units), ``of`` for
+    all as a column over ``word_counts``.
+    """
+
+    def __init__(self, counts: DataFrame):
+        top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()
+        self.ranked = [r.word & (2**64 - 1) for r in top]
+        head, ranked_n = [r.word for r in top], [r.n for r in top]
         rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(h,) for h in head], "word long")), "word", "left_anti")
         bucket = F.pmod("word", F.lit(RARE))
         self.total = {r.bucket: r.n for r in rare.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}
@@ -172,123 +221,132 @@ class Shares:
         word = top["word"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(word)
         self.near = word[order], top["share"].to_numpy(np.int64)[order]
+        self.prior = np.zeros(VOCAB)
+        self.prior[: len(head)] = ranked_n
+        self.prior[VOCAB - RARE :] = [self.total.get(i, 0) for i in range(RARE)]
 
 
-def train_round(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> np.ndarray:
-    """Each partition trains a copy of the network on its documents; the copies are averaged by positions seen, in a tree."""
+def encode(docs: DataFrame, shares: Shares) -> DataFrame:
+    """Documents as token ids, so that texts are split once for training and scoring: doc_id, row (a number of the row),
+    n_tokens, ids (16 bits each), gain (shares of the bucketed words in ``shares.near``), words (hashes of the other bucketed words), key.
+    """
+    kind, ranked, near = docs.schema["doc_id"].dataType.simpleString(), shares.ranked, shares.near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, trainer = Vocabulary(ranked), Trainer(Network(flat))
-        contexts, tokens, held = [], [], 0
+        vocabulary, hashes, row = Vocabulary(ranked), WordHashes(), TaskContext.get().partitionId() << 33
         for b in batches:
-            for t in texts_of(b.column(0)):
-                ids = token_ids(t, vocabulary)
-                padded = np.pad(ids, SIDE, constant_values=PAD)
-                for i in range(0, len(ids), BATCH):
-                    at = np.arange(i, min(i + BATCH, len(ids)))
-                    contexts.append(windows(padded, at + SIDE)), tokens.append(ids[at])
-                    held += len(at)
-                    if held >= BATCH:
-                        trainer.step(np.concatenate(contexts), np.concatenate(tokens))
-                        contexts, tokens, held = [], [], 0
-        if held:
-            trainer.step(np.concatenate(contexts), np.concatenate(tokens))
-        if trainer.seen:
-            parts = np.array_split(trainer.net.flat, -(-len(flat) // BLOCK))
-            n, part = len(parts), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int64()), pa.array([trainer.seen] * n, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "part", "seen", "weights"])
-
-    schema = "block int, part long, seen long, weights binary"
-    copies = materialize(docs.select("text").mapInArrow(run, schema), "copies")
+            words = [t.lower().split() for t in texts_of(b.column(1))]
+            ids = [np.fromiter(map(vocabulary.__getitem__, w), np.uint16, len(w)) for w in words]
+            rare = [[hashes[w[i]] for i in np.flatnonzero(x >= VOCAB - RARE)] for w, x in zip(words, ids, strict=True)]
+            many = np.array([len(x) for x in rare], np.int64)
+            word, owner = np.fromiter((h for x in rare for h in x), np.uint64, int(many.sum())), np.repeat(np.arange(len(rare)), many)
+            at = np.minimum(np.searchsorted(near[0], word), max(len(near[0]) - 1, 0))
+            hit = near[0][at] == word if len(near[0]) else np.zeros(len(word), bool)
+            gain = np.zeros(len(rare), np.int64)
+            np.add.at(gain, owner[hit], near[1][at[hit]])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(rare)))]).astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[~hit].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(gain), left],
+                names=["doc_id", "row", "n_tokens", "ids", "gain", "words"],
+            )
+            row += len(ids)
+
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, ids binary, gain long, words array<long>")
+    return found.withColumn("key", F.xxhash64("doc_id", "ids"))
+
+
+def train_round(rows: DataFrame, blocks: int, flat: np.ndarray) -> np.ndarray:
+    """Each of ``blocks`` blocks of documents trains a copy of the network; copies are averaged by positions seen, in a tree.
+
+    ``rows`` has ids and key.  A block takes documents by their key and in its order, so the result depends neither on
+    the partitioning nor on the order of the rows, and copies of one text spread over all blocks.
+    """
+    dealt = rows.select(F.pmod(F.shiftrightunsigned("key", 8), F.lit(blocks)).alias("block"), "key", "ids").repartition("block").sortWithinPartitions("block", "key", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, trainer = None, None
+        for b in batches:
+            for at, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if at != block:
+                    if trainer is not None:
+                        yield _copy(trainer, block)
+                    block, trainer = at, Trainer(Network(flat.copy()))
+                trainer.feed(np.frombuffer(ids, np.uint16))
+        if trainer is not None:
+            yield _copy(trainer, block)
+
+    schema = "slice int, part long, seen long, weights binary"
+    copies = materialize(dealt.mapInArrow(run, schema), "copies")
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
         seen = pdf["seen"].to_numpy(np.float64)
         mean = sum(np.frombuffer(w, np.float32) * s for w, s in zip(pdf["weights"], seen, strict=True)) / seen.sum()
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "seen": [int(seen.sum())], "weights": [mean.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN_IN, "seen": [int(seen.sum())], "weights": [mean.astype(np.float32).tobytes()]})
 
     most = copies.agg(F.max("part")).first()[0]
     if most is None:
         return flat
     while most:
-        copies = copies.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInPandas(average, schema)
+        copies = copies.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInPandas(average, schema)
         copies, most = materialize(copies, "copies"), most // FAN_IN
-    return np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(copies.collect(), key=lambda r: r.block)])
+    return np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(copies.collect(), key=lambda r: r.slice)])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
-    ranked, flat = build_vocabulary(docs, counts), Network().flat
-    for _ in range(rounds):
-        flat = train_round(docs, ranked, flat)
-    return ranked, flat
+def _copy(trainer: Trainer, block: int) -> pa.RecordBatch:
+    trainer.flush()
+    parts = np.array_split(trainer.net.flat, -(-len(trainer.net.flat) // SLICE))
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([block] * n, pa.int64()), pa.array([trainer.seen] * n, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part", "seen", "weights"])
 
 
-def score_texts(texts: list[bytes], vocabulary: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Token counts and summed conditional log-probabilities of documents, in chunks of positions."""
-    ids = [token_ids(t, vocabulary) for t in texts]
-    n = np.array([len(x) for x in ids], np.int64)
-    pad = np.full(SIDE, PAD, np.int32)
-    padded = np.concatenate([y for x in ids for y in (pad, x)] + [pad]) if ids else pad
-    owner = np.repeat(np.arange(len(ids)), n)
-    at = np.arange(n.sum()) + SIDE * (owner + 1)
-    total = np.zeros(len(ids))
-    for i in range(0, len(at), CHUNK):
-        part = at[i : i + CHUNK]
-        total += np.bincount(owner[i : i + CHUNK], net.log_probs(windows(padded, part), padded[part]), len(ids))
-    return n, total
+def train(encoded: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after all positions of ``encoded`` (a written table) were seen once, from tokens' counts ``prior`` on."""
+    rows, flat = encoded.where("n_tokens > 0"), Network.start(prior).flat
+    tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    blocks = max(1, -(-tokens // (rounds * BLOCK_TOKENS)))
+    for k in range(rounds):
+        flat = train_round(rows.where(F.pmod("key", F.lit(rounds)) == k), blocks, flat)
+    return flat
 
 
-def score_documents(docs: DataFrame, ranked: list[int], flat: np.ndarray) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def score_ids(encoded: DataFrame, flat: np.ndarray) -> DataFrame:
+    """The rows of ``encoded`` with log_prob, the sum of conditional log-probabilities of their ids, in place of words, ids and key."""
+    keep = ["doc_id", "row", "n_tokens", "gain"]
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = Vocabulary(ranked), Network(flat)
+        net = Network(flat)
         for b in batches:
-            n, total = score_texts(texts_of(b.column(1)), vocabulary, net)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            ids = [np.frombuffer(x, np.uint16) for x in b.column(4).to_pylist()]
+            seq = padded(ids)
+            owner = np.repeat(np.arange(len(ids)), [len(x) + SIDE for x in ids])
+            total = np.zeros(len(ids))
+            for i in range(SIDE, len(seq) - SIDE, CHUNK):
+                e = min(i + CHUNK, len(seq) - SIDE)
+                total += np.bincount(owner[i - SIDE : e - SIDE], net.log_probs(seq[i - SIDE : e + SIDE]), len(ids))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(total)], names=[*keep, "log_prob"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
-
-
-def score_words(docs: DataFrame, ranked: list[int], flat: np.ndarray, shares: Shares) -> DataFrame:
-    """``score_documents`` over real words: each word of a bucket adds its log share of the bucket."""
-    kind, near = docs.schema["doc_id"].dataType.simpleString(), shares.near
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net, hashes, row = Vocabulary(ranked), Network(flat), WordHashes(), TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts = texts_of(b.column(1))
-            n, total = score_texts(texts, vocabulary, net)
-            rare = [[hashes[w] for w in t.lower().split() if vocabulary[w] >= VOCAB - RARE] for t in texts]
-            many = np.array([len(x) for x in rare], np.int64)
-            word, owner = np.fromiter((h for x in rare for h in x), np.uint64, int(many.sum())), np.repeat(np.arange(len(rare)), many)
-            at = np.minimum(np.searchsorted(near[0], word), max(len(near[0]) - 1, 0))
-            hit = near[0][at] == word if len(near[0]) else np.zeros(len(word), bool)
-            gain = np.zeros(len(rare), np.int64)
-            np.add.at(gain, owner[hit], near[1][at[hit]])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(rare)))]).astype(np.int32)
-            left = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[~hit].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), pa.array(gain), pa.array(np.arange(row, row + len(rare))), left], names=["doc_id", "n_tokens", "log_prob", "gain", "row", "words"])
-            row += len(rare)
-
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, gain long, row long, words array<long>")
-    found = materialize(found, "scores")
-    more = found.select("row", F.explode("words").alias("word")).join(shares.of, "word").groupBy("row").agg(F.sum("share").alias("more"))
-    out = attach(found.drop("words"), materialize(more, "more"), "row", "left")
-    total = F.col("log_prob") + (F.col("gain") + F.coalesce("more", F.lit(0))) / UNIT
-    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+    return encoded.select(*keep, "ids").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, gain long, log_prob double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (sum over all tokens of log p(token | two tokens to each side)), mean_log_prob.
 
-    Words (A-Z lower-cased, split at ASCII blanks) are tokens by frequency rank over all documents; a word beyond the
-    ranks has the probability of its bucket times its share of the counts of all words in the bucket.  Each partition
-    trains the network on every position of each of its documents and the copies are averaged.  Null and
-    wordless texts have no tokens, log_prob 0 and a null mean.  Repeated rows get equal scores; an empty table none.
+    Words (A-Z lower-cased, split at ASCII blanks) are tokens by frequency rank over all documents, ties by hash; a word
+    beyond the ranks has the probability of its bucket times its share of the counts of all words in the bucket, counted
+    over the whole corpus.  Every position of every document, however long, trains the network once: blocks of documents
+    train copies, which are averaged after each round.  Null and wordless texts have no tokens, log_prob 0 and a null
+    mean.  Rows that repeat an id or have none are rows of their own; repeated rows get equal scores up to the rounding
+    of 32-bit sums.  An empty table gives no rows.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = materialize(word_counts(texts), "words")
-    ranked, flat = train(texts, counts=counts)
-    return score_words(texts, ranked, flat, Shares(counts, ranked))
+    shares = Shares(counts)
+    encoded = materialize(encode(texts, shares), "ids")
+    flat = train(encoded, shares.prior)
+    more = encoded.select("row", F.explode("words").alias("word")).join(shares.of, "word").groupBy("row").agg(F.sum("share").alias("more"))
+    out = attach(score_ids(encoded, flat), materialize(more, "more"), "row", "left")
+    total = F.col("log_prob") + (F.col("gain") + F.coalesce("more", F.lit(0))) / UNIT
+    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
