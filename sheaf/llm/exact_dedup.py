@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, materialize
 
-#: Upper bound of the filter: 2**26 bits are 2**20 broadcast rows of 16 bytes.  More rows than it can tell apart only
-#: let more rows through to the exact second step.
-MAX_FILTER_BITS = 1 << 26
-BITS_PER_ROW = 16
-SEEDS = (11, 29)
+#: The filter has a 64-bit word for each so many rows, whatever their number; a row sets two bits of one word.
+ROWS_PER_WORD = 4
+#: Words of the filter that are broadcast at once (some 40 MB); a larger one is probed slice by slice.
+SLICE_WORDS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -20,45 +19,54 @@ def normalised(text: Column) -> Column:
     return F.when(text.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(text, BLANK, " ")).otherwise(text)
 
 
-def _slots(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("text_sha256", F.lit(s)), F.lit(bits)) for s in SEEDS]
+def placed(digests: DataFrame, words: int) -> DataFrame:
+    """``digests`` with the filter's word of each row and the mask of its two bits there."""
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("_h", shift).bitwiseAND(63).cast("int"))
+    rows = digests.withColumn("_h", F.xxhash64("text_sha256", F.lit(29)))
+    return rows.withColumns({"word": F.pmod(F.xxhash64("text_sha256"), F.lit(words)), "mask": bit(0).bitwiseOR(bit(6))}).drop("_h")
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """First pass: a Bloom filter of the slots that two or more rows hit, as 64-bit words ``(word, mask)``."""
-    slots = digests.select(F.explode(F.array_distinct(F.array(*_slots(bits)))).alias("slot"))
-    twice = slots.groupBy("slot").count().where("count > 1")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+def repeated_filter(digests: DataFrame, words: int) -> DataFrame:
+    """First pass: the Bloom filter of the bit patterns that two or more rows set: word, mask.
+
+    What moves is one small pattern for each distinct row of a task, combined before it is sent, and no row.
+    """
+    twice = placed(digests, words).groupBy("word", "mask").count().where("count > 1")
+    return twice.groupBy("word").agg(F.bit_or("mask").alias("twice"))
+
+
+def probe(digests: DataFrame, filter_: DataFrame, words: int) -> DataFrame:
+    """Second pass: ``digests`` with ``maybe``: all bits of the row are in the filter.  Rows stay where they are."""
+    slices = max(1, -(-filter_.count() // SLICE_WORDS))
+    of = lambda frame, k: frame if slices == 1 else frame.where(F.pmod("word", F.lit(slices)) == k)
+    out = None
+    for k in range(slices):
+        part = of(placed(digests, words), k).join(F.broadcast(of(filter_, k)), "word", "left")
+        part = part.select(*digests.columns, F.coalesce(F.col("twice").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)).alias("maybe"))
+        part = materialize(part, f"probed{k}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Two texts are equal when they agree after each run of blanks became one space; null counts as empty, so null and
-    empty texts form one group.  The smallest id of a group stays.  Rows that repeat an id and its text count as rows
-    of the group and share one decision; a group whose ids are all null keeps null.  An empty table gives no rows.
+    Two texts are equal when they agree as a whole, however long, after each run of blanks became one space; null counts
+    as empty, so null and empty texts form one group.  The smallest id of a group stays.  Rows that repeat an id and its
+    text count as rows of the group and share one decision; a row without an id stays only in a group without ids.  An
+    empty table gives no rows.
 
-    A first pass over the digests fills a Bloom filter of slots that were hit twice; in the second pass only rows whose
-    slots are all in it shuffle by digest, all others are alone and pass straight through.
+    A first pass over the digests fills a Bloom filter, sized by the rows, with what was set twice; in the second pass
+    only rows that are in it shuffle by digest, all others are alone and pass straight through.
     """
-    digests = materialize(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
-    bits = 64
-    while bits < min(MAX_FILTER_BITS, BITS_PER_ROW * digests.count()):
-        bits *= 2
-    words = materialize(repeated_filter(digests, bits), "filter")
-    probed = digests
-    for i, slot in enumerate(_slots(bits)):
-        probed = (
-            probed.withColumn("slot", slot)
-            .join(F.broadcast(words.select(F.col("word").alias(f"w{i}"), F.col("mask").alias(f"m{i}"))), F.shiftright("slot", 6) == F.col(f"w{i}"), "left")
-            .withColumn(f"hit{i}", F.expr(f"coalesce((shiftrightunsigned(m{i}, cast(slot & 63 as int)) & 1) = 1, false)"))
-            .drop("slot", f"w{i}", f"m{i}")
-        )
-    maybe = F.expr(" and ".join(f"hit{i}" for i in range(len(SEEDS))))
-    again = probed.where(maybe).select("doc_id", "text_sha256")
+    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
+    digests = materialize(digests, "digests")
+    words = digests.count() // ROWS_PER_WORD + 1
+    probed = probe(digests, materialize(repeated_filter(digests, words), "filter"), words)
+    again = probed.where("maybe").select("doc_id", "text_sha256")
     groups = again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = materialize(groups, "groups")  # read back, both join sides are plain shuffles, which adaptive execution can split
-    alone = probed.where(~maybe).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    alone = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     shared = again.join(groups, "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
