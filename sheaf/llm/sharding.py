@@ -8,11 +8,11 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 
 FIRST_BITS, STEP_BITS, KEY_BITS = 12, 6, 64
-#: Rows of a shard are numbered in this many hash blocks, so that no task sorts a whole shard.
-SLOT_BLOCKS = 1024
+#: Rows of a shard are numbered in hash blocks of about so many, so that no task sorts a whole shard.
+BLOCK_ROWS = 40_000
 
 
 def cuts_for(ends: list[int], capacity: int, most: int) -> list[int]:
@@ -106,13 +106,14 @@ def with_shards(rows: DataFrame, shards: int = 8, narrow: DataFrame | None = Non
         shard = shard + (F.col("key") >= F.lit(c)).cast("int")
     for i, k in enumerate(own):
         shard = F.when(F.col("key") == F.lit(k), F.lit(i)).otherwise(shard)
-    place = {"shard": shard.cast("int"), "block": F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BLOCKS))}
-    counts = narrow.withColumns(place).groupBy("shard", "block").count()  # at most 8 * 1024 rows
+    blocks = narrow.count() // (shards * BLOCK_ROWS) + 1
+    place = {"shard": shard.cast("int"), "block": F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks))}
+    counts = narrow.withColumns(place).groupBy("shard", "block").count()  # one row for about BLOCK_ROWS rows
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "key")
     numbered = rows.withColumns(place).withColumn("rank", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "block"]).withColumn("slot", F.col("start") + F.col("rank")).drop("block", "rank", "start")
+    return attach(numbered, materialize(starts, "starts"), ("shard", "block")).withColumn("slot", F.col("start") + F.col("rank")).drop("block", "rank", "start")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -123,7 +124,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Size is the text's UTF-8 bytes plus 1; null counts as empty.  Rows of equal text stay in one shard.  Groups are
+    Size is the whole text's UTF-8 bytes plus 1; null counts as empty.  Rows of equal text stay in one shard.  Groups are
     ordered by the 64-bit hash of their text (texts that share a hash count as one group) and cut where the smallest
     feasible capacity allows; a group larger than an even share gets a shard to itself first.  Rows that repeat an id
     get slots of their own.  An empty table gives no rows; with fewer groups than shards some shards stay empty.
@@ -133,7 +134,11 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shard_corpus(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``shard`` and ``slot`` (which replace columns of those names), dealt by shard."""
+    """All columns of ``docs`` plus ``shard`` and ``slot`` (which replace columns of those names), dealt by shard.
+
+    Every row stays, those that repeat an id or have none too; equal texts share a shard, null counts as empty and a text
+    counts with all its bytes.  An empty table gives no rows.
+    """
     wide = sized(docs, id_col, text_col, F.struct(*(docs[c] for c in docs.columns if c not in ("shard", "slot"))).alias("row"))
     narrow = materialize(sized(docs, id_col, text_col), "sizes")
     return with_shards(wide, shards, narrow).select("row.*", "shard", F.col("slot").cast("long").alias("slot"))
