@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, lower_ascii, materialize
+from .common import attach, lower_ascii, materialize, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that still has capitals, each with what follows it up to the next word.
 RAW_WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW, ANCHOR = 13, 4
-#: N-grams of one broadcast set (about 100 bytes each); longer benchmarks are scanned for in several such slices.
-MAX_GRAMS = 500_000
+#: N-grams of one broadcast set (some 200 bytes each) and so ten times as many anchors (some 40 bytes each): 120 MB
+#: together; longer benchmarks are scanned for in several such slices.
+MAX_GRAMS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,16 +37,8 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW, id_col: str = "i
     return grams.groupBy("n", "words").agg(F.collect_set("item").alias("items")).select("n", "words", F.array_join("words", " ").alias("gram"), "items")
 
 
-def find_hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every occurrence of a benchmark window: doc_id, start (from 1), n, items.  ``grams`` is a written table.
-
-    A window of n words holds exactly one stretch of min(n, 4) words that starts at a multiple of its step
-    n - min(n, 4) + 1.  Those stretches alone are looked up first, in a broadcast set of hashes; around each one found,
-    the windows that hold it are looked up whole, as strings, in the broadcast set of n-grams.
-    """
-    slices = max(1, -(-grams.count() // MAX_GRAMS))
-    lengths = [r.n for r in grams.select("n").distinct().collect()]
-    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+def _candidates(rows: DataFrame, part: DataFrame, lengths: list[int]) -> DataFrame:
+    """k1, k2, doc_id, n, at: stretches of ``rows`` (k1, k2, doc_id, words, marks) that the hash set of ``part``'s anchors holds, and the marks."""
     steps = {n: n - min(n, ANCHOR) + 1 for n in lengths}
 
     def stretches(n: int) -> Column:
@@ -53,65 +46,91 @@ def find_hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_co
         at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(steps[n])))
         return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), anchor(F.col("words"), i + 1, n).alias("hash")))
 
-    out = None
+    hashes = None
+    for n in lengths:
+        mine = part.where(F.col("n") == n).select(F.explode(F.array(*(anchor(F.col("words"), F.lit(i), n) for i in range(1, steps[n] + 1)))).alias("hash"))
+        hashes = mine if hashes is None else hashes.union(mine)
+    hashes = hashes.distinct().withColumn("held", F.lit(True))
+    # only keys and positions leave the row; the words stay behind
+    near = rows.select("k1", "k2", "doc_id", F.explode(F.concat("marks", *map(stretches, lengths))).alias("a")).select("k1", "k2", "doc_id", "a.*")
+    return near.join(F.broadcast(hashes), "hash", "left").where("n = 0 or held").select("k1", "k2", "doc_id", "n", "at")
+
+
+def find_hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables: k1, k2, doc_id, n_words of every row, and k1, k2, start (from 1), n, items of every occurrence of a benchmark window.
+
+    ``grams`` is a written table.  A window of n words holds exactly one stretch of min(n, 4) words that starts at a
+    multiple of its step n - min(n, 4) + 1.  Those stretches alone are looked up first, in a broadcast set of hashes;
+    rows that have some are read once more, and around each stretch the windows that hold it are looked up whole, as
+    strings, in the broadcast set of n-grams.  A row's words are never copied, so the cost follows the text's length.
+    """
+    slices = max(1, -(-grams.count() // MAX_GRAMS))
+    lengths = sorted(r.n for r in grams.select("n").distinct().collect()) or [1]
+    keyed = docs.select(*row_key(docs), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    mark = F.array(F.struct(F.lit(0).alias("n"), F.size("words").alias("at"), F.lit(None).cast("long").alias("hash")))
+    words, hits = None, None
     for k in range(slices):
         part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)
-        hashes = None
-        for n in lengths:
-            mine = part.where(F.col("n") == n).select(F.explode(F.array(*(anchor(F.col("words"), F.lit(i), n) for i in range(1, steps[n] + 1)))).alias("hash"))
-            hashes = mine if hashes is None else hashes.union(mine)
-        if hashes is None:
-            break
-        near = texts.select("doc_id", "words", F.explode(F.concat(*map(stretches, lengths))).alias("a")).select("doc_id", "words", "a.*")
-        near = near.join(F.broadcast(hashes.distinct()), "hash", "left_semi")
-        first = F.greatest(F.lit(0), F.col("at") - (F.col("n") - F.least(F.col("n"), F.lit(ANCHOR))))
-        last = F.least(F.col("at"), F.size("words") - F.col("n"))
-        tried = near.where(last >= first).select("doc_id", "words", "n", F.explode(F.sequence(first, last)).alias("start"))
-        tried = tried.select("doc_id", "n", (F.col("start") + 1).alias("start"), gram(F.col("words"), F.col("start") + 1, F.col("n")).alias("gram"))
-        hits = tried.join(F.broadcast(part.select("n", "gram", "items")), ["n", "gram"]).select("doc_id", "start", "n", "items")
-        out = hits if out is None else out.unionByName(hits)
-    return texts.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast(grams.schema["items"].dataType).alias("items")) if out is None else out
+        marked = keyed.withColumn("marks", mark if k == 0 else F.filter(mark, lambda m: F.lit(False)))
+        found = materialize(_candidates(marked, part, lengths), "candidates")
+        words = found.where("n = 0").select("k1", "k2", "doc_id", F.col("at").cast("long").alias("n_words")) if k == 0 else words
+        tried = materialize(found.where("n > 0").groupBy("k1", "k2").agg(F.collect_set(F.struct("n", "at")).alias("near")), "tried")
+        again = attach(docs.select(*row_key(docs), F.col(text_col).alias("text")), tried, ("k1", "k2")).withColumn("words", words_of(F.col("text")))
+
+        def windows(x: Column) -> Column:
+            first = F.greatest(F.lit(0), x["at"] - (x["n"] - F.least(x["n"], F.lit(ANCHOR))))
+            last = F.least(x["at"], F.size("words") - x["n"])
+            starts = F.when(last >= first, F.sequence(first, F.greatest(first, last)))
+            return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.struct(x["n"].alias("n"), (i + 1).alias("start"), gram(F.col("words"), i + 1, x["n"]).alias("gram")))
+
+        tests = again.select("k1", "k2", F.explode(F.flatten(F.transform("near", windows))).alias("w")).select("k1", "k2", "w.*")
+        some = tests.join(F.broadcast(part.select("n", "gram", "items")), ["n", "gram"]).select("k1", "k2", "start", "n", "items")
+        hits = some if hits is None else hits.unionByName(some)
+    return words, hits
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (1-based word ranges), contaminated.
+    """Per row: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (1-based word ranges), contaminated, and
+    the row's key k1, k2.
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased.  A document word inside
     any occurrence of a benchmark window is hit, once.  Null and wordless texts have no words and are not contaminated;
-    wordless items have no window; items without an id count for hits but not as items.  Rows that repeat an id share
-    their hits.  Empty tables: no rows, or no hits.
+    wordless items have no window; items without an id count for hits but not as items.  Texts count whole, however
+    long.  Rows are judged by their own text, whether their id repeats or is null.  Empty tables: no rows, or no hits.
     """
     grams = materialize(benchmark_grams(benchmark, window), "grams")
-    hits = find_hits(docs, grams, id_col, text_col).where("doc_id is not null")
-    by_doc = hits.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("found"),
+    words, hits = find_hits(docs, grams, id_col, text_col)
+    by_row = hits.groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).alias("found"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda i: i.cast("string"))).alias("items"),
     )
-    merged = F.expr("""
-        aggregate(found, cast(array() as array<struct<start: int, stop: int>>), (acc, x) ->
-            case when size(acc) > 0 and x.start <= element_at(acc, -1).stop
-                 then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, x.stop))))
-                 else concat(acc, array(named_struct('start', x.start, 'stop', x.stop))) end)
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["stop"] - 1)))))
+    spans = F.expr("""
+        zip_with(filter(hit, (p, i) -> i = 0 or get(hit, i - 1) < p - 1), filter(hit, (p, i) -> i = size(hit) - 1 or get(hit, i + 1) > p + 1),
+                 (a, b) -> named_struct('start', a, 'stop', b + 1))
     """)
-    by_doc = by_doc.select("doc_id", "items", merged.alias("spans"))
-    n_words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(RAW_WORD)), F.lit(0)).cast("long")
-    counted = docs.select(F.col(id_col).alias("doc_id"), n_words.alias("n_words"))
-    n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (acc, x) -> acc + x.stop - x.start)"), F.lit(0))
-    out = counted.join(by_doc, "doc_id", "left").withColumn("n_hit", n_hit.cast("long"))
+    by_row = materialize(by_row.select("k1", "k2", "items", places.alias("hit")).select("k1", "k2", "items", spans.alias("spans"), F.size("hit").cast("long").alias("hit")), "hits")
+    out = attach(words, by_row, ("k1", "k2"), "left").withColumn("n_hit", F.coalesce("hit", F.lit(0)).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), items.alias("items"), "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), items.alias("items"), "spans", contaminated.alias("contaminated"), "k1", "k2")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document") -> DataFrame:
     """``docs`` without its contaminated documents; ``mode='span'`` keeps them, without the words that were hit.
 
-    Rows without an id are kept as they are.
+    Each row is judged by its own text, so rows without an id or with a repeated one go or stay like all others; rows
+    equal in every column go together.  Null, blank and very long texts: as in ``judge``.
     """
-    flagged = materialize(judge(docs, benchmark).where("contaminated").groupBy("doc_id").agg(F.first("spans").alias("spans")), "contaminated")
+    flagged = judge(docs, benchmark).where("contaminated").select("k1", "k2", F.col("spans").alias("_spans")).dropDuplicates(["k1", "k2"])
+    flagged = materialize(flagged, "contaminated")
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(docs))
     if mode == "document":
-        return attach(docs, flagged.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    joined = attach(docs, flagged.withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    pieces = F.when(F.col("_spans").isNotNull(), F.regexp_extract_all("text", F.lit(f"{RAW_WORD}{GAP}"), 0))
-    kept = F.expr("filter(_pieces, (p, i) -> not exists(_spans, s -> i + 1 >= s.start and i + 1 < s.stop))")
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", f"^{GAP}", 0), F.array_join(kept, "")))
-    return joined.withColumn("_pieces", pieces).withColumn("text", cut).select(docs.columns)
+        return attach(keyed, flagged.select("k1", "k2"), ("k1", "k2"), "left_anti").select("row.*")
+    joined = attach(keyed, flagged, ("k1", "k2"), "left").withColumn("_text", F.col("row.text"))
+    pieces = F.when(F.col("_spans").isNotNull(), F.regexp_extract_all("_text", F.lit(f"{RAW_WORD}{GAP}"), 0))
+    kept = F.expr("""
+        flatten(transform(sequence(0, size(_spans)), i -> slice(_pieces, if(i = 0, 1, _spans[i - 1].stop), if(i = size(_spans), size(_pieces) + 1, _spans[i].start) - if(i = 0, 1, _spans[i - 1].stop))))
+    """)
+    cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.concat(F.regexp_extract("_text", f"^{GAP}", 0), F.array_join(kept, "")))
+    return joined.withColumn("_pieces", pieces).withColumn("row", F.col("row").withField("text", cut)).select("row.*")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+import string
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -11,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheaf.llm import components, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
+from sheaf.llm import components, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -355,11 +358,21 @@ def test_quality_on_held_out_rows(spark):
     assert (rows.predicted == rows.quality).mean() > 0.95
 
 
-def test_filter_lets_no_repeated_row_pass(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 64)  # saturated: everything goes to the exact step
-    texts = [f"t{i % 70}" for i in range(200)]
+@pytest.mark.parametrize("rows_per_word, slice_words", [(4, 1_000_000), (4, 7), (1000, 1)])
+def test_filter_lets_no_repeated_row_pass(spark, monkeypatch, rows_per_word, slice_words):
+    """Also when the filter is probed in slices, and when it is so small that single rows look repeated."""
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_WORD", rows_per_word)
+    monkeypatch.setattr(exact_dedup, "SLICE_WORDS", slice_words)
+    texts = [f"t{i % 70 if i < 200 else i}" for i in range(400)]
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(frame(spark, texts)).collect()}
-    assert got == {i: (i % 70, texts.count(t)) for i, t in enumerate(texts)}
+    assert got == {i: (texts.index(t), texts.count(t)) for i, t in enumerate(texts)}
+
+
+def test_only_repeated_rows_pass_the_filter(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.when(F.col("id") < 100, F.col("id") % 10).otherwise(F.col("id")).cast("string"), 256).alias("text_sha256"))
+    words = 20_000 // exact_dedup.ROWS_PER_WORD + 1
+    through = exact_dedup.probe(rows, exact_dedup.materialize(exact_dedup.repeated_filter(rows, words), "filter"), words).where("maybe").count()
+    assert 100 <= through < 400
 
 
 def test_cascade_is_exact_on_the_universe(spark, monkeypatch):
@@ -371,12 +384,76 @@ def test_cascade_is_exact_on_the_universe(spark, monkeypatch):
     assert len(levels) > 2 and got == {f"k{i}" for i in range(0, 600, 3)}
 
 
-def test_url_rules_by_join_agree(spark, monkeypatch):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    rules = url_filter.default_rules(spark)
-    one = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=str)
-    monkeypatch.setattr(url_filter, "MAX_LEVEL_BITS", 1)
-    assert one == sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=str)
+def plain_rule(rules, host, path):
+    labels = host.split(".")
+    keys = {".".join(labels[i:]) for i in range(len(labels))}
+    fit = [(len(h + p), v == "allow", h + p, v) for h, p, v in rules if h in keys and path.startswith(p)]
+    return max(fit)[2:] if fit else (None, "allow")
+
+
+@pytest.mark.parametrize("slice_keys, pass_", [(1 << 14, 8), (40, 2)])
+def test_url_rules_against_a_loop_over_them(spark, monkeypatch, slice_keys, pass_):
+    monkeypatch.setattr(url_filter, "SLICE_KEYS", slice_keys)
+    monkeypatch.setattr(url_filter, "PASS", pass_)
+    rng = random.Random(4)
+    name = lambda: ".".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    place = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 3)))
+    rules = list({(name(), place()): rng.choice(["allow", "block"]) for _ in range(260)}.items())
+    rules = [(h, p, v) for (h, p), v in rules] + [("b.org", "/", "allow"), ("org", "/x/", "block")]
+    urls = [(name(), place()) for _ in range(500)] + [("b.org", "/x/1")]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}?q") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: plain_rule(rules, h, p) for i, (h, p) in enumerate(urls)}
+
+
+def test_seventy_thousand_rules(spark):
+    rules = spark.range(70_000).selectExpr("concat('h', id, '.net') as host", "'/' as path", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    pages = spark.range(0, 140_000, 7).selectExpr("id as page_id", "concat('http://w.h', id, '.net/a') as url")
+    got = url_filter.filter_urls(pages, rules)
+    wrong = got.where("not (rule <=> if(page_id < 70000, concat('h', page_id, '.net/'), null)) or verdict <> if(page_id < 70000 and page_id % 2 = 0, 'block', 'allow')")
+    assert got.count() == 20_000 and wrong.isEmpty()
+
+
+def hits_truth(text, items, window=13):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in t or ""))
+    words, hit, found = word(text), set(), set()
+    for item, t in items:
+        w = word(t)
+        n = min(window, len(w))
+        grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+        at = [i for i in range(len(words) - n + 1) if n and tuple(words[i : i + n]) in grams]
+        hit |= {k for i in at for k in range(i, i + n)}
+        found |= {str(item)} if at else set()
+    return words, hit, sorted(found)
+
+
+def test_decontamination_by_row(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_GRAMS", 3)  # several slices
+    rng = random.Random(8)
+    words = [*"abcdef", "É", "x1"]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 6, 14, 16])))) for i in range(8)] + [(8, ""), (9, None)]
+    texts = [", ".join(rng.choices(words, k=rng.randint(0, 40))) + rng.choice(["", f" {rng.choice(items[:8])[1]}"]) for _ in range(60)] + [None, ""]
+    ids = [rng.choice([None, 1, 2, i]) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    truth = [hits_truth(t, items) for t in texts]
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.judge(docs, bench).collect())
+    assert got == Counter((i, len(w), len(h), tuple(f), bool(h) and 20 * len(h) >= len(w)) for i, (w, h, f) in zip(ids, truth, strict=True))
+    kept = {r.n_chars: r.text for r in decontaminate.decontaminate(docs, bench, "span").collect()}
+    left = lambda t: [w.lower() for w in re.findall(r"\w+", t or "")]
+    for k, (w, h, _) in enumerate(truth):
+        cut = bool(h) and 20 * len(h) >= len(w)
+        assert left(kept[k]) == [x for j, x in enumerate(map(str.lower, w)) if not cut or j not in h]
+    assert {r.n_chars for r in decontaminate.decontaminate(docs, bench).collect()} == {k for k, (w, h, _) in enumerate(truth) if not h or 20 * len(h) < len(w)}
+
+
+def test_a_million_words_in_one_text(spark):
+    """Linear in the text: minutes if each stretch carried the words along."""
+    text = " ".join(f"w{i % 5003}" for i in range(1_000_000))
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100, 120)))], "item_id long, text string")
+    began = time.perf_counter()
+    row = decontaminate.judge(frame(spark, [text]), bench).first()
+    assert (row.n_words, row.n_hit) == (1_000_000, 20 * 200) and time.perf_counter() - began < 90
 
 
 def test_pipeline_run(spark):
