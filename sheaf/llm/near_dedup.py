@@ -18,12 +18,10 @@ from .tokens import STEP, WordHashes, mix, shingle_set, texts_of
 HASHES = 256
 #: Rows that are compared with one pivot in one task.
 PER_TASK = 500
-#: Rows of a bucket that one task compares with the bucket's outsiders.
-PER_PART = 2000
+#: Rows of a bucket, and outsiders of it, that one task compares with each other.
+PER_PART, OUTSIDERS = 2000, 1000
 #: Bands of the first round, in which every set meets one pivot.
 FIRST_BANDS = 8
-#: Agreeing places from which pairs are confirmed first; what they join needs no further look.
-LEVELS = (232, 214)
 CHUNK = 1024
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,54 +106,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def agreeing(rows: DataFrame, reps: DataFrame, search: Search, least: int, below: int) -> DataFrame:
-    """Signature verification inside buckets: pairs (a, b) of different components that agree in ``least`` places or
-    more, but in fewer than ``below``.
+def sets_of(texts: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """node and set (its sorted shingle hashes) of ``nodes``."""
+    needed = materialize(nodes.join(reps.select("node", "k1", "k2"), "node"), "needed")
+    rows = attach(texts, needed, ("k1", "k2")).select("node", "text")
 
-    ``rows`` has band, node, component, main (the component that holds most of the bucket) and parts.  Rows outside the
-    main component meet all rows of their bucket: they are sent to each of its parts of about ``PER_PART`` rows, and the
-    rows stream past them, so only pairs that agree leave a task and rows of one component are never compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, known).tobytes() for t in texts_of(b.column(1))], pa.binary())], names=["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
+def linked_inside(rows: DataFrame, search: Search) -> DataFrame:
+    """Links (a, b) between different components inside buckets, one for each outsider, component and task.
+
+    ``rows`` has band, band_no, node, component, main (the component that holds most of the bucket), parts, outside_parts,
+    n, sig, bands and set.  Outsiders, the rows of other components than the main one, meet all rows of their bucket, in
+    blocks of about ``OUTSIDERS`` by ``PER_PART``.  Pairs whose signatures agree are confirmed on their full sets right
+    there, in the first band they share, and of an outsider's links to a component one is enough: so what leaves a task
+    is links only, and no pair that merely looks alike.
     """
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("outside", F.col("component") != F.col("main"))
-    outside = rows.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ("band", "part", "role", "node", "component", "outside")
-    both = rows.withColumn("role", F.lit(1)).select(*columns).union(outside.withColumn("role", F.lit(0)).select(*columns))
-    dealt = both.join(reps.select("node", "n", "sig"), "node").select(*columns, "n", "sig").repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "role")
+    rows = rows.withColumn("outside", F.col("component") != F.col("main"))
+    split = lambda of, other: {of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(f"{of}s")), other: F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))}
+    columns = ("band", "part", "outside_part", "role", "node", "component", "outside", "n", "band_no", "sig", "bands", "set")
+    held = rows.where("outside").withColumn("role", F.lit(0)).withColumns(split("outside_part", "part"))
+    passing = rows.withColumn("role", F.lit(1)).withColumns(split("part", "outside_part"))
+    dealt = held.select(*columns).union(passing.select(*columns)).repartition("band", "part", "outside_part").sortWithinPartitions("band", "part", "outside_part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, done = None, [], set()
         for x in batches:
-            group = np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()])
+            group = np.stack([x.column(k).to_numpy() for k in range(3)])
             edges = [0, *(np.flatnonzero((np.diff(group) != 0).any(0)) + 1).tolist(), x.num_rows]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if s == e:
                     continue
                 if (here := tuple(group[:, s])) != at:
-                    at, held = here, []
+                    at, held, done = here, [], set()
                 some = x.slice(s, e - s)
-                split = int((some.column(2).to_numpy() == 0).sum())
+                split = int((some.column(3).to_numpy() == 0).sum())
                 if split:
-                    held.append(_rows(some.slice(0, split)))
+                    held.append(_Rows(some.slice(0, split)))
                 if split < e - s:
-                    a, b = _compared(_rows(some.slice(split)), [np.concatenate(c) for c in zip(*held, strict=True)], search, least, below)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    rows = _Rows(some.slice(split))
+                    found = [link for block in held for link in _links(rows, block, search, done)]
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    return dealt.mapInArrow(run, "a long, b long")
 
+class _Rows:
+    """Columns of one bucket's rows."""
 
-def _rows(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    return *(x.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), _matrix(x.column(7))
+    def __init__(self, x: pa.RecordBatch):
+        self.node, self.component, self.outside, self.n = (x.column(k).to_numpy(zero_copy_only=False) for k in range(4, 8))
+        self.band_no, self.sig = x.column(8)[0].as_py(), _matrix(x.column(9))
+        self.bands = np.array(x.column(10).to_pylist(), np.int64)
+        self.sets = x.column(11)
 
+    def set(self, k: int) -> np.ndarray:
+        return np.frombuffer(self.sets[k].as_py(), np.uint64)
 
-def _compared(rows: tuple[np.ndarray, ...], outside: list[np.ndarray], search: Search, least: int, below: int) -> tuple[np.ndarray, np.ndarray]:
-    node, component, is_outside, n, sig = rows
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, c, _, m, s in zip(*outside, strict=True):
-        near = np.flatnonzero((component != c) & (100 * np.minimum(n, m) >= search.percent * np.maximum(n, m)) & ~(is_outside & (node < i)))
-        places = (sig[near] == s).sum(1)
-        near = near[(places >= least) & (places < below)]
-        a.append(node[near]), b.append(np.full(len(near), i))
-    return np.concatenate(a), np.concatenate(b)
+
+def _links(rows: _Rows, held: _Rows, search: Search, done: set) -> Iterator[tuple[int, int]]:
+    for k, (i, c, m) in enumerate(zip(held.node.tolist(), held.component.tolist(), held.n.tolist(), strict=True)):
+        near = np.flatnonzero((rows.component != c) & (100 * np.minimum(rows.n, m) >= search.percent * np.maximum(rows.n, m)) & ~(rows.outside & (rows.node < i)))
+        near = near[(rows.sig[near] == held.sig[k]).sum(1) >= search.least]
+        if not len(near):
+            continue
+        near = near[(rows.bands[near] == held.bands[k]).argmax(1) == rows.band_no]
+        mine = held.set(k)
+        for j in near.tolist():
+            if (i, other := int(rows.component[j])) in done:
+                continue
+            theirs = rows.set(j)
+            same = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if 100 * same >= search.percent * (len(mine) + len(theirs) - same):
+                done.add((i, other))
+                yield int(rows.node[j]), i
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -188,35 +218,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-class _Links:
-    """Links found so far and the component of every set that has one."""
-
-    def __init__(self, texts: DataFrame, reps: DataFrame, search: Search):
-        self.texts, self.reps, self.search, self.links, self.labels = texts, reps, search, None, None
-
-    def confirm(self, pairs: DataFrame) -> None:
-        if pairs.isEmpty():
-            return
-        new = materialize(confirmed(pairs, self.texts, self.reps, self.search.percent), "links")
-        if not new.isEmpty():
-            self.links = new if self.links is None else self.links.union(new)
-            self.labels = materialize(components(self.links.toDF("u", "v")).toDF("node", "component"), "labels")
-
-    def entries(self, bands: int) -> DataFrame:
-        """node, component, band for the first ``bands`` bands."""
-        nodes = self.reps.select("node", F.slice("bands", 1, bands).alias("bands"))
-        if self.labels is None:
-            nodes = nodes.withColumn("component", F.col("node"))
-        else:
-            nodes = attach(nodes, self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        return nodes.select("node", "component", F.explode("bands").alias("band"))
-
-
-def _pivots(found: _Links) -> None:
+def _pivots(reps: DataFrame, search: Search) -> DataFrame:
     """First round: of each bucket of the first bands the set whose buckets hold most is the pivot, and each set meets the
     pivot that most of its buckets share, so it is in one pair at most.  The text that others are near copies of is in
     all their large buckets, so this links most of a large group."""
-    entries = found.entries(FIRST_BANDS).drop("component")
+    entries = reps.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
     sizes = materialize(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = materialize(entries.join(sizes, "band"), "bucket_rows")
     weight = materialize(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
@@ -224,51 +230,42 @@ def _pivots(found: _Links) -> None:
     pivot = materialize(pivot.select("band", F.col("top.node").alias("pivot")), "pivots")
     met = shared.join(pivot, "band").where("node <> pivot").groupBy("node", "pivot").count()
     one = met.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("top")).select(F.col("node").alias("a"), F.col("top.pivot").alias("b"))
-    found.confirm(materialize(_agreement(materialize(one, "met"), found.reps, found.search), "pairs"))
-
-
-def _representatives(found: _Links) -> None:
-    """Second round: every component has one set in each of its buckets, and those of a bucket meet one of them."""
-    of = found.entries(found.search.bands).groupBy("band", "component").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
-    of = materialize(of, "of_components")
-    pivot = of.groupBy("band").agg(F.max(F.struct("n", "component", "node")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    pivot = materialize(pivot.select("band", F.col("top.node").alias("pivot")), "pivots")
-    pairs = of.join(pivot, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    found.confirm(materialize(_agreement(materialize(pairs, "met"), found.reps, found.search), "pairs"))
+    return _agreement(materialize(one, "met"), reps, search)
 
 
-def _rest(found: _Links, least: int, below: int) -> bool:
-    """Last rounds: in every bucket that still holds several components, all pairs between them that agree in ``least``
-    to ``below`` places.  False: there is no such bucket."""
-    entries = materialize(found.entries(found.search.bands), "bucket_rows")
+def _rest(texts: DataFrame, reps: DataFrame, labels: DataFrame | None, search: Search) -> DataFrame | None:
+    """Second round: in every bucket that still holds several components, the links between them."""
+    nodes = reps.select("node", F.posexplode("bands").alias("band_no", "band"))
+    if labels is None:
+        entries = nodes.withColumn("component", F.col("node"))
+    else:
+        entries = attach(nodes, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = entries.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_ = materialize(open_, "open")
-    if open_.isEmpty():
-        return False
-    rows = materialize(entries.join(open_, "band"), "bucket_rows")
+    rows = materialize(entries.join(materialize(open_, "open"), "band"), "bucket_rows")
+    if rows.isEmpty():
+        return None
     sizes = rows.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"))
-    sizes = materialize(sizes.select("band", F.col("top.component").alias("main"), F.ceil(F.col("size") / PER_PART).alias("parts")), "sizes")
-    pairs = agreeing(rows.join(sizes, "band"), found.reps, found.search, least, below).distinct()
-    found.confirm(materialize(pairs, "pairs"))
-    return True
+    parts = {"main": F.col("top.component"), "parts": F.ceil(F.col("size") / PER_PART), "outside_parts": F.ceil((F.col("size") - F.col("top.count")) / OUTSIDERS)}
+    sizes = materialize(sizes.select("band", *(c.alias(k) for k, c in parts.items())), "sizes")
+    sets = materialize(sets_of(texts, rows.select("node").distinct(), reps), "sets")
+    of = reps.select("node", "n", "sig", "bands").join(sets, "node")
+    return linked_inside(rows.join(sizes, "band").join(materialize(of, "rows"), "node"), search)
 
 
 def link(texts: DataFrame, reps: DataFrame, search: Search) -> DataFrame | None:
     """Component of every set that is linked (node, component); its closure is that of all links inside buckets.
 
-    Two rounds of a pair a set or component at most gather what is alike; then every pair of a bucket that is still in
-    different components is verified, those that agree most first.  So the pairs sent on follow the number of sets, not
-    the square of a group's size, and no link inside a bucket is missed.
+    A first round of a pair a set at most gathers what is alike; then every pair of a bucket that is still in different
+    components is verified.  So what is sent on follows the number of sets, not the square of a group's size, and no
+    link inside a bucket is missed.
     """
-    found = _Links(texts, reps, search)
-    _pivots(found)
-    _representatives(found)
-    below = HASHES + 1
-    for least in (*(x for x in LEVELS if x > search.least), search.least):
-        if not _rest(found, least, below):
-            break
-        below = least
-    return found.labels
+    links = materialize(confirmed(materialize(_pivots(reps, search), "pairs"), texts, reps, search.percent), "links")
+    labels = None if links.isEmpty() else materialize(components(links.toDF("u", "v")).toDF("node", "component"), "labels")
+    more = _rest(texts, reps, labels, search)
+    more = None if more is None else materialize(more, "links")
+    if more is None or more.isEmpty():
+        return labels
+    return materialize(components(links.union(more).toDF("u", "v")).toDF("node", "component"), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

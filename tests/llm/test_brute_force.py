@@ -72,6 +72,7 @@ def test_the_stage_drops_pairs_from_four_fifths_on(spark):
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     """2,000 texts around one, most of them further from each other than from it, and 300 just below the threshold."""
     monkeypatch.setattr(near_dedup, "PER_PART", 150)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 40)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(160)]
     texts = [" ".join(base)]
