@@ -149,10 +149,6 @@ def lane_rank(c: Column) -> Column:
     return F.when(c == "HOT", 3).when(c == "WARM", 2).when(c == "COLD", 1)
 
 
-def promoted(lane_: Column, has_cookies: Column) -> Column:
-    return F.when(has_cookies & (lane_ != "COLD"), "HOT").otherwise(lane_)
-
-
 def score(status: Column, has_session: Column, users: Column, age_minutes: Column) -> Column:
     """Standing of a request within its lane."""
     return F.when(status == "owned", 30).when(status == "ordered", 20).otherwise(10) + F.when(has_session, 20).otherwise(0) + F.least(F.lit(20), users * 5) + F.least(F.lit(10.0), age_minutes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MAX_STRING, MAX_LOG, MAX_OBJECT_LOG, MAX_WAIT_MS, DEFAULT_WAIT_MS = 1000, 2000, 500, 30_000, 1000
 
 
-def trim(c: Column) -> Column:
+def trim(c: Column | str) -> Column:
     """Both ends without any Unicode white space or byte order mark."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^[\s\uFEFF]+", ""), r"(?U)[\s\uFEFF]+\z", "")
 

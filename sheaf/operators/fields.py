@@ -1,4 +1,8 @@
-"""Records of catalog pages: labelled fields, the values behind them, companies, artists, releases, related items."""
+"""Records of catalog pages: labelled fields, the values behind them, companies, artists, releases, related items.
+
+Pages come with the raw text of their fields (``sources.catalog.with_fields``); what the text means is decided here, in
+column expressions.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +11,26 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dates import catalog_date
-from ..functions.text import filled, first_count, group, numeric_prefix, trailing_id
-from ..sources import dom as D
+from ..functions.text import filled, first_count, group, numeric_prefix, trailing_id, trim
 
-FIELD, LABEL, VALUE, ENTRIES = D.cls("data-field"), D.cls("data-label"), D.cls("data-value"), D.cls("item-entries")
-SWITCH = D.both(D.tag("span"), D.has("switch"))
-N = "nodes"
 PREVIEW = 100
 
 
 def field_table(pages: DataFrame) -> DataFrame:
-    """One row per labelled field of a parsed page: page_id, ord, after (the element before it), label, rule, nodes, values.
+    """One row per field of a page: page_id, label, rule and the field's raw text.
 
     A narrow transformation: the fields of a page stay where the page was.
     """
-    rows = pages.select("page_id", F.explode(D.find(N, FIELD)).alias("field"), "nodes")
-    before = F.filter(N, lambda n: (n["parent"] == F.col("field.parent")) & (n["tag"] != "#text") & (n["id"] < F.col("field.id")))
-    rows = rows.select("page_id", F.col("field.id").alias("ord"), F.try_element_at(before, F.lit(-1))["id"].alias("after"), F.filter(N, lambda n: D.inside(n, F.col("field"))).alias("nodes"))
-    rows = rows.withColumn("label", D.joined(N, D.find(N, LABEL))).withColumn("values", D.find(N, VALUE))
+    rows = pages.select("page_id", F.explode("fields").alias("f")).select("page_id", "f.*").withColumn("label", trim(F.col("label")))
     return rows.withColumn("rule", rules.label_rule(F.col("label")))
 
 
-def _value_nodes() -> Column:
-    return F.filter(N, lambda n: F.exists(F.col("values"), lambda v: D.inside(n, v)))
+def _trimmed(texts: str) -> Column:
+    return F.transform(texts, trim)
 
 
-def _spans(nodes: Column) -> Column:
-    """span[switch] below a link below an entry."""
-    links = D.below(nodes, ENTRIES, D.tag("a"))
-    return D.let(links, lambda above: F.filter(nodes, lambda n: SWITCH(n) & F.exists(above, lambda a: D.inside(n, a))))
+def _not_empty(texts: Column) -> Column:
+    return F.filter(texts, lambda t: t != "")
 
 
 def text_value() -> Column:
@@ -43,38 +38,33 @@ def text_value() -> Column:
 
     A place that exists and is empty ends the search.
     """
-    v = F.col("v")
     strategy = F.col("rule.strategy")
-    materials = F.filter(D.texts(N, _spans(v)), lambda t: t != "")
-    kinds = F.filter(v, lambda n: (n["tag"] == "span") & D.attr(n, "class").startswith("item-category"))
-    scale, height = D.find(v, D.both(D.tag("a"), D.cls("item-scale"))), D.find(v, D.tag("strong"))
-    size = F.array_compact(F.array(F.when(F.size(scale) > 0, D.joined(N, scale)), F.when(F.size(height) > 0, F.concat(F.lit("H="), D.joined(N, height), F.lit("mm")))))
-    direct = F.filter(v, lambda n: (n["tag"] == "a") & D.has("switch")(n) & F.exists(F.col("values"), lambda x: x["id"] == n["parent"]))
-    nested, links = _spans(v), D.find(v, D.tag("a"))
+    materials = F.array_join(_not_empty(_trimmed("spans")), ", ")
+    size = F.array_join(F.array_compact(F.array(trim("scale"), F.concat(F.lit("H="), trim("height"), F.lit("mm")))), ", ")
     return (
-        F.when((strategy == "materials") & (F.size(materials) > 0), F.array_join(materials, ", "))
-        .when((strategy == "category") & (F.size(kinds) > 0), D.joined(N, kinds))
-        .when((strategy == "dimensions") & (F.size(size) > 0), F.array_join(size, ", "))
-        .when(F.size(direct) > 0, D.joined(N, direct))
-        .when(F.size(nested) > 0, D.text(N, D.first(nested)))
-        .when(F.size(links) > 0, D.text(N, D.first(links)))
-        .otherwise(F.array_join(F.transform(F.col("values"), lambda x: D.own_text(N, x)), ""))
+        F.when((strategy == "materials") & (materials != ""), materials)
+        .when((strategy == "category") & F.col("kind").isNotNull(), trim("kind"))
+        .when((strategy == "dimensions") & (size != ""), size)
+        .when(F.col("direct").isNotNull(), trim("direct"))
+        .when(F.size("spans") > 0, trim(F.get("spans", F.lit(0))))
+        .when(F.col("link").isNotNull(), trim("link"))
+        .otherwise(F.array_join(_trimmed("own"), ""))
     )
 
 
 def field_values(fields: DataFrame) -> DataFrame:
     """page_id, ord, label, strategy, key, value (text), tags, count, score of the metadata fields."""
-    rows = fields.withColumn("v", _value_nodes()).withColumn("raw", D.joined(N, F.col("values")))
+    rows = fields.withColumn("raw", trim("value"))
     strategy, lower = F.col("rule.strategy"), F.lower("label")
     text_key = F.regexp_replace(lower, "s$", "")
     key = F.when(strategy == "text", F.when(text_key.isin("title", "origin", "version", "classification"), text_key)).when(strategy.isin("category", "materials", "dimensions"), strategy)
-    tags = F.filter(D.texts(N, D.find(F.col("v"), D.tag("a"))), lambda t: t != "")
     counted = F.when((strategy == "count") & lower.isin("owned by", "ordered by", "wished by", "listed in"), first_count(F.col("raw")))
     points = F.when(strategy == "score", numeric_prefix(F.col("raw")))
-    return rows.select(
+    rows = rows.select(
         "page_id", "ord", "label", strategy.alias("strategy"), key.alias("key"), F.when(key.isNotNull(), filled(text_value())).alias("value"),
-        F.when((strategy == "tags") & (F.size(tags) > 0), tags).alias("tags"), lower.alias("lower_label"), counted.alias("count"), F.when(points.between(0, 10), points).alias("score"),
+        F.when(strategy == "tags", _not_empty(_trimmed("tags"))).alias("tags"), lower.alias("lower_label"), counted.alias("count"), points.alias("score"),
     )
+    return rows.withColumn("tags", F.when(F.size("tags") > 0, F.col("tags"))).withColumn("score", F.when(F.col("score").between(0, 10), F.col("score")))
 
 
 def catalog_fields(fields: DataFrame) -> DataFrame:
@@ -96,12 +86,6 @@ def catalog_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def _link(link: Column) -> dict[str, Column]:
-    spans = D.find(N, SWITCH, link)
-    name = F.when(F.size(spans) > 0, filled(D.joined(N, spans)))
-    return {"name": F.coalesce(name, D.text(N, link)), "entity_id": trailing_id(D.attr(link, "href"))}
-
-
 def entries(fields: DataFrame, category: str, default_role: str) -> DataFrame:
     """Companies or artists: page_id, pos, name, role, entity_id.
 
@@ -109,28 +93,26 @@ def entries(fields: DataFrame, category: str, default_role: str) -> DataFrame:
     in any case, is dropped.
     """
     mine = fields.where((F.col("rule.category") == category) & (F.col("label") != ""))
-    grouped = mine.where(F.col("rule.strategy") == "grouped").select("page_id", "ord", "nodes", F.explode(D.find(N, ENTRIES)).alias("entry"))
-    box, em = F.col("entry"), D.both(D.tag("small"), D.cls("light"))
-    link = D.first(D.find(N, D.tag("a"), box))
-    role = rules.role_name(F.coalesce(filled(D.joined(N, D.below(N, em, D.tag("em"), box))), F.lit(default_role)))
-    grouped = grouped.withColumn("link", link).select("page_id", F.lit(0).alias("rank"), F.col("entry.id").alias("at"), role.alias("role"), *(c.alias(k) for k, c in _link(F.col("link")).items()))
-    single = mine.where((F.col("rule.strategy") == "individual") & F.col("rule.role").isNotNull()).select("page_id", "rule", "nodes", F.explode(D.below(N, ENTRIES, D.tag("a"))).alias("link"))
-    single = single.select("page_id", F.lit(1).alias("rank"), F.col("link.id").alias("at"), F.col("rule.role").alias("role"), *(c.alias(k) for k, c in _link(F.col("link")).items()))
+    name = F.coalesce(filled(trim("e.name")), trim("e.link_text"))
+    entity = trailing_id(F.col("e.href"))
+    grouped = mine.where(F.col("rule.strategy") == "grouped").select("page_id", F.explode("grouped").alias("e"))
+    role = rules.role_name(F.coalesce(filled(trim("e.role")), F.lit(default_role)))
+    grouped = grouped.select("page_id", F.lit(0).alias("rank"), F.col("e.at").alias("at"), role.alias("role"), name.alias("name"), entity.alias("entity_id"))
+    single = mine.where((F.col("rule.strategy") == "individual") & F.col("rule.role").isNotNull()).select("page_id", "rule", F.explode("single").alias("e"))
+    single = single.select("page_id", F.lit(1).alias("rank"), F.col("e.at").alias("at"), F.col("rule.role").alias("role"), name.alias("name"), entity.alias("entity_id"))
     every = grouped.unionByName(single).where("name <> ''")
-    same = Window.partitionBy("page_id", F.lower("name"), F.lower("role")).orderBy("rank", "at")
-    kept = every.withColumn("n", F.row_number().over(same)).where("n = 1")
+    first = F.min(F.struct("rank", "at", "name", "role", "entity_id")).alias("e")
+    kept = every.groupBy("page_id", F.lower("name").alias("_name"), F.lower("role").alias("_role")).agg(first).select("page_id", "e.*")
     return kept.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "at")).alias("pos"), "name", "role", "entity_id")
 
 
-def release_price(v: Column) -> Column:
-    plain = D.without(v, D.tag("a", "small"))
+def release_price(plain: Column) -> Column:
     return F.regexp_replace(group(plain, r"([0-9,]+\.?[0-9]*)"), ",", "").try_cast("double")
 
 
-def release_currency(v: Column) -> Column:
-    small = F.filter(F.transform(D.texts(N, D.find(v, D.tag("small"))), F.upper), lambda t: t.rlike(f"^({rules.CODES})"))
-    plain = D.without(v, D.tag("a", "small"))
-    return F.coalesce(F.regexp_extract(D.first(small), f"^({rules.CODES})", 1), rules.symbol_currency(plain))
+def release_currency(plain: Column, smalls: Column) -> Column:
+    small = F.get(F.filter(F.transform(smalls, lambda t: F.upper(trim(t))), lambda t: t.rlike(f"^({rules.CODES})")), F.lit(0))
+    return F.coalesce(F.regexp_extract(small, f"^({rules.CODES})", 1), rules.symbol_currency(plain))
 
 
 def barcode(text: Column) -> Column:
@@ -138,13 +120,10 @@ def barcode(text: Column) -> Column:
     return F.when(F.char_length(digits).between(8, 14), digits)
 
 
-def release_barcode(v: Column) -> Column:
+def release_barcode() -> Column:
     """The first source that is there decides, even when its code is invalid."""
-    meta = D.first(F.filter(v, lambda n: (n["tag"] == "meta") & (D.attr(n, "itemprop") == "productID")))
-    buy = D.find(v, D.both(D.tag("a"), lambda n: D.attr(n, "title").startswith("Buy")))
-    boxed = D.find(v, D.both(D.tag("a"), D.cls("tbx-window")))
-    coded, titled = group(D.attr(meta, "content"), "jan:([0-9]+)"), group(D.attr(D.first(buy), "title"), r"Buy\s*\(([0-9]+)\)")
-    return F.when(coded.isNotNull(), barcode(coded)).when(titled.isNotNull(), barcode(titled)).when(F.size(buy) > 0, barcode(D.joined(N, buy))).when(F.size(boxed) > 0, barcode(D.joined(N, boxed)))
+    coded, titled = group(F.col("product"), "jan:([0-9]+)"), group(F.col("buy_title"), r"Buy\s*\(([0-9]+)\)")
+    return F.when(coded.isNotNull(), barcode(coded)).when(titled.isNotNull(), barcode(titled)).when(F.col("buy_text").isNotNull(), barcode(trim("buy_text"))).when(F.col("boxed_text").isNotNull(), barcode(trim("boxed_text")))
 
 
 def releases(fields: DataFrame) -> DataFrame:
@@ -152,35 +131,36 @@ def releases(fields: DataFrame) -> DataFrame:
 
     The labelled field is the original; unlabelled ones that follow it without a gap and show a date are rereleases.
     """
-    timed = D.both(D.tag("a"), D.cls("time"))
-    v = F.col("v")
-    rows = fields.withColumn("v", _value_nodes()).withColumn("dates", D.find(v, timed))
-    by = Window.partitionBy("page_id").orderBy("ord")
+    by, page = Window.partitionBy("page_id").orderBy("ord"), Window.partitionBy("page_id")
     is_release = F.coalesce(F.col("rule.strategy") == "releases", F.lit(False))
-    rows = rows.withColumn("labelled", is_release).withColumn("main", F.min(F.when(F.col("labelled"), F.col("ord"))).over(Window.partitionBy("page_id")))
-    near = (F.col("after") == F.lag("ord").over(by)) & ((F.col("label") == "") | is_release) & (F.size("dates") > 0) & (F.col("ord") != F.col("main"))
+    rows = fields.select("page_id", "ord", "after", "label", "date", "plain", "smalls", "product", "buy_title", "buy_text", "boxed_text", "variant", is_release.alias("labelled"))
+    rows = rows.withColumn("main", F.min(F.when(F.col("labelled"), F.col("ord"))).over(page))
+    near = (F.col("after") == F.lag("ord").over(by)) & ((F.col("label") == "") | F.col("labelled")) & F.col("date").isNotNull() & (F.col("ord") != F.col("main"))
     rows = rows.withColumn("goes_on", F.coalesce(near, F.lit(False)))
     rows = rows.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(by))
     rows = rows.withColumn("opens", F.first("labelled").over(Window.partitionBy("page_id", "chain").orderBy("ord")))
-    rows = rows.withColumn("chosen", F.min(F.when(F.col("opens"), F.col("chain"))).over(Window.partitionBy("page_id"))).where("chain = chosen")
-    date = catalog_date(D.text(N, D.first(F.col("dates"))))
-    variant = D.text(N, D.first(D.below(v, D.both(D.tag("small"), D.cls("light")), D.tag("em"))))
-    out = rows.select("page_id", "ord", date.alias("date"), release_price(v).alias("price"), release_currency(v).alias("currency"), F.col("goes_on").alias("is_rerelease"), release_barcode(v).alias("jan"), filled(variant).alias("variant")).where("date is not null")
+    rows = rows.withColumn("chosen", F.min(F.when(F.col("opens"), F.col("chain"))).over(page)).where("chain = chosen and date is not null")
+    plain = rows.withColumn("plain", trim("plain"))
+    out = plain.select(
+        "page_id", "ord", catalog_date(trim("date")).alias("date"), release_price(F.col("plain")).alias("price"), release_currency(F.col("plain"), F.col("smalls")).alias("currency"),
+        F.col("goes_on").alias("is_rerelease"), release_barcode().alias("jan"), filled(trim("variant")).alias("variant"),
+    ).where("date is not null")
     return out.select("page_id", F.row_number().over(by).alias("pos"), "date", "price", "currency", "is_rerelease", "jan", "variant")
 
 
 def field_audit(fields: DataFrame) -> DataFrame:
     """page_id, ord, label, has_entries, has_roles, entry_count, value_preview, role_texts, known."""
-    boxes, ems = D.find(N, ENTRIES), D.below(N, D.both(D.tag("small"), D.cls("light")), D.tag("em"))
     return fields.where("label <> ''").select(
-        "page_id", "ord", "label", (F.size(boxes) > 0).alias("has_entries"), (F.size(ems) > 0).alias("has_roles"), F.size(boxes).alias("entry_count"),
-        F.substring(D.joined(N, F.col("values")), 1, PREVIEW).alias("value_preview"), F.filter(D.texts(N, ems), lambda t: t != "").alias("role_texts"), F.col("rule").isNotNull().alias("known"),
+        "page_id", "ord", "label", (F.col("boxes") > 0).alias("has_entries"), (F.size("roles") > 0).alias("has_roles"), F.col("boxes").alias("entry_count"),
+        F.substring(trim("value"), 1, PREVIEW).alias("value_preview"), _not_empty(_trimmed("roles")).alias("role_texts"), F.col("rule").isNotNull().alias("known"),
     )
 
 
 def label_frequency(audit: DataFrame, pages: int) -> DataFrame:
-    """label, n (fields, so repeats on a page count) and its share of pages in whole percent."""
-    return audit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.floor(100 * F.col("n") / pages + 0.5).cast("int"))
+    """label, n (fields, so repeats on a page count), its share of pages in whole percent, and its place: most frequent
+    first, then by name.  Labels are few; the order is over them, not over fields."""
+    counted = audit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.floor(100 * F.col("n") / pages + 0.5).cast("int"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label"))).orderBy("place")
 
 
 def role_variations(audit: DataFrame) -> DataFrame:
@@ -189,11 +169,6 @@ def role_variations(audit: DataFrame) -> DataFrame:
 
 def related_items(pages: DataFrame) -> DataFrame:
     """page_id, pos, item_id, name, image_url, relation_type; items without an id (or id 0) are left out."""
-    groups = pages.select("page_id", F.explode(D.find(N, D.cls("item-linked-group"))).alias("g"), "nodes")
-    kind = filled(D.joined(N, D.find(N, D.cls("item-linked-category"), F.col("g"))))
-    items = groups.select("page_id", "nodes", kind.alias("relation_type"), F.explode(D.find(N, D.cls("item-linked-item"), F.col("g"))).alias("item"))
-    link = D.first(D.find(N, D.both(D.tag("a"), lambda n: D.attr(n, "href").contains("/item/")), F.col("item")))
-    items = items.withColumn("link", link).withColumn("item_id", F.nullif(trailing_id(D.attr(F.col("link"), "href")), F.lit(0)))
-    name = F.coalesce(filled(D.attr(F.col("link"), "title")), filled(D.text(N, F.col("link"))))
-    image = filled(D.attr(D.first(D.find(N, D.tag("img"), F.col("item"))), "src"))
-    return items.where("item_id is not null").select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("item.id")).alias("pos"), "item_id", name.alias("name"), image.alias("image_url"), "relation_type")
+    rows = pages.select("page_id", F.explode("related").alias("r")).select("page_id", "r.*").withColumn("item_id", F.nullif(trailing_id(F.col("href")), F.lit(0)))
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
+    return rows.where("item_id is not null").select("page_id", pos.alias("pos"), "item_id", F.coalesce(filled(F.col("title")), filled(trim("text"))).alias("name"), filled(F.col("image")).alias("image_url"), filled(trim("relation")).alias("relation_type"))

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, group, image_upgrade
+from ..functions.text import filled, group, image_upgrade, trim
+from ..session import written
+from ..sources import catalog
 from ..sources import dom as D
-from .fields import ENTRIES, FIELD, LABEL, SWITCH, VALUE
 
 N = "nodes"
-_PART = re.compile(r"([\w-]+|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[*^]?=\"?[^\"\]]*\"?)?\]|:checked)*)")
-_BIT = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^]?=)\"?([^\"\]]*)\"?)?\]|(:checked)")
-
-
-def _equals(name: str, op: str, value: str) -> D.Test:
-    how = {"=": lambda a: a == value, "*=": lambda a: a.contains(value), "^=": lambda a: a.startswith(value)}[op]
-    return lambda n: how(D.attr(n, name))
-
-
-def _simple(part: str) -> D.Test:
-    m = _PART.fullmatch(part)
-    if not m or not part:
-        raise ValueError(f"unsupported selector {part!r}")
-    tests: list[D.Test] = [D.tag(m[1])] if m[1] and m[1] != "*" else [lambda n: n["tag"] != "#text"]
-    for c, i, name, op, value, checked in _BIT.findall(m[2]):
-        if c:
-            tests.append(D.cls(c))
-        elif i:
-            tests.append(_equals("id", "=", i))
-        elif checked:
-            tests.append(D.has("checked"))
-        elif op:
-            tests.append(_equals(name, op, value))
-        else:
+CONFIG = ("image", "manufacturer", "name", "scale")
+SITES_SCHEMA = "site string, image string, manufacturer string, name string, scale string, wait_ms string"
+#: Selectors with :contains( are a flag: the field's label is looked up instead.
+SITES = {
+    "catalog": {"image": ".item-picture .main img", "manufacturer": ":contains(Company)", "name": ":contains(Title)", "scale": ".item-scale", "wait_ms": "1000"},
+    "article": {"image": "img", "manufacturer": "footer", "name": "article h1", "scale": ".item-scale", "wait_ms": "1000"},
+}
+
+
+def site_configs(spark: SparkSession) -> DataFrame:
+    """The known sites' configurations as rows; a caller's own can be unioned in."""
+    return spark.createDataFrame([(k, *(c.get(x) for x in (*CONFIG, "wait_ms"))) for k, c in SITES.items()], SITES_SCHEMA)
+
+
+def config_of(configs: DataFrame, site: str) -> dict[str, str]:
+    """One site's configuration from such rows; of rows for one site any counts."""
+    row = configs.where(F.col("site") == site).first()
+    if row is None:
+        raise ValueError(f"no configuration for {site!r}")
+    return {k: v for k, v in row.asDict().items() if k != "site" and v is not None}
+
+
+def _test(tag_name: str, bits: list[tuple[str, str, str]]) -> D.Test:
+    how = {"=": lambda a, v: a == v, "*=": lambda a, v: a.contains(v), "^=": lambda a, v: a.startswith(v)}
+    tests: list[D.Test] = [D.tag(tag_name)] if tag_name != "*" else [lambda n: n["tag"] != "#text"]
+    for name, op, value in bits:
+        if op == "word":
+            tests.append(D.cls(value))
+        elif op == "has":
             tests.append(D.has(name))
+        else:
+            tests.append(lambda n, name=name, op=op, value=value: how[op](D.attr(n, name), value))
     return D.both(*tests)
 
 
@@ -47,51 +53,58 @@ def _under(nodes: Column, found: Column, test: D.Test) -> Column:
 def select(nodes: Column, selector: str) -> Column:
     """Nodes that match tags, classes, ids, attributes, :checked, descendants and comma lists; anything else is an error."""
     out = None
-    for alternative in selector.split(","):
-        parts = [_simple(p) for p in alternative.split()]
-        if not parts:
-            raise ValueError(f"unsupported selector {selector!r}")
-        found = D.find(nodes, parts[0])
-        for test in parts[1:]:
-            found = _under(nodes, found, test)
+    for steps in D.selector_parts(selector):
+        found = D.find(nodes, _test(*steps[0]))
+        for step in steps[1:]:
+            found = _under(nodes, found, _test(*step))
         out = found if out is None else F.concat(out, found)
     return out
 
 
-def labelled(nodes: Column, label: str) -> Column:
-    """Text of the first entry of the first field with exactly this label that has one."""
-    named = F.filter(D.find(nodes, FIELD), lambda f: D.text(nodes, D.first(D.find(nodes, LABEL, f))) == label)
-    entry = lambda f: D.let(D.find(nodes, ENTRIES, f), lambda es: F.filter(nodes, lambda n: SWITCH(n) & F.exists(es, lambda e: D.inside(n, e))))
-    return D.first(F.filter(F.transform(named, lambda f: D.text(nodes, D.first(entry(f)))), lambda v: v != ""))
+def diagnostics(pages: DataFrame, wanted: list[str], samples: int = 3, length: int = 80) -> DataFrame:
+    """Of parsed pages page_id, selector, how many nodes match, the first ``samples`` texts, and which of those look like dates."""
+    one = lambda css: D.let(select(N, css), lambda found: F.struct(F.lit(css).alias("selector"), F.size(found).alias("n"), F.transform(F.slice(found, 1, samples), lambda b: F.substring(D.text(N, b), 1, length)).alias("samples")))
+    rows = pages.select("page_id", F.explode(F.array(*map(one, wanted))).alias("d")).select("page_id", "d.*")
+    return rows.withColumn("dates", F.filter("samples", lambda t: t.rlike(r"[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}")))
 
 
-#: Selectors with :contains( are a flag: the field's label is looked up instead.
-SITES = {
-    "catalog": {"image": ".item-picture .main img", "manufacturer": ":contains(Company)", "name": ":contains(Title)", "scale": ".item-scale", "wait_ms": "1000"},
-    "article": {"image": "img", "manufacturer": "footer", "name": "article h1", "scale": ".item-scale", "wait_ms": "1000"},
-}
+def selectors(config: dict[str, str]) -> dict[str, tuple[str, str | None]]:
+    """What a parse looks up for ``extract``: a selector and the attribute asked for, or none for the text."""
+    asked = {k: (config[k], "src" if k == "image" else None) for k in CONFIG if config.get(k) and ":contains(" not in config[k]}
+    return asked | {"heading": ("h1", None), "score": ('input[name="score"]:checked', "value"), "wish": ('input[name="wishability"]:checked', "value")}
+
 
+def records(pages: DataFrame, config: dict[str, str]) -> DataFrame:
+    """Pages (page_id, html) parsed once, for ``extract`` and the operators of ``fields``."""
+    return catalog.with_fields(pages.select("page_id", "html"), selectors(config))
 
-def extract(pages: DataFrame, config: dict[str, str]) -> DataFrame:
-    """Parsed pages to page_id, image_url, manufacturer, name, scale, user_score, user_wish_rating."""
-    one = lambda key: filled(D.text(N, D.first(select(N, config[key])))) if config.get(key) else F.lit(None).cast("string")
+
+def labelled(label: str) -> Column:
+    """Text of the first entry of the first field with exactly this label that has one."""
+    named = F.filter("fields", lambda f: (trim(f["first_label"]) == label) & (trim(f["entry_text"]) != ""))
+    return trim(F.get(named, F.lit(0))["entry_text"])
+
+
+def extract(records_: DataFrame, config: dict[str, str]) -> DataFrame:
+    """``records`` of pages to page_id, image_url, manufacturer, name, scale, user_score, user_wish_rating."""
+    one = lambda key: filled(trim(F.col(f"found.{key}"))) if config.get(key) else F.lit(None).cast("string")
     contains = lambda key: ":contains(" in config.get(key, "")
-    name = F.coalesce(labelled(N, "Character"), labelled(N, "Title"), filled(D.text(N, D.first(D.find(N, D.tag("h1")))))) if contains("name") else one("name")
-    image = filled(D.attr(D.first(select(N, config["image"])), "src")) if config.get("image") else F.lit(None).cast("string")
-    scale = one("scale")
-    checked = lambda n: D.attr(D.first(select(N, f'input[name="{n}"]:checked')), "value").try_cast("int")
-    points, wish = checked("score"), checked("wishability")
-    return pages.select(
-        "page_id", image_upgrade(image).alias("image_url"), (labelled(N, "Company") if contains("manufacturer") else one("manufacturer")).alias("manufacturer"), name.alias("name"),
-        F.coalesce(group(scale, "(1/[0-9]+)"), scale).alias("scale"), F.when(points.between(1, 10), points).alias("user_score"), F.when(wish.between(1, 5), wish).alias("user_wish_rating"),
+    name = F.coalesce(labelled("Character"), labelled("Title"), filled(trim("found.heading"))) if contains("name") else one("name")
+    image = filled(F.col("found.image")) if config.get("image") else F.lit(None).cast("string")
+    out = records_.select(
+        "page_id", image_upgrade(image).alias("image_url"), (labelled("Company") if contains("manufacturer") else one("manufacturer")).alias("manufacturer"), name.alias("name"),
+        one("scale").alias("scale"), F.col("found.score").try_cast("int").alias("points"), F.col("found.wish").try_cast("int").alias("wish"),
+    )
+    scale, points, wish = F.col("scale"), F.col("points"), F.col("wish")
+    return out.select(
+        "page_id", "image_url", "manufacturer", "name", F.coalesce(group(scale, "(1/[0-9]+)"), scale).alias("scale"), F.when(points.between(1, 10), points).alias("user_score"), F.when(wish.between(1, 5), wish).alias("user_wish_rating"),
     )
 
 
-def available_fields(pages: DataFrame) -> DataFrame:
+def available_fields(records_: DataFrame) -> DataFrame:
     """page_id, ord, label and the first 50 characters of the value, for fields that have both."""
-    rows = pages.select("page_id", "nodes", F.explode(D.find(N, FIELD)).alias("f"))
-    label, value = D.first(D.find(N, LABEL, F.col("f"))), D.first(D.find(N, VALUE, F.col("f")))
-    return rows.where(label.isNotNull() & value.isNotNull()).select("page_id", F.col("f.id").alias("ord"), D.text(N, label).alias("label"), F.substring(D.text(N, value), 1, 50).alias("value_preview"))
+    rows = records_.select("page_id", F.explode("fields").alias("f")).where("f.first_label is not null and f.first_value is not null")
+    return rows.select("page_id", F.col("f.ord").alias("ord"), trim("f.first_label").alias("label"), F.substring(trim("f.first_value"), 1, 50).alias("value_preview"))
 
 
 def assemble(basic: DataFrame, fields: DataFrame, companies: DataFrame, artists: DataFrame, releases: DataFrame, related: DataFrame) -> DataFrame:
@@ -111,9 +124,24 @@ def assemble(basic: DataFrame, fields: DataFrame, companies: DataFrame, artists:
     return out.withColumn("community_stats", F.when(F.coalesce(*(F.col(c).cast("double") for c in stats)).isNotNull(), F.struct(*stats))).drop(*stats)
 
 
-def extract_catalog(parsed: DataFrame) -> DataFrame:
-    """The whole record of catalog pages, from one parse of each page."""
+def extract_catalog(pages: DataFrame) -> DataFrame:
+    """The whole record of catalog pages (page_id, html).
+
+    Each page is parsed once; what it says is written to the shared folder, without its markup, and every part of the
+    record reads the columns it needs from there.
+    """
     from . import fields as C
 
-    table = C.field_table(parsed)
-    return assemble(extract(parsed, SITES["catalog"]), C.catalog_fields(table), C.entries(table, "company", "Manufacturer"), C.entries(table, "artist", "Unknown"), C.releases(table), C.related_items(parsed))
+    read = written(records(pages, SITES["catalog"]), "catalog")
+    table = C.field_table(read)
+    return assemble(extract(read, SITES["catalog"]), C.catalog_fields(table), C.entries(table, "company", "Manufacturer"), C.entries(table, "artist", "Unknown"), C.releases(table), C.related_items(read))
+
+
+def completeness(record: DataFrame) -> DataFrame:
+    """page_id and six flags: which parts of a record are there.  Empty texts and a price of 0 count as missing."""
+    there = lambda c: F.coalesce(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.lit(False))
+    first = record.withColumn("release", F.get("releases", F.lit(0)))
+    return first.select(
+        "page_id", there("image_url").alias("has_image"), there("name").alias("has_name"), there("manufacturer").alias("has_manufacturer"), there("origin").alias("has_origin"),
+        there("release.date").alias("has_release_date"), F.coalesce(F.col("release.price") != 0, F.lit(False)).alias("has_price"),
+    )

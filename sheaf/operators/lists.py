@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import list_time
-from ..functions.text import filled, group, image_upgrade, path_id, privacy
+from ..functions.text import filled, group, image_upgrade, path_id, privacy, trim
+from ..plans.order import numbered
+from ..session import written
 from ..sources import dom as D
+from .generic import select
 
 N = "nodes"
 #: Pages that are looked at, at most, and the status codes of collections.
 MAX_LIST_PAGES, MAX_ITEM_PAGES, MAX_GRID_PAGES = 50, 100, 200
 STATUS_CODES = {"owned": 2, "ordered": 1, "wished": 0}
+#: The link to the next page, and where a list's description is.
+NEXT, DESCRIPTION = 'a[rel="next"], .pagination .next a', ".object-description"
 ITEM = D.both(D.tag("a"), lambda n: D.attr(n, "href").contains("/item/"))
 
 
@@ -21,6 +26,15 @@ def _image(box: Column) -> dict[str, Column]:
     return {"name": filled(D.attr(img, "alt")), "image_url": image_upgrade(F.coalesce(filled(D.attr(img, "src")), filled(D.attr(img, "data-src"))))}
 
 
+def pages_read(pages: DataFrame, key: str | None = None, max_pages: int | None = MAX_LIST_PAGES) -> DataFrame:
+    """Pages up to the first that has no link to a next one (of each ``key``, if given), ``max_pages`` at most."""
+    keys = [key] if key else []
+    last = pages.where(F.size(select(N, NEXT)) == 0).groupBy(*keys).agg(F.min("page_no").alias("_last"))
+    rows = pages.join(last, keys, "left") if keys else pages.crossJoin(last)  # one row
+    rows = rows.where("_last is null or page_no <= _last").drop("_last")
+    return rows if max_pages is None else rows.where(F.col("page_no") <= max_pages)
+
+
 def overview(pages: DataFrame) -> DataFrame:
     """page_no, pos, list_id, name, item_count, privacy, url, teaser, created_at, icon_url; one row per list on the pages."""
     rows = pages.where(f"page_no <= {MAX_LIST_PAGES}").select("page_no", "nodes", F.explode(D.find(N, D.cls("dgst-wrapper"))).alias("box"))
@@ -53,28 +67,43 @@ def items(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
 
 
 def detail(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """list_id, title, total, description, item_count: the header of the first page, and all pages' items counted."""
+    """list_id, title, total, description, item_count: the header of the first page, and all pages' items counted.
+
+    Pages are parsed with ``inner={"description": DESCRIPTION}``: the description is markup."""
     stats = D.text(N, D.first(D.find(N, D.cls("object-stats"))))
     head = pages.where("page_no = 1").select(
         "list_id", filled(D.text(N, D.first(D.find(N, D.both(D.tag("h1"), D.cls("title")))))).alias("title"), group(stats, r"([0-9]+)\s*item").cast("bigint").alias("total"),
-        filled(D.text(N, D.first(D.find(N, D.cls("object-description"))))).alias("description"),
+        filled(trim("description")).alias("description"),
     )
     found = items(pages, max_pages).groupBy("list_id").agg(F.count(F.lit(1)).alias("item_count"))
     out = head.join(found, "list_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     return out.withColumn("total", F.coalesce(F.nullif("total", F.lit(0)), "item_count"))
 
 
-def collection(pages: DataFrame) -> DataFrame:
-    """category, item_id, name, image_url, status_code, activity_order: pages up to the first empty one, numbered from 0."""
-    rows = pages.where(f"page_no <= {MAX_GRID_PAGES}").select("category", "page_no", "nodes", F.explode_outer(D.find(N, D.cls("item-icon"))).alias("box"))
+def collection(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """category, item_id, name, image_url, status_code, activity_order: pages up to the first empty one, numbered from 0.
+
+    ``max_pages`` is for live crawling (``MAX_GRID_PAGES``); without it all pages count."""
+    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("category", "page_no", "nodes", F.explode_outer(D.find(N, D.cls("item-icon"))).alias("box"))
     link = D.first(D.find(N, ITEM, F.col("box")))
     rows = rows.select("category", "page_no", F.col("box.id").alias("at"), path_id(D.attr(link, "href"), "item").alias("item_id"), *(c.alias(k) for k, c in _image(F.col("box")).items()))
-    counted = rows.withColumn("here", F.count("item_id").over(Window.partitionBy("category", "page_no")))
-    stop = F.min(F.when(F.col("here") == 0, F.col("page_no"))).over(Window.partitionBy("category"))
-    rows = counted.withColumn("stop", stop).where("item_id is not null and (stop is null or page_no < stop)")
-    order = F.row_number().over(Window.partitionBy("category").orderBy("page_no", "at")) - 1
+    rows = written(rows, "grid")
+    ends = rows.groupBy("category", "page_no").agg(F.count("item_id").alias("here")).where("here = 0").groupBy("category").agg(F.min("page_no").alias("stop"))
+    rows = rows.join(F.broadcast(ends), "category", "left").where("item_id is not null and (stop is null or page_no < stop)")  # a row for each category
+    rows = numbered(rows.drop("stop"), ["category"], [F.col("page_no"), F.col("at")], "activity_order")
     code = F.element_at(F.create_map(*(F.lit(x) for p in STATUS_CODES.items() for x in p)), F.col("category"))
-    return rows.select("category", "item_id", "name", "image_url", code.alias("status_code"), order.alias("activity_order"))
+    return rows.select("category", "item_id", "name", "image_url", code.alias("status_code"), "activity_order")
+
+
+def with_details(overview_: DataFrame, details: DataFrame, items_: DataFrame) -> DataFrame:
+    """``overview`` rows with description, item_ids and item_details (item_id, name, image_url) of the lists whose pages
+    were read; the others keep their header only, with nulls."""
+    entry = F.struct("pos", F.struct("item_id", "name", "image_url").alias("x"))
+    found = items_.where("item_id is not null").groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda r: r["x"]).alias("item_details"))
+    out = overview_.join(details.select("list_id", "description", F.lit(True).alias("_read")), "list_id", "left").join(found, "list_id", "left")
+    empty = F.array().cast("array<struct<item_id: bigint, name: string, image_url: string>>")
+    out = out.withColumn("item_details", F.when(F.col("_read"), F.coalesce("item_details", empty))).drop("_read")
+    return out.withColumn("item_ids", F.transform("item_details", lambda x: x["item_id"]))
 
 
 def username(nodes: Column) -> Column:

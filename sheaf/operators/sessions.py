@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
+#: The phases of a sync in order; any of them may end in the last.
+PHASES = ("validating", "exporting", "parsing", "fetching_activity_order", "fetching_lists", "queueing", "enriching", "completed", "failed")
 #: Fixed values of the state machines.
 BASE_MS, LEAST_MS, MOST_MS, FACTOR, STREAK = 2067, 274, 180_000, 1.4, 3
 PAUSE_AT, COOLDOWN_MS, SESSION_TTL_MS, AUTH_ERRORS, MAX_SESSIONS = 3, 20_000, 600_000, 2, 100
 
 
-def backoff(delay: Column) -> Column:
-    return F.least(F.lit(float(MOST_MS)), delay * FACTOR)
-
-
-def recovery(delay: Column) -> Column:
-    return F.greatest(F.lit(float(LEAST_MS)), F.floor(delay / FACTOR).cast("double"))
-
-
 def adaptive_delay(outcomes: DataFrame, key: str) -> DataFrame:
     """key, delay_ms, streak, n after all of a key's outcomes (columns ts, seq, outcome: success, rate_limited, other).
 
     Three successes in a row shorten the delay, a rate limit lengthens it, any failure ends the streak.  The fold needs
-    a key's outcomes in order, so they meet in one row: keys are queues, whose logs one worker once wrote.
+    a key's outcomes in order: they are dealt by key and sorted, and a task carries two numbers from row to row, so a
+    key's log may be of any length.
     """
-    state = F.struct(F.lit(float(BASE_MS)).alias("delay"), F.lit(0).alias("streak"))
-
-    def step(s: Column, x: Column) -> Column:
-        good, third = x["outcome"] == "success", s["streak"] + 1 >= STREAK
-        delay = F.when(good & third, recovery(s["delay"])).when(x["outcome"] == "rate_limited", backoff(s["delay"])).otherwise(s["delay"])
-        return F.struct(delay.alias("delay"), F.when(good & ~third, s["streak"] + 1).otherwise(0).alias("streak"))
-
-    rows = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "outcome"))).alias("log"))
-    return rows.select(key, F.aggregate("log", state, step).alias("s"), F.size("log").alias("n")).select(key, F.col("s.delay").alias("delay_ms"), F.col("s.streak").alias("streak"), "n")
+    rows = outcomes.select(key, "ts", "seq", "outcome").repartition(key).sortWithinPartitions(key, "ts", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for b in batches:
+            keys, states = [], []
+            for k, outcome in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if state is None or k != at:
+                    if state is not None:
+                        keys.append(at), states.append(state)
+                    at, state = k, (float(BASE_MS), 0, 0)
+                state = paced(state, outcome)
+            yield _states(b.schema.field(0).type, keys, states)
+        if state is not None:
+            yield _states(b.schema.field(0).type, [at], [state])
+
+    def _states(kind: pa.DataType, keys: list, states: list) -> pa.RecordBatch:
+        columns = [pa.array(keys, kind), *(pa.array([s[k] for s in states], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "delay_ms", "streak", "n"])
+
+    return rows.mapInArrow(run, f"{key} {outcomes.schema[key].dataType.simpleString()}, delay_ms double, streak int, n long")
+
+
+def paced(state: tuple[float, int, int], outcome: str) -> tuple[float, int, int]:
+    """Delay, streak and count after one more outcome."""
+    delay, streak, n = state
+    if outcome == "success":
+        streak += 1
+        if streak >= STREAK:
+            delay, streak = max(float(LEAST_MS), float(math.floor(delay / FACTOR))), 0
+    else:
+        delay, streak = min(float(MOST_MS), delay * FACTOR) if outcome == "rate_limited" else delay, 0
+    return delay, streak, n + 1
 
 
 def failure_runs(events: DataFrame) -> DataFrame:
@@ -78,3 +103,59 @@ def kept_sessions(sessions: DataFrame, most: int = MAX_SESSIONS) -> DataFrame:
 
 def oldest_session(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.min_by("session_id", F.struct("validated_at", "session_id")).alias("session_id"))
+
+
+def session_activity(sessions: DataFrame, now: Column) -> DataFrame:
+    """One row: sessions cached, and of those active, validated less than ``SESSION_TTL_MS`` ago."""
+    age = F.unix_millis(now) - F.unix_millis(F.col("validated_at").cast("timestamp"))
+    return sessions.agg(F.count(F.lit(1)).alias("cached"), F.count_if(age < SESSION_TTL_MS).alias("active"))
+
+
+def auth_states(events: DataFrame) -> DataFrame:
+    """Events (session_id, ts, seq, kind: validated, auth_error, ...) with ``known``, ``errors`` since the last validation
+    and ``invalidated``, true where the session is dropped: at its second error.  Errors of an unknown or dropped session
+    change nothing."""
+    by = Window.partitionBy("session_id").orderBy("ts", "seq")
+    rows = events.withColumn("run", F.count_if(F.col("kind") == "validated").over(by))
+    errors = F.count_if(F.col("kind") == "auth_error").over(Window.partitionBy("session_id", "run").orderBy("ts", "seq"))
+    rows = rows.withColumn("errors", errors).withColumn("invalidated", (F.col("kind") == "auth_error") & (F.col("run") > 0) & (F.col("errors") == AUTH_ERRORS))
+    gone = F.col("errors") - F.col("invalidated").cast("int") >= AUTH_ERRORS
+    return rows.withColumn("known", (F.col("run") > 0) & ~gone).drop("run")
+
+
+def session_notices(events: DataFrame) -> DataFrame:
+    """session_id, ts, seq, reason: what subscribers of sessions are told, as rows: paused, auth_error, and for sessions
+    known at the time rate_limited or cloudflare.  Kinds besides those of ``auth_states``: failure, success, resume,
+    rate_limited, cloudflare."""
+    known = auth_states(events)
+    paused = failure_runs(events).where((F.col("kind") == "failure") & (F.col("failures") >= PAUSE_AT)).select("session_id", "ts", "seq", F.lit("paused").alias("reason"))
+    dropped = known.where("invalidated").select("session_id", "ts", "seq", F.lit("auth_error").alias("reason"))
+    blocked = known.where("known and kind in ('rate_limited', 'cloudflare')").select("session_id", "ts", "seq", F.col("kind").alias("reason"))
+    return paused.unionByName(dropped).unionByName(blocked)
+
+
+def attempt_actions(attempts: DataFrame, most: int) -> DataFrame:
+    """Attempts (item_id, ts, seq, error: null for success, has_session, is_paused) with ``retries`` and ``action``.
+
+    A success ends an item (completed).  A failure of a request with a session is requeued, or held while the session is
+    paused, whatever its kind; any other is requeued while its kind and the number of failures allow, else failed, which
+    ends the item.  Attempts after the end are ignored.
+    """
+    by = Window.partitionBy("item_id").orderBy("ts", "seq")
+    rows = attempts.withColumn("retries", F.count("error").over(by))
+    again = rules.retry_eligible(rules.error_class(F.col("error")), F.col("retries"), F.lit(most))
+    action = F.when(F.col("error").isNull(), "completed").when(F.col("has_session") & F.col("is_paused"), "held").when(F.col("has_session") | again, "requeued").otherwise("failed")
+    rows = rows.withColumn("action", action)
+    ended = F.max(F.col("action").isin("completed", "failed")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("action", F.when(F.coalesce(ended, F.lit(False)), "ignored").otherwise(F.col("action")))
+
+
+def phase_progress(steps: DataFrame) -> DataFrame:
+    """Steps (session_id, ts, seq, phase) with ``number`` in the fixed order and ``in_order``: a session starts with the
+    first phase, goes on to the next one, or fails; nothing follows its end."""
+    by = Window.partitionBy("session_id").orderBy("ts", "seq")
+    number = F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase")).cast("int")
+    rows = steps.withColumn("number", number).withColumn("before", F.lag("number").over(by))
+    last = len(PHASES)
+    goes_on = F.when(F.col("before").isNull(), F.col("number").isin(1, last)).otherwise((F.col("before") < last - 1) & ((F.col("number") == F.col("before") + 1) | (F.col("number") == last)))
+    return rows.withColumn("in_order", F.coalesce(goes_on, F.lit(False))).drop("before")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import hmac_sha256
+from ..functions.rules import webhook_delay_ms
 from ..functions.text import log_line
 
 MAX_RETRIES = 3
@@ -14,14 +15,38 @@ MAX_RETRIES = 3
 def outbox(events: DataFrame, hooks: DataFrame, kind: str) -> DataFrame:
     """Signed payloads for the sessions that have a hook (session_id, url, secret); others' events are dropped."""
     body = F.to_json(F.struct(*(c for c in events.columns)))
-    joined = events.withColumn("payload", body).join(F.broadcast(hooks.select("session_id", "url", "secret")), "session_id")
+    joined = events.withColumn("payload", body).join(hooks.select("session_id", "url", "secret"), "session_id")
     return joined.select(F.lit(kind).alias("kind"), "session_id", "url", "payload", F.concat(F.lit("sha256="), hmac_sha256(F.col("secret"), F.col("payload"))).alias("signature"))
 
 
+def item_events(outcomes: DataFrame, hooks: DataFrame) -> DataFrame:
+    """item-complete events of outcomes (session_id, item_id, status: completed, failed or skipped, error_kind, error, data):
+    failures carry "kind: message", successes their data."""
+    failed, done = F.col("status") == "failed", F.col("status") == "completed"
+    rows = outcomes.select("session_id", "item_id", "status", F.when(failed, F.concat_ws(": ", "error_kind", "error")).alias("error"), F.when(done, F.col("data")).alias("scraped_data"))
+    return outbox(rows, hooks, "item-complete")
+
+
+def phase_events(steps: DataFrame, hooks: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """phase-change events of steps (session_id, phase, message); those that queue carry the session's ``items``."""
+    rows = steps.select("session_id", "phase", "message")
+    if items is not None:
+        entry = F.struct(*(c for c in items.columns if c != "session_id"))
+        listed = items.groupBy("session_id").agg(F.sort_array(F.collect_list(entry)).alias("items"))
+        rows = rows.join(listed, "session_id", "left").withColumn("items", F.when(F.col("phase") == "queueing", F.col("items")))
+    return outbox(rows, hooks, "phase-change")
+
+
+def lists_events(lists: DataFrame, hooks: DataFrame) -> DataFrame:
+    """One lists-sync event for each session that has lists."""
+    entry = F.struct(*(c for c in lists.columns if c != "session_id"))
+    return outbox(lists.groupBy("session_id").agg(F.sort_array(F.collect_list(entry)).alias("lists")), hooks, "lists-sync")
+
+
 def retry_at_ms(status: Column, attempt: Column, retry_after_s: Column) -> Column:
     """Delay before the next attempt; null where none is due."""
     again = (status == 429) | (status >= 500) | status.isNull()
-    return F.when(again & (attempt < MAX_RETRIES), F.coalesce(retry_after_s * 1000, F.pow(F.lit(2), attempt) * 1000).cast("bigint"))
+    return F.when(again & (attempt < MAX_RETRIES), webhook_delay_ms(retry_after_s, attempt))
 
 
 def event_line(time: Column, kind: Column, item_id: Column, detail: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cache, rules
+from .order import numbered
 
 #: Requests of a lane beyond this many are rejected where a capacity is asked for.
 LANE_CAPACITY = 10_000
@@ -70,16 +71,12 @@ def admitted(queue: DataFrame, capacity: int | None = None) -> DataFrame:
     """The first ``capacity`` requests of each lane in order of arrival; all without a capacity."""
     if capacity is None:
         return queue
-    n = F.row_number().over(Window.partitionBy("lane").orderBy("queued_at", "item_id"))
-    return queue.withColumn("n", n).where(F.col("n") <= capacity).drop("n")
+    return numbered(queue, ["lane"], [F.col("queued_at"), F.col("item_id")], "_n").where(F.col("_n") < capacity).drop("_n")
 
 
 def positions(queue: DataFrame) -> DataFrame:
-    """Place in the whole queue, from 0: lane, then score, then arrival.  Each lane is ranked by itself."""
-    inside = F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), "queued_at", "item_id")) - 1
-    before = Window.orderBy(F.desc(rules.lane_rank(F.col("lane")))).rowsBetween(Window.unboundedPreceding, -1)  # over one row per lane
-    offset = queue.groupBy("lane").count().select("lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    return queue.withColumn("inside", inside).join(F.broadcast(offset), "lane").withColumn("position", F.col("ahead") + F.col("inside")).drop("inside", "ahead")
+    """Place in the whole queue, from 0: lane, then score, then arrival."""
+    return numbered(queue, [], [F.desc(rules.lane_rank(F.col("lane"))), F.desc("score"), F.col("queued_at"), F.col("item_id")], "position")
 
 
 def dispatchable(queue: DataFrame, sessions: DataFrame, now_ms) -> DataFrame:
@@ -95,5 +92,47 @@ def cancel_failed(queue: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataF
     return queue.join(keys, ["session_id", "item_id"], "left_anti"), queue.join(keys, ["session_id", "item_id"], "left_semi")
 
 
+def plan_from_inventory(items: DataFrame, statuses: list[str] | None = None) -> DataFrame:
+    """Requests for an inventory alone."""
+    return plan(items, statuses=statuses)
+
+
+def plan_full(items: DataFrame, activity: DataFrame, list_items: DataFrame, statuses: list[str] | None = None, cached: DataFrame | None = None, now=None) -> DataFrame:
+    """Requests for an inventory in activity order and for what lists name beyond it."""
+    return plan(merge_activity(items, activity), orphans(list_items, items), statuses, cached, now)
+
+
+def pending(ids: DataFrame, queue: DataFrame) -> DataFrame:
+    """Those of ``ids`` (item_id) that wait in the queue."""
+    return ids.join(queue.select("item_id"), "item_id", "left_semi")
+
+
+def queue_stats(queue: DataFrame, attempts: DataFrame, delay_ms: float) -> DataFrame:
+    """One row: requests by lane and in all, attempts that are processing, completed and failed (``attempts`` has outcome), and the delay now."""
+    waiting = queue.agg(*(F.count_if(F.col("lane") == x).alias(x.lower()) for x in ("HOT", "WARM", "COLD")), F.count(F.lit(1)).alias("total"))
+    done = attempts.agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in ("processing", "completed", "failed")))
+    return waiting.crossJoin(done).withColumn("delay_ms", F.lit(delay_ms))  # one row each
+
+
+def status_progress(requests: DataFrame) -> DataFrame:
+    """status, queued, completed, failed; requests without a status count as wished.  ``requests`` has status and outcome."""
+    done = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    return requests.groupBy(F.coalesce("status", F.lit("wished")).alias("status")).agg(F.count(F.lit(1)).alias("queued"), done("completed"), done("failed"))
+
+
+def pending_by_session(queue: DataFrame) -> DataFrame:
+    return queue.where("session_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
+def cancel(queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays and what is cancelled when single items are: ``ids`` has item_id."""
+    return queue.join(ids, "item_id", "left_anti"), queue.join(ids, "item_id", "left_semi")
+
+
+def cancel_sessions(queue: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays and what is cancelled when whole sessions are: ``sessions`` has session_id."""
+    return queue.join(sessions, "session_id", "left_anti"), queue.join(sessions, "session_id", "left_semi")
+
+
 def webhook_items(items: DataFrame) -> DataFrame:
     return items.withColumnRenamed("status", "collection_status")

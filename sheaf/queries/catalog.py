@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import group
 from ..operators import fields as C
 from ..operators import generic as G
+from ..sources import catalog
 from ..sources import dom as D
 from ..sources.render import catalog_pages
 from .registry import Tables, query
@@ -15,12 +17,12 @@ from .registry import Tables, query
 N = "nodes"
 
 
-def _parsed(t: Tables) -> DataFrame:
-    return D.with_nodes(catalog_pages(t.part))
+def _records(t: Tables) -> DataFrame:
+    return G.records(catalog_pages(t.part), G.SITES["catalog"])
 
 
 def _fields(t: Tables) -> DataFrame:
-    return C.field_table(_parsed(t))
+    return C.field_table(catalog.with_fields(catalog_pages(t.part)))
 
 
 @query(r"""
@@ -28,12 +30,13 @@ def _fields(t: Tables) -> DataFrame:
     select page_id, nullif(trim(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), '') as name from x
 """)
 def generic_extract(t: Tables) -> DataFrame:
-    return G.extract(D.with_nodes(t.pages.select("page_id", "html")), G.SITES["article"]).select("page_id", "name")
+    config = G.config_of(G.site_configs(t.spark), "article")
+    return G.extract(G.records(t.pages, config), config).select("page_id", "name")
 
 
 @query("select p_partkey as page_id, 'https://static.example.net/upload/items/2/' || p_partkey || '.jpg' as image_url from part")
 def image_upgrade(t: Tables) -> DataFrame:
-    return G.extract(_parsed(t), G.SITES["catalog"]).select("page_id", "image_url")
+    return G.extract(_records(t), G.SITES["catalog"]).select("page_id", "image_url")
 
 
 @query("""
@@ -41,7 +44,7 @@ def image_upgrade(t: Tables) -> DataFrame:
            case when p_size % 13 between 1 and 10 then p_size % 13 end as user_score, case when p_size % 7 between 1 and 5 then p_size % 7 end as user_wish_rating from part
 """)
 def user_ratings(t: Tables) -> DataFrame:
-    return G.extract(_parsed(t), G.SITES["catalog"]).drop("image_url")
+    return G.extract(_records(t), G.SITES["catalog"]).drop("image_url")
 
 
 @query(r"""select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages""")
@@ -52,11 +55,12 @@ def page_links(t: Tables) -> DataFrame:
 
 
 @query(r"""
-    select tag, count(*) as n from (select unnest(regexp_extract_all(html, '<(h1|article|ul|nav|body|footer)[ >]', 1)) as tag from pages) group by tag
+    with h as (select regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '<script>', 'gs'), '<!--.*?-->', '', 'gs') as html from pages)
+    select tag, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >/]', 1)) as tag from h) group by tag
 """)
 def dom_tag_frequency(t: Tables) -> DataFrame:
     pages = D.with_nodes(t.pages.select("page_id", "html"))
-    return pages.select(F.explode(F.transform(N, lambda n: n["tag"])).alias("tag")).where(F.col("tag").isin("h1", "article", "ul", "nav", "body", "footer")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select(F.explode(F.transform(N, lambda n: n["tag"])).alias("tag")).where("tag <> '#text'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"select page_id, len(regexp_extract_all(html, 'class=\"ad\"')) as ads, len(regexp_extract_all(html, '<h1[ >]')) as headings from pages")
@@ -98,7 +102,7 @@ def community_stats(t: Tables) -> DataFrame:
 
 @query("select p_partkey as page_id, 1 as pos, p_partkey + 1 as item_id, 'Part ' || (p_partkey + 1) as name, '/s/' || (p_partkey + 1) || '.jpg' as image_url, 'Variant' as relation_type from part")
 def related_items(t: Tables) -> DataFrame:
-    return C.related_items(_parsed(t))
+    return C.related_items(_records(t))
 
 
 _RELEASES = """
@@ -126,13 +130,14 @@ def release_jan(t: Tables) -> DataFrame:
 
 
 @query("""
-    select p_partkey as page_id, l as label, e as entry_count, e > 0 as has_entries, r as has_roles, k as known
-    from part, (values ('Company', 2, null, true), ('Distributors', 1, false, true), ('Artist', 1, true, true), ('Mystery', 0, false, false), ('Title', 0, false, true), ('Score', 0, false, true)) v(l, e, r0, k),
-         lateral (select coalesce(r0, p_partkey % 2 = 0) as r) where l <> 'Mystery' or p_partkey % 3 = 0
+    select p_partkey as page_id, l as label, case when l = 'Materials' then 2 - p_size % 2 else e end as entry_count, e > 0 as has_entries, r as has_roles, k as known
+    from part, (values ('Company', 2, null, true), ('Distributors', 1, false, true), ('Artist', 1, true, true), ('Sculptor', 2, false, true), ('Title', 0, false, true), ('Origins', 1, false, true), ('Category', 0, false, true),
+                       ('Materials', 1, false, true), ('Dimensions', 0, false, true), ('Various', 0, false, true), ('Score', 0, false, true), ('Owned by', 0, false, true), ('Wished by', 0, false, true),
+                       ('Average rating', 0, false, true), ('Mystery', 0, false, false), ('Releases', 0, true, true), ('Shops', 0, false, true)) v(l, e, r0, k),
+         lateral (select coalesce(r0, p_partkey % 2 = 0) as r) where (l <> 'Mystery' or p_partkey % 3 = 0) and (l <> 'Shops' or p_partkey % 2 = 0)
 """)
 def field_audit(t: Tables) -> DataFrame:
-    audit = C.field_audit(_fields(t)).where(F.col("label").isin("Company", "Distributors", "Artist", "Mystery", "Title", "Score"))
-    return audit.select("page_id", "label", "entry_count", "has_entries", "has_roles", "known")
+    return C.field_audit(_fields(t)).select("page_id", "label", "entry_count", "has_entries", "has_roles", "known")
 
 
 _LABELS = """
@@ -143,7 +148,7 @@ _LABELS = """
 """
 
 
-@query(_LABELS + "select label, n, cast(floor(100.0 * n / pages + 0.5) as int) as pct from f")
+@query(_LABELS + "select label, n, cast(floor(100.0 * n / pages + 0.5) as int) as pct, row_number() over (order by n desc, label) as place from f")
 def label_frequency(t: Tables) -> DataFrame:
     return C.label_frequency(C.field_audit(_fields(t)), t.part.count())
 
@@ -158,9 +163,18 @@ def role_variations(t: Tables) -> DataFrame:
     return C.role_variations(C.field_audit(_fields(t))).select("label", F.array_join("roles", "|").alias("roles"))
 
 
-@query("select p_partkey as page_id, 'Title' as label, left(trim(p_name), 50) as value_preview from part union all select p_partkey, 'Category', left(p_type, 50) from part")
+@query("""
+    select p_partkey as page_id, l as label, left(trim(v), 50) as value_preview from part,
+         lateral (select unnest([
+             {'l': 'Company', 'v': p_brand || case when p_partkey % 2 = 0 then 'as Manufacturers' else '' end || upper(p_brand)}, {'l': 'Distributors', 'v': 'Dealer ' || (p_partkey % 7)}, {'l': 'Artist', 'v': 'Artist ' || (p_partkey % 11) || 'as Sculptors'},
+             {'l': 'Sculptor', 'v': 'ARTIST ' || (p_partkey % 11) || 'Solo ' || (p_partkey % 13)}, {'l': 'Title', 'v': p_name}, {'l': 'Origins', 'v': 'Origin ' || (p_partkey % 4)}, {'l': 'Category', 'v': p_type},
+             {'l': 'Materials', 'v': case when p_size % 2 = 0 then 'PVCABS' else 'Resin' end}, {'l': 'Dimensions', 'v': '1/' || (p_size % 8 + 4) || ' H=' || (p_size * 10) || 'mm'}, {'l': 'Various', 'v': p_brand || '  ' || p_type},
+             {'l': 'Score', 'v': (p_size % 13) || '.5 / 10'}, {'l': 'Owned by', 'v': format('{:,}', p_partkey * 37) || ' users'}, {'l': 'Wished by', 'v': case when p_partkey % 4 = 0 then 'nobody' else p_partkey || ' users' end}, {'l': 'Average rating', 'v': '4'},
+             {'l': 'Mystery', 'v': 'x'}, {'l': 'Releases', 'v': (p_size % 12 + 1) || '/' || (p_partkey % 28 + 1) || '/' || (2000 + p_size % 20) || ' as Standard' || format('{:,.2f}', p_retailprice) || ' JPY (USD)'}, {'l': 'Shops', 'v': 'none'}]) as x),
+         lateral (select x.l as l, x.v as v) where (l <> 'Mystery' or p_partkey % 3 = 0) and (l <> 'Shops' or p_partkey % 2 = 0)
+""")
 def available_fields(t: Tables) -> DataFrame:
-    return G.available_fields(_parsed(t)).where(F.col("label").isin("Title", "Category")).select("page_id", "label", "value_preview")
+    return G.available_fields(_records(t)).select("page_id", "label", "value_preview")
 
 
 @query("""
@@ -170,25 +184,42 @@ def available_fields(t: Tables) -> DataFrame:
 def record_assembly(t: Tables) -> DataFrame:
     sizes = [F.size(a).alias(b) for a, b in (("companies", "n_companies"), ("artists", "n_artists"), ("releases", "n_releases"), ("related_items", "n_related"))]
     complete = (F.col("title") != "") & (F.col("manufacturer") != "") & (F.col("community_stats.owned") > 0)
-    return G.extract_catalog(_parsed(t)).select("page_id", "name", "manufacturer", "title", *sizes, F.col("community_stats.owned").alias("owned"), complete.alias("complete"))
+    return G.extract_catalog(catalog_pages(t.part)).select("page_id", "name", "manufacturer", "title", *sizes, F.col("community_stats.owned").alias("owned"), complete.alias("complete"))
 
 
 @query("""
-    select p_partkey as page_id, p_brand <> '' as has_manufacturer, p_name <> '' as has_name, true as has_scale, p_retailprice <> 0 as has_price from part
+    select p_partkey as page_id, true as has_image, true as has_name, p_brand <> '' as has_manufacturer, true as has_origin, true as has_release_date, p_retailprice <> 0 as has_price from part
 """)
 def field_completeness(t: Tables) -> DataFrame:
-    basic, price = G.extract(_parsed(t), G.SITES["catalog"]), C.releases(_fields(t)).where("pos = 1").select("page_id", "price")
-    full = lambda c: F.coalesce((F.col(c).isNotNull()) & (F.col(c) != ""), F.lit(False))
-    joined = basic.join(price, "page_id", "left")
-    return joined.select("page_id", full("manufacturer").alias("has_manufacturer"), full("name").alias("has_name"), full("scale").alias("has_scale"), F.coalesce(F.col("price") != 0, F.lit(False)).alias("has_price"))
+    return G.completeness(G.extract_catalog(catalog_pages(t.part)))
 
 
 @query(r"""
-    select page_id, nullif(regexp_extract(url, '^https?://([^/?#:]*)', 1), '') as host, regexp_extract(url, '^https?://([^/?#:]*)', 1) = 'example.net' or regexp_extract(url, '^https?://([^/?#:]*)', 1) like '%.example.net' as allowed,
-           true as outbound, try_cast(nullif(regexp_extract(url, '/en/([0-9]+)', 1), '') as bigint) as item_id from pages
+    with u as (select page_id, page_id % 12 as k, case page_id % 12 when 0 then 'http://10.1.2.3/a' when 1 then 'https://LOCALHOST/' when 2 then 'http://172.20.0.1/' when 3 then 'http://172.32.0.1/' when 4 then 'ftp://' || split_part(url, '://', 2)
+                      when 5 then 'http://192.168.7.7:80/' when 6 then 'http://127.0.0.1/' else url end as url from pages)
+    select page_id, nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '') as host, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) = 'example.net' or regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) like '%.example.net' as allowed,
+           k not in (0, 1, 2, 4, 5, 6) as outbound, try_cast(nullif(regexp_extract(url, '/en/([0-9]+)', 1), '') as bigint) as item_id from u
 """)
 def host_valid(t: Tables) -> DataFrame:
-    from ..functions import text as X
-
-    u = F.col("url")
+    u = F.expr("""
+        case page_id % 12 when 0 then 'http://10.1.2.3/a' when 1 then 'https://LOCALHOST/' when 2 then 'http://172.20.0.1/' when 3 then 'http://172.32.0.1/' when 4 then 'ftp://' || split_part(url, '://', 2)
+                          when 5 then 'http://192.168.7.7:80/' when 6 then 'http://127.0.0.1/' else url end
+    """)
     return t.pages.select("page_id", X.host(u).alias("host"), X.host_allowed(u, "example.net").alias("allowed"), X.outbound_allowed(u).alias("outbound"), group(u, "/en/([0-9]+)").cast("bigint").alias("item_id"))
+
+
+@query("""
+    select p_partkey as page_id, s as selector, n, v as samples, d as dates from part,
+         lateral (select unnest([{'s': 'a.time', 'n': 3, 'v': (p_size % 12 + 1) || '/' || (p_partkey % 28 + 1) || '/' || (2000 + p_size % 20) || '|' || (p_size % 12 + 1) || '/' || (2010 + p_size % 9) || '|1/2020', 'd': (p_size % 12 + 1) || '/' || (p_partkey % 28 + 1) || '/' || (2000 + p_size % 20)},
+                                 {'s': '.item-linked-category', 'n': 1, 'v': 'Variant', 'd': ''}, {'s': '.gone', 'n': 0, 'v': '', 'd': ''}]) as x), lateral (select x.s as s, x.n as n, x.v as v, x.d as d)
+""")
+def page_diagnostics(t: Tables) -> DataFrame:
+    pages = D.with_nodes(catalog_pages(t.part))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return G.diagnostics(pages, ["a.time", ".item-linked-category", ".gone"]).select("page_id", "selector", "n", joined("samples"), joined("dates"))
+
+
+@query("select * from (values ('article', 'img', 'article h1'), ('catalog', '.item-picture .main img', ':contains(Title)'), ('mine', 'img.own', 'h2')) v(site, image, name)")
+def site_configs(t: Tables) -> DataFrame:
+    own = t.spark.createDataFrame([("mine", "img.own", None, "h2", None, None)], G.SITES_SCHEMA)
+    return G.site_configs(t.spark).unionByName(own).select("site", "image", "name")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.records import hmac_sha256, redact_json
 from ..operators import sinks
-from ..streaming.folds import shared_dir
+from ..session import new_path
 from .registry import Tables, query
 
 
@@ -30,22 +28,89 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query()
+@query(r"""
+    select event_id, '{"id":' || event_id || ',"inner":{"authToken":"' || left(event_type, 8) || '...' || right(event_type, 4) || '","note":' || cast(to_json(props) as varchar) || '},"password":"[REDACTED]"}' as record from events
+""")
 def redact(t: Tables) -> DataFrame:
     record = F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("authToken"), F.col("props").alias("note")).alias("inner"), F.lit("x").alias("password")))
     return t.events.select("event_id", redact_json(partial_tokens=True)(record).alias("record"))
 
 
-@query()
+def _hmac_sql(secret: str, message: str) -> str:
+    """The keyed digest from its definition: two nested hashes over the padded key."""
+    padded = secret.encode().ljust(64, b"\0")
+    blob = lambda mask: "".join(f"\\x{x ^ mask:02X}" for x in padded)
+    return f"sha256('{blob(0x5C)}'::blob || unhex(sha256('{blob(0x36)}'::blob || encode({message}))))"
+
+
+@query(f"select event_id, {_hmac_sql('secret', 'event_type')} as digest from events")
 def hmac_hex(t: Tables) -> DataFrame:
     return t.events.select("event_id", hmac_sha256(F.lit("secret"), F.col("event_type")).alias("digest"))
 
 
+def _hooks(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(i, f"https://hook.example.net/{i}", f"s{i}") for i in range(3)], "session_id bigint, url string, secret string")
+
+
+_SIGN = "'sha256=' || case session_id when 0 then " + " ".join(f"{_hmac_sql(f's{i}', 'payload')}" + (f" when {i + 1} then" if i < 2 else " end") for i in range(3)) + " as signature"
+
+
+@query(f"""
+    with e as (select user_id % 5 as session_id, event_id, '{{"session_id":' || (user_id % 5) || ',"item_id":' || event_id || ',"status":"' || case event_type when 'error' then 'failed","error":"timeout: late"' when 'view' then 'skipped"'
+                      else 'completed","scraped_data":"{{\\"k\\":1}}"' end || '}}' as payload from events where user_id % 5 < 3)
+    select session_id, 'item-complete' as kind, payload, {_SIGN} from e
+""")
+def item_events(t: Tables) -> DataFrame:
+    status = F.expr("case event_type when 'error' then 'failed' when 'view' then 'skipped' else 'completed' end")
+    rows = t.events.select((F.col("user_id") % 5).alias("session_id"), F.col("event_id").alias("item_id"), status.alias("status"), F.lit("timeout").alias("error_kind"), F.lit("late").alias("error"), F.lit('{"k":1}').alias("data"))
+    return sinks.item_events(rows, _hooks(t)).select("session_id", "kind", "payload", "signature")
+
+
+@query("""
+    with i as (select c_custkey % 5 as session_id, string_agg('{"item_id":' || c_custkey || ',"name":"' || c_name || '"}', ',' order by c_custkey) as items from customer group by 1),
+    s as (select n as session_id, p as phase from range(5) r(n), (values ('parsing'), ('queueing')) v(p))
+    select s.session_id, '{"session_id":' || s.session_id || ',"phase":"' || phase || '","message":"now ' || phase || '"' || case when phase = 'queueing' and items is not null then ',"items":[' || items || ']' else '' end || '}' as payload
+    from s left join i on i.session_id = s.session_id where s.session_id < 3
+""")
+def phase_events(t: Tables) -> DataFrame:
+    steps = t.spark.range(5).select(F.col("id").alias("session_id"), F.explode(F.array(F.lit("parsing"), F.lit("queueing"))).alias("phase")).withColumn("message", F.concat(F.lit("now "), "phase"))
+    items = t.customer.select((F.col("c_custkey") % 5).alias("session_id"), F.col("c_custkey").alias("item_id"), F.col("c_name").alias("name"))
+    return sinks.phase_events(steps, _hooks(t), items).select("session_id", "payload")
+
+
+@query("""
+    select c_custkey % 5 as session_id, '{"session_id":' || (c_custkey % 5) || ',"lists":[' || string_agg('{"list_id":' || c_custkey || ',"name":"' || c_name || '"}', ',' order by c_custkey) || ']}' as payload
+    from customer where c_custkey % 5 < 3 group by c_custkey % 5
+""")
+def lists_events(t: Tables) -> DataFrame:
+    lists = t.customer.select((F.col("c_custkey") % 5).alias("session_id"), F.col("c_custkey").alias("list_id"), F.col("c_name").alias("name"))
+    return sinks.lists_events(lists, _hooks(t)).select("session_id", "payload")
+
+
+@query("""
+    select event_id, case when event_id % 4 < 3 and event_id % 5 in (0, 1, 4) then case when event_id % 5 = 1 then 7000 else cast(1000 * pow(2, event_id % 4) as bigint) end end as retry_ms from events
+""")
+def webhook_retry(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    status = F.when(e % 5 == 0, 429).when(e % 5 == 1, 503).when(e % 5 == 2, 200).when(e % 5 == 3, 404)
+    return t.events.select("event_id", sinks.retry_at_ms(status, e % 4, F.when(e % 5 == 1, 7)).alias("retry_ms"))
+
+
+@query("select event_id, '[' || event_type || ']' as line from events")
+def appended_lines(t: Tables) -> DataFrame:
+    """Lines appended in two runs, read back."""
+    path = new_path(t.spark, "lines")
+    rows = t.events.select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(" ["), "event_type", F.lit("]")).alias("line"))
+    for k in (0, 1):
+        sinks.append_lines(rows.where(F.col("event_id") % 2 == k), path)
+    cut = F.split("value", " ", 2)
+    return t.spark.read.text(path).select(cut[0].cast("bigint").alias("event_id"), cut[1].alias("line"))
+
+
 @query("""select user_id % 5 as session_id, 'item-complete' as kind, '{"session_id":' || (user_id % 5) || ',"item_id":' || event_id || '}' as payload from events where event_type = 'purchase' and user_id % 5 < 3""")
 def outbox(t: Tables) -> DataFrame:
-    hooks = t.spark.createDataFrame([(i, f"https://hook.example.net/{i}", f"s{i}") for i in range(3)], "session_id bigint, url string, secret string")
     rows = t.events.where("event_type = 'purchase'").select((F.col("user_id") % 5).alias("session_id"), F.col("event_id").alias("item_id"))
-    return sinks.outbox(rows, hooks, "item-complete").select("session_id", "kind", "payload")
+    return sinks.outbox(rows, _hooks(t), "item-complete").select("session_id", "kind", "payload")
 
 
 @query("select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_us(ts) // 1000 % 1000 as varchar), 3, '0') || 'Z] [ENRICHMENT] ' || upper(event_type) || ' itemId=' || user_id || ' ' || props as line from events")
@@ -55,7 +120,7 @@ def log_lines(t: Tables) -> DataFrame:
 
 @query("select event_id, event_type, value from events")
 def jsonl_roundtrip(t: Tables) -> DataFrame:
-    path = f"{shared_dir(t.spark)}/sheaf-log-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "log")
     rows = t.events.select("event_id", "event_type", "value")
     sinks.append_json(rows, path)
     return t.spark.read.schema(rows.schema).json(path)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import enrichment as P
+from ..plans.order import numbered
+from ..session import new_path
 from ..sources import inventory as I
 from .registry import Tables, query
 
+
 def _now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 HEADER = "ID,Name,Category,Status,Release Date,Price,NSFW"
 _ITEMS = """
     i as (select cast(o_orderkey as varchar) as item_id, 'Order "' || o_orderkey || '", ' || o_orderpriority as name, o_orderpriority as category, case o_orderstatus when 'F' then 'owned' when 'O' then 'ordered' else 'wished' end as status,
@@ -50,9 +55,9 @@ _ACTIVITY = "a as (select *, row_number() over (partition by o_orderstatus order
 
 
 def _activity(t: Tables) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_orderdate"), "o_orderkey")) - 1
+    rows = numbered(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderstatus"], [F.desc("o_orderdate"), F.col("o_orderkey")], "activity_order")
     status = F.expr("case o_orderstatus when 'F' then 'owned' when 'O' then 'ordered' else 'wished' end")
-    return t.orders.select(F.col("o_orderkey").cast("string").alias("item_id"), status.alias("status"), order.alias("activity_order"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("item_id"), status.alias("status"), "activity_order")
 
 
 @query(f"with {_ACTIVITY} select cast(o_orderkey as varchar) as item_id, activity_order from a")
@@ -94,7 +99,7 @@ def webhook_items(t: Tables) -> DataFrame:
 _REQUESTS = """
     q as (select event_id as request_id, user_id as item_id, event_id % 7 as who, ts as queued_at, event_id % 3 = 0 as has_cookies, case when event_id % 3 = 0 then event_id % 5 end as session_id,
                  case event_type when 'signup' then 'HOT' when 'purchase' then 'WARM' when 'click' then 'WARM' else 'COLD' end as lane, case event_type when 'purchase' then 'owned' when 'click' then 'ordered' when 'view' then 'wished' end as status
-          from events where event_id % 4 <> 1),
+          from events),
     m as (select item_id, max(case lane when 'HOT' then 3 when 'WARM' then 2 else 1 end) as rank, min_by(lane, struct_pack(a := queued_at, b := request_id)) filter (has_cookies) as cookie_lane, count(distinct who) as users, min(queued_at) as queued_at,
                  bool_or(has_cookies) as has_cookies, min_by(coalesce(status, 'wished'), struct_pack(a := queued_at, b := request_id)) as status, min_by(session_id, struct_pack(a := queued_at, b := request_id)) filter (has_cookies) as session_id, count(*) as requests from q group by item_id),
     d as (select item_id, case when rank = 3 or coalesce(cookie_lane <> 'COLD', false) then 'HOT' when rank = 2 then 'WARM' else 'COLD' end as lane, users, queued_at, has_cookies, status, session_id, requests from m),
@@ -107,8 +112,7 @@ def _requests(t: Tables) -> DataFrame:
     e = F.col("event_id")
     lane = F.expr("case event_type when 'signup' then 'HOT' when 'purchase' then 'WARM' when 'click' then 'WARM' else 'COLD' end")
     status = F.expr("case event_type when 'purchase' then 'owned' when 'click' then 'ordered' when 'view' then 'wished' end")
-    rows = t.events.where("event_id % 4 <> 1")
-    return rows.select(e.alias("request_id"), F.col("user_id").alias("item_id"), (e % 7).alias("user_id"), F.col("ts").alias("queued_at"), (e % 3 == 0).alias("has_cookies"), F.when(e % 3 == 0, e % 5).alias("session_id"), lane.alias("lane"), status.alias("status"))
+    return t.events.select(e.alias("request_id"), F.col("user_id").alias("item_id"), (e % 7).alias("user_id"), F.col("ts").alias("queued_at"), (e % 3 == 0).alias("has_cookies"), F.when(e % 3 == 0, e % 5).alias("session_id"), lane.alias("lane"), status.alias("status"))
 
 
 def _queue(t: Tables) -> DataFrame:
@@ -130,23 +134,29 @@ def queue_position(t: Tables) -> DataFrame:
     return P.positions(_queue(t)).select("item_id", "lane", "position")
 
 
-@query(f"with {_REQUESTS} select count(*) filter (lane = 'HOT') as hot, count(*) filter (lane = 'WARM') as warm, count(*) filter (lane = 'COLD') as cold, count(*) as total from d")
+@query(f"""
+    with {_REQUESTS}, a as (select count(*) filter (event_id % 3 = 0) as completed, count(*) filter (event_id % 3 = 1) as failed, count(*) filter (event_id % 3 = 2) as processing from events)
+    select count(*) filter (lane = 'HOT') as hot, count(*) filter (lane = 'WARM') as warm, count(*) filter (lane = 'COLD') as cold, count(*) as total, any_value(processing) as processing, any_value(completed) as completed, any_value(failed) as failed, 2067.0::double as delay_ms from d, a
+""")
 def queue_stats(t: Tables) -> DataFrame:
-    is_ = lambda x: F.count_if(F.col("lane") == x).alias(x.lower())
-    return P.merge_requests(_requests(t)).agg(is_("HOT"), is_("WARM"), is_("COLD"), F.count(F.lit(1)).alias("total"))
+    return P.queue_stats(P.merge_requests(_requests(t)), _attempts(t), 2067.0)
+
+
+def _attempts(t: Tables) -> DataFrame:
+    k = F.col("request_id") % 3
+    return _requests(t).withColumn("outcome", F.when(k == 0, "completed").when(k == 1, "failed").otherwise("processing"))
 
 
 @query("""
-    select case event_type when 'purchase' then 'owned' when 'click' then 'ordered' else 'wished' end as status, count(*) as queued, count(*) filter (event_id % 3 = 0) as completed, count(*) filter (event_id % 3 = 1) as failed from events where event_id % 4 <> 1 group by 1
+    select case event_type when 'purchase' then 'owned' when 'click' then 'ordered' else 'wished' end as status, count(*) as queued, count(*) filter (event_id % 3 = 0) as completed, count(*) filter (event_id % 3 = 1) as failed from events group by 1
 """)
 def status_progress(t: Tables) -> DataFrame:
-    k = F.col("request_id") % 3
-    return _requests(t).groupBy(F.coalesce("status", F.lit("wished")).alias("status")).agg(F.count(F.lit(1)).alias("queued"), F.count_if(k == 0).alias("completed"), F.count_if(k == 1).alias("failed"))
+    return P.status_progress(_attempts(t))
 
 
 @query(f"with {_REQUESTS} select session_id, count(*) as pending from d where session_id is not null group by session_id")
 def pending_by_session(t: Tables) -> DataFrame:
-    return P.merge_requests(_requests(t)).where("session_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("pending"))
+    return P.pending_by_session(P.merge_requests(_requests(t)))
 
 
 @query(f"with {_REQUESTS} select sum(requests - 1) as deduplicated, count(*) as queued from d")
@@ -156,7 +166,7 @@ def admission_counts(t: Tables) -> DataFrame:
 
 @query(f"with {_REQUESTS} select c_custkey as item_id from customer where c_custkey in (select item_id from d)")
 def pending_lookup(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("item_id")).join(P.merge_requests(_requests(t)), "item_id", "left_semi")
+    return P.pending(t.customer.select(F.col("c_custkey").alias("item_id")), P.merge_requests(_requests(t)))
 
 
 @query(f"with {_REQUESTS} select item_id from d where not (has_cookies and session_id is not null and session_id in (1, 2))")
@@ -173,7 +183,29 @@ def cancel_failed(t: Tables) -> DataFrame:
     return stays.select("item_id", F.lit(False).alias("cancelled")).unionByName(gone.select("item_id", F.lit(True).alias("cancelled")))
 
 
+@query(f"with {_REQUESTS} select item_id, item_id in (select c_custkey from customer) as one_gone, coalesce(session_id in (1, 3), false) as session_gone from d")
+def cancellations(t: Tables) -> DataFrame:
+    queue = P.merge_requests(_requests(t))
+    by_id = [x.select("item_id", F.lit(g).alias("one_gone")) for x, g in zip(P.cancel(queue, t.customer.select(F.col("c_custkey").alias("item_id"))), (False, True), strict=True)]
+    sessions = t.spark.createDataFrame([(1,), (3,)], "session_id bigint")
+    by_session = [x.select("item_id", F.lit(g).alias("session_gone")) for x, g in zip(P.cancel_sessions(queue, sessions), (False, True), strict=True)]
+    return by_id[0].union(by_id[1]).join(by_session[0].union(by_session[1]), "item_id")
+
+
 @query("select p_partkey as id from part where p_partkey % 3 <> 0 order by p_partkey limit 100 offset 20")
 def id_source(t: Tables) -> DataFrame:
     ids = t.part.select(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_partkey").cast("string")).try_cast("bigint").alias("id"))
-    return ids.where("id is not null").orderBy("id").offset(20).limit(100)
+    return I.id_page(ids, 20, 100)
+
+
+@query("select * from (values (12), (-3), (7), (12)) v(id)")
+def id_literals(t: Tables) -> DataFrame:
+    return I.literal_ids(t.spark, "12, -3,x7,,7abc , 12")
+
+
+@query("select o_orderkey as id from orders where o_orderkey % 5 <> 0")
+def id_file(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    path = new_path(t.spark, "ids")
+    t.orders.select(F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("#"), key)).when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("  "), key, F.lit(" items"))).otherwise(key).alias("value")).write.text(path)
+    return I.file_ids(t.spark, path)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import sessions as S
 from ..streaming import folds
+from .plan import _REQUESTS, _requests
 from .registry import Tables, query
 
+
 def _now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
@@ -23,14 +25,17 @@ def session_events(events: DataFrame) -> DataFrame:
     return events.select((F.col("user_id") % 40).alias("session_id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
 
 
-@query("""
+_PACED = """
     with recursive o as (select user_id, row_number() over (partition by user_id order by ts, event_id) as k, case when event_type = 'error' then case when event_id % 2 = 0 then 'rate_limited' else 'other' end else 'success' end as outcome from events),
     f as (select user_id, 0 as k, 2067.0::double as delay, 0 as streak from (select distinct user_id from events)
           union all
           select f.user_id, o.k, case when outcome = 'success' and streak = 2 then greatest(274.0, floor(delay / 1.4)) when outcome = 'rate_limited' then least(180000.0, delay * 1.4) else delay end,
                  case when outcome = 'success' and streak < 2 then streak + 1 else 0 end from f join o on o.user_id = f.user_id and o.k = f.k + 1)
     select user_id, round(max_by(delay, k), 3) as delay_ms, max_by(streak, k) as streak, max(k) as n from f group by user_id
-""")
+"""
+
+
+@query(_PACED)
 def adaptive_delay(t: Tables) -> DataFrame:
     return S.adaptive_delay(outcomes(t.events), "user_id").withColumn("delay_ms", F.round("delay_ms", 3))
 
@@ -92,20 +97,81 @@ def phase_timings(t: Tables) -> DataFrame:
     return gaps.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "view", F.col("gap"))).cast("double").alias("view_ms"), F.sum("gap").cast("double").alias("total_ms"))
 
 
-@query()
+@query(_VALIDATED + "select count(*) as cached, count(*) filter (epoch_ms(timestamp '2024-01-30 00:05:00') - epoch_ms(validated_at) < 600000) as active from v")
+def session_activity(t: Tables) -> DataFrame:
+    return S.session_activity(_validated(t), F.lit("2024-01-30 00:05:00").cast("timestamp"))
+
+
+def auth_events(events: DataFrame) -> DataFrame:
+    kind = F.expr("case when event_type = 'signup' and event_id % 3 = 0 then 'validated' when event_type = 'error' then 'auth_error' when event_type = 'click' then 'failure' when event_id % 9 = 0 then 'cloudflare' when event_id % 9 = 1 then 'rate_limited' else 'success' end")
+    return events.select((F.col("user_id") % 40).alias("session_id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+_AUTH = """
+    with e as (select user_id % 40 as session_id, ts, event_id as seq, case when event_type = 'signup' and event_id % 3 = 0 then 'validated' when event_type = 'error' then 'auth_error' when event_type = 'click' then 'failure'
+                      when event_id % 9 = 0 then 'cloudflare' when event_id % 9 = 1 then 'rate_limited' else 'success' end as kind from events),
+    r as (select *, count(*) filter (kind = 'validated') over (partition by session_id order by ts, seq) as run from e),
+    a as (select *, count(*) filter (kind = 'auth_error') over (partition by session_id, run order by ts, seq) as errors from r),
+    f as (select session_id, ts, seq, kind, sum(case when kind = 'failure' then 0 else 1 end) over (partition by session_id order by ts, seq) as run from e),
+    p as (select *, count(*) filter (kind = 'failure') over (partition by session_id, run order by ts, seq) as failures from f)
+"""
+
+
+@query(_AUTH + "select session_id, seq, errors, kind = 'auth_error' and run > 0 and errors = 2 as invalidated from a where kind = 'auth_error'")
+def auth_invalidation(t: Tables) -> DataFrame:
+    return S.auth_states(auth_events(t.events)).where("kind = 'auth_error'").select("session_id", "seq", "errors", "invalidated")
+
+
+@query(_AUTH + """
+    select session_id, seq, 'paused' as reason from p where kind = 'failure' and failures >= 3
+    union all select session_id, seq, 'auth_error' from a where kind = 'auth_error' and run > 0 and errors = 2
+    union all select session_id, seq, kind from a where kind in ('cloudflare', 'rate_limited') and run > 0 and errors < 2
+""")
+def session_notices(t: Tables) -> DataFrame:
+    return S.session_notices(auth_events(t.events)).select("session_id", "seq", "reason")
+
+
+_ATTEMPTS = """
+    with a as (select user_id as item_id, ts, event_id as seq, case event_type when 'error' then 'HTTP 429' when 'view' then 'request timeout' when 'click' then 'net::ERR_FAILED' when 'purchase' then case when event_id % 7 = 0 then null else 'HTTP 404' end
+                      else case when event_id % 2 = 0 then 'odd' end end as error, user_id % 3 = 0 as has_session, event_id % 4 = 0 as is_paused from events),
+    n as (select *, count(error) over (partition by item_id order by ts, seq) as retries, row_number() over (partition by item_id order by ts, seq) as k from a),
+    x as (select *, case when error is null then 'completed' when has_session and is_paused then 'held' when has_session or (error <> 'HTTP 404' and retries < 5) then 'requeued' else 'failed' end as act from n),
+    f as (select item_id, min(k) as stop from x where act in ('completed', 'failed') group by item_id)
+"""
+
+
+@query(_ATTEMPTS + "select x.item_id, seq, retries, case when k > stop then 'ignored' else act end as action from x left join f on f.item_id = x.item_id")
+def retry_loop(t: Tables) -> DataFrame:
+    error = F.expr("case event_type when 'error' then 'HTTP 429' when 'view' then 'request timeout' when 'click' then 'net::ERR_FAILED' when 'purchase' then if(event_id % 7 = 0, null, 'HTTP 404') else if(event_id % 2 = 0, 'odd', null) end")
+    rows = t.events.select(F.col("user_id").alias("item_id"), "ts", F.col("event_id").alias("seq"), error.alias("error"), (F.col("user_id") % 3 == 0).alias("has_session"), (F.col("event_id") % 4 == 0).alias("is_paused"))
+    return S.attempt_actions(rows, 5).select("item_id", "seq", "retries", "action")
+
+
+@query(f"""
+    with n as (select user_id as session_id, event_id as seq, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    p as (select *, case when event_id_mod = 10 then 9 when event_id_mod = 9 then least(9, k + 1) else least(9, k) end as number from (select *, seq % 11 as event_id_mod from n)),
+    b as (select *, lag(number) over (partition by session_id order by k) as before from p)
+    select session_id, seq, list_extract({list(S.PHASES)}, number) as phase, case when before is null then number in (1, 9) else before < 8 and (number = before + 1 or number = 9) end as in_order from b
+""")
+def phase_progress(t: Tables) -> DataFrame:
+    k, mod = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.col("event_id") % 11
+    number = F.when(mod == 10, 9).when(mod == 9, F.least(F.lit(9), k + 1)).otherwise(F.least(F.lit(9), k))
+    steps = t.events.select(F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"), F.element_at(F.array(*map(F.lit, S.PHASES)), number).alias("phase"))
+    return S.phase_progress(steps).select("session_id", "seq", "phase", "in_order")
+
+
+@query(_PACED)
 def stream_adaptive_delay(t: Tables) -> DataFrame:
     return folds.replay(t.spark, f"{t.folder}/events.parquet", lambda s: folds.adaptive_delay(outcomes(s), "user_id"), "user_id").withColumn("delay_ms", F.round("delay_ms", 3))
 
 
-@query()
+@query(_SESSIONS + "select session_id, failures, is_paused, pauses from s")
 def stream_session_pause(t: Tables) -> DataFrame:
     return folds.replay(t.spark, f"{t.folder}/events.parquet", lambda s: folds.session_states(session_events(s)), "session_id")
 
 
-@query()
+@query(f"with {_REQUESTS} select item_id, lane, users, has_cookies, requests from d")
 def stream_requests(t: Tables) -> DataFrame:
-    from .plan import _requests
-
     class Streamed:
         pass
 

@@ -1,8 +1,15 @@
-"""A session with the settings that the library's semantics need."""
+"""A session with the settings that the library's semantics need, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
 
 
 def session(name: str = "sheaf", master: str | None = None, **conf: str) -> SparkSession:
@@ -11,3 +18,32 @@ def session(name: str = "sheaf", master: str | None = None, **conf: str) -> Spar
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and the master is local (tests), one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sheaf-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return "file://" + _own[app]
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/sheaf/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: computed once, and kept when an executor is lost."""
+    path = new_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import trim
 
@@ -64,8 +68,11 @@ def parse(html: str | None) -> list[dict]:
     return tree.nodes
 
 
-def with_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with a column ``nodes`` in place of the html, which goes no further."""
+def with_nodes(pages: DataFrame, html_col: str = "html", inner: dict[str, str] | None = None) -> DataFrame:
+    """``pages`` with a column ``nodes`` in place of the html, which goes no further.
+
+    ``inner`` names further columns: the markup inside the first match of a selector, null without one."""
+    tests = {k: [[_test(*step) for step in steps] for steps in selector_parts(css)] for k, css in (inner or {}).items()}
     keep = [c for c in pages.columns if c != html_col]
     kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("stop", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
 
@@ -73,11 +80,127 @@ def with_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for b in batches:
             html = b.column(len(keep)).to_pylist()
             for i in range(0, len(html), 200):
-                part = b.slice(i, 200)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array([parse(h) for h in html[i : i + 200]], kind)], names=[*keep, "nodes"])
+                part, read = b.slice(i, 200), [Page(h) for h in html[i : i + 200]]
+                more = [pa.array([x.inner(x.select(test)) for x in read], pa.string()) for test in tests.values()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array([x.nodes for x in read], kind), *more], names=[*keep, "nodes", *tests])
+
+    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), f"nodes {NODES}", *(f"{k} string" for k in tests)])
+    return pages.select(*keep, html_col).mapInArrow(run, schema)
+
+
+class Page:
+    """Small queries over one parsed page; a node's descendants are a slice of the page's nodes."""
+
+    def __init__(self, html: str | None):
+        self.nodes = parse(html)
+
+    def below(self, box: dict) -> list[dict]:
+        return self.nodes[box["id"] + 1 : box["stop"]]
+
+    def text(self, box: dict | None) -> str | None:
+        return None if box is None else "".join(n["text"] for n in self.below(box) if n["tag"] == "#text")
+
+    def inner(self, box: dict | None) -> str | None:
+        """The markup inside a node, rebuilt from what was parsed."""
+        if box is None:
+            return None
+        out, open_ = [], []
+        for n in self.below(box):
+            while open_ and open_[-1]["stop"] <= n["id"]:
+                out.append(f"</{open_.pop()['tag']}>")
+            if n["tag"] == "#text":
+                out.append(escape(n["text"], quote=False))
+                continue
+            out.append("".join([f"<{n['tag']}", *(f' {k}="{escape(v)}"' for k, v in reversed(n["attrs"])), ">"]))
+            if n["tag"] not in VOID:
+                open_.append(n)
+        return "".join([*out, *(f"</{n['tag']}>" for n in reversed(open_))])
+
+    def joined(self, boxes: list[dict]) -> str:
+        return "".join(map(self.text, boxes))
+
+    @staticmethod
+    def within(nodes: list[dict], boxes: list[dict]) -> list[dict]:
+        """Those of ``nodes`` that are below one of ``boxes``, both in document order."""
+        out, k, stop = [], 0, -1
+        for n in nodes:
+            while k < len(boxes) and boxes[k]["id"] < n["id"]:
+                stop, k = max(stop, boxes[k]["stop"]), k + 1
+            if n["id"] < stop:
+                out.append(n)
+        return out
+
+    def select(self, selector: list[list[Callable[[dict], bool]]]) -> dict | None:
+        """The first match of the first alternative that has one."""
+        for parts in selector:
+            found = [n for n in self.nodes if parts[0](n)]
+            for test in parts[1:]:
+                found = [n for n in self.within(self.nodes, found) if test(n)]
+            if found:
+                return found[0]
+        return None
+
+
+_PART = re.compile(r"([\w-]+|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[*^]?=\"?[^\"\]]*\"?)?\]|:checked)*)")
+_BIT = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^]?=)\"?([^\"\]]*)\"?)?\]|(:checked)")
+
+
+def selector_parts(selector: str) -> list[list[tuple[str, list[tuple[str, str, str]]]]]:
+    """Alternatives of steps of a tag (or \\*) and conditions (attribute, operator, value); anything else is an error."""
+    out = []
+    for alternative in selector.split(","):
+        steps = []
+        for part in alternative.split():
+            m = _PART.fullmatch(part)
+            if not m:
+                raise ValueError(f"unsupported selector {part!r}")
+            bits = [("class", "word", c) if c else ("id", "=", i) if i else ("checked", "has", "") if checked else (name, op or "has", value) for c, i, name, op, value, checked in _BIT.findall(m[2])]
+            steps.append((m[1] or "*", bits))
+        if not steps:
+            raise ValueError(f"unsupported selector {selector!r}")
+        out.append(steps)
+    return out
+
+
+def _test(tag_name: str, bits: list[tuple[str, str, str]]) -> Callable[[dict], bool]:
+    how = {"has": lambda a, v: True, "=": lambda a, v: a == v, "*=": lambda a, v: v in a, "^=": lambda a, v: a.startswith(v), "word": lambda a, v: v in a.split()}
+
+    def run(n: dict) -> bool:
+        if n["tag"] == "#text" or tag_name not in ("*", n["tag"]):
+            return False
+        attrs = dict(n["attrs"]) if bits else {}
+        return all(name in attrs and how[op](attrs[name], value) for name, op, value in bits)
+
+    return run
+
+
+def with_records(pages: DataFrame, record: Callable[[Page], dict], schema: str, selectors: dict[str, tuple[str, str | None]], html_col: str = "html") -> DataFrame:
+    """One parse of each page: ``pages`` with, in place of the html, ``found`` (of each selector's first match the
+    attribute asked for, else its text) and the columns of ``record``, which has the types of ``schema``."""
+    keep = [c for c in pages.columns if c != html_col]
+    tests = {k: ([[_test(*step) for step in steps] for steps in selector_parts(css)], attribute) for k, (css, attribute) in selectors.items()}
+    names = ", ".join(f"{k}: string" for k in selectors) or "none: string"
+    head = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
+    table = T.StructType.fromDDL(f"{head}found struct<{names}>, {schema}")
+    kinds = [to_arrow_type(f.dataType) for f in table.fields[len(keep) :]]
+
+    def one(html: str | None) -> tuple[dict, dict]:
+        page, found = Page(html), {}
+        for k, (parts, attribute) in tests.items():
+            n = page.select(parts)
+            found[k] = page.text(n) if attribute is None else dict(n["attrs"]).get(attribute) if n else None
+        return found, record(page)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            html = b.column(len(keep)).to_pylist()
+            for i in range(0, len(html), 200):
+                part, rows = b.slice(i, 200), [one(h) for h in html[i : i + 200]]
+                made = [pa.array([f for f, _ in rows], kinds[0])]
+                made += [pa.array([r[f.name] for _, r in rows], kind) for f, kind in zip(table.fields[len(keep) + 1 :], kinds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], names=table.names)
 
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, html_col).mapInArrow(run, f"{schema}, nodes {NODES}" if keep else f"nodes {NODES}")
+    return pages.select(*keep, html_col).mapInArrow(run, table)
 
 
 Test = Callable[[Column], Column]

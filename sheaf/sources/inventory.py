@@ -22,7 +22,7 @@ def split_fields(line: Column) -> Column:
     quotes = F.char_length(line) - F.char_length(F.replace(line, F.lit('"')))
     even = F.when(quotes % 2 == 1, F.concat(line, F.lit('"'))).otherwise(line)
     plain = F.transform(F.split(line, ",", -1), trim)
-    cut = F.split(even, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1)
+    cut = F.regexp_extract_all(F.concat(even, F.lit(",")), F.lit(r'((?:[^",]++|"[^"]*+")*+),'), 1)
     quoted = F.transform(cut, lambda f: trim(F.replace(F.regexp_replace(f, r'"((?:[^"]|"")*+)"', "$1"), F.lit('""'), F.lit('"'))))
     return F.when(quotes == 0, plain).otherwise(quoted)
 
@@ -37,23 +37,29 @@ def header_fields(header: list[str]) -> dict[str, int]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """Lines of text files with their place: value, and at (file, start of the split, number in it)."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select("value", place.alias("at"))
+
+
+def first_line(lines: DataFrame) -> str:
+    """The first line that isn't blank, of lines that carry their place; empty if there is none."""
+    if "at" not in lines.columns:
+        raise ValueError("lines without a place have no first one: give the header")
+    return lines.where(trim("value") != "").agg(F.min_by("value", "at").alias("value")).first().value or ""
 
 
 def parse_inventory(lines: DataFrame, header: str | None = None) -> DataFrame:
     """Lines (column ``value``) to item_id, name, category, status, release_date, price, is_nsfw.
 
-    ``header`` is the file's first line that isn't blank, found if not given; lines equal to it are no items.  Rows
-    whose id isn't all digits are dropped; a column that is absent, or a line too short, gives null.
+    ``header`` is the first line that isn't blank, found if not given (``read_lines``); lines equal to it are no items.
+    Rows whose id isn't all digits are dropped; a column that is absent, or a line too short, gives null.
     """
-    text = trim(F.col("value"))
-    rows = lines.select(text.alias("value")).where("value <> ''")
-    if header is None:
-        head = rows.limit(1).collect()
-        header = head[0].value if head else ""
+    header = first_line(lines) if header is None else header
+    rows = lines.select(trim("value").alias("value")).where("value <> ''")
     names = [r for r in lines.sparkSession.createDataFrame([(header,)], "value string").select(split_fields(F.col("value"))).first()[0]]
     at = header_fields(names)
-    rows = rows.where(F.col("value") != header.strip()).select(split_fields(F.col("value")).alias("f"))
+    rows = rows.where(F.col("value") != trim(F.lit(header))).select(split_fields(F.col("value")).alias("f"))
     field = lambda k: F.get(F.col("f"), F.lit(at.get(k, PLACES.get(k))))
     status = F.lower(F.coalesce(field("status"), F.lit("")))
     nsfw = F.coalesce(F.lower(field("nsfw")).isin("true", "1", "yes"), F.lit(False)) if "nsfw" in at else F.lit(None).cast("boolean")
@@ -64,6 +70,28 @@ def parse_inventory(lines: DataFrame, header: str | None = None) -> DataFrame:
     return out.where(F.col("item_id").rlike(r"^[0-9]+\z"))
 
 
+def literal_ids(spark: SparkSession, ids: str) -> DataFrame:
+    """Ids of a comma list; parts that don't start with a number are left out."""
+    parts = spark.createDataFrame([(ids,)], "ids string").select(F.explode(F.split("ids", ",")).alias("value"))
+    return leading_ids(parts)
+
+
+def file_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of text files, one a line, under the same rule."""
+    return leading_ids(spark.read.text(path))
+
+
+def leading_ids(lines: DataFrame) -> DataFrame:
+    number = F.regexp_extract(trim("value"), r"^([+-]?[0-9]+)", 1)
+    return lines.select(number.try_cast("bigint").alias("id")).where("id is not null")
+
+
+def id_page(ids: DataFrame, skip: int = 0, most: int | None = None) -> DataFrame:
+    """Ids in ascending order, from the ``skip``th on, ``most`` of them."""
+    rows = ids.where("id is not null").orderBy("id").offset(skip)
+    return rows if most is None else rows.limit(most)
+
+
 def item_count(lines: DataFrame) -> DataFrame:
     """Lines that aren't blank, less the header."""
     return lines.agg(F.greatest(F.count_if(trim(F.col("value")) != "") - 1, F.lit(0)).alias("items"))

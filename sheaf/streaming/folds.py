@@ -1,11 +1,12 @@
-"""The queue's and the sessions' state machines on streams: keyed state, updated per micro-batch."""
+"""The queue's and the sessions' state machines on streams: keyed state, updated per micro-batch.
+
+A key's rows are folded in order of ts and seq within a micro-batch, and batches in order of arrival: a source that
+delivers a key's rows late, in a later batch than newer ones, gives what the live service would give, which acts on
+arrival too.
+"""
 
 from __future__ import annotations
 
-import atexit
-import math
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,22 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sessions import BASE_MS, FACTOR, LEAST_MS, MOST_MS, PAUSE_AT, STREAK
+from ..operators.sessions import BASE_MS, PAUSE_AT, paced
+from ..session import shared_dir
 
 RANK = {"COLD": 1, "WARM": 2, "HOT": 3}
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="sheaf-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
 
 
 def _stateful(rows: DataFrame, key: str, kind: str, state: str, start: tuple, step: Callable[[tuple, object], tuple], shown: Callable[[tuple], tuple], out: str) -> DataFrame:
@@ -47,17 +36,7 @@ def _stateful(rows: DataFrame, key: str, kind: str, state: str, start: tuple, st
 
 
 def adaptive_delay(outcomes: DataFrame, key: str) -> DataFrame:
-    def step(s: tuple, x) -> tuple:
-        delay, streak, n = s
-        if x.outcome == "success":
-            streak += 1
-            if streak >= STREAK:
-                delay, streak = max(float(LEAST_MS), float(math.floor(delay / FACTOR))), 0
-        else:
-            delay, streak = min(float(MOST_MS), delay * FACTOR) if x.outcome == "rate_limited" else delay, 0
-        return delay, streak, n + 1
-
-    return _stateful(outcomes, key, "long", "delay double, streak int, n int", (float(BASE_MS), 0, 0), step, lambda s: s, "delay_ms double, streak int, n int")
+    return _stateful(outcomes, key, "long", "delay double, streak int, n int", (float(BASE_MS), 0, 0), lambda s, x: paced(s, x.outcome), lambda s: s, "delay_ms double, streak int, n int")
 
 
 def session_states(events: DataFrame) -> DataFrame:
