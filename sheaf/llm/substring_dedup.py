@@ -3,8 +3,10 @@
 The corpus is cut into pieces that can be compared apart from each other.  Every 200-byte window has one minimizer: of
 the hashes of its 64-byte grams the smallest, the leftmost of equal ones.  Equal windows have equal minimizers, so
 consecutive windows that share a minimizer form a piece, and only pieces of one minimizer can have equal windows.
-Minimizers that occur once are done.  The distinct pieces of the others go into buckets of bounded size, and each bucket
-finds its equal windows on a Burrows-Wheeler transform of its text.
+Minimizers that occur once are done, and equal pieces (128 bits of their bytes) are one piece with several places.  The
+distinct pieces of a minimizer go into buckets of bounded size, and each bucket finds its equal windows on a
+Burrows-Wheeler transform of its text.  Where a minimizer has very many distinct pieces they are cut once more, by other
+minimizers, and so on until they fit.
 """
 
 from __future__ import annotations
@@ -28,26 +30,30 @@ WINDOW = LENGTH - GRAM + 1
 STRETCH, PLACE_BITS = 1 << 21, 24
 #: Text of one bucket's transform.
 BUCKET_BYTES = 2 << 20
-#: A minimizer with more distinct pieces than this is split further, by the content of each of its windows.
-HOT_PIECES = 4096
+#: A minimizer with more distinct pieces than this (some 1.4 MB) has them cut by the minimizers of another hash; after so
+#: many hashes what is left goes into one bucket.
+HOT_PIECES, LEVELS = 4096, 12
 _rng = np.random.default_rng(5)
 #: Between the pieces of a bucket: a byte that UTF-8 never has, so no window with it is asked for.
 GAP = b"\xff"
-BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_HASH = _rng.integers(1, 1 << 63, (LEVELS, 256), dtype=np.uint64)
 JOIN = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    h, n, i = BYTE_HASH[data], 1, 0
+PIECE = ("piece", "piece2")
+
+
+def _gram_hashes(data: np.ndarray, level: int) -> np.ndarray:
+    h, n, i = BYTE_HASH[level][data], 1, 0
     while n < GRAM:
         h = h[: len(h) - n] * JOIN[i] + h[n:]
         n, i = n * 2, i + 1
     return mix(h)
 
 
-def pieces_of(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(data: np.ndarray, valid: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, numbers of windows and minimizer hashes of the pieces of ``data``; ``valid``: starts of whole windows, ascending."""
-    h = _gram_hashes(data)
+    h = _gram_hashes(data, level)
     low = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= WINDOW:
@@ -74,8 +80,8 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], list
         yield names, parts
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every piece of every text: k, start, n (windows), mini, piece (hashes)."""
+def occurrences(docs: DataFrame, level: int = 0) -> DataFrame:
+    """Every piece of every text: k, start, n (windows), mini (hash of its minimizer), piece, piece2 (of its bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,14 +93,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(parts)), lengths - LENGTH + 1)
                 count = lengths - LENGTH + 1
                 valid = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-                start, n, mini = pieces_of(np.frombuffer(buffer, np.uint8), valid)
+                start, n, mini = pieces_of(np.frombuffer(buffer, np.uint8), valid, level)
                 own = owner[np.searchsorted(valid, start)]
-                view, digest = memoryview(buffer), xxhash.xxh3_64_intdigest
-                piece = np.array([digest(view[s:e]) for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)], np.uint64)
+                view, digest = memoryview(buffer), xxhash.xxh3_128_digest
+                piece = np.frombuffer(b"".join([digest(view[s:e]) for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 number, offset = np.array(names).T
-                yield pa.RecordBatch.from_arrays([pa.array(keys[number[own]]), pa.array(start - begin[own] + offset[own], pa.int64()), pa.array(n.astype(np.int32)), pa.array(mini), pa.array(piece.view(np.int64))], names=["k", "start", "n", "mini", "piece"])
+                columns = [keys[number[own]], start - begin[own] + offset[own], n.astype(np.int32), mini, np.ascontiguousarray(piece[:, 0]), np.ascontiguousarray(piece[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "start", "n", "mini", *PIECE])
 
-    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(run, "k long, start long, n int, mini long, piece long")
+    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(run, "k long, start long, n int, mini long, piece long, piece2 long")
 
 
 def bounded_order(text: np.ndarray) -> np.ndarray:
@@ -153,27 +160,29 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def bucket_spans(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's distinct pieces the runs of windows that are repeated: mini, piece, first, windows."""
-    pdf = pdf.sort_values(["mini", "piece"], kind="stable").drop_duplicates(["mini", "piece"])
+    """Of a bucket's distinct pieces the runs of windows that are repeated: mini, piece, piece2, first, windows.
+
+    A piece with several places is repeated as a whole; its text takes part for the others' sake."""
+    pdf = pdf.sort_values(["mini", *PIECE], kind="stable").drop_duplicates(["mini", *PIECE])
     bodies = pdf["body"].tolist()
     text = np.frombuffer(GAP.join(bodies) + GAP, np.uint8)
     flag = repeated_starts(text)
     rows, at = [], 0
-    for mini, piece, n, copies, body in zip(pdf["mini"], pdf["piece"], pdf["n"], pdf["copies"], bodies, strict=True):
+    for mini, piece, piece2, n, copies, body in zip(pdf["mini"], pdf["piece"], pdf["piece2"], pdf["n"], pdf["copies"], bodies, strict=True):
         if copies > 1:
-            rows.append((mini, piece, 0, n))
+            rows.append((mini, piece, piece2, 0, n))
         else:
             edge = np.flatnonzero(np.diff(flag[at : at + n].astype(np.int8), prepend=0, append=0))
-            rows += [(mini, piece, int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+            rows += [(mini, piece, piece2, int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
         at += len(body) + 1
-    return pd.DataFrame(rows, columns=["mini", "piece", "first", "windows"])
+    return pd.DataFrame(rows, columns=["mini", *PIECE, "first", "windows"])
 
 
 def cut_pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of wanted pieces (k, start, n, mini, piece, copies) with their bucket's number."""
-    by_text = materialize(wanted.groupBy("k").agg(F.collect_list(F.struct("start", "n", "mini", "piece", "copies", "bucket")).alias("w")), "wanted")
-    rows = attach(docs.select("k", "text"), by_text, "k", n=wanted.count()).select("text", "w")
-    schema = "bucket long, mini long, piece long, n int, copies long, body binary"
+    """Texts of wanted pieces (k, start, n, mini, piece, piece2, copies) with their bucket's number."""
+    by_text = materialize(wanted.groupBy("k").agg(F.collect_list(F.struct("start", "n", "mini", *PIECE, "copies", "bucket")).alias("w")), "wanted")
+    rows = attach(docs.select("k", "text"), by_text, "k").select("text", "w")
+    names = ("bucket", "mini", *PIECE, "n", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,49 +190,47 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 v = w.values
                 start, n = v.field("start").to_pylist(), v.field("n").to_pylist()
                 body = [text[s : s + k + LENGTH - 1] for s, k in zip(start, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([v.field(c) for c in ("bucket", "mini", "piece", "n", "copies")] + [pa.array(body, pa.binary())], names=["bucket", "mini", "piece", "n", "copies", "body"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of wanted occurrences (k, start, n) every single window: k, start, high, low (128 bits of its content)."""
-    by_text = materialize(wanted.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("w")), "wanted")
-    rows = attach(docs.select("k", "text"), by_text, "k", n=wanted.count())
+                yield pa.RecordBatch.from_arrays([v.field(c) for c in names] + [pa.array(body, pa.binary())], names=[*names, "body"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, text, w in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-                at = [s for x in w for s in range(x["start"], x["start"] + x["n"])]
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[s : s + LENGTH]) for s in at), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["k", "start", "high", "low"])
-
-    return rows.select("k", "text", "w").mapInArrow(run, "k long, start long, high long, low long")
+    return rows.mapInArrow(run, "bucket long, mini long, piece long, piece2 long, n int, copies long, body binary")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, level: int = 0) -> DataFrame:
     """Runs of repeated windows of every text: k, start, windows.  ``docs`` has k (a hash of the whole row) and text."""
-    every = materialize(occurrences(docs), "pieces")
-    minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b")).where("n > 1")
-    minis = materialize(minis.select("mini", (F.col("a") == F.col("b")).alias("alike")), "minis")
+    key = ("mini", *PIECE)
+    every = materialize(occurrences(docs, level), "pieces")
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in PIECE]
+    minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    alike = (F.col("min_piece") == F.col("max_piece")) & (F.col("min_piece2") == F.col("max_piece2"))
+    minis = materialize(minis.select("mini", alike.alias("alike")), "minis")
     some = materialize(attach(every, minis, "mini"), "shared")
-    alike = some.where("alike").select("k", "start", F.col("n").alias("windows"))  # one piece throughout: whole copies of it
+    whole = some.where("alike").select("k", "start", F.col("n").alias("windows"))  # one piece throughout: whole copies of it
     other = some.where("not alike").drop("alike")
-    kinds = other.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "start", "n")).alias("one"))
-    kinds = materialize(kinds.select("mini", "piece", "copies", "one.k", "one.start", "one.n"), "kinds")
-    hot = materialize(kinds.groupBy("mini").count().where(f"count > {HOT_PIECES}").select("mini"), "hot")
+    kinds = other.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "start", "n")).alias("one"))
+    kinds = materialize(kinds.select(*key, "copies", "one.k", "one.start", "one.n"), "kinds")
+    most = HOT_PIECES if level + 1 < LEVELS else 1 << 62
+    hot = materialize(kinds.groupBy("mini").count().where(F.col("count") > most).select("mini"), "hot")
     cool = attach(kinds, hot, "mini", "left_anti")
     size = cool.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     bodies = cut_pieces(docs, materialize(cool.withColumn("bucket", F.pmod(F.xxhash64("mini"), F.lit(buckets))), "cool"))
-    found = materialize(bodies.groupBy("bucket").applyInPandas(bucket_spans, "mini long, piece long, first int, windows int"), "found")
-    spans = attach(other.select("k", "start", "mini", "piece"), found, ("mini", "piece")).select("k", (F.col("start") + F.col("first")).alias("start"), "windows")
-    out = alike.unionByName(spans)
+    found = materialize(bodies.groupBy("bucket").applyInPandas(bucket_spans, "mini long, piece long, piece2 long, first int, windows int"), "found")
     if not hot.isEmpty():
-        single = materialize(window_hashes(docs, materialize(attach(other, hot, "mini", "left_semi").select("k", "start", "n"), "hot_pieces")), "windows")
-        again = materialize(single.groupBy("high", "low").count().where("count > 1").select("high", "low"), "again")
-        out = out.unionByName(attach(single, again, ("high", "low"), "left_semi").select("k", "start", F.lit(1).alias("windows")))
-    return out
+        found = found.unionByName(materialize(_cut_again(docs, attach(kinds, hot, "mini", "left_semi"), level + 1), "found"))
+        found = materialize(found, "found")
+    spans = attach(other.select("k", "start", *key), found, key).select("k", (F.col("start") + F.col("first")).alias("start"), "windows")
+    return whole.unionByName(spans)
+
+
+def _cut_again(docs: DataFrame, kinds: DataFrame, level: int) -> DataFrame:
+    """The same as ``bucket_spans`` for pieces of minimizers that have too many: each piece is a text of its own, cut by
+    the minimizers of another hash."""
+    key = ("mini", *PIECE)
+    bodies = cut_pieces(docs, materialize(kinds.withColumn("bucket", F.lit(0).cast("long")), "hot_kinds"))
+    texts = materialize(bodies.select(F.xxhash64(*key).alias("k"), *key, "n", "copies", F.col("body").alias("text")).dropDuplicates(["k"]), "hot_texts")
+    runs = materialize(repeated_windows(texts.select("k", "text"), level), "hot_runs")
+    again = runs.join(texts.where("copies = 1").select("k", *key), "k").select(*key, F.col("start").cast("int").alias("first"), F.col("windows").cast("int").alias("windows"))
+    return again.unionByName(texts.where("copies > 1").select(*key, F.lit(0).alias("first"), F.col("n").alias("windows")))
 
 
 def merged_spans(windows: DataFrame) -> DataFrame:
@@ -249,7 +256,7 @@ def merged_spans(windows: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
-    Texts are UTF-8 bytes, null is empty.  A byte goes if a 200-byte string over it also starts anywhere else, in the
+    Texts are UTF-8 bytes, whole, however long; null is empty.  A byte goes if a 200-byte string over it also starts anywhere else, in the
     same text (overlaps count) or another one; strings never cross texts and are judged on the input.  Texts of fewer
     than 200 bytes stay whole.  Repeated rows repeat each other's strings, so they lose every byte from 200 bytes on.
     The 64-bit hash of id and text stands for a row, which needs no id.  An empty table gives no rows.
@@ -257,7 +264,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
     spans = materialize(merged_spans(repeated_windows(rows.select("k", "text"))), "spans")
-    joined = attach(rows, spans, "k", "left", n=spans.agg(F.sum(F.size("starts"))).first()[0] or 0)
+    joined = attach(rows, spans, "k", "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,9 +125,11 @@ def substring_truth(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_substring_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, levels", [(4096, 12), (1, 3), (0, 2)])
+def test_substring_dedup(spark, monkeypatch, hot, levels):
+    """Also when minimizers with more than one piece, or all, are cut again, and when the levels end."""
     monkeypatch.setattr(substring_dedup, "HOT_PIECES", hot)
+    monkeypatch.setattr(substring_dedup, "LEVELS", levels)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 3000)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdeé ", k=rng.randint(1, 9)))
