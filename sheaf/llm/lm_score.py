@@ -23,13 +23,14 @@ OFFSETS = (-2, -1, 1, 2)
 #: Every position of every document trains the network once: each round takes one of ``ROUNDS`` disjoint shares of the documents.
 BATCH, ROUNDS, RATE = 4096, 2, 0.08
 #: Tokens that one copy of the network is trained on before copies are averaged.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: So many of the words in buckets, the most frequent, are looked up inside tasks; the others meet their counts in a join.
 KNOWN = 1 << 16
 #: Shares are summed as whole multiples of 1 / UNIT, so that the order of the sum doesn't matter.
 UNIT = 1 << 30
-#: Positions that are scored together, weights of one row of a network's copy, and copies that are averaged in one place.
-CHUNK, SLICE, FAN_IN = 1 << 15, 1 << 14, 16
+#: Positions that are scored together, weights of one row of a network's copy, copies that are averaged in one place, and
+#: documents whose words are held at once.
+CHUNK, SLICE, FAN_IN, HELD = 1 << 15, 1 << 14, 16, 500
 #: Exponents stop here, so that sums of exponentials stay finite in 32 bits.
 STEEPEST = np.float32(60)
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, shares: Shares) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, hashes, row = Vocabulary(ranked), WordHashes(), TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (whole.slice(i, HELD) for whole in batches for i in range(0, whole.num_rows, HELD)):
             words = [t.lower().split() for t in texts_of(b.column(1))]
             ids = [np.fromiter(map(vocabulary.__getitem__, w), np.uint16, len(w)) for w in words]
             rare = [[hashes[w[i]] for i in np.flatnonzero(x >= VOCAB - RARE)] for w, x in zip(words, ids, strict=True)]
