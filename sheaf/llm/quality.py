@@ -182,14 +182,17 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
-    Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others.  Without labels
-    of both kinds every score is the smoothed share of label 1.  Null ids are never held out; an empty table gives no rows.
+    Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others.  Of labels of one
+    id that differ the larger counts, and rows that repeat an id are all learnt from.  Texts are scored whole, however
+    long, null and wordless ones as texts without words; equal texts get equal scores; a score of just 0.3 is predicted 1.
+    Without labels of both kinds every score is the smoothed share of label 1.  Null ids are never held out; an empty
+    table gives no rows.
     """
     scored = score_documents(docs, train(docs, labels)).select("row.doc_id", "score", "predicted")
     return scored.select("doc_id", F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model rejects."""
+    """``docs`` without the rows that the model rejects, each judged by its own text; other columns stay as they are."""
     scored = score_documents(docs, train(docs, labels), tuple(docs.columns))
     return scored.where("predicted = 1").select("row.*")

@@ -62,6 +62,17 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_minhash_dedup": r"""
+            with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+            g as (select distinct doc_id, array_to_string(w[s:s + k - 1], ' ') as gram from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from (select doc_id, w, least(5, len(w)) as k from d where len(w) > 0))),
+            n as (select doc_id, count(*) as n from g group by doc_id),
+            p as (select x.doc_id as a, y.doc_id as b, count(*) as same from g x join g y on x.gram = y.gram and x.doc_id <> y.doc_id group by 1, 2),
+            l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * same >= 85 * (x.n + y.n - same)),
+            r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+            c as (select a, min(b) as low from r group by a)
+            select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) as kept
+            from d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id
+        """,
         "op3_decontamination": r"""
             with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
             b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),

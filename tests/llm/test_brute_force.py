@@ -6,6 +6,7 @@ import random
 import re
 import string
 import time
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -36,7 +37,7 @@ def near_texts(rng):
     return [*texts, "", None, texts[0], texts[0]]
 
 
-def near_truth(texts):
+def near_truth(texts, percent=85):
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -49,7 +50,7 @@ def near_truth(texts):
         return x
 
     for a, b in combinations(range(len(texts)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = sorted((top(a), top(b)))
             parent[y] = x
     return [(len(s), top(i)) for i, s in enumerate(sets)]
@@ -459,6 +460,97 @@ def test_a_million_words_in_one_text(spark):
     assert (row.n_words, row.n_hit) == (1_000_000, 20 * 200) and time.perf_counter() - began < 90
 
 
+def additive(model, x):
+    """Score of one row from the definition: base, one table entry a feature, one a pair."""
+    at = lambda edges, v: sum(v >= e for e in edges)
+    z = model.base + sum(t[at(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+    z += sum(t[at(model.pair_edges[i], x[i]), at(model.pair_edges[j], x[j])] for i, j, t in model.pairs)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_against_a_plain_additive_model(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.orderBy("doc_id").toPandas()
+    known = labels.toPandas().dropna().groupby("doc_id").quality.max()
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id}
+    x = np.array([quality.features((t or "").encode()) for t in rows.text])
+    mine = [k for k, i in enumerate(rows.doc_id) if i in known.index and not held[i]]
+    model = quality.fit(x[mine], known.loc[rows.doc_id.iloc[mine]].to_numpy(float))
+    assert len(model.pairs) == quality.PAIRS
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for k, i in enumerate(rows.doc_id):
+        assert got[i].held_out == held[i] and got[i].score == pytest.approx(additive(model, x[k]), abs=1e-9)
+        assert got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_trees_find_the_best_split():
+    rng = np.random.default_rng(6)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+        best = max(range(1, 9), key=lambda k: gain(g[:k], h[:k]) + gain(g[k:], h[k:]))
+        tree = quality.shallow_tree(g, h, leaves=2)
+        parts = [slice(0, best), slice(best, 9)] if gain(g[:best], h[:best]) + gain(g[best:], h[best:]) - gain(g, h) > 1e-6 else [slice(0, 9)]
+        assert all(np.allclose(tree[p], g[p].sum() / (h[p].sum() + 1)) for p in parts)
+        g, h = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+        table, found = quality.pair_tree(g, h)
+        assert len(np.unique(table.round(12))) <= 4 and found >= max(quality._cut(g.sum(1), h.sum(1), 0, 4)[0], quality._cut(g.sum(0), h.sum(0), 0, 5)[0]) - 1e-9
+
+
+def test_shards_against_dynamic_programming(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["aa", "b", "ccc é"], k=rng.randint(0, 30))) for _ in range(150)] + ["big " * 900] * 3 + [None, ""]
+    docs = frame(spark, texts)
+    keys = dict(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    sizes, size = Counter(), [len((t or "").encode()) + 1 for t in texts]
+    for i, n in enumerate(size):
+        sizes[keys[i]] += n
+    order, own, left, total = sorted(sizes), [], 8, sum(size)
+    for k in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        if len(own) == 7 or sizes[k] * left <= total:
+            break
+        own.append(k)
+        left, total = left - 1, total - sizes[k]
+    rest = np.array([sizes[k] for k in order if k not in own])
+    rows = sharding.shard_documents(docs).toPandas()
+    load = rows.groupby("shard")["size"].sum()
+    assert [load[i] for i in range(len(own))] == [sizes[k] for k in own] and max(load[len(own) :]) == minimax_truth(rest, left)
+    assert sorted(rows["size"]) == sorted(size) and rows.groupby(rows.doc_id.map(keys)).shard.nunique().max() == 1
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in rows.groupby("shard"))
+    assert {r.doc_id: r.text_crc32 for r in rows.itertuples()} == {i: zlib.crc32((t or "").encode()) for i, t in enumerate(texts)}
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    """Each stage on what the one before kept, row by row."""
+    docs, (labels, bench) = spark.read.parquet(f"{SF}/documents.parquet"), (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+
+    before = docs
+    after = corpus_pipeline.materialize(stages["quality classifier"](spark, before, SF), "stage")
+    good = {r.doc_id for r in quality.classify(docs, labels).collect() if r.score >= 0.3}
+    assert ids(after.collect()) == ids(r for r in before.collect() if r.doc_id in good)
+
+    rows = sorted(after.collect(), key=lambda r: r.doc_id)
+    before, after = after, corpus_pipeline.materialize(stages["near-duplicates"](spark, after, SF), "stage")
+    truth = near_truth([r.text for r in rows], 80)
+    assert ids(after.collect()) == [r.doc_id for k, (r, (_, top)) in enumerate(zip(rows, truth, strict=True)) if top == k]
+
+    rows = after.collect()
+    after = corpus_pipeline.materialize(stages["decontamination"](spark, after, SF), "stage")
+    clean = [r for r in rows for w, h, _ in [hits_truth(r.text, items)] if not h or 20 * len(h) < len(w)]
+    assert ids(after.collect()) == ids(clean)
+
+    drawn = {r.doc_id: r.copies for r in mixing.draw_copies(after).collect()}
+    before, after = after, corpus_pipeline.materialize(stages["mixing"](spark, after, SF), "stage")
+    assert Counter(map(tuple, after.collect())) == Counter({tuple(r): drawn[r.doc_id] for r in before.collect() if drawn[r.doc_id]})
+
+    rows = stages["sharding"](spark, after, SF).toPandas()
+    assert Counter(rows.doc_id) == Counter(r.doc_id for r in after.collect())
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in rows.groupby("shard")) and rows.groupby("text").shard.nunique().max() == 1
+
+
 def test_pipeline_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
     rows = corpus_pipeline.run(spark, SF).toPandas()
