@@ -9,7 +9,7 @@ from sheaf.sources import dom
 
 def test_items_of_all_pages(spark):
     html = "<html><body><h1 class='title'>T</h1><div class='item-icon'><a href='/item/{}'><img alt='n' src='/s'></a></div></body></html>"
-    pages = dom.with_nodes(spark.createDataFrame([(1, n, html.format(n)) for n in (1, 100, 101, 250)], "list_id long, page_no long, html string"))
+    pages = dom.with_nodes(spark.createDataFrame([(1, n, html.format(n)) for n in (1, 100, 101, 250)], "list_id long, page_no long, html string"), inner={"description": lists.DESCRIPTION})
     assert lists.items(pages).count() == 4 and lists.detail(pages).first().item_count == 4
     assert lists.items(pages, lists.MAX_ITEM_PAGES).count() == 2 and lists.detail(pages, lists.MAX_ITEM_PAGES).first().item_count == 2
 
