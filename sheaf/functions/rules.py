@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import collapse, similarity, trim
+from .text import similarity, trim
 
 #: Label pattern, strategy, category, role.
 LABELS = (
@@ -133,9 +133,9 @@ def phrase_match(text: Column, phrase: str, least: float) -> Column:
 
 
 def challenge_page(title: Column, body: Column, titles: tuple = (), bodies: tuple = ()) -> Column:
-    """Does the page ask the visitor to wait or prove something instead of showing content?"""
+    """Does the page ask the visitor to wait or prove something instead of showing content?  Both texts are collapsed."""
     out = F.lit(False)
-    for text, phrases, least in ((collapse(title), (*titles, *CHALLENGE_TITLES), TITLE_LEAST), (collapse(body), (*bodies, *CHALLENGE_BODIES), BODY_LEAST)):
+    for text, phrases, least in ((title, (*titles, *CHALLENGE_TITLES), TITLE_LEAST), (body, (*bodies, *CHALLENGE_BODIES), BODY_LEAST)):
         for p in dict.fromkeys(" ".join(p.lower().split()) for p in phrases):
             out = out | F.coalesce(phrase_match(text, p, least), F.lit(False))
     return out

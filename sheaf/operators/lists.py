@@ -26,7 +26,7 @@ def _image(box: Column) -> dict[str, Column]:
     return {"name": filled(D.attr(img, "alt")), "image_url": image_upgrade(F.coalesce(filled(D.attr(img, "src")), filled(D.attr(img, "data-src"))))}
 
 
-def pages_read(pages: DataFrame, key: str | None = None, max_pages: int | None = MAX_LIST_PAGES) -> DataFrame:
+def pages_read(pages: DataFrame, key: str | None = None, max_pages: int | None = None) -> DataFrame:
     """Pages up to the first that has no link to a next one (of each ``key``, if given), ``max_pages`` at most."""
     keys = [key] if key else []
     last = pages.where(F.size(select(N, NEXT)) == 0).groupBy(*keys).agg(F.min("page_no").alias("_last"))
@@ -35,9 +35,11 @@ def pages_read(pages: DataFrame, key: str | None = None, max_pages: int | None =
     return rows if max_pages is None else rows.where(F.col("page_no") <= max_pages)
 
 
-def overview(pages: DataFrame) -> DataFrame:
-    """page_no, pos, list_id, name, item_count, privacy, url, teaser, created_at, icon_url; one row per list on the pages."""
-    rows = pages.where(f"page_no <= {MAX_LIST_PAGES}").select("page_no", "nodes", F.explode(D.find(N, D.cls("dgst-wrapper"))).alias("box"))
+def overview(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """page_no, pos, list_id, name, item_count, privacy, url, teaser, created_at, icon_url; one row per list on the pages.
+
+    ``max_pages`` is for live crawling (``MAX_LIST_PAGES``); without it all pages count."""
+    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("page_no", "nodes", F.explode(D.find(N, D.cls("dgst-wrapper"))).alias("box"))
     box = F.col("box")
     meta = D.below(N, D.cls("dgst-meta"), D.cls("meta"), box)
     rows = rows.withColumn("link", D.first(D.find(N, D.both(D.tag("a"), lambda n: D.attr(n, "href").contains("/list/")), box))).withColumn("meta", meta)

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host_allowed
+from ..functions import rules
+from ..functions.text import collapse, host_allowed
 
 #: Titles of blocked pages.
 BLOCKED = ("Access denied", "Just a moment", "Attention Required")
 
 
+def with_challenge(pages: DataFrame, title: str = "title", body: str = "body", titles: tuple = (), bodies: tuple = ()) -> DataFrame:
+    """``pages`` with ``challenge``: do they ask the visitor to wait or prove something?  ``titles`` and ``bodies`` are further
+    phrases.  Texts are collapsed in a step of their own, once, and all phrases are looked for in the result."""
+    held = pages.withColumns({"_title": collapse(F.col(title)), "_body": collapse(F.col(body))})
+    return held.withColumn("challenge", rules.challenge_page(F.col("_title"), F.col("_body"), titles, bodies)).drop("_title", "_body")
+
+
 def missing_page(url: Column, title: Column, body: Column, domain: str) -> Column:
     return host_allowed(url, domain) & (title.contains("Error") | title.contains("404")) & (body.contains("404") | body.contains("Not Found") | body.contains("not found"))
 

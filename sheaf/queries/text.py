@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cache, dates, rules
 from ..functions import text as X
+from ..operators import quality
 from .registry import Tables, query
 
 NOW = "1998-06-15 12:00:00"
@@ -125,7 +126,7 @@ BODIES = ("An ordinary text about nothing in particular.", "please   ENABLE cook
 """)
 def challenge_pages(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", _pick("event_id", *TITLES).alias("title"), _pick("event_id", *BODIES).alias("body"))
-    return rows.select("event_id", rules.challenge_page(F.col("title"), F.col("body")).alias("challenge"))
+    return quality.with_challenge(rows).select("event_id", "challenge")
 
 
 MESSAGES = ("Timeout", "request timeout", "HTTP 404", "RATE_LIMIT hit", "HTTP 429", "NSFW item", "net::ERR_FAILED", "odd", "item not found, or authentication is needed", "Cloudflare")
