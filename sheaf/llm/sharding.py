@@ -8,11 +8,12 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, materialize
+from .common import materialize
 
 FIRST_BITS, STEP_BITS, KEY_BITS = 12, 6, 64
-#: Rows of a shard are numbered in hash blocks of about so many, so that no task sorts a whole shard.
-BLOCK_ROWS = 40_000
+#: Rows of a shard are numbered in hash blocks of about so many, so that no task sorts a whole shard; blocks of a shard at
+#: most, whose starts are broadcast.
+BLOCK_ROWS, MOST_BLOCKS = 10_000, 50_000
 
 
 def cuts_for(ends: list[int], capacity: int, most: int) -> list[int]:
@@ -106,14 +107,14 @@ def with_shards(rows: DataFrame, shards: int = 8, narrow: DataFrame | None = Non
         shard = shard + (F.col("key") >= F.lit(c)).cast("int")
     for i, k in enumerate(own):
         shard = F.when(F.col("key") == F.lit(k), F.lit(i)).otherwise(shard)
-    blocks = narrow.count() // (shards * BLOCK_ROWS) + 1
+    blocks = min(narrow.count() // (shards * BLOCK_ROWS), MOST_BLOCKS) + 1
     place = {"shard": shard.cast("int"), "block": F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks))}
-    counts = narrow.withColumns(place).groupBy("shard", "block").count()  # one row for about BLOCK_ROWS rows
+    counts = narrow.withColumns(place).groupBy("shard", "block").count()  # at most shards * (MOST_BLOCKS + 1) rows of three numbers
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "key")
     numbered = rows.withColumns(place).withColumn("rank", F.row_number().over(inside) - 1)
-    return attach(numbered, materialize(starts, "starts"), ("shard", "block")).withColumn("slot", F.col("start") + F.col("rank")).drop("block", "rank", "start")
+    return numbered.join(F.broadcast(starts), ["shard", "block"]).withColumn("slot", F.col("start") + F.col("rank")).drop("block", "rank", "start")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
