@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import similarity, trim
+from .text import similarity
 
 #: Label pattern, strategy, category, role.
 LABELS = (
@@ -88,9 +88,10 @@ def _first(c: Column, table, value) -> Column:
 
 
 def label_rule(label: Column) -> Column:
-    """prio (from 1), strategy, category and role of a label; null for an unknown one."""
+    """prio (from 1), strategy, category and role of a trimmed label; null for an unknown one.  Many patterns are tried on
+    it, so it should be a column, not an expression."""
     table = [(p, i, s, c, r) for i, (p, s, c, r) in enumerate(LABELS, 1)]
-    return _first(trim(label), table, lambda r: F.struct(F.lit(r[0]).alias("prio"), F.lit(r[1]).alias("strategy"), F.lit(r[2]).alias("category"), F.lit(r[3]).cast("string").alias("role")))
+    return _first(label, table, lambda r: F.struct(F.lit(r[0]).alias("prio"), F.lit(r[1]).alias("strategy"), F.lit(r[2]).alias("category"), F.lit(r[3]).cast("string").alias("role")))
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -98,7 +99,7 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def role_name(role: Column) -> Column:
-    role = trim(role)
+    """The usual name of a trimmed role, itself if there is none; also better a column."""
     return F.coalesce(_first(role, ROLES, lambda r: F.lit(r[0])), role)
 
 

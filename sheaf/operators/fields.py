@@ -96,8 +96,8 @@ def entries(fields: DataFrame, category: str, default_role: str) -> DataFrame:
     name = F.coalesce(filled(trim("e.name")), trim("e.link_text"))
     entity = trailing_id(F.col("e.href"))
     grouped = mine.where(F.col("rule.strategy") == "grouped").select("page_id", F.explode("grouped").alias("e"))
-    role = rules.role_name(F.coalesce(filled(trim("e.role")), F.lit(default_role)))
-    grouped = grouped.select("page_id", F.lit(0).alias("rank"), F.col("e.at").alias("at"), role.alias("role"), name.alias("name"), entity.alias("entity_id"))
+    role = F.coalesce(filled(trim("e.role")), F.lit(default_role))
+    grouped = grouped.select("page_id", F.lit(0).alias("rank"), F.col("e.at").alias("at"), role.alias("role"), name.alias("name"), entity.alias("entity_id")).withColumn("role", rules.role_name(F.col("role")))
     single = mine.where((F.col("rule.strategy") == "individual") & F.col("rule.role").isNotNull()).select("page_id", "rule", F.explode("single").alias("e"))
     single = single.select("page_id", F.lit(1).alias("rank"), F.col("e.at").alias("at"), F.col("rule.role").alias("role"), name.alias("name"), entity.alias("entity_id"))
     every = grouped.unionByName(single).where("name <> ''")

@@ -35,7 +35,8 @@ LABELS = ("Company", "ARTISTS", "Original  illustrators", "Colour producers", "R
            case k when 'distributor' then 'Distributor' when 'original  illustrators' then 'Illustrator' when 'colour producers' then 'Color Producer' end as role from l
 """)
 def label_lookup(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", _pick("event_id", *LABELS).alias("label")).withColumn("rule", rules.label_rule(F.col("label")))
+    rows = t.events.select("event_id", _pick("event_id", *LABELS).alias("label"))
+    rows = rows.select("event_id", "label", X.trim("label").alias("trimmed")).withColumn("rule", rules.label_rule(F.col("trimmed")))
     return rows.select("event_id", "label", "rule.prio", "rule.strategy", "rule.role")
 
 
@@ -48,7 +49,7 @@ RAW_ROLES = ("Sculptors", "original illustrator", "Char. designers", "ori creato
            when 'mangakas' then 'Mangaka' when 'color producer' then 'Color Producer' when 'planning' then 'Planning' when 'labels' then 'Label' else trim(raw) end as role from p
 """)
 def role_normalise(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", rules.role_name(_pick("p_partkey", *RAW_ROLES)).alias("role"))
+    return t.part.select("p_partkey", X.trim(_pick("p_partkey", *RAW_ROLES)).alias("role")).withColumn("role", rules.role_name(F.col("role")))
 
 
 @query("select category, strategy, count(*) as n from (values " + ", ".join(f"('{c}', '{s}')" for _, s, c, _ in rules.LABELS) + ") v(category, strategy) group by category, strategy")
