@@ -107,4 +107,17 @@ def oracle_sql() -> dict[str, str]:
             g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
             select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t.norm) as text_sha256 from t join g on t.norm = g.norm
         """,
+        "op7_substring_dedup": """
+            with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+            w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as m from (select doc_id, h, unnest(range(0, length(h) // 2 - 199)) as i from t where length(h) >= 400)),
+            r as (select doc_id, i from w where m in (select m from w group by m having count(*) > 1)),
+            g as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as fresh from r),
+            s as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from g),
+            u as (select doc_id, min(i) as a, max(i) + 200 as b from s group by doc_id, run),
+            p as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as f, a as e from u union all select doc_id, max(b), 1000000000000 from u group by doc_id),
+            k as (select t.doc_id, string_agg(substr(h, 2 * f + 1, greatest(0, 2 * (least(e, length(h) // 2) - f))), '' order by f) as kept from p join t on t.doc_id = p.doc_id group by t.doc_id),
+            n as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from u group by doc_id)
+            select t.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+            from t left join n on n.doc_id = t.doc_id left join k on k.doc_id = t.doc_id
+        """,
     }
