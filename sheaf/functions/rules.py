@@ -155,10 +155,18 @@ def score(status: Column, has_session: Column, users: Column, age_minutes: Colum
     return F.when(status == "owned", 30).when(status == "ordered", 20).otherwise(10) + F.when(has_session, 20).otherwise(0) + F.least(F.lit(20), users * 5) + F.least(F.lit(10.0), age_minutes)
 
 
+#: Why a session fails, how sure that is, what a user is told, and whether the site can be reached.
+DIAGNOSES = {
+    "overloaded": (0.85, "The site seems to be overloaded: pages that need no session fail too.", False),
+    "expired": (0.9, "The site answers, but requests of this session fail: it has probably expired.", True),
+    "unknown": (0.5, "The site answers; the failure may have been a passing one.", True),
+}
+
+
 def diagnosis(probe_ok: Column, failures: Column) -> Column:
-    kind = F.when(~probe_ok, "overloaded").when(failures > 0, "expired").otherwise("unknown")
-    sure = F.when(~probe_ok, 0.85).when(failures > 0, 0.9).otherwise(0.5)
-    return F.struct(kind.alias("diagnosis"), sure.alias("confidence"))
+    """diagnosis, confidence, explanation and reachable."""
+    whole = lambda k: F.struct(F.lit(k).alias("diagnosis"), *(F.lit(v).alias(n) for n, v in zip(("confidence", "explanation", "reachable"), DIAGNOSES[k], strict=True)))
+    return F.when(~probe_ok, whole("overloaded")).when(failures > 0, whole("expired")).otherwise(whole("unknown"))
 
 
 def webhook_delay_ms(retry_after_s: Column, attempt: Column) -> Column:

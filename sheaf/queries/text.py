@@ -71,9 +71,14 @@ def _cached(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", release.alias("r"), (_now() - F.make_dt_interval((F.col("o_orderkey") % 100).cast("int"))).alias("cached"))
 
 
-@query(_TTL + "select o_orderkey, category, cast(ttl_days as bigint) * 86400000 as ttl_ms, ttl_days || ' days' as ttl_human from k")
+@query(_TTL + """
+    select o_orderkey, category, cast(ttl_days as bigint) * 86400000 as ttl_ms, ttl_days || ' days' as ttl_human,
+           case when category = 'unknown' then 'no valid release date' when category = 'future' then 'released in ' || away || ' days' when category in ('recent', 'current_year') then 'released ' || (away // 30) || ' months ago'
+                else 'released ' || (year(now) - year(r)) || ' years ago' end as reason
+    from (select *, cast(floor(abs(epoch_ms(now) - epoch_ms(cast(r as timestamp))) / 86400000.0) as bigint) as away from k)
+""")
 def ttl_category(t: Tables) -> DataFrame:
-    return _cached(t).select("o_orderkey", cache.ttl(F.col("r"), _now()).alias("t")).select("o_orderkey", "t.category", "t.ttl_ms", "t.ttl_human")
+    return _cached(t).select("o_orderkey", cache.ttl(F.col("r"), _now()).alias("t")).select("o_orderkey", "t.category", "t.ttl_ms", "t.ttl_human", "t.reason")
 
 
 @query(_TTL + "select o_orderkey, age < ttl_days as valid from k")
@@ -205,10 +210,14 @@ def url_build(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.concat(F.lit("https://www.example.net/?q="), X.encode_part(F.col("p_name")), F.lit("&page="), (F.col("p_partkey") % 9).cast("string")).alias("url"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then 'overloaded' when event_id % 4 > 0 then 'expired' else 'unknown' end as diagnosis, case when event_id % 3 = 0 then 0.85 when event_id % 4 > 0 then 0.9 else 0.5 end::double as confidence from events")
+@query(f"""
+    with d as (select event_id, case when event_id % 3 = 0 then 'overloaded' when event_id % 4 > 0 then 'expired' else 'unknown' end as diagnosis from events)
+    select event_id, d.diagnosis, confidence, explanation, reachable from d
+    join (values {", ".join(f"('{k}', {c}::double, '{e}', {r})" for k, (c, e, r) in rules.DIAGNOSES.items())}) v(diagnosis, confidence, explanation, reachable) on v.diagnosis = d.diagnosis
+""")
 def probe_diagnosis(t: Tables) -> DataFrame:
     e = F.col("event_id")
-    return t.events.select("event_id", rules.diagnosis(e % 3 != 0, e % 4).alias("d")).select("event_id", "d.diagnosis", "d.confidence")
+    return t.events.select("event_id", rules.diagnosis(e % 3 != 0, e % 4).alias("d")).select("event_id", "d.*")
 
 
 @query("select event_id, event_type, event_type = 'view' or event_type in ('click', 'error') as enabled, event_type <> '' as every from events")
