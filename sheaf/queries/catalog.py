@@ -31,7 +31,7 @@ def _fields(t: Tables) -> DataFrame:
 """)
 def generic_extract(t: Tables) -> DataFrame:
     config = G.config_of(G.site_configs(t.spark), "article")
-    return G.extract(G.records(t.pages, config), config).select("page_id", "name")
+    return G.extract(G.records(D.spread(t.pages.select("page_id", "html")), config), config).select("page_id", "name")
 
 
 @query("select p_partkey as page_id, 'https://static.example.net/upload/items/2/' || p_partkey || '.jpg' as image_url from part")
@@ -49,7 +49,7 @@ def user_ratings(t: Tables) -> DataFrame:
 
 @query(r"""select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages""")
 def page_links(t: Tables) -> DataFrame:
-    pages = D.with_nodes(t.pages.select("page_id", "html"))
+    pages = D.with_nodes(D.spread(t.pages.select("page_id", "html")))
     links = F.transform(D.find(N, D.both(D.tag("a"), D.has("href"))), lambda n: D.attr(n, "href"))
     return pages.select("page_id", F.explode(links).alias("href"))
 
@@ -59,13 +59,13 @@ def page_links(t: Tables) -> DataFrame:
     select tag, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >/]', 1)) as tag from h) group by tag
 """)
 def dom_tag_frequency(t: Tables) -> DataFrame:
-    pages = D.with_nodes(t.pages.select("page_id", "html"))
+    pages = D.with_nodes(D.spread(t.pages.select("page_id", "html")))
     return pages.select(F.explode(F.transform(N, lambda n: n["tag"])).alias("tag")).where("tag <> '#text'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"select page_id, len(regexp_extract_all(html, 'class=\"ad\"')) as ads, len(regexp_extract_all(html, '<h1[ >]')) as headings from pages")
 def selector_counts(t: Tables) -> DataFrame:
-    pages = D.with_nodes(t.pages.select("page_id", "html"))
+    pages = D.with_nodes(D.spread(t.pages.select("page_id", "html")))
     return pages.select("page_id", F.size(G.select(N, ".ad")).alias("ads"), F.size(G.select(N, "h1")).alias("headings"))
 
 

@@ -68,6 +68,13 @@ def parse(html: str | None) -> list[dict]:
     return tree.nodes
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """``pages`` (a plain scan) over as many tasks as there are cores, where its files give fewer: to parse a page takes
+    milliseconds, so a small file would keep one core busy and leave the others idle."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def with_nodes(pages: DataFrame, html_col: str = "html", inner: dict[str, str] | None = None) -> DataFrame:
     """``pages`` with a column ``nodes`` in place of the html, which goes no further.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dom import spread
+
 
 def html(template: str) -> Column:
     """A template with SQL expressions in double braces."""
@@ -58,4 +60,4 @@ PAGE = (
 
 def catalog_pages(part: DataFrame) -> DataFrame:
     """One page per part: page_id, html."""
-    return part.select(F.col("p_partkey").alias("page_id"), html(PAGE).alias("html"))
+    return spread(part).select(F.col("p_partkey").alias("page_id"), html(PAGE).alias("html"))
