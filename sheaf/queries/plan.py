@@ -9,6 +9,7 @@ from ..plans import enrichment as P
 from ..plans.order import numbered
 from ..session import new_path
 from ..sources import inventory as I
+from ..sources.dom import spread
 from .registry import Tables, query
 
 
@@ -28,7 +29,7 @@ def _lines(t: Tables) -> DataFrame:
         '%s,"Order ""%s"", %s",%s, %s ,%s,%s,%s', F.when(F.col("o_orderkey") % 13 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")), F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderpriority"),
         F.expr("case o_orderstatus when 'F' then 'Owned' when 'O' then 'ORDERED' else 'Wished' end"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "Yes").otherwise("no"),
     )
-    lines = t.orders.select(d.alias("value"))
+    lines = spread(t.orders).select(d.alias("value"))
     return lines.unionByName(t.spark.createDataFrame([(HEADER,), ("",), ("   ",)], "value string"))
 
 

@@ -59,7 +59,8 @@ def parse_inventory(lines: DataFrame, header: str | None = None) -> DataFrame:
     rows = lines.select(trim("value").alias("value")).where("value <> ''")
     names = [r for r in lines.sparkSession.createDataFrame([(header,)], "value string").select(split_fields(F.col("value"))).first()[0]]
     at = header_fields(names)
-    rows = rows.where(F.col("value") != trim(F.lit(header))).select(split_fields(F.col("value")).alias("f"))
+    rows = rows.where(F.col("value") != trim(F.lit(header)))
+    rows = rows.select(F.explode(F.array(split_fields(F.col("value")))).alias("f"))  # a step of its own: else the test of the id would split each line once more
     field = lambda k: F.get(F.col("f"), F.lit(at.get(k, PLACES.get(k))))
     status = F.lower(F.coalesce(field("status"), F.lit("")))
     nsfw = F.coalesce(F.lower(field("nsfw")).isin("true", "1", "yes"), F.lit(False)) if "nsfw" in at else F.lit(None).cast("boolean")
