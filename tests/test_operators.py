@@ -90,7 +90,7 @@ def plain_fields(line):
 def test_fields_of_lines(spark):
     rng = random.Random(7)
     lines = ["", ",", 'a,"b,c",d', '"x""y",z', 'a"b,c"d,e', '"open,end', " a , b ", '""', '"a"b"c,d"'] + ["".join(rng.choices('ab ,"', k=rng.randint(0, 14))) for _ in range(300)]
-    lines = [x for x in lines if '""' not in x or x in ("\"x\"\"y\",z",)]  # doubled quotes outside quotes have no meaning
+    lines = [x for x in lines if '""' not in x or x == '"x""y",z']  # elsewhere a doubled quote opens and closes nothing
     rows = spark.createDataFrame([(x,) for x in lines], "value string").select("value", inventory.split_fields(F.col("value")).alias("f")).collect()
     assert {r.value: r.f for r in rows} == {x: plain_fields(x) for x in lines}
 
@@ -142,7 +142,7 @@ def test_a_page_is_parsed_once_and_read_by_all_parts(spark):
     got = {r.page_id: r.name for r in generic.extract(records, config).collect()}
     assert got == {1: "Rei", 2: None, 3: None}
     row = fields.catalog_fields(fields.field_table(catalog.with_fields(pages))).first()
-    assert (row.page_id, row.title, row.unknown_labels) == (1, "T1", ["Character"]) or row.title == "T1"
+    assert (row.page_id, row.title) == (1, "T1")
     record = generic.extract_catalog(pages)
     assert "MapInArrow" not in record._jdf.queryExecution().executedPlan().toString() and record.count() == 3
 
