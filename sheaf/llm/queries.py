@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter, warc
+from . import collocations, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, ranked_search, sharding, substring_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_lm_score, op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op7_substring_dedup,
+    op8_quality, op9_sharding, op10_mixing, op11_toxicity, op12_ranked_search, op13_collocations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_minhash_dedup, op3_decontamination, op4_url_filter, op5_warc, op6_exact_dedup, op7_substring_dedup, op8_quality, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -120,4 +138,36 @@ def oracle_sql() -> dict[str, str]:
             select t.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
             from t left join n on n.doc_id = t.doc_id left join k on k.doc_id = t.doc_id
         """,
+        "op12_ranked_search": r"""
+            with d as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+            q as (select item_id, term, count(*) as times
+                  from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+            n as (select doc_id, count(*) as n from d group by doc_id),
+            c as (select count(*) as docs, cast(sum(n) as bigint) as total from n),
+            tf as (select doc_id, term, count(*) as tf from d where term in (select term from q) group by all),
+            w as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf, c group by term, docs),
+            m as (select doc_id, 25 + (75 * n * docs) // total as m from n, c),
+            s as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+                  from tf join w using (term) join m using (doc_id) join q using (term) group by item_id, doc_id),
+            r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+            select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 10
+        """,
+        "op13_collocations": r"""
+            with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+            p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
+            n as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang),
+            g as (select lang, k, array_to_string(w[s:s + k - 1], ' ') as phrase, count(*) as f
+                  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from p, (values (1), (2), (3), (4), (5)) as x(k) where len(w) >= k) group by all having count(*) >= 100),
+            c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from g where k > 1),
+            x as (select lang, phrase, w, a, k, unnest(range(1, k)) as cut from c),
+            y as (select x.lang, x.phrase, x.a, cut, l.f as l, r.f as r, n, cast(cast(1000 as hugeint) * x.a * n // (cast(l.f as hugeint) * r.f) as bigint) as score
+                  from x join n on n.lang = x.lang join g l on l.lang = x.lang and l.phrase = array_to_string(w[1:cut], ' ')
+                  join g r on r.lang = x.lang and r.phrase = array_to_string(w[cut + 1:], ' ')),
+            b as (select * from y qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+            o as (select distinct c.lang, array_to_string(c.w[s:s + z.k - 1], ' ') as phrase, c.a
+                  from c, (values (2), (3), (4)) as z(k), unnest(range(1, 5)) as u(s) where z.k < c.k and s + z.k - 1 <= c.k),
+            v as (select distinct b.lang, b.phrase from b join o on o.lang = b.lang and o.phrase = b.phrase where 100 * o.a >= 100 * b.a),
+            r as (select lang, phrase, a, l, r, n, score, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b where (lang, phrase) not in (select lang, phrase from v))
+            select lang, cast(rank as integer) as rank, phrase, a, l, r, n, score from r where rank <= 2000
+        """,
     }
