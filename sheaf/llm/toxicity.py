@@ -21,10 +21,11 @@ THRESHOLD = 0.3
 MAX_LABELLED, MAX_UNITS = 20_000, 100_000
 #: Proper beginnings of a word, in characters, that count as units beside the word itself.
 STEMS = range(3, 9)
-#: A unit's log-odds count as far as they are sure by so many standard errors; a segment is significant below this many by chance.
-SURE, BY_CHANCE = 3.0, 0.05
-#: What a word without evidence adds.
-DRIFT = -0.1
+#: A unit's log-odds count as far as they are sure by so many standard errors, from so much on; a segment is significant
+#: below this many by chance.
+SURE, WORTH, BY_CHANCE = 3.0, 1.0, 0.05
+#: A word without evidence takes off at least so much, and so many times what a clean word gains on average: chance loses.
+DRIFT, AGAINST = 0.2, 3.0
 
 Segment = tuple[int, int, float]
 
@@ -62,6 +63,7 @@ class Model:
     """Scores of units, and how high segments score by chance: expected number K * n * exp(-lam * score) in n words."""
 
     units: dict[str, float] = field(default_factory=dict)
+    drift: float = -DRIFT
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
@@ -69,7 +71,7 @@ class Model:
 
     def word_score(self, word: bytes) -> float:
         own = [self.units[u] for u in units_of(word.decode()) if u in self.units]
-        return max(own) if own else DRIFT
+        return max(own) if own else self.drift
 
     def by_chance(self, score: float, n: int) -> float:
         return self.k * n * exp(-min(self.lam * score, 700.0))
@@ -122,14 +124,14 @@ def lexicon(docs: DataFrame, learnt: DataFrame) -> tuple[dict[str, float], np.nd
     """Units that tell toxic texts from others with their sure log-odds, and the shares of clean words that have each score.
 
     The log-odds of a unit compare the classes under a Dirichlet prior in proportion to the whole corpus, as strong as the
-    smaller class; a text counts a unit once.
+    smaller class; a text counts a unit once for each of its distinct words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = (Counter(), Counter())
             for text, toxic in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update({u for w in set(terms_of(text)) for u in units_of(w.decode())})
+                seen[toxic].update(u for w in set(terms_of(text)) for u in units_of(w.decode()))
             both = list(seen[0] | seen[1])
             counts = [pa.array([c[u] for u in both], pa.int64()) for c in seen]
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *counts], names=["unit", "clean", "toxic"])
@@ -147,7 +149,7 @@ def lexicon(docs: DataFrame, learnt: DataFrame) -> tuple[dict[str, float], np.nd
     share = lambda c, n: F.log((F.col(c) + a) / (F.lit(n + strength) - F.col(c) - a))
     sure = counted.join(units, "unit").withColumn("d", share("toxic", all_.toxic) - share("clean", all_.clean))
     sure = sure.withColumn("sd", F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))).withColumn("score", F.col("d") - SURE * F.col("sd"))
-    sure = sure.where("score > 0").select("unit", "score", ((F.col("clean") + a) / F.lit(all_.clean + strength)).alias("p")).orderBy(F.desc("score"), "unit").limit(MAX_UNITS).collect()
+    sure = sure.where(F.col("score") >= WORTH).select("unit", "score", ((F.col("clean") + a) / F.lit(all_.clean + strength)).alias("p")).orderBy(F.desc("score"), "unit").limit(MAX_UNITS).collect()
     return {r.unit: r.score for r in sure}, np.array([r.score for r in sure]), np.array([r.p for r in sure])
 
 
@@ -160,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     model.units, s, p = lexicon(docs, learnt)
     if not model.units:
         return model
+    model.drift = -max(DRIFT, AGAINST * float((p * s).sum()))
     low, high = 1e-6, 1.0  # lam solves: mean of exp(lam * score) over clean words is 1
-    mean = lambda x: float((p * np.exp(x * s)).sum() + max(0.0, 1 - p.sum()) * np.exp(x * DRIFT))
+    mean = lambda x: float((p * np.exp(x * s)).sum() + max(0.0, 1 - p.sum()) * np.exp(x * model.drift))
     while mean(high) < 1:
         high *= 2
     for _ in range(60):
@@ -172,18 +175,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     clean = [(r.n, max(r.s, default=0.0)) for r in seen if not r.toxic and r.n]
     model.k = (len(clean) + 1) / (sum(n * exp(-model.lam * x) for n, x in clean) + 1)
     x = np.array([np.log1p(model.evidence([(0, 0, v) for v in r.s], r.n)) for r in seen])
-    y = np.array([r.toxic for r in seen], np.float64)
-    w = np.array([model.base, 0.0])
-    for _ in range(50):  # Newton steps of a logistic curve with a small penalty on its slope
-        q = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
-        h = q * (1 - q) + 1e-9
-        g = np.array([(y - q).sum() + 0.5 - q.mean(), ((y - q) * x).sum() - 0.01 * w[1]])
-        w = w + np.linalg.solve(np.array([[h.sum() + 0.1, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 0.01]]), np.clip(g, -1e6, 1e6))
-        w = np.clip(w, -20, 20)
-    model.base, model.slope = float(w[0]), float(max(0.0, w[1]))
+    model.base, model.slope = logistic(x, np.array([r.toxic for r in seen], np.float64), model.base)
     return model
 
 
+def logistic(x: np.ndarray, y: np.ndarray, base: float) -> tuple[float, float]:
+    """Base and slope (not below 0) of a logistic curve, by short Newton steps, with a small penalty on both."""
+    w = np.array([base, 0.0])
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
+        h = q * (1 - q)
+        slope = np.array([(y - q).sum() - 0.05 * (w[0] - base), ((y - q) * x).sum() - 0.05 * w[1]])
+        curve = np.array([[h.sum() + 0.05, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 0.05]])
+        w = w + np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+    return float(w[0]), float(max(0.0, w[1]))
+
+
 PASSAGE = "struct<first:int,past:int,score:double,by_chance:double>"
 
 
