@@ -1,65 +1,19 @@
-"""Sessions and pacing as folds over logged events, in batch.  ``streaming`` has the same folds on streams."""
+"""Sessions as folds over logged events, in batch.  ``streaming`` has the same folds on streams, ``pacing`` the request delay."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..plans.order import numbered
 
 #: The phases of a sync in order; any of them may end in the last.
 PHASES = ("validating", "exporting", "parsing", "fetching_activity_order", "fetching_lists", "queueing", "enriching", "completed", "failed")
 #: Fixed values of the state machines.
-BASE_MS, LEAST_MS, MOST_MS, FACTOR, STREAK = 2067, 274, 180_000, 1.4, 3
 PAUSE_AT, COOLDOWN_MS, SESSION_TTL_MS, AUTH_ERRORS, MAX_SESSIONS = 3, 20_000, 600_000, 2, 100
 
 
-def adaptive_delay(outcomes: DataFrame, key: str) -> DataFrame:
-    """key, delay_ms, streak, n after all of a key's outcomes (columns ts, seq, outcome: success, rate_limited, other).
-
-    Three successes in a row shorten the delay, a rate limit lengthens it, any failure ends the streak.  The fold needs
-    a key's outcomes in order: they are dealt by key and sorted, and a task carries two numbers from row to row, so a
-    key's log may be of any length.
-    """
-    rows = outcomes.select(key, "ts", "seq", "outcome").repartition(key).sortWithinPartitions(key, "ts", "seq")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        for b in batches:
-            keys, states = [], []
-            for k, outcome in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if state is None or k != at:
-                    if state is not None:
-                        keys.append(at), states.append(state)
-                    at, state = k, (float(BASE_MS), 0, 0)
-                state = paced(state, outcome)
-            yield _states(b.schema.field(0).type, keys, states)
-        if state is not None:
-            yield _states(b.schema.field(0).type, [at], [state])
-
-    def _states(kind: pa.DataType, keys: list, states: list) -> pa.RecordBatch:
-        columns = [pa.array(keys, kind), *(pa.array([s[k] for s in states], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int64())))]
-        return pa.RecordBatch.from_arrays(columns, names=[key, "delay_ms", "streak", "n"])
-
-    return rows.mapInArrow(run, f"{key} {outcomes.schema[key].dataType.simpleString()}, delay_ms double, streak int, n long")
-
-
-def paced(state: tuple[float, int, int], outcome: str) -> tuple[float, int, int]:
-    """Delay, streak and count after one more outcome."""
-    delay, streak, n = state
-    if outcome == "success":
-        streak += 1
-        if streak >= STREAK:
-            delay, streak = max(float(LEAST_MS), float(math.floor(delay / FACTOR))), 0
-    else:
-        delay, streak = min(float(MOST_MS), delay * FACTOR) if outcome == "rate_limited" else delay, 0
-    return delay, streak, n + 1
-
-
 def failure_runs(events: DataFrame) -> DataFrame:
     """Events (session_id, ts, seq, kind: failure, success, resume) with ``failures``, the run of failures up to each."""
     by = Window.partitionBy("session_id").orderBy("ts", "seq")
@@ -159,3 +113,41 @@ def phase_progress(steps: DataFrame) -> DataFrame:
     last = len(PHASES)
     goes_on = F.when(F.col("before").isNull(), F.col("number").isin(1, last)).otherwise((F.col("before") < last - 1) & ((F.col("number") == F.col("before") + 1) | (F.col("number") == last)))
     return rows.withColumn("in_order", F.coalesce(goes_on, F.lit(False))).drop("before")
+
+
+def retry_rounds(queue: DataFrame, attempts: DataFrame, most: int, order: list[Column]) -> DataFrame:
+    """The queue round by round until nothing goes back: round, item_id, lane, position, tries, action, and the queue's
+    other columns as they were.
+
+    ``queue`` has a row for each item, ``attempts`` what became of its tries (see ``attempt_actions``).  In each round all
+    that wait are tried in the queue's order (lane, then ``order``); what is requeued or held waits in the next round with
+    its lane and age kept, what is completed or failed leaves.  An item without a further try waits (action ``waiting``).
+    An item's rounds depend on its own tries alone, so all rounds come from one pass and no loop on the driver.
+    """
+    tried = attempt_actions(attempts, most).where("action <> 'ignored'")
+    tried = tried.withColumn("round", F.row_number().over(Window.partitionBy("item_id").orderBy("ts", "seq"))).select("item_id", "round", "action")
+    last = tried.groupBy("item_id").agg(F.max("round").alias("round"), F.max_by("action", "round").alias("action"))
+    waits = queue.select("item_id").join(last, "item_id", "left").where("action is null or action in ('requeued', 'held')")
+    waits = waits.select("item_id", (F.coalesce("round", F.lit(0)) + 1).alias("round"), F.lit("waiting").alias("action"))
+    rows = queue.join(tried.unionByName(waits), "item_id").withColumn("tries", F.col("round") - 1)
+    return numbered(rows.withColumn("_lane", -rules.lane_rank(F.col("lane"))), ["round"], [F.col("_lane"), *order], "position").drop("_lane")
+
+
+def phase_times(steps: DataFrame, key: str, phase: str) -> DataFrame:
+    """Per key: milliseconds from each step to the next, those of ``phase`` alone as ``phase_ms`` and all as ``total_ms``."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    gaps = steps.select(key, "phase", (F.lead(ms).over(Window.partitionBy(key).orderBy("ts", "seq")) - ms).alias("gap"))
+    return gaps.groupBy(key).agg(F.sum(F.when(F.col("phase") == phase, F.col("gap"))).cast("double").alias("phase_ms"), F.sum("gap").cast("double").alias("total_ms"))
+
+
+def surviving(sessions: DataFrame, validations: DataFrame) -> DataFrame:
+    """Sessions (session_id, validated_at, auth_errors, failures, last_failure) after new validations (session_id, ts): the
+    time is the newest, errors start anew, and what is known of failures survives.  A session that is validated for the
+    first time has no failures; one without a new validation stays as it is."""
+    newest = validations.groupBy("session_id").agg(F.max("ts").alias("_ts"))
+    out = sessions.join(newest, "session_id", "full")
+    fresh = F.col("_ts").isNotNull()
+    return out.select(
+        "session_id", F.greatest("validated_at", "_ts").alias("validated_at"), F.when(fresh, 0).otherwise(F.col("auth_errors")).cast("long").alias("auth_errors"),
+        F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), "last_failure",
+    )

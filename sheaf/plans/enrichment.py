@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cache, rules
@@ -62,6 +62,39 @@ def merge_requests(requests: DataFrame) -> DataFrame:
     return merged
 
 
+def pending_entries(log: DataFrame) -> DataFrame:
+    """The queue's entries over time: item_id, opened (seq of the first request), lane, users, has_cookies, requests,
+    ended_by (seq of the row that ended it, null while it waits).
+
+    ``log`` has item_id, ts, seq, kind (request, or anything else for the item's end), user_id, lane, has_cookies.  A
+    request of an item that waits joins its entry; one after the end opens a new entry.  An end without an entry changes
+    nothing.
+    """
+    before = Window.partitionBy("item_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    asks = F.col("kind") == "request"
+    rows = log.withColumn("asks", F.coalesce(asks, F.lit(False))).withColumn("ends", F.count_if(~F.col("asks")).over(before))
+    first = F.struct("ts", "seq")
+    cookie_lane = F.min(F.when(F.col("asks") & F.col("has_cookies"), F.struct("ts", "seq", "lane")))["lane"]
+    rank = F.max(F.when(F.col("asks"), rules.lane_rank(F.col("lane"))))
+    merged = rows.groupBy("item_id", "ends").agg(
+        F.min_by("seq", F.when(F.col("asks"), first)).alias("opened"),
+        F.when((rank == 3) | F.coalesce(cookie_lane != "COLD", F.lit(False)), "HOT").when(rank == 2, "WARM").otherwise("COLD").alias("lane"),
+        F.count_distinct(F.when(F.col("asks"), F.col("user_id"))).alias("users"), F.coalesce(F.max(F.when(F.col("asks"), F.col("has_cookies"))), F.lit(False)).alias("has_cookies"),
+        F.count_if("asks").alias("requests"), F.max(F.when(~F.col("asks"), F.col("seq"))).alias("ended_by"),
+    )
+    return merged.where("requests > 0").drop("ends")
+
+
+def admission_counts(merged: DataFrame) -> DataFrame:
+    """One row over ``merge_requests``: requests that joined a waiting one, and entries queued."""
+    return merged.agg(F.sum(F.col("requests") - 1).alias("deduplicated"), F.count(F.lit(1)).alias("queued"))
+
+
+def session_users(requests: DataFrame) -> DataFrame:
+    """Per session the users that ask through it, each once, in order."""
+    return requests.where("session_id is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("user_id")).alias("users"))
+
+
 def scored(queue: DataFrame, now) -> DataFrame:
     age = (F.unix_millis(now) - F.unix_millis(F.col("queued_at").cast("timestamp"))) / 60000
     return queue.withColumn("score", rules.score(F.col("status"), F.col("has_cookies") & F.col("session_id").isNotNull(), F.col("users"), age))

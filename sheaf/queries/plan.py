@@ -130,6 +130,15 @@ def queue_order(t: Tables) -> DataFrame:
     return P.admitted(_queue(t)).select("item_id", "lane", F.round("score", 6).cast("double").alias("score"))
 
 
+@query(f"""
+    with {_REQUESTS}, c as (select *, row_number() over (partition by lane order by queued_at, item_id) as arrival from s)
+    select item_id, lane, round(score, 6) as score from c where arrival <= 20
+""")
+def queue_admitted(t: Tables) -> DataFrame:
+    """What a queue of 20 places a lane takes: the rest is turned away."""
+    return P.admitted(_queue(t), 20).select("item_id", "lane", F.round("score", 6).cast("double").alias("score"))
+
+
 @query(f"with {_REQUESTS} select item_id, lane, position from p")
 def queue_position(t: Tables) -> DataFrame:
     return P.positions(_queue(t)).select("item_id", "lane", "position")
@@ -162,7 +171,7 @@ def pending_by_session(t: Tables) -> DataFrame:
 
 @query(f"with {_REQUESTS} select sum(requests - 1) as deduplicated, count(*) as queued from d")
 def admission_counts(t: Tables) -> DataFrame:
-    return P.merge_requests(_requests(t)).agg(F.sum(F.col("requests") - 1).alias("deduplicated"), F.count(F.lit(1)).alias("queued"))
+    return P.admission_counts(P.merge_requests(_requests(t)))
 
 
 @query(f"with {_REQUESTS} select c_custkey as item_id from customer where c_custkey in (select item_id from d)")

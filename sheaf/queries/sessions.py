@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import pacing
 from ..operators import sessions as S
-from ..streaming import folds
-from .plan import _REQUESTS, _requests
+from ..plans import enrichment as P
+from ..streaming import folds, states
+from .plan import _REQUESTS, _now as _queue_time, _requests
 from .registry import Tables, query
 
 
@@ -37,7 +39,7 @@ _PACED = """
 
 @query(_PACED)
 def adaptive_delay(t: Tables) -> DataFrame:
-    return S.adaptive_delay(outcomes(t.events), "user_id").withColumn("delay_ms", F.round("delay_ms", 3))
+    return pacing.adaptive_delay(outcomes(t.events), "user_id").withColumn("delay_ms", F.round("delay_ms", 3))
 
 
 _SESSIONS = """
@@ -81,10 +83,14 @@ def session_valid(t: Tables) -> DataFrame:
     return _validated(t).select("session_id", S.session_valid(F.col("validated_at"), F.col("auth_errors"), F.lit("2024-01-30 00:05:00").cast("timestamp")).alias("valid"))
 
 
-@query("select event_id, cast(epoch_us(ts) // 1000 - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) // 1000 as double) as gap_ms from events")
+@query("""
+    with g as (select event_id, user_id, cast(epoch_us(ts) // 1000 - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) // 1000 as double) as gap_ms from events)
+    select event_id, gap_ms, coalesce(gap_ms < (user_id % 5 + 1) * 60000, false) as too_early, coalesce(greatest(0, (user_id % 5 + 1) * 60000 - gap_ms), 0) as wait_ms from g
+""")
 def request_gap(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", (ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).cast("double").alias("gap_ms"))
+    rows = t.events.withColumnRenamed("event_id", "seq")
+    gaps = pacing.request_gaps(rows, "user_id", ((F.col("user_id") % 5 + 1) * 60000).cast("double"))
+    return gaps.select(F.col("seq").alias("event_id"), "gap_ms", "too_early", "wait_ms")
 
 
 @query("""
@@ -92,9 +98,8 @@ def request_gap(t: Tables) -> DataFrame:
     from (select user_id, event_type, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) // 1000 - epoch_us(ts) // 1000 as gap from events) group by user_id
 """)
 def phase_timings(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gaps = t.events.select("user_id", "event_type", (F.lead(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - ms).alias("gap"))
-    return gaps.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "view", F.col("gap"))).cast("double").alias("view_ms"), F.sum("gap").cast("double").alias("total_ms"))
+    steps = t.events.select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("phase"))
+    return S.phase_times(steps, "user_id", "view").withColumnRenamed("phase_ms", "view_ms")
 
 
 @query(_VALIDATED + "select count(*) as cached, count(*) filter (epoch_ms(timestamp '2024-01-30 00:05:00') - epoch_ms(validated_at) < 600000) as active from v")
@@ -142,9 +147,12 @@ _ATTEMPTS = """
 
 @query(_ATTEMPTS + "select x.item_id, seq, retries, case when k > stop then 'ignored' else act end as action from x left join f on f.item_id = x.item_id")
 def retry_loop(t: Tables) -> DataFrame:
+    return S.attempt_actions(_tries(t), 5).select("item_id", "seq", "retries", "action")
+
+
+def _tries(t: Tables) -> DataFrame:
     error = F.expr("case event_type when 'error' then 'HTTP 429' when 'view' then 'request timeout' when 'click' then 'net::ERR_FAILED' when 'purchase' then if(event_id % 7 = 0, null, 'HTTP 404') else if(event_id % 2 = 0, 'odd', null) end")
-    rows = t.events.select(F.col("user_id").alias("item_id"), "ts", F.col("event_id").alias("seq"), error.alias("error"), (F.col("user_id") % 3 == 0).alias("has_session"), (F.col("event_id") % 4 == 0).alias("is_paused"))
-    return S.attempt_actions(rows, 5).select("item_id", "seq", "retries", "action")
+    return t.events.select(F.col("user_id").alias("item_id"), "ts", F.col("event_id").alias("seq"), error.alias("error"), (F.col("user_id") % 3 == 0).alias("has_session"), (F.col("event_id") % 4 == 0).alias("is_paused"))
 
 
 @query(f"""
@@ -181,3 +189,83 @@ def stream_requests(t: Tables) -> DataFrame:
         return folds.merged_requests(_requests(view))
 
     return folds.replay(t.spark, f"{t.folder}/events.parquet", run, "item_id")
+
+
+def entry_log(events: DataFrame) -> DataFrame:
+    """Requests for items, and what ends their entries, read from the events."""
+    e, item = F.col("event_id"), F.col("user_id") % 200
+    kind = F.expr("case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'request' end")
+    lane = F.expr("case when event_type = 'signup' then 'HOT' when event_id % 4 = 0 then 'WARM' else 'COLD' end")
+    return events.select(item.alias("item_id"), "ts", e.alias("seq"), kind.alias("kind"), (e % 7).alias("user_id"), lane.alias("lane"), (e % 3 == 0).alias("has_cookies"))
+
+
+_ENTRIES = """
+    with e as (select user_id % 200 as item_id, ts, event_id as seq, event_type in ('purchase', 'error') as ends, event_id % 7 as who, case when event_type = 'signup' then 3 when event_id % 4 = 0 then 2 else 1 end as rank,
+                      event_id % 3 = 0 as cookies from events),
+    n as (select *, coalesce(sum(ends::int) over (partition by item_id order by ts, seq rows between unbounded preceding and 1 preceding), 0) as entry, row_number() over (partition by item_id order by ts, seq) as k from e),
+    g as (select item_id, min_by(seq, k) filter (not ends) as opened, max(rank) filter (not ends) as rank, min_by(rank, k) filter (not ends and cookies) as cookie_rank, count(distinct who) filter (not ends) as users,
+                 coalesce(bool_or(cookies) filter (not ends), false) as has_cookies, count(*) filter (not ends) as requests, max(seq) filter (ends) as ended_by from n group by item_id, entry)
+    select item_id, opened, case when rank = 3 or coalesce(cookie_rank > 1, false) then 'HOT' when rank = 2 then 'WARM' else 'COLD' end as lane, users, has_cookies, requests, ended_by from g where requests > 0
+"""
+
+
+@query(_ENTRIES)
+def pending_entries(t: Tables) -> DataFrame:
+    return P.pending_entries(entry_log(t.events))
+
+
+@query(_ENTRIES)
+def stream_pending_entries(t: Tables) -> DataFrame:
+    states.with_rocksdb(t.spark)
+    return folds.replay(t.spark, f"{t.folder}/events.parquet", lambda s: states.pending_entries(entry_log(s)), ["item_id", "opened"])
+
+
+_COOLING = _SESSIONS + "select session_id, failures, is_paused, pauses, coalesce(epoch_ms(last_failure) + 20000 > (select epoch_ms(max(ts)) from events), false) as is_cooling from s"
+
+
+@query(_COOLING)
+def session_cooldowns(t: Tables) -> DataFrame:
+    newest = t.events.agg(F.max("ts").cast("timestamp").alias("now"))
+    states_ = S.session_states(session_events(t.events)).join(F.broadcast(newest))  # one row
+    return states_.select("session_id", "failures", "is_paused", "pauses", (S.cooldown_ms(F.col("last_failure"), F.col("now")) > 0).alias("is_cooling"))
+
+
+@query(_COOLING)
+def stream_session_cooldowns(t: Tables) -> DataFrame:
+    states.with_rocksdb(t.spark)
+    return folds.replay(t.spark, f"{t.folder}/events.parquet", lambda s: states.session_cooldowns(session_events(s)), "session_id")
+
+
+@query(f"""
+    {_ATTEMPTS.strip().replace("with a as", "with recursive a as", 1)},
+    {_REQUESTS},
+    y as (select x.item_id, k, act from x left join f on f.item_id = x.item_id where stop is null or k <= stop),
+    r as (select item_id, lane, 1 as round, 0 as tries, coalesce((select act from y where y.item_id = d.item_id and k = 1), 'waiting') as action from d
+          union all
+          select r.item_id, lane, round + 1, tries + 1, coalesce(y.act, 'waiting') from r left join y on y.item_id = r.item_id and y.k = r.round + 1 where action in ('requeued', 'held'))
+    select round, item_id, lane, tries, action, row_number() over (partition by round order by case lane when 'HOT' then 0 when 'WARM' then 1 else 2 end, score desc, queued_at, item_id) - 1 as position
+    from r join (select item_id, score, queued_at from s) using (item_id)
+""")
+def retry_rounds(t: Tables) -> DataFrame:
+    queue = P.scored(P.merge_requests(_requests(t)), _queue_time())
+    order = [F.desc("score"), F.col("queued_at"), F.col("item_id")]
+    return S.retry_rounds(queue, _tries(t), 5, order).select("round", "item_id", "lane", "tries", "action", "position")
+
+
+@query("""
+    with v as (select user_id as session_id, max(ts) as validated_at, count(*) filter (event_type = 'error') % 4 as auth_errors, count(*) filter (event_type = 'click') % 3 as failures, max(ts) filter (event_type = 'click') as last_failure
+               from events where event_id % 2 = 0 group by user_id),
+    w as (select user_id as session_id, max(ts) as ts from events where event_id % 7 = 3 group by user_id)
+    select session_id, greatest(validated_at, ts) as validated_at, case when ts is not null then 0 else auth_errors end as auth_errors, coalesce(failures, 0) as failures, last_failure from v full join w using (session_id)
+""")
+def session_history(t: Tables) -> DataFrame:
+    old = t.events.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("session_id")).agg(
+        F.max("ts").alias("validated_at"), (F.count_if(F.col("event_type") == "error") % 4).alias("auth_errors"),
+        (F.count_if(F.col("event_type") == "click") % 3).alias("failures"), F.max(F.when(F.col("event_type") == "click", F.col("ts"))).alias("last_failure"),
+    )
+    return S.surviving(old, t.events.where("event_id % 7 = 3").select(F.col("user_id").alias("session_id"), "ts"))
+
+
+@query(f"with {_REQUESTS} select session_id, list_sort(list_distinct(list(who))) as users from q where session_id is not null group by session_id")
+def session_users(t: Tables) -> DataFrame:
+    return P.session_users(_requests(t))

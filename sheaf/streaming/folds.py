@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sessions import BASE_MS, PAUSE_AT, paced
+from ..operators.pacing import BASE_MS, paced
+from ..operators.sessions import PAUSE_AT
 from ..session import shared_dir
 
 RANK = {"COLD": 1, "WARM": 2, "HOT": 3}
@@ -72,7 +73,7 @@ def merged_requests(requests: DataFrame) -> DataFrame:
     return _stateful(rows, "item_id", "long", "lane string, users array<long>, cookies boolean, n long", ("COLD", [], False, 0), step, lambda s: (s[0], len(s[1]), s[2], s[3]), "lane string, users int, has_cookies boolean, requests long")
 
 
-def replay(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], key: str, per_batch: int = 4) -> DataFrame:
+def replay(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], key: str | list[str], per_batch: int = 4) -> DataFrame:
     """Run a fold over the files at ``path`` as a stream, to its end; the last row of each key.
 
     Batches go to a folder of the shared directory by number, so a batch that is run again replaces itself.

@@ -12,11 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions.records import hmac_sha256, redact_json
-from sheaf.operators import fields, generic, lists, sessions
+from sheaf.operators import fields, generic, lists, pacing, sessions
 from sheaf.plans import enrichment, order
-from sheaf.queries.sessions import outcomes, session_events
+from sheaf.queries.sessions import entry_log, outcomes, session_events
 from sheaf.sources import catalog, dom, inventory
-from sheaf.streaming import folds
+from sheaf.streaming import folds, states
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_streams_agree_with_batches_over_three_files(spark, three_files):
     assert len(events.inputFiles()) == 3
     rows = lambda df: sorted(map(tuple, df.collect()))
     stream = folds.replay(spark, three_files, lambda s: folds.adaptive_delay(outcomes(s), "user_id"), "user_id", per_batch=1)
-    assert rows(stream) == rows(sessions.adaptive_delay(outcomes(events), "user_id"))
+    assert rows(stream) == rows(pacing.adaptive_delay(outcomes(events), "user_id"))
     stream = folds.replay(spark, three_files, lambda s: folds.session_states(session_events(s)), "session_id", per_batch=1)
     assert rows(stream) == rows(sessions.session_states(session_events(events)).select("session_id", "failures", "is_paused", "pauses"))
 
@@ -48,12 +48,12 @@ def test_adaptive_delay_carries_a_key_across_batches(spark):
     log = [(k, datetime(2024, 1, 1), i, rng.choice(["success", "success", "success", "rate_limited", "other"])) for k in range(3) for i in range(4000)]
     truth = {}
     for k, _, _, outcome in log:
-        truth[k] = sessions.paced(truth.get(k, (2067.0, 0, 0)), outcome)
+        truth[k] = pacing.paced(truth.get(k, (2067.0, 0, 0)), outcome)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "900")
-    got = {r[0]: tuple(r)[1:] for r in sessions.adaptive_delay(spark.createDataFrame(log, "key long, ts timestamp, seq long, outcome string").orderBy(F.rand(1)), "key").collect()}
+    got = {r[0]: tuple(r)[1:] for r in pacing.adaptive_delay(spark.createDataFrame(log, "key long, ts timestamp, seq long, outcome string").orderBy(F.rand(1)), "key").collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert got == truth
-    assert sessions.adaptive_delay(spark.createDataFrame([], "key long, ts timestamp, seq long, outcome string"), "key").collect() == []
+    assert pacing.adaptive_delay(spark.createDataFrame([], "key long, ts timestamp, seq long, outcome string"), "key").collect() == []
 
 
 def test_keyed_digests(spark):
