@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import similarity
+from ..session import written
+from .text import similarity, trim
 
 #: Label pattern, strategy, category, role.
 LABELS = (
@@ -98,6 +99,38 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(LABELS, 1)], "prio int, pattern string, strategy string, category string, role string")
 
 
+def role_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(ROLES, 1)], "prio int, pattern string, role string")
+
+
+#: Rules of a table that are broadcast at once.
+RULES_AT_ONCE = 10_000
+
+
+def match_rules(rows: DataFrame, text: str, table: DataFrame, name: str = "rule") -> DataFrame:
+    """``rows`` with ``name``, the first rule by ``prio`` whose ``pattern`` fits the whole trimmed text, whatever its case; a
+    struct of the table's columns but the pattern, null where none fits.
+
+    ``table`` is data: ``registry`` or ``role_table``, or either with a user's rows unioned in (of equal priorities the
+    smaller pattern counts).  Each distinct text is tried once; a table longer than ``RULES_AT_ONCE`` is tried in parts.
+    Null texts fit nothing.
+    """
+    known = table.withColumn("_part", F.lit(0))
+    parts = -(-table.count() // RULES_AT_ONCE)
+    if parts > 1:
+        known = written(table.withColumn("_part", F.pmod(F.xxhash64("prio", "pattern"), F.lit(parts)).cast("int")), "rules")
+    kept = [c for c in table.columns if c != "pattern"]
+    texts = rows.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    texts = written(texts, "texts") if parts > 1 else texts
+    fits = F.rlike(trim("_text"), F.concat(F.lit("(?i)^(?:"), F.col("pattern"), F.lit(r")\z")))
+    tried = [texts.join(F.broadcast(known.where(F.col("_part") == k)), fits) for k in range(max(1, parts))]
+    every = tried[0]
+    for more in tried[1:]:
+        every = every.unionByName(more)
+    first = every.groupBy("_text").agg(F.min_by(F.struct(*kept), F.struct("prio", "pattern")).alias(name))
+    return rows.join(first, rows[text] == first["_text"], "left").drop("_text")
+
+
 def role_name(role: Column) -> Column:
     """The usual name of a trimmed role, itself if there is none; also better a column."""
     return F.coalesce(_first(role, ROLES, lambda r: F.lit(r[0])), role)

@@ -42,6 +42,28 @@ def csv_inventory(t: Tables) -> DataFrame:
     return _items(t)
 
 
+@query(f"with {_ITEMS} select * replace (case when cast(item_id as bigint) % 4 = 1 then null else is_nsfw end as is_nsfw) from i")
+def csv_files(t: Tables) -> DataFrame:
+    """Files with columns of other names and order, each read by its own header."""
+    key = F.col("o_orderkey")
+    cells = {
+        "id": F.when(key % 13 == 0, "n/a").otherwise(key.cast("string")), "name": F.format_string('Order "%s", %s', key.cast("string"), F.col("o_orderpriority")), "category": F.col("o_orderpriority"),
+        "status": F.expr("case o_orderstatus when 'F' then 'Owned' when 'O' then 'ORDERED' else 'Wished' end"), "date": F.date_format("o_orderdate", "yyyy-MM-dd"), "price": F.col("o_custkey").cast("string"),
+        "nsfw": F.when(key % 3 == 0, "Yes").otherwise("no"),
+    }
+    shapes = (
+        (("ID", "id"), ("Name", "name"), ("Category", "category"), ("Status", "status"), ("Release Date", "date"), ("Price", "price"), ("NSFW", "nsfw")),
+        (("Price", "price"), ("Status", "status"), ("Item ID", "id"), ("Title", "name"), ("Release Date", "date"), ("Type", "category")),
+        (("Adult?", "nsfw"), ("Released", "date"), ("Cost", "price"), ("Item", "id"), ("Name", "name"), ("Item type", "category"), ("Owned", "status")),
+        (("Name", "name"), ("ID", "id"), ("NSFW", "nsfw"), ("Category", "category"), ("Status", "status"), ("Price", "price"), ("Release", "date")),
+    )
+    paths = []
+    for k, shape in enumerate(shapes):
+        paths.append(new_path(t.spark, "inventory"))
+        t.orders.where(key % 4 == k).select(*(cells[c].alias(h) for h, c in shape)).write.option("header", True).option("escape", '"').csv(paths[-1])
+    return I.parse_inventory_files(t.spark, paths)
+
+
 @query(f"with {_ITEMS} select count(*) as total, count(*) filter (status = 'owned') as owned, count(*) filter (status = 'ordered') as ordered, count(*) filter (status = 'wished') as wished, count(*) filter (is_nsfw) as nsfw from i")
 def status_stats(t: Tables) -> DataFrame:
     return P.status_stats(_items(t))

@@ -40,6 +40,42 @@ def label_lookup(t: Tables) -> DataFrame:
     return rows.select("event_id", "label", "rule.prio", "rule.strategy", "rule.role")
 
 
+_FOUND = f"""
+    with e as (select event_id, case when event_id % 13 = 12 then 'Maker of ' || event_type else list_extract({list(LABELS)}, cast(event_id % 12 + 1 as int)) end as label from events), l as (select *, lower(trim(label)) as k from e),
+    r as (select event_id, label,
+           case when k like 'maker of %' then 0 when k = 'distributor' then 0 else case k when 'company' then 1 when 'artists' then 2 when 'original  illustrators' then 6 when 'colour producers' then 11 when 'title' then 12
+                  when 'releases view all (+12)hide' then 20 when 'owned by' then 23 when 'top 100' then 35 when 'shops' then 37 end end as prio,
+           case when k like 'maker of %' then 'individual' when k = 'distributor' then 'skip' else case k when 'company' then 'grouped' when 'artists' then 'grouped' when 'original  illustrators' then 'individual'
+                  when 'colour producers' then 'individual' when 'title' then 'text' when 'releases view all (+12)hide' then 'releases' when 'owned by' then 'count' when 'top 100' then 'skip' when 'shops' then 'skip' end end as strategy,
+           case when k like 'maker of %' then 'company' when k = 'distributor' then 'custom' else case k when 'company' then 'company' when 'artists' then 'artist' when 'original  illustrators' then 'artist'
+                  when 'colour producers' then 'artist' when 'title' then 'metadata' when 'releases view all (+12)hide' then 'release' when 'owned by' then 'metadata' when 'top 100' then 'metadata' when 'shops' then 'metadata' end end as category,
+           case when k like 'maker of %' then substr(k, 10) when k = 'distributor' then null else case k when 'original  illustrators' then 'Illustrator' when 'colour producers' then 'Color Producer' end end as role from l)
+"""
+
+
+def _user_rules(t: Tables) -> DataFrame:
+    """The registry with a user's rows before it: one for each type of event, and one that overrides a rule."""
+    own = t.events.select("event_type").distinct().selectExpr("0 as prio", r"concat('maker\\s+of\\s+', event_type) as pattern", "'individual' as strategy", "'company' as category", "event_type as role")
+    other = t.spark.createDataFrame([(0, "distributors?", "skip", "custom", None)], "prio int, pattern string, strategy string, category string, role string")
+    return rules.registry(t.spark).unionByName(own).unionByName(other)
+
+
+def _found_labels(t: Tables) -> DataFrame:
+    label = F.when(F.col("event_id") % 13 == 12, F.concat(F.lit("Maker of "), "event_type")).otherwise(_pick("event_id", *LABELS))
+    return rules.match_rules(t.events.select("event_id", label.alias("label")), "label", _user_rules(t))
+
+
+@query(_FOUND + "select * from r")
+def label_rules(t: Tables) -> DataFrame:
+    return _found_labels(t).select("event_id", "label", "rule.prio", "rule.strategy", "rule.category", "rule.role")
+
+
+@query(_FOUND + "select coalesce(category, 'none') as category, coalesce(strategy, 'none') as strategy, count(*) as n, count(distinct label) as labels from r group by 1, 2")
+def label_categories(t: Tables) -> DataFrame:
+    rule = lambda c: F.coalesce(F.col(f"rule.{c}"), F.lit("none")).alias(c)
+    return _found_labels(t).groupBy(rule("category"), rule("strategy")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"))
+
+
 RAW_ROLES = ("Sculptors", "original illustrator", "Char. designers", "ori creator", " Mangakas ", "Color producer", "Somebody", "PLANNING", "labels")
 
 
@@ -52,6 +88,20 @@ def role_normalise(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.trim(_pick("p_partkey", *RAW_ROLES)).alias("role")).withColumn("role", rules.role_name(F.col("role")))
 
 
+@query(f"""
+    with p as (select p_partkey, p_type, list_extract({list(RAW_ROLES)}, cast(p_partkey % 9 + 1 as int)) as raw from part),
+    q as (select p_partkey, case when p_partkey % 10 = 9 then p_type else raw end as raw from p)
+    select p_partkey, case lower(trim(raw)) when 'sculptors' then 'Sculptor' when 'original illustrator' then 'Illustrator' when 'char. designers' then 'Character Designer' when 'ori creator' then 'Original Creator'
+           when 'mangakas' then 'Mangaka' when 'color producer' then 'Color Producer' when 'planning' then 'Planning' when 'labels' then 'Label' else case when p_partkey % 10 = 9 then 'Type' else trim(raw) end end as role from q
+""")
+def role_rules(t: Tables) -> DataFrame:
+    """Roles by a table to which the types of parts are added."""
+    raw = F.when(F.col("p_partkey") % 10 == 9, F.col("p_type")).otherwise(_pick("p_partkey", *RAW_ROLES))
+    own = t.part.select("p_type").distinct().select(F.lit(100).alias("prio"), F.concat(F.lit("\\Q"), "p_type", F.lit("\\E")).alias("pattern"), F.lit("Type").alias("role"))
+    rows = rules.match_rules(t.part.select("p_partkey", raw.alias("raw")), "raw", rules.role_table(t.spark).unionByName(own))
+    return rows.select("p_partkey", F.coalesce("rule.role", X.trim("raw")).alias("role"))
+
+
 @query("select category, strategy, count(*) as n from (values " + ", ".join(f"('{c}', '{s}')" for _, s, c, _ in rules.LABELS) + ") v(category, strategy) group by category, strategy")
 def registry_by_category(t: Tables) -> DataFrame:
     return rules.registry(t.spark).groupBy("category", "strategy").agg(F.count(F.lit(1)).alias("n"))

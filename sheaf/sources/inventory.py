@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, trim
+from ..session import written
 
 MAX_LINE = 100_000
 #: Places of columns that the header doesn't name.
@@ -36,7 +37,7 @@ def header_fields(header: list[str]) -> dict[str, int]:
     return out
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files with their place: value, and at (file, start of the split, number in it)."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     return spark.read.text(path).select("value", place.alias("at"))
@@ -62,15 +63,60 @@ def parse_inventory(lines: DataFrame, header: str | None = None) -> DataFrame:
     rows = rows.where(F.col("value") != trim(F.lit(header)))
     rows = rows.select(F.explode(F.array(split_fields(F.col("value")))).alias("f"))  # a step of its own: else the test of the id would split each line once more
     field = lambda k: F.get(F.col("f"), F.lit(at.get(k, PLACES.get(k))))
-    status = F.lower(F.coalesce(field("status"), F.lit("")))
     nsfw = F.coalesce(F.lower(field("nsfw")).isin("true", "1", "yes"), F.lit(False)) if "nsfw" in at else F.lit(None).cast("boolean")
+    return _items(rows, field, nsfw)
+
+
+def _items(rows: DataFrame, field, nsfw: Column) -> DataFrame:
+    status = F.lower(F.coalesce(field("status"), F.lit("")))
     out = rows.select(
-        field("id").alias("item_id"), filled(field("name")).alias("name"), filled(field("category")).alias("category"), F.when(status.contains("owned"), "owned").when(status.contains("order"), "ordered").otherwise("wished").alias("status"),
+        field("id").alias("item_id"), filled(field("name")).alias("name"), filled(field("category")).alias("category"),
+        F.when(status.contains("owned"), "owned").when(status.contains("order"), "ordered").otherwise("wished").alias("status"),
         filled(field("release_date")).alias("release_date"), filled(field("price")).alias("price"), nsfw.alias("is_nsfw"),
     )
     return out.where(F.col("item_id").rlike(r"^[0-9]+\z"))
 
 
+#: Files whose headers are broadcast.
+FILES_AT_ONCE = 1_000_000
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """Per file of ``read_lines``: file, header (its first line that isn't blank) and the number of each field's column."""
+    first = lines.where(trim("value") != "").groupBy(F.col("at.file").alias("file")).agg(F.min_by("value", "at").alias("header"))
+    first = first.withColumn("header", trim("header"))
+    names = F.transform(split_fields(F.col("header")), lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]", ""))
+
+    def place(field: str) -> Column:
+        def fits(h: Column, i: Column) -> Column:
+            test = (h == "item") if field == "id" else F.lit(False)
+            for part in HEADERS[field]:
+                test = test | h.contains(part)
+            return F.when(test, i)
+
+        return F.array_max(F.transform("names", fits))
+
+    placed = first.select("file", "header", F.explode(F.array(names)).alias("names"))
+    return placed.select("file", "header", *(F.coalesce(place(k), F.lit(PLACES.get(k))).cast("int").alias(f"_{k}") for k in HEADERS))
+
+
+def parse_inventory_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``parse_inventory`` over many files, each read by its own header: columns may come in any order and number.
+
+    A file's lines that equal its header are no items; a field that the header doesn't name is looked for in its usual
+    place, the adult flag is null then.  Empty files give no rows.
+    """
+    lines = read_lines(spark, path)
+    headers = written(file_headers(lines), "headers")
+    few = headers.limit(FILES_AT_ONCE + 1).count() <= FILES_AT_ONCE
+    rows = lines.select(trim("value").alias("value"), F.col("at.file").alias("file")).where("value <> ''")
+    rows = rows.join(F.broadcast(headers) if few else headers, "file").where("value <> header")
+    rows = rows.select(*(f"_{k}" for k in HEADERS), F.explode(F.array(split_fields(F.col("value")))).alias("f"))
+    field = lambda k: F.get(F.col("f"), F.col(f"_{k}"))
+    nsfw = F.when(F.col("_nsfw").isNotNull(), F.coalesce(F.lower(field("nsfw")).isin("true", "1", "yes"), F.lit(False)))
+    return _items(rows, field, nsfw)
+
+
 def literal_ids(spark: SparkSession, ids: str) -> DataFrame:
     """Ids of a comma list; parts that don't start with a number are left out."""
     parts = spark.createDataFrame([(ids,)], "ids string").select(F.explode(F.split("ids", ",")).alias("value"))
