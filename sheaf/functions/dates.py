@@ -30,15 +30,47 @@ def month_number(name: Column) -> Column:
 
 
 def catalog_date(text: Column) -> Column:
-    """M/D/YYYY, M/YYYY (its first day) or an ISO date."""
+    """M/D/YYYY, M/YYYY (its first day), an ISO date, or what ``free_date`` reads."""
     full, month = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z", r"^([0-9]{1,2})/([0-9]{4})\z"
     return F.coalesce(
         rolled(_int(text, full, 3), _int(text, full, 1), _int(text, full, 2)),
         rolled(_int(text, month, 2), _int(text, month, 1), F.lit(1)),
         group(text, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})").try_cast("date"),
+        free_date(text),
     )
 
 
+def free_date(text: Column) -> Column:
+    """A date in words or other separators: March 5, 2024; 5 Mar 2024; Tue Mar 05 2024; March 2024; 2024/3/5; 3-5-24; 2024-03; 2024.
+
+    Months go by their first three letters, years of two digits are 2000 to 2049 and 1950 to 1999, absent days are the
+    first.  Days up to 31 roll over into the next month; beyond that, and for months beyond 12, there is no date.
+    """
+    t = F.regexp_replace(trim(text), r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+", "")
+    year, word = r"([0-9]{4}|[0-9]{2})", r"([A-Za-z]{3,})\.?"
+    named = (  # pattern, then which group is the year, the month and the day
+        (rf"^{word}\s+([0-9]{{1,2}}),?\s+{year}\z", 3, 1, 2),
+        (rf"^([0-9]{{1,2}})[\s-]+{word},?[\s-]+{year}\z", 3, 2, 1),
+        (rf"^{word},?\s+([0-9]{{4}})\z", 2, 1, None),
+    )
+    numbers = (
+        (r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})\z", 1, 2, 3),
+        (rf"^([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]{year}\z", 3, 1, 2),
+        (r"^([0-9]{4})-([0-9]{1,2})\z", 1, 2, None),
+        (r"^([0-9]{4})\z", 1, None, None),
+    )
+    short = F.create_map(*(F.lit(x) for n in range(1, 13) for x in (next(k for k, v in MONTHS.items() if v == n)[:3], n)))
+
+    def read(pattern: str, y: int, m: int | None, d: int | None, words: bool) -> Column:
+        month = F.lit(1) if m is None else F.try_element_at(short, F.lower(F.substring(group(t, pattern, m), 1, 3))) if words else _int(t, pattern, m)
+        day = F.lit(1) if d is None else _int(t, pattern, d)
+        n = _int(t, pattern, y)
+        n = F.when(F.char_length(group(t, pattern, y)) == 4, n).when(n < 50, n + 2000).otherwise(n + 1900)
+        return F.when(month.between(1, 12) & day.between(1, 31), rolled(n, month, day))
+
+    return F.coalesce(*(read(*x, True) for x in named), *(read(*x, False) for x in numbers))
+
+
 def list_time(text: Column) -> Column:
     """MM/DD/YYYY, HH:MM:SS in UTC as an ISO text with milliseconds."""
     t, p = trim(text), r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}),\s*([0-9]{2}):([0-9]{2}):([0-9]{2})\z"

@@ -49,3 +49,9 @@ def redact_json(partial_tokens: bool = False):
 @F.pandas_udf(T.StringType())
 def hmac_sha256(secrets: pd.Series, messages: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or m is None else hmac.new(s.encode(), m.encode(), hashlib.sha256).hexdigest() for s, m in zip(secrets, messages, strict=True)])
+
+
+def checked_json(text: Column, schema: str) -> Column:
+    """``value`` (the text's JSON by ``schema``) and ``error``: why there is none, null for good JSON and for null."""
+    good = F.try_parse_json(text).isNotNull()
+    return F.struct(F.from_json(text, schema).alias("value"), F.when(text.isNotNull() & ~good, "invalid JSON").alias("error"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.dates import catalog_date
 from ..functions.text import group
 from ..operators import fields as C
 from ..operators import generic as G
@@ -223,3 +224,18 @@ def page_diagnostics(t: Tables) -> DataFrame:
 def site_configs(t: Tables) -> DataFrame:
     own = t.spark.createDataFrame([("mine", "img.own", None, "h2", None, None)], G.SITES_SCHEMA)
     return G.site_configs(t.spark).unionByName(own).select("site", "image", "name")
+
+
+@query("""
+    with o as (select o_orderkey, o_orderdate as d, cast(o_orderkey // 4 % 10 as int) as k from orders)
+    select o_orderkey, case k when 5 then cast(date_trunc('month', d) as date) when 6 then cast(date_trunc('year', d) as date) when 7 then cast(make_date(year(d), 2, 1) + 29 as date) when 8 then null when 9 then cast(d + to_years(30) as date) else cast(d as date) end as released from o
+""")
+def release_spellings(t: Tables) -> DataFrame:
+    """Release dates in the spellings that pages use."""
+    d, k = F.col("o_orderdate"), (F.col("o_orderkey") / 4).cast("bigint") % 10
+    later = F.add_months(d, 360)
+    ways = ("MMMM d, yyyy", "d MMM yyyy", "EEE MMM dd yyyy", "yyyy/M/d", "M-d-yy", "MMMM yyyy", "yyyy")
+    text = F.when(k == 7, F.concat(F.lit("Feb 30, "), F.year(d).cast("string"))).when(k == 8, F.lit("not yet known")).when(k == 9, F.date_format(later, "M/d/yy"))
+    for n, way in enumerate(ways):
+        text = text.when(k == n, F.date_format(d, way))
+    return t.orders.select("o_orderkey", catalog_date(text).alias("released"))

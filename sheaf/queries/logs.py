@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.records import hmac_sha256, redact_json
+from ..functions.records import checked_json, hmac_sha256, redact_json
 from ..operators import sinks
 from ..session import new_path
 from .registry import Tables, query
@@ -28,6 +28,15 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query("""
+    with e as (select event_id, case event_id % 5 when 0 then left(props, 4) when 1 then null else props end as raw from events)
+    select event_id, case when json_valid(raw) then cast(json_extract_string(raw, '$.k') as bigint) end as k, case when not json_valid(raw) then 'invalid JSON' end as error from e
+""")
+def json_errors(t: Tables) -> DataFrame:
+    raw = F.when(F.col("event_id") % 5 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 5 != 1, F.col("props"))
+    return t.events.select("event_id", checked_json(raw, "k bigint").alias("c")).select("event_id", "c.value.k", "c.error")
+
+
 @query(r"""
     select event_id, '{"id":' || event_id || ',"inner":{"authToken":"' || left(event_type, 8) || '...' || right(event_type, 4) || '","note":' || cast(to_json(props) as varchar) || '},"password":"[REDACTED]"}' as record from events
 """)

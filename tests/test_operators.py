@@ -8,9 +8,11 @@ import json
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.functions import dates, rules
 from sheaf.functions.records import hmac_sha256, redact_json
 from sheaf.operators import fields, generic, lists, pacing, sessions
 from sheaf.plans import enrichment, order
@@ -56,6 +58,93 @@ def test_adaptive_delay_carries_a_key_across_batches(spark):
     assert pacing.adaptive_delay(spark.createDataFrame([], "key long, ts timestamp, seq long, outcome string"), "key").collect() == []
 
 
+def test_blocks_of_pacing_compose(spark):
+    """Any cut of a log into blocks gives what outcome after outcome gives, whether delays have met in a block or not."""
+    rng = random.Random(5)
+    for shape in (["success"], ["success", "rate_limited"], ["success"] * 9 + ["other"], ["success"] * 30 + ["rate_limited"], ["rate_limited", "other"]):
+        log = rng.choices(shape, k=3000)
+        good, limited = np.array([x == "success" for x in log]), np.array([x == "rate_limited" for x in log])
+        truth = state = (2067.0, 0, 0)
+        for x in log:
+            truth = pacing.paced(truth, x)
+        cuts = [0, *sorted(rng.sample(range(1, 3000), 40)), 3000]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            state = pacing.after(state, pacing.summary(good[a:b], limited[a:b]))
+        assert state == truth
+
+
+def test_one_hot_key_takes_many_tasks(spark):
+    log = spark.range(200_000).selectExpr("1L as key", "timestamp_millis(id) as ts", "id as seq", "case when id % 7 = 3 then 'rate_limited' else 'success' end as outcome")
+    parts = pacing.blocks(log, "key").groupBy("range").count().collect()
+    assert len(parts) >= 2
+    state = (2067.0, 0, 0)
+    for i in range(200_000):
+        state = pacing.paced(state, "rate_limited" if i % 7 == 3 else "success")
+    assert [tuple(r)[1:] for r in pacing.adaptive_delay(log, "key").collect()] == [state]
+
+
+def test_entries_and_cooldowns_on_streams_over_three_files(spark, three_files):
+    states.with_rocksdb(spark)
+    events = spark.read.parquet(three_files)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    stream = folds.replay(spark, three_files, lambda s: states.pending_entries(entry_log(s)), ["item_id", "opened"], per_batch=1)
+    assert rows(stream) == rows(enrichment.pending_entries(entry_log(events)))
+    path = f"{three_files}.clock"
+    clock = [(1, 0, 1, "failure"), (1, 1, 2, "failure"), (2, 5, 3, "success"), (2, 30, 4, "success"), (3, 31, 5, "failure")]  # session, second, seq, kind: only others move the clock on
+    at = lambda k: datetime(2024, 1, 1, 0, 0, k)
+    for k, part in enumerate((clock[:3], clock[3:4], clock[4:])):
+        spark.createDataFrame([(i, at(s), n, x) for i, s, n, x in part], "session_id long, ts timestamp, seq long, kind string").coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
+    got = {r.session_id: (r.failures, r.is_cooling) for r in folds.replay(spark, path, states.session_cooldowns, "session_id", per_batch=1).collect()}
+    assert got == {1: (2, False), 2: (0, False), 3: (1, True)}
+
+
+def test_an_ended_entry_is_released(spark):
+    log = [(1, 1, "request", 7, "COLD", False), (1, 2, "request", 7, "WARM", True), (1, 3, "completed", 0, "COLD", False), (1, 4, "failed", 0, "COLD", False), (1, 5, "request", 8, "COLD", True), (2, 1, "completed", 0, "HOT", False)]
+    frame = spark.createDataFrame([(i, datetime(2024, 1, 1, 0, 0, s), s, k, u, lane, c) for i, s, k, u, lane, c in log], "item_id long, ts timestamp, seq long, kind string, user_id long, lane string, has_cookies boolean")
+    got = sorted(map(tuple, enrichment.pending_entries(frame).collect()))
+    assert got == [(1, 1, "HOT", 1, True, 2, 3), (1, 5, "COLD", 1, True, 1, None)]
+
+
+def test_retry_rounds_keep_lane_and_age(spark):
+    queue = spark.createDataFrame([(1, "COLD", 5), (2, "HOT", 9), (3, "HOT", 1)], "item_id long, lane string, queued_at int")
+    tries = [(1, 1, "timeout", False, False), (1, 2, None, False, False), (2, 1, "HTTP 404", False, False), (3, 1, "HTTP 429", False, False), (3, 2, "x", True, True)]
+    frame = spark.createDataFrame([(i, datetime(2024, 1, 1), n, e, h, p) for i, n, e, h, p in tries], "item_id long, ts timestamp, seq long, error string, has_session boolean, is_paused boolean")
+    got = sessions.retry_rounds(queue, frame, 3, [F.col("queued_at")]).orderBy("round", "position").select("round", "item_id", "lane", "queued_at", "tries", "action").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 3, "HOT", 1, 0, "requeued"), (1, 2, "HOT", 9, 0, "failed"), (1, 1, "COLD", 5, 0, "requeued"),
+        (2, 3, "HOT", 1, 1, "held"), (2, 1, "COLD", 5, 1, "completed"), (3, 3, "HOT", 1, 2, "waiting"),
+    ]
+
+
+def test_a_users_rules_and_tables_of_many_parts(spark, monkeypatch):
+    own = spark.createDataFrame([(0, "sculptors?", "skip", "mine", None), (99, r"gloss\s+level", "text", "mine", None)], rules.registry(spark).schema)
+    rows = spark.createDataFrame([("Sculptor",), (" GLOSS  level ",), ("artists",), ("",), (None,), ("Sculptor",)], "label string")
+    for most in (10_000, 7):
+        monkeypatch.setattr(rules, "RULES_AT_ONCE", most)
+        got = rules.match_rules(rows, "label", rules.registry(spark).unionByName(own)).collect()
+        assert sorted((str(r.label), r.rule and (r.rule.prio, r.rule.category)) for r in got) == sorted([("Sculptor", (0, "mine")), ("Sculptor", (0, "mine")), (" GLOSS  level ", (99, "mine")), ("artists", (2, "artist")), ("", None), ("None", None)])
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,Name,Status\n1,one,owned\n")
+    (tmp_path / "b.csv").write_text('\n"Status","Adult",Title,"Item ID"\nordered,yes,"two, b",2\nStatus,Adult,Title,Item ID\n')
+    (tmp_path / "c.csv").write_text("")
+    got = inventory.parse_inventory_files(spark, str(tmp_path)).orderBy("item_id").collect()
+    assert [(r.item_id, r.name, r.status, r.is_nsfw) for r in got] == [("1", "one", "owned", None), ("2", "two, b", "ordered", True)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("March 5, 2024", "2024-03-05"), ("5 Mar 2024", "2024-03-05"), ("Tue, Sept. 3 2024", "2024-09-03"), ("March 2024", "2024-03-01"), ("2024/3/5", "2024-03-05"), ("3-5-24", "2024-03-05"), ("3.5.77", "1977-03-05"),
+        ("2024-03", "2024-03-01"), ("2024", "2024-01-01"), ("Feb 30, 2023", "2023-03-02"), ("Feb 32, 2023", None), ("13/40/24", None), ("Smarch 1, 2024", None), ("soon", None), ("", None), (None, None),
+    ],
+)
+def test_free_dates(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(dates.free_date(F.col("t")).alias("d")).first().d
+    assert (got and got.isoformat()) == want
+
+
 def test_keyed_digests(spark):
     pairs = [("s", "m"), ("", "é"), ("k" * 100, ""), (None, "m"), ("s", None)]
     rows = spark.createDataFrame(pairs, "s string, m string").select("s", "m", hmac_sha256(F.col("s"), F.col("m")).alias("d")).collect()
@@ -72,25 +161,23 @@ def test_redaction_at_any_depth(spark):
 
 
 def plain_fields(line):
-    out, field, quoted, i = [], "", False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"' and quoted and line[i + 1 : i + 2] == '"':
-            field, i = field + '"', i + 1
-        elif c == '"':
-            quoted = not quoted
-        elif c == "," and not quoted:
-            out, field = [*out, field.strip()], ""
+    """Cut at the quotes, every second piece is quoted; nothing between two quoted pieces is a quote of its own."""
+    pieces, fields = line.split('"'), [""]
+    for k, piece in enumerate(pieces):
+        if k % 2:
+            fields[-1] += piece
+        elif not piece and 0 < k < len(pieces) - 1:
+            fields[-1] += '"'
         else:
-            field += c
-        i += 1
-    return [*out, field.strip()]
+            first, *more = piece.split(",")
+            fields[-1] += first
+            fields += more
+    return [f.strip() for f in fields]
 
 
 def test_fields_of_lines(spark):
     rng = random.Random(7)
-    lines = ["", ",", 'a,"b,c",d', '"x""y",z', 'a"b,c"d,e', '"open,end', " a , b ", '""', '"a"b"c,d"'] + ["".join(rng.choices('ab ,"', k=rng.randint(0, 14))) for _ in range(300)]
-    lines = [x for x in lines if '""' not in x or x == '"x""y",z']  # elsewhere a doubled quote opens and closes nothing
+    lines = ["", ",", 'a,"b,c",d', '"x""y",z', 'a"b,c"d,e', '"open,end', " a , b ", '""', '"a"b"c,d"'] + ["".join(rng.choices('ab ,"', k=rng.randint(0, 14))) for _ in range(1500)]
     rows = spark.createDataFrame([(x,) for x in lines], "value string").select("value", inventory.split_fields(F.col("value")).alias("f")).collect()
     assert {r.value: r.f for r in rows} == {x: plain_fields(x) for x in lines}
 
