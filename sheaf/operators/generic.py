@@ -89,18 +89,61 @@ def extract(records_: DataFrame, config: dict[str, str]) -> DataFrame:
     """``records`` of pages to page_id, image_url, manufacturer, name, scale, user_score, user_wish_rating."""
     one = lambda key: filled(trim(F.col(f"found.{key}"))) if config.get(key) else F.lit(None).cast("string")
     contains = lambda key: ":contains(" in config.get(key, "")
-    name = F.coalesce(labelled("Character"), labelled("Title"), filled(trim("found.heading"))) if contains("name") else one("name")
     image = filled(F.col("found.image")) if config.get("image") else F.lit(None).cast("string")
+    maker = labelled("Company") if contains("manufacturer") else one("manufacturer")
+    return _basic(records_, ["page_id"], image, maker, _heading() if contains("name") else one("name"), one("scale"))
+
+
+def _heading() -> Column:
+    return F.coalesce(labelled("Character"), labelled("Title"), filled(trim("found.heading")))
+
+
+def _basic(records_: DataFrame, keys: list[str], image: Column, maker: Column, name: Column, scale: Column) -> DataFrame:
     out = records_.select(
-        "page_id", image_upgrade(image).alias("image_url"), (labelled("Company") if contains("manufacturer") else one("manufacturer")).alias("manufacturer"), name.alias("name"),
-        one("scale").alias("scale"), F.col("found.score").try_cast("int").alias("points"), F.col("found.wish").try_cast("int").alias("wish"),
+        *keys, image_upgrade(image).alias("image_url"), maker.alias("manufacturer"), name.alias("name"), scale.alias("scale"),
+        F.col("found.score").try_cast("int").alias("points"), F.col("found.wish").try_cast("int").alias("wish"),
     )
     scale, points, wish = F.col("scale"), F.col("points"), F.col("wish")
     return out.select(
-        "page_id", "image_url", "manufacturer", "name", F.coalesce(group(scale, "(1/[0-9]+)"), scale).alias("scale"), F.when(points.between(1, 10), points).alias("user_score"), F.when(wish.between(1, 5), wish).alias("user_wish_rating"),
+        *keys, "image_url", "manufacturer", "name", F.coalesce(group(scale, "(1/[0-9]+)"), scale).alias("scale"),
+        F.when(points.between(1, 10), points).alias("user_score"), F.when(wish.between(1, 5), wish).alias("user_wish_rating"),
     )
 
 
+#: Sites' configurations that are broadcast to the pages.
+SITES_AT_ONCE = 100_000
+
+
+def with_sites(configs: DataFrame, own: DataFrame) -> DataFrame:
+    """``configs`` with a caller's own rows, which replace those of the same site."""
+    return configs.join(own.select("site"), "site", "left_anti").unionByName(own)
+
+
+def records_by_site(pages: DataFrame, configs: DataFrame) -> DataFrame:
+    """Pages (page_id, site, html) parsed once, each with its site's own selectors, for ``extract_by_site``.
+
+    ``configs`` has a row for each site; of several rows for one the least, column by column, counts.  Pages of a site
+    without a row keep what needs no selector.
+    """
+    whole = configs.groupBy("site").agg(F.min(F.struct(*CONFIG)).alias("config"))
+    asked = lambda k: F.when(~F.col(f"config.{k}").contains(":contains("), F.col(f"config.{k}")).alias(k)
+    whole = written(whole.select("site", "config", F.struct(*map(asked, CONFIG)).alias("programs")), "sites")
+    few = whole.limit(SITES_AT_ONCE + 1).count() <= SITES_AT_ONCE
+    rows = pages.select("page_id", "site", "html").join(F.broadcast(whole) if few else whole, "site", "left").select("page_id", "site", "config", "programs", "html")
+    fixed = {k: v for k, v in selectors({}).items() if k not in CONFIG}
+    attributes = {k: "src" if k == "image" else None for k in CONFIG}
+    return D.with_records(rows, catalog.record, catalog.FIELDS, fixed, programs="programs", attributes=attributes)
+
+
+def extract_by_site(records_: DataFrame) -> DataFrame:
+    """``records_by_site`` to page_id, site and the columns of ``extract``."""
+    one = lambda key: filled(trim(F.col(f"found.{key}")))
+    contains = lambda key: F.coalesce(F.col(f"config.{key}").contains(":contains("), F.lit(False))
+    maker = F.when(contains("manufacturer"), labelled("Company")).otherwise(one("manufacturer"))
+    name = F.when(contains("name"), _heading()).otherwise(one("name"))
+    return _basic(records_, ["page_id", "site"], filled(F.col("found.image")), maker, name, one("scale"))
+
+
 def available_fields(records_: DataFrame) -> DataFrame:
     """page_id, ord, label and the first 50 characters of the value, for fields that have both."""
     rows = records_.select("page_id", F.explode("fields").alias("f")).where("f.first_label is not null and f.first_value is not null")

@@ -239,3 +239,20 @@ def release_spellings(t: Tables) -> DataFrame:
     for n, way in enumerate(ways):
         text = text.when(k == n, F.date_format(d, way))
     return t.orders.select("o_orderkey", catalog_date(text).alias("released"))
+
+
+@query(r"""
+    with x as (select page_id, case when page_id % 3 = 0 then 'mine' else 'article' end as site, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') as h from pages)
+    select page_id, site, null::varchar as image_url,
+           case when site = 'article' then nullif(trim(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), '') end as name from x
+    union all
+    select p_partkey, case when p_partkey % 4 = 0 then 'nowhere' else 'catalog' end, case when p_partkey % 4 > 0 then 'https://static.example.net/upload/items/2/' || p_partkey || '.jpg' end,
+           case when p_partkey % 4 > 0 then 'Heading ' || p_partkey end from part
+""")
+def sites_extract(t: Tables) -> DataFrame:
+    """Pages of several sites in one run: two known ones, one of the caller's own and one that nobody configured."""
+    article = D.spread(t.pages.select("page_id", "html")).withColumn("site", F.when(F.col("page_id") % 3 == 0, "mine").otherwise("article"))
+    items = catalog_pages(t.part).select("page_id", "html").withColumn("site", F.when(F.col("page_id") % 4 == 0, "nowhere").otherwise("catalog"))
+    own = t.spark.createDataFrame([("mine", "img.own", None, "h2.none", None, None), ("catalog", ".item-picture .main img", None, "h1", None, None)], G.SITES_SCHEMA)
+    found = G.extract_by_site(G.records_by_site(article.unionByName(items), G.with_sites(G.site_configs(t.spark), own)))
+    return found.select("page_id", "site", F.when(F.col("site") != "article", F.col("image_url")).alias("image_url"), "name")

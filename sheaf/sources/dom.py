@@ -181,28 +181,48 @@ def _test(tag_name: str, bits: list[tuple[str, str, str]]) -> Callable[[dict], b
     return run
 
 
-def with_records(pages: DataFrame, record: Callable[[Page], dict], schema: str, selectors: dict[str, tuple[str, str | None]], html_col: str = "html") -> DataFrame:
+def with_records(
+    pages: DataFrame, record: Callable[[Page], dict], schema: str, selectors: dict[str, tuple[str, str | None]], html_col: str = "html", programs: str | None = None, attributes: dict[str, str | None] | None = None,
+) -> DataFrame:
     """One parse of each page: ``pages`` with, in place of the html, ``found`` (of each selector's first match the
-    attribute asked for, else its text) and the columns of ``record``, which has the types of ``schema``."""
+    attribute asked for, else its text) and the columns of ``record``, which has the types of ``schema``.
+
+    ``programs`` names a struct column with further selectors, each page's own: a task compiles each text once.  Of their
+    matches ``attributes`` tells what is asked for; a null selector finds nothing.
+    """
+    own = attributes or {}
     keep = [c for c in pages.columns if c != html_col]
-    tests = {k: ([[_test(*step) for step in steps] for steps in selector_parts(css)], attribute) for k, (css, attribute) in selectors.items()}
-    names = ", ".join(f"{k}: string" for k in selectors) or "none: string"
+    names = ", ".join(f"{k}: string" for k in (*selectors, *own)) or "none: string"
     head = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
     table = T.StructType.fromDDL(f"{head}found struct<{names}>, {schema}")
     kinds = [to_arrow_type(f.dataType) for f in table.fields[len(keep) :]]
 
-    def one(html: str | None) -> tuple[dict, dict]:
+    def compiled(css: str) -> list:
+        return [[_test(*step) for step in steps] for steps in selector_parts(css)]
+
+    tests = {k: (compiled(css), attribute) for k, (css, attribute) in selectors.items()}
+
+    def one(html: str | None, asked: dict) -> tuple[dict, dict]:
         page, found = Page(html), {}
-        for k, (parts, attribute) in tests.items():
+        for k, (parts, attribute) in asked.items():
             n = page.select(parts)
             found[k] = page.text(n) if attribute is None else dict(n["attrs"]).get(attribute) if n else None
         return found, record(page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+
+        def asked(row: dict) -> dict:
+            for css in row.values():
+                if css and css not in known:
+                    known[css] = compiled(css)
+            return tests | {k: (known[row[k]], a) for k, a in own.items() if row.get(k)}
+
         for b in batches:
             html = b.column(len(keep)).to_pylist()
+            each = [tests] * len(html) if programs is None else [asked(r or {}) for r in b.column(keep.index(programs)).to_pylist()]
             for i in range(0, len(html), 200):
-                part, rows = b.slice(i, 200), [one(h) for h in html[i : i + 200]]
+                part, rows = b.slice(i, 200), [one(*x) for x in zip(html[i : i + 200], each[i : i + 200], strict=True)]
                 made = [pa.array([f for f, _ in rows], kinds[0])]
                 made += [pa.array([r[f.name] for _, r in rows], kind) for f, kind in zip(table.fields[len(keep) + 1 :], kinds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], names=table.names)
