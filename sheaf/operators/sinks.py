@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.records import hmac_sha256
 from ..functions.rules import webhook_delay_ms
@@ -63,3 +64,31 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 def success_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def delivery_attempts(answers: DataFrame, most: int = MAX_RETRIES) -> DataFrame:
+    """What a hook answered, attempt by attempt (session_id, event_id, attempt from 0, status, null where it could not be
+    reached, retry_after_s), to the attempts that were made: session_id, event_id, attempt, status, sent_at_ms (after the
+    first), outcome: delivered, retry or given_up.
+
+    An attempt follows only on one that is to be repeated; later answers are left out.  The wait is what the hook asks for,
+    else it doubles.
+    """
+    by = Window.partitionBy("session_id", "event_id").orderBy("attempt")
+    wait = F.when(F.col("attempt") < most, retry_at_ms(F.col("status"), F.col("attempt"), F.col("retry_after_s")))
+    rows = answers.withColumn("wait", wait)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("over", F.coalesce(F.max(F.col("wait").isNull()).over(before), F.lit(False))).withColumn("sent_at_ms", F.coalesce(F.sum("wait").over(before), F.lit(0)))
+    outcome = F.when(F.col("wait").isNotNull(), "retry").when(F.col("status").between(200, 299), "delivered").otherwise("given_up")
+    return rows.where("not over").select("session_id", "event_id", "attempt", "status", "sent_at_ms", outcome.alias("outcome"))
+
+
+def put_batch(rows: DataFrame, number: int, path: str, key: list[str]) -> None:
+    """One micro-batch's outbox rows under its number, each ``key`` once: a batch that runs again replaces what it wrote,
+    so each event is there once whatever fails in between."""
+    rows.dropDuplicates(key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def stream_outbox(events: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
+    """Start a stream of outbox rows (from ``item_events``, ``phase_events`` or ``lists_events``) into ``path``, for all there is."""
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: put_batch(rows, n, path, key)).start()

@@ -12,6 +12,7 @@ from ..operators import fields as C
 from ..operators import generic as G
 from ..sources import catalog
 from ..sources import dom as D
+from ..sources import page_table as page_table_
 from ..sources.render import catalog_pages
 from .registry import Tables, query
 
@@ -256,3 +257,14 @@ def sites_extract(t: Tables) -> DataFrame:
     own = t.spark.createDataFrame([("mine", "img.own", None, "h2.none", None, None), ("catalog", ".item-picture .main img", None, "h1", None, None)], G.SITES_SCHEMA)
     found = G.extract_by_site(G.records_by_site(article.unionByName(items), G.with_sites(G.site_configs(t.spark), own)))
     return found.select("page_id", "site", F.when(F.col("site") != "article", F.col("image_url")).alias("image_url"), "name")
+
+
+@query(r"""
+    with h as (select page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1, 's')) as t from pages)
+    select page_id, cast(0 as int) as ord, 'h1' as tag, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as text from h
+""")
+def page_table(t: Tables) -> DataFrame:
+    """Headings by SQL text alone: the table function beside the table of pages."""
+    page_table_.register(t.spark)
+    D.spread(t.pages.select("page_id", "html")).createOrReplaceTempView("sheaf_pages")
+    return t.spark.sql("select p.page_id, m.ord, m.tag, m.text from sheaf_pages p, lateral page_matches(p.html, 'article h1') m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -70,9 +70,7 @@ _SIGN = "'sha256=' || case session_id when 0 then " + " ".join(f"{_hmac_sql(f's{
     select session_id, 'item-complete' as kind, payload, {_SIGN} from e
 """)
 def item_events(t: Tables) -> DataFrame:
-    status = F.expr("case event_type when 'error' then 'failed' when 'view' then 'skipped' else 'completed' end")
-    rows = t.events.select((F.col("user_id") % 5).alias("session_id"), F.col("event_id").alias("item_id"), status.alias("status"), F.lit("timeout").alias("error_kind"), F.lit("late").alias("error"), F.lit('{"k":1}').alias("data"))
-    return sinks.item_events(rows, _hooks(t)).select("session_id", "kind", "payload", "signature")
+    return _item_outbox(t.events, t).select("session_id", "kind", "payload", "signature")
 
 
 @query("""
@@ -138,3 +136,42 @@ def jsonl_roundtrip(t: Tables) -> DataFrame:
 @query("select count(*) filter (event_type <> 'error') as succeeded, count(*) filter (event_type = 'error') as failed from events")
 def audit_outcomes(t: Tables) -> DataFrame:
     return sinks.success_counts(t.events.select((F.col("event_type") != "error").alias("ok")))
+
+
+@query("""
+    with recursive a as (select user_id % 5 as session_id, event_id % 300 as event_id, row_number() over (partition by user_id % 5, event_id % 300 order by ts, event_id) - 1 as attempt,
+                                case event_type when 'error' then 429 when 'view' then 503 when 'click' then null when 'signup' then 404 else 200 end as status, case when event_type = 'error' and event_id % 2 = 0 then 7 end as after from events),
+    r as (select session_id, event_id, attempt, status, after, 0::bigint as sent_at_ms from a where attempt = 0
+          union all
+          select a.session_id, a.event_id, a.attempt, a.status, a.after, r.sent_at_ms + coalesce(r.after * 1000, cast(1000 * pow(2, r.attempt) as bigint)) from r join a on a.session_id = r.session_id and a.event_id = r.event_id and a.attempt = r.attempt + 1
+          where r.attempt < 3 and (r.status is null or r.status = 429 or r.status >= 500))
+    select session_id, event_id, attempt, status, sent_at_ms,
+           case when attempt < 3 and (status is null or status = 429 or status >= 500) then 'retry' when status between 200 and 299 then 'delivered' else 'given_up' end as outcome from r
+""")
+def webhook_deliveries(t: Tables) -> DataFrame:
+    attempt = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("ts", "seq")) - 1
+    status = F.expr("case event_type when 'error' then 429 when 'view' then 503 when 'click' then null when 'signup' then 404 else 200 end")
+    later = F.when((F.col("event_type") == "error") & (F.col("seq") % 2 == 0), 7)
+    rows = t.events.select((F.col("user_id") % 5).alias("session_id"), "ts", F.col("event_id").alias("seq"), "event_type", status.alias("status")).withColumn("retry_after_s", later).withColumn("event_id", F.col("seq") % 300)
+    return sinks.delivery_attempts(rows.withColumn("attempt", attempt))
+
+
+@query(f"""
+    with e as (select user_id % 5 as session_id, event_id, '{{"session_id":' || (user_id % 5) || ',"item_id":' || event_id || ',"status":"' || case event_type when 'error' then 'failed","error":"timeout: late"' when 'view' then 'skipped"'
+                      else 'completed","scraped_data":"{{\\"k\\":1}}"' end || '}}' as payload from events where user_id % 5 < 3)
+    select session_id, 'item-complete' as kind, payload, {_SIGN} from e
+""")
+def stream_outbox(t: Tables) -> DataFrame:
+    """The outbox as a stream of all events, one of whose batches ran twice."""
+    path, check = new_path(t.spark, "outbox"), new_path(t.spark, "outbox-check")
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    key = ["session_id", "payload"]
+    sinks.stream_outbox(_item_outbox(source, t), path, check, key).awaitTermination()
+    sinks.put_batch(_item_outbox(t.events, t), 0, path, key)
+    return t.spark.read.parquet(path).select("session_id", "kind", "payload", "signature")
+
+
+def _item_outbox(events: DataFrame, t: Tables) -> DataFrame:
+    status = F.expr("case event_type when 'error' then 'failed' when 'view' then 'skipped' else 'completed' end")
+    rows = events.select((F.col("user_id") % 5).alias("session_id"), F.col("event_id").alias("item_id"), status.alias("status"), F.lit("timeout").alias("error_kind"), F.lit("late").alias("error"), F.lit('{"k":1}').alias("data"))
+    return sinks.item_events(rows, _hooks(t))

@@ -137,6 +137,16 @@ class Page:
                 out.append(n)
         return out
 
+    def matches(self, selector: list[list[Callable[[dict], bool]]]) -> list[dict]:
+        """All matches of any alternative, each once, in document order."""
+        every = {}
+        for parts in selector:
+            found = [n for n in self.nodes if parts[0](n)]
+            for test in parts[1:]:
+                found = [n for n in self.within(self.nodes, found) if test(n)]
+            every |= {n["id"]: n for n in found}
+        return [every[k] for k in sorted(every)]
+
     def select(self, selector: list[list[Callable[[dict], bool]]]) -> dict | None:
         """The first match of the first alternative that has one."""
         for parts in selector:
@@ -181,6 +191,10 @@ def _test(tag_name: str, bits: list[tuple[str, str, str]]) -> Callable[[dict], b
     return run
 
 
+def compiled(css: str) -> list[list[Callable[[dict], bool]]]:
+    return [[_test(*step) for step in steps] for steps in selector_parts(css)]
+
+
 def with_records(
     pages: DataFrame, record: Callable[[Page], dict], schema: str, selectors: dict[str, tuple[str, str | None]], html_col: str = "html", programs: str | None = None, attributes: dict[str, str | None] | None = None,
 ) -> DataFrame:
@@ -197,9 +211,6 @@ def with_records(
     table = T.StructType.fromDDL(f"{head}found struct<{names}>, {schema}")
     kinds = [to_arrow_type(f.dataType) for f in table.fields[len(keep) :]]
 
-    def compiled(css: str) -> list:
-        return [[_test(*step) for step in steps] for steps in selector_parts(css)]
-
     tests = {k: (compiled(css), attribute) for k, (css, attribute) in selectors.items()}
 
     def one(html: str | None, asked: dict) -> tuple[dict, dict]:
