@@ -7,12 +7,14 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import attach, materialize, new_path
 
@@ -118,35 +120,40 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every row as a record into ``*.warc.zst`` files under ``folder``; returns the written manifest.
 
     Of rows with equal payloads of at least 100 bytes the one with the smallest page_id is a response and the others
-    are revisits; rows that repeat that id and that payload are responses too.  A page_id may come with several payloads:
+    are revisits; rows that repeat that id and that payload are responses too.  Ids are whole numbers of up to 64 bits, others are
+    an error.  A page_id may come with several payloads:
     each is judged by its own digest, so every payload is in some response.  Null html is an empty payload, a null url
     leaves out the target line, a row without an id is a response and never referred to.  Payloads are written whole,
     however long; an empty table gives an empty manifest.  A file's name holds its task attempt, and only files of the
     manifest count, so attempts that were lost leave nothing behind that is read.
     """
+    if not isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be a whole number: records are named by it")
     plan = materialize(record_plan(pages, id_col, html_col), "revisits")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     if not plan.isEmpty():
         rows = attach(rows.withColumn("digest", F.sha2(_body("html"), 256)), plan, ("page_id", "digest"), "left").drop("digest")
     else:
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
+    rows = rows.select("page_id", "url", "html", F.col("refers_to").cast("long").alias("refers_to"))
+    manifest = to_arrow_schema(T.StructType.fromDDL(MANIFEST))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, parts = [], 0, 0
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             data = archive(held)
             name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{parts}.warc.zst"
             with fs.open_output_stream(f"{base}/{name}") as out:
                 out.write(data)
-            return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(held)], "raw_bytes": [size], "stored_bytes": [len(data)]})
+            return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": len(held), "raw_bytes": size, "stored_bytes": len(data)}], manifest)
 
-        for pdf in batches:
-            for page_id, url, html, refers in zip(pdf["page_id"].astype(object), pdf["url"], pdf["html"], pdf["refers_to"].astype(object), strict=True):
-                one = record(None if pd.isna(page_id) else int(page_id), url, (html or "").encode(), None if pd.isna(refers) else int(refers))
+        for b in batches:
+            for page_id, url, html, refers in zip(*(b.column(k) for k in range(4)), strict=True):
+                one = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers.as_py())
                 held.append(one)
                 size += len(one)
                 if size >= ARCHIVE_BYTES:
@@ -155,16 +162,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if held:
             yield flush()
 
-    return materialize(rows.mapInPandas(write, MANIFEST), "manifest")
+    return materialize(rows.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Every record of the archives of ``manifest``, with its digests verified: page_id, payload_bytes, payload_digest,
     record_type, refers_to, url, payload (null for revisits)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
+    schema = to_arrow_schema(T.StructType.fromDDL(RECORDS))
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
                 fs, inner = pafs.FileSystem.from_uri(path)
                 with fs.open_input_stream(inner) as f:
                     data = f.read()
@@ -180,19 +192,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     rows.append((None if page is None else int(page), n, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, fields.get("WARC-Target-URI"), None if revisit else body))
                     size += len(block)
                     if size > ARCHIVE_BYTES // 4:
-                        yield _frame(rows)
+                        yield frame(rows)
                         rows, size = [], 0
                 if rows:
-                    yield _frame(rows)
+                    yield frame(rows)
 
     files = manifest.select("path")
     tasks = max(1, min(MAX_READERS, files.count()))  # a number of its own: the few bytes of paths would else be merged into one task
-    return files.repartition(tasks, "path").mapInPandas(read, RECORDS)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-    return out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+    return files.repartition(tasks, "path").mapInArrow(read, RECORDS)
 
 
 def archive_and_read(pages: DataFrame, **names: str) -> DataFrame:

@@ -119,3 +119,17 @@ def test_pipeline_stages(spark, tmp_path, rows):
         out.collect()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {"doc_id", "text", "shard", "slot"} <= set(last.columns) and last.count() == rows
+
+
+@pytest.mark.parametrize("base", [2**53, 2**62, -(2**62)])
+def test_archives_keep_large_ids(spark, base):
+    rows = [(base + 1, "a" * 120), (base + 3, "a" * 120), (None, "b" * 120), (base + 2, "b" * 120), (base + 5, "c"), (None, None)]
+    pages = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], "page_id long, url string, html string").coalesce(1)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()), key=str)
+    want = [(base + 1, "response", None), (base + 3, "revisit", base + 1), (None, "response", None), (base + 2, "response", None), (base + 5, "response", None), (None, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_archives_refuse_text_ids(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        warc.archive_and_read(spark.createDataFrame([("x", "u", "h")], "page_id string, url string, html string"))
