@@ -167,6 +167,11 @@ def role_variations(audit: DataFrame) -> DataFrame:
     return audit.select("label", F.explode("role_texts").alias("role")).groupBy("label").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
+def role_frequency(audit: DataFrame) -> DataFrame:
+    """label, role and n, the fields that have the role."""
+    return audit.select("label", F.explode("role_texts").alias("role")).groupBy("label", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 def related_items(pages: DataFrame) -> DataFrame:
     """page_id, pos, item_id, name, image_url, relation_type; items without an id (or id 0) are left out."""
     rows = pages.select("page_id", F.explode("related").alias("r")).select("page_id", "r.*").withColumn("item_id", F.nullif(trailing_id(F.col("href")), F.lit(0)))

@@ -160,7 +160,17 @@ def unknown_labels(t: Tables) -> DataFrame:
     return C.field_audit(_fields(t)).where("not known").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values ('Artist', 'Sculptors'), ('Company', 'Manufacturers'), ('Releases', 'Standard')) v(label, roles)")
+_ROLES = """
+    with r as (select 'Artist' as label, 'Sculptors' as role from part union all select 'Company', 'Manufacturers' from part where p_partkey % 2 = 0 union all select 'Releases', 'Standard' from part)
+"""
+
+
+@query(_ROLES + "select label, role, count(*) as n from r group by label, role")
+def role_frequency(t: Tables) -> DataFrame:
+    return C.role_frequency(C.field_audit(_fields(t)))
+
+
+@query(_ROLES + "select label, string_agg(distinct role, '|' order by role) as roles from r group by label")
 def role_variations(t: Tables) -> DataFrame:
     return C.role_variations(C.field_audit(_fields(t))).select("label", F.array_join("roles", "|").alias("roles"))
 

@@ -235,6 +235,14 @@ def id_literals(t: Tables) -> DataFrame:
     return I.literal_ids(t.spark, "12, -3,x7,,7abc , 12")
 
 
+@query("select event_id, unnest([user_id, -event_id, event_id]) as id from events")
+def id_lists(t: Tables) -> DataFrame:
+    """Ids of a list in each row."""
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    rows = t.events.select("event_id", F.concat(u, F.lit(", -"), e, F.lit(",x"), e, F.lit(",, "), e, F.lit("abc ,")).alias("ids"))
+    return I.listed_ids(rows, "ids").select("event_id", "id")
+
+
 @query("select o_orderkey as id from orders where o_orderkey % 5 <> 0")
 def id_file(t: Tables) -> DataFrame:
     key = F.col("o_orderkey").cast("string")

@@ -123,14 +123,23 @@ def literal_ids(spark: SparkSession, ids: str) -> DataFrame:
     return leading_ids(parts)
 
 
+def listed_ids(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``id``, one row for each id of the comma list in ``column``, under the same rule; rows without one go."""
+    parts = rows.withColumn("_part", F.explode(F.split(F.col(column), ",")))
+    return parts.withColumn("id", leading_id("_part")).where("id is not null").drop("_part")
+
+
 def file_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of text files, one a line, under the same rule."""
     return leading_ids(spark.read.text(path))
 
 
 def leading_ids(lines: DataFrame) -> DataFrame:
-    number = F.regexp_extract(trim("value"), r"^([+-]?[0-9]+)", 1)
-    return lines.select(number.try_cast("bigint").alias("id")).where("id is not null")
+    return lines.select(leading_id("value").alias("id")).where("id is not null")
+
+
+def leading_id(column: str) -> Column:
+    return F.regexp_extract(trim(column), r"^([+-]?[0-9]+)", 1).try_cast("bigint")
 
 
 def id_page(ids: DataFrame, skip: int = 0, most: int | None = None) -> DataFrame:
