@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, lower_ascii, materialize
+from .common import attach, lower_ascii, materialize, quoted
 from .ranked_search import TERM, terms_of
 
 THRESHOLD = 0.3
@@ -21,6 +21,8 @@ THRESHOLD = 0.3
 MAX_LABELLED, MAX_UNITS = 20_000, 100_000
 #: Proper beginnings of a word, in characters, that count as units beside the word itself.
 STEMS = range(3, 9)
+#: Words or units that a task remembers.
+AT_ONCE = 100_000
 #: A unit's log-odds count as far as they are sure by so many standard errors, from so much on; a segment is significant
 #: below this many by chance.
 SURE, WORTH, BY_CHANCE = 3.0, 1.0, 0.05
@@ -97,7 +99,7 @@ class Scores(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > AT_ONCE:
             self.clear()
         s = self[word] = self.model.word_score(word)
         return s
@@ -128,13 +130,20 @@ def lexicon(docs: DataFrame, learnt: DataFrame) -> tuple[dict[str, float], np.nd
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = (Counter(), Counter())
-            for text, toxic in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update(u for w in set(terms_of(text)) for u in units_of(w.decode()))
+        seen = (Counter(), Counter())
+
+        def sent() -> pa.RecordBatch:
             both = list(seen[0] | seen[1])
             counts = [pa.array([c[u] for u in both], pa.int64()) for c in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *counts], names=["unit", "clean", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *counts], names=["unit", "clean", "toxic"])
+
+        for b in batches:
+            for text, toxic in zip(b.column("text").cast(pa.large_binary()), b.column("toxic").to_pylist(), strict=True):
+                seen[toxic].update(u for w in set(terms_of(text.as_py())) for u in units_of(w.decode()))
+                if len(seen[0]) + len(seen[1]) > AT_ONCE:
+                    yield sent()
+                    seen = (Counter(), Counter())
+        yield sent()
 
     counted = learnt.where("fold < 2").select("text", "toxic").mapInArrow(run, "unit string, clean long, toxic long")
     counted = counted.groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -200,7 +209,7 @@ def passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     Texts are scanned whole, once; null, empty and wordless ones have no passages.  Equal texts get equal results.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"n long, passages array<{PASSAGE}>, score double, predicted int")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -211,8 +220,8 @@ def passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         known = Scores(model)
         for b in batches:
             out = []
-            for text in b.column(1).cast(pa.large_binary()).to_pylist():
-                words = terms_of(text or b"")
+            for text in b.column(1).cast(pa.large_binary()):
+                words = terms_of(text.as_py() or b"")
                 found = segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
                 n = len(words)
                 score = model.probability(model.evidence(found, n))
@@ -228,7 +237,7 @@ def toxic_passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     """One row for each significant passage: ``row``, first, past, score, by_chance and its words as ``text``."""
     words = F.regexp_extract_all(lower_ascii(F.col("text").cast("string")), F.lit(f"({TERM})"), F.lit(1))
     found = passages(docs.withColumn("_words", words), model, (*keep, "_words"))
-    rows = found.select(F.struct(*(F.col(f"row.`{c}`") for c in keep)).alias("row"), F.col("row._words").alias("words"), F.inline("passages"))
+    rows = found.select(F.struct(*(F.col(f"row.{quoted(c)}") for c in keep)).alias("row"), F.col("row._words").alias("words"), F.inline("passages"))
     return rows.where(F.col("by_chance") <= BY_CHANCE).select("row", "first", "past", "score", "by_chance", F.array_join(F.slice("words", F.col("first") + 1, F.col("past") - F.col("first")), " ").alias("text"))
 
 
