@@ -20,11 +20,35 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def _hashable(c: Column, kind: T.DataType) -> Column:
+    """``c`` with every map in it, however deep, as its sorted entries; a hash takes no maps."""
+    if not _has_map(kind):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_hashable(c.getField(f.name), f.dataType).alias(f"f{k}") for k, f in enumerate(kind))))
+    entries = F.map_entries(c)
+    if _has_map(kind.valueType):
+        entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _hashable(e["value"], kind.valueType).alias("value")))
+    return F.array_sort(entries)
+
+
 def row_key(rows: DataFrame) -> list[Column]:
     """128 bits over all columns as two longs, ``k1`` and ``k2``: what a decision about a row is joined back by, whatever
     its id.  Rows with equal keys are equal in every column."""
-    kinds = {f.name: f.dataType for f in rows.schema}
-    every = [F.array_sort(F.map_entries(rows[f"`{c}`"])) if isinstance(k, T.MapType) else rows[f"`{c}`"] for c, k in kinds.items()]
+    every = [_hashable(rows[quoted(f.name)], f.dataType) for f in rows.schema]
     marked = [F.struct(c.isNull(), c) for c in every]  # else a null would leave no trace in the hash
     return [F.xxhash64(F.lit(1), *marked).alias("k1"), F.xxhash64(F.lit(2), *marked).alias("k2")]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, materialize
+from .common import attach, materialize, quoted
 
 THRESHOLD = 0.3
 #: Labelled rows that the model is fitted on, taken in the order of a hash of their id; the driver holds their features only.
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns, whatever their names), score and predicted.  Null and empty texts are scored as texts without words."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +193,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model rejects, each judged by its own text; other columns stay as they are."""
+    """``docs`` without the rows that the model rejects, each judged by its own text; other columns stay as they are.
+
+    Null, empty and wordless texts are scored as texts without words, long ones whole; repeated rows and ids each count, and
+    equal texts share their fate.  A score of just 0.3 stays.  An empty table gives no rows; columns may have any name.
+    """
     scored = score_documents(docs, train(docs, labels), tuple(docs.columns))
     return scored.where("predicted = 1").select("row.*")

@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 FIRST_BITS, STEP_BITS, KEY_BITS = 12, 6, 64
 #: Rows of a shard are numbered in hash blocks of about so many, so that no task sorts a whole shard; blocks of a shard at
@@ -135,11 +135,11 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shard_corpus(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``shard`` and ``slot`` (which replace columns of those names), dealt by shard.
+    """All columns of ``docs`` plus ``shard`` and ``slot`` (which replace columns of those names, in any case), dealt by shard.
 
     Every row stays, those that repeat an id or have none too; equal texts share a shard, null counts as empty and a text
     counts with all its bytes.  An empty table gives no rows.
     """
-    wide = sized(docs, id_col, text_col, F.struct(*(docs[c] for c in docs.columns if c not in ("shard", "slot"))).alias("row"))
+    wide = sized(docs, id_col, text_col, F.struct(*(docs[quoted(c)] for c in docs.columns if c.lower() not in ("shard", "slot"))).alias("row"))
     narrow = materialize(sized(docs, id_col, text_col), "sizes")
     return with_shards(wide, shards, narrow).select("row.*", "shard", F.col("slot").cast("long").alias("slot"))

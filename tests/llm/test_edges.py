@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from sheaf.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter, warc
+from sheaf.llm import common, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = "size long, key long, shard int, slot long, n long, band long, words string, start long, k long, score double, predicted int, copies long, spans string, row string, component string, label string"
@@ -133,3 +133,22 @@ def test_archives_keep_large_ids(spark, base):
 def test_archives_refuse_text_ids(spark):
     with pytest.raises(ValueError, match="whole number"):
         warc.archive_and_read(spark.createDataFrame([("x", "u", "h")], "page_id string, url string, html string"))
+
+
+def test_odd_columns_go_through_every_stage(spark, tmp_path):
+    """Maps at any depth, dots, backticks and names that differ in case alone from those that a stage adds."""
+    texts = [f"text number {i} has words of its own like w{i} v{i} u{i} and t{i}." for i in range(8)]
+    rows = [(i, t, "en", "s", len(t), [{"a": i}, {}], {"m": {"x": 1.5}}, ({"k": "v"}, None), None, i, i) for i, t in enumerate(texts)]
+    schema = f"{DOCS}, deep array<map<string,int>>, nested map<string,map<string,double>>, holder struct<m: map<string,string>, `a.b`: int>, `meta.lang` string, `tick``s` int, Shard int"
+    docs = spark.createDataFrame(rows, schema)
+    (tmp_path / "x").mkdir()
+    labels(spark).write.parquet(f"{tmp_path}/x/labels.parquet")
+    benchmark(spark).write.parquet(f"{tmp_path}/x/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"{tmp_path}/x")
+        kept = [c for c in docs.columns if c != "Shard"]
+        assert [c for c in out.columns if c.lower() not in ("shard", "slot")] == kept, name
+        out.write.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        if name != "mixing":
+            assert out.count() == (8 if name != "quality classifier" else out.count())
+    assert len({tuple(r) for r in docs.select(*common.row_key(docs)).collect()}) == 8
