@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import dates, rules
 from sheaf.functions.records import hmac_sha256, redact_json
-from sheaf.operators import fields, generic, lists, pacing, sessions
+from sheaf.operators import fields, generic, lists, pacing, sessions, sinks
 from sheaf.plans import enrichment, order
 from sheaf.queries.sessions import entry_log, outcomes, session_events
-from sheaf.sources import catalog, dom, inventory
+from sheaf.sources import catalog, dom, inventory, page_table
 from sheaf.streaming import folds, states
 
 SF = "/root/testdata/sf0.001"
@@ -259,3 +259,39 @@ def test_lists_keep_their_header_without_details(spark):
     items = spark.createDataFrame([(1, 2, 20, "y", None), (1, 1, 10, "x", "u"), (1, 3, None, "z", None)], "list_id long, pos int, item_id long, name string, image_url string")
     got = {r.list_id: (r.description, r.item_ids) for r in lists.with_details(overview, details, items).collect()}
     assert got == {1: ("d", [10, 20]), 2: (None, []), 3: (None, None)}
+
+
+def test_an_outbox_batch_that_runs_twice_leaves_each_event_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a")], "session_id long, payload string")
+    for number, part in ((0, rows), (1, rows.where("session_id = 2").withColumn("payload", F.lit("c"))), (0, rows)):
+        sinks.put_batch(part, number, str(tmp_path / "out"), ["session_id", "payload"])
+    got = sorted((r.session_id, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "a"), (1, "b"), (2, "a"), (2, "c")]
+
+
+def test_delivery_attempts_end_where_an_answer_is_final(spark):
+    answers = [(1, 0, 503, None), (1, 1, 429, 7), (1, 2, None, None), (1, 3, 500, None), (1, 4, 200, None), (2, 0, 404, None), (2, 1, 200, None), (3, 0, 204, None)]
+    frame = spark.createDataFrame([(9, e, a, s, r) for e, a, s, r in answers], "session_id long, event_id long, attempt int, status int, retry_after_s int")
+    got = sorted((r.event_id, r.attempt, r.sent_at_ms, r.outcome) for r in sinks.delivery_attempts(frame).collect())
+    assert got == [(1, 0, 0, "retry"), (1, 1, 1000, "retry"), (1, 2, 8000, "retry"), (1, 3, 12000, "given_up"), (2, 0, 0, "given_up"), (3, 0, 0, "delivered")]
+
+
+def test_a_table_function_over_pages(spark):
+    page_table.register(spark)
+    spark.createDataFrame([(1, "<ul><li><a href='/x'>one</a><li>two</ul>"), (2, None), (3, "")], "page_id long, html string").createOrReplaceTempView("some_pages")
+    got = spark.sql("select page_id, ord, tag, text, link from some_pages, lateral page_matches(html, 'a, li') order by page_id, ord").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "li", "one", None), (1, 1, "a", "one", "/x"), (1, 2, "li", "two", None)]
+
+
+def test_pages_of_sites_and_programs_of_their_own(spark):
+    html = "<h1>Head</h1><h2 class='own'>Own</h2><img src='/a.jpg'>"
+    pages = spark.createDataFrame([(1, "article", html), (2, "mine", html), (3, "none", html), (4, None, None)], "page_id long, site string, html string")
+    own = spark.createDataFrame([("mine", "img", None, "h2.own", None, None), ("article", "img", None, "h1", None, None)], generic.SITES_SCHEMA)
+    got = generic.extract_by_site(generic.records_by_site(pages, generic.with_sites(generic.site_configs(spark), own))).collect()
+    assert sorted((r.page_id, r.name) for r in got) == [(1, "Head"), (2, "Own"), (3, None), (4, None)]
+
+
+def test_history_survives_a_new_validation(spark):
+    old = spark.createDataFrame([(1, 10, 1, 2, 5), (2, 10, 1, 0, None)], "session_id long, validated_at int, auth_errors long, failures long, last_failure int")
+    got = sessions.surviving(old, spark.createDataFrame([(1, 12), (1, 20), (3, 7)], "session_id long, ts int")).orderBy("session_id").collect()
+    assert [tuple(r) for r in got] == [(1, 20, 0, 2, 5), (2, 10, 1, 0, None), (3, 7, 0, 0, None)]
