@@ -89,19 +89,21 @@ def blocks(outcomes: DataFrame, key: str) -> DataFrame:
     rows = outcomes.select(key, "ts", "seq", "outcome").repartitionByRange(key, "ts", "seq").sortWithinPartitions(key, "ts", "seq")
     rows = rows.select(key, (F.col("outcome") == "success").alias("success"), (F.col("outcome") == "rate_limited").alias("limited"), F.spark_partition_id().alias("range"))
 
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int32(), pa.int64())
+    names = [key, "range", "part", "lead", "failed", "steps", "level", "trail", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = 0
-        for b in batches:
+        for part, b in enumerate(batches):
             keys = b.column(0)
-            ends = np.flatnonzero(np.array(keys.dictionary_encode().indices.fill_null(-1))[1:] != np.array(keys.dictionary_encode().indices.fill_null(-1))[:-1]) + 1
+            codes = np.array(keys.dictionary_encode().indices.fill_null(-1))
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows]
+            if not b.num_rows:
+                continue
             success, limited = (np.array(b.column(c).fill_null(False)).astype(bool) for c in (1, 2))
-            cuts = [0, *ends.tolist(), b.num_rows] if b.num_rows else [0]
             found = [summary(success[x:y], limited[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-            part += 1
-            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int32(), pa.int64()), strict=True)] if found else []
-            if found:
-                at = pa.array(cuts[:-1], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys.take(at), b.column(3).take(at), pa.array([part] * len(found), pa.int64()), *columns], names=[key, "range", "part", "lead", "failed", "steps", "level", "trail", "n"])
+            at = pa.array(cuts[:-1], pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([keys.take(at), b.column(3).take(at), pa.array([part] * len(found), pa.int64()), *columns], names=names)
 
     return rows.mapInArrow(run, f"{key} {outcomes.schema[key].dataType.simpleString()}, range int, part long, {BLOCK}")
 
@@ -119,8 +121,8 @@ def adaptive_delay(outcomes: DataFrame, key: str) -> DataFrame:
         at, state = None, None
 
         def shown(kind: pa.DataType, done: list) -> pa.RecordBatch:
-            columns = [pa.array([d[0] for d in done], kind), *(pa.array([d[1][k] for d in done], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int64())))]
-            return pa.RecordBatch.from_arrays(columns, names=[key, "delay_ms", "streak", "n"])
+            states = [pa.array([d[1][k] for d in done], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), *states], names=[key, "delay_ms", "streak", "n"])
 
         kind = None
         for b in batches:
