@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cache, rules
+from ..session import written
 from .order import numbered
 
 #: Requests of a lane beyond this many are rejected where a capacity is asked for.
@@ -131,7 +132,9 @@ def plan_from_inventory(items: DataFrame, statuses: list[str] | None = None) ->
 
 
 def plan_full(items: DataFrame, activity: DataFrame, list_items: DataFrame, statuses: list[str] | None = None, cached: DataFrame | None = None, now=None) -> DataFrame:
-    """Requests for an inventory in activity order and for what lists name beyond it."""
+    """Requests for an inventory in activity order and for what lists name beyond it.  The inventory is computed once and
+    written, as both parts read it."""
+    items = written(items, "items")
     return plan(merge_activity(items, activity), orphans(list_items, items), statuses, cached, now)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import enrichment as P
 from ..plans.order import numbered
-from ..session import new_path
+from ..session import new_path, written
 from ..sources import inventory as I
 from ..sources.dom import spread
 from .registry import Tables, query
@@ -97,13 +97,13 @@ def merge_activity(t: Tables) -> DataFrame:
 _ORPHANS = f"with {_ITEMS}, o as (select distinct cast(l_partkey * 7 as varchar) as item_id from lineitem where l_partkey * 7 not in (select cast(item_id as bigint) from i))"
 
 
-def _orphans(t: Tables) -> DataFrame:
-    return P.orphans(t.lineitem.select((F.col("l_partkey") * 7).alias("item_id")), _items(t))
+def _orphans(t: Tables, items: DataFrame) -> DataFrame:
+    return P.orphans(t.lineitem.select((F.col("l_partkey") * 7).alias("item_id")), items)
 
 
 @query(_ORPHANS + " select item_id, 'wished' as status, true as is_orphan from o")
 def orphans(t: Tables) -> DataFrame:
-    return _orphans(t)
+    return _orphans(t, _items(t))
 
 
 @query(_ORPHANS + """
@@ -111,7 +111,8 @@ def orphans(t: Tables) -> DataFrame:
     union all select item_id, 'wished', 'COLD', true from o
 """)
 def plan_union(t: Tables) -> DataFrame:
-    return P.plan(_items(t), _orphans(t), ["owned", "wished"]).select("item_id", "status", "lane", "is_orphan")
+    items = written(_items(t), "items")  # read twice: the lines are split once
+    return P.plan(items, _orphans(t, items), ["owned", "wished"]).select("item_id", "status", "lane", "is_orphan")
 
 
 @query(f"with {_ITEMS} select item_id, name, status as collection_status from i")
