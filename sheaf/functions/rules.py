@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import similarity, trim
+from .text import trim
 
 #: Label pattern, strategy, category, role.
 LABELS = (
@@ -159,11 +159,14 @@ def symbol_currency(text: Column) -> Column:
 
 def phrase_match(text: Column, phrase: str, least: float) -> Column:
     """The phrase is in the text, or the two are similar.  Similarity is bounded by the lengths' ratio, so edits are
-    counted only where the ratio allows; ``text`` is collapsed already."""
+    counted only where the ratio allows, and no further than they may go; ``text`` is collapsed already."""
     n = len(phrase)
     length = F.char_length(text)
     near = (length * least <= n) & (length >= n * least)
-    return F.when(text == "", False).when(text.contains(phrase), True).when(near, similarity(text, F.lit(phrase)) >= least).otherwise(False)
+    edits = F.levenshtein(text, F.lit(phrase), int((1 - least) * n / least + 1e-9))
+    longest = F.greatest(length, F.lit(n))
+    alike = (edits >= 0) & ((longest - edits) / longest >= least)
+    return F.when(text == "", False).when(text.contains(phrase), True).when(near, alike).otherwise(False)
 
 
 def challenge_page(title: Column, body: Column, titles: tuple = (), bodies: tuple = ()) -> Column:

@@ -295,3 +295,19 @@ def test_history_survives_a_new_validation(spark):
     old = spark.createDataFrame([(1, 10, 1, 2, 5), (2, 10, 1, 0, None)], "session_id long, validated_at int, auth_errors long, failures long, last_failure int")
     got = sessions.surviving(old, spark.createDataFrame([(1, 12), (1, 20), (3, 7)], "session_id long, ts int")).orderBy("session_id").collect()
     assert [tuple(r) for r in got] == [(1, 20, 0, 2, 5), (2, 10, 1, 0, None), (3, 7, 0, 0, None)]
+
+
+def test_phrases_match_as_far_as_edits_may_go(spark):
+    def share(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return (max(len(a), len(b)) - row[-1]) / max(len(a), len(b))
+
+    rng, phrase = random.Random(8), "just a moment"
+    texts = ["", phrase, f"x {phrase} y", "just a momenta", "bust a"] + ["".join(c if rng.random() > 0.2 else rng.choice("xy ") for c in phrase)[: rng.randint(8, 13)] + "z" * rng.randint(0, 4) for _ in range(300)]
+    for least in (0.7, 0.8):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.phrase_match(F.col("t"), phrase, least).alias("m")).collect()
+        assert {r.t: r.m for r in got} == {t: bool(t) and (phrase in t or share(t, phrase) >= least) for t in texts}
