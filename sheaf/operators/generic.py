@@ -74,9 +74,13 @@ def selectors(config: dict[str, str]) -> dict[str, tuple[str, str | None]]:
     return asked | {"heading": ("h1", None), "score": ('input[name="score"]:checked', "value"), "wish": ('input[name="wishability"]:checked', "value")}
 
 
-def records(pages: DataFrame, config: dict[str, str]) -> DataFrame:
-    """Pages (page_id, html) parsed once, for ``extract`` and the operators of ``fields``."""
-    return catalog.with_fields(pages.select("page_id", "html"), selectors(config))
+#: The parts of fields that ``extract`` and ``available_fields`` read.
+EXTRACT_PARTS, AVAILABLE_PARTS = ("first_label", "entry_text"), ("ord", "first_label", "first_value")
+
+
+def records(pages: DataFrame, config: dict[str, str], parts: tuple[str, ...] | None = None, related: bool = True, strict: bool = False) -> DataFrame:
+    """Pages (page_id, html) parsed once, for ``extract`` and the operators of ``fields``; see ``catalog.with_fields``."""
+    return catalog.with_fields(pages.select("page_id", "html"), selectors(config), parts, related, strict)
 
 
 def labelled(label: str) -> Column:
@@ -119,11 +123,11 @@ def with_sites(configs: DataFrame, own: DataFrame) -> DataFrame:
     return configs.join(own.select("site"), "site", "left_anti").unionByName(own)
 
 
-def records_by_site(pages: DataFrame, configs: DataFrame) -> DataFrame:
+def records_by_site(pages: DataFrame, configs: DataFrame, strict: bool = False) -> DataFrame:
     """Pages (page_id, site, html) parsed once, each with its site's own selectors, for ``extract_by_site``.
 
     ``configs`` has a row for each site; of several rows for one the least, column by column, counts.  Pages of a site
-    without a row keep what needs no selector.
+    without a row keep what needs no selector.  ``strict``: see ``dom.closed``.
     """
     whole = configs.groupBy("site").agg(F.min(F.struct(*CONFIG)).alias("config"))
     asked = lambda k: F.when(~F.col(f"config.{k}").contains(":contains("), F.col(f"config.{k}")).alias(k)
@@ -132,7 +136,7 @@ def records_by_site(pages: DataFrame, configs: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "site", "html").join(F.broadcast(whole) if few else whole, "site", "left").select("page_id", "site", "config", "programs", "html")
     fixed = {k: v for k, v in selectors({}).items() if k not in CONFIG}
     attributes = {k: "src" if k == "image" else None for k in CONFIG}
-    return D.with_records(rows, catalog.record, catalog.FIELDS, fixed, programs="programs", attributes=attributes)
+    return D.with_records(rows, catalog.record, catalog.FIELDS, fixed, programs="programs", attributes=attributes, strict=strict)
 
 
 def extract_by_site(records_: DataFrame) -> DataFrame:

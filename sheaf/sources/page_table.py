@@ -16,6 +16,16 @@ from . import dom
 SCHEMA = "ord int, tag string, text string, link string"
 
 
+def _matches(known: dict, html: str | None, selector: str | None) -> Iterator[tuple]:
+    if html is None or selector is None:
+        return
+    if selector not in known:
+        known[selector] = dom.compiled(selector)
+    page = dom.Page(html)
+    for k, n in enumerate(page.matches(known[selector])):
+        yield k, n["tag"], page.text(n), dict(n["attrs"]).get("href")
+
+
 @udtf(returnType=SCHEMA, useArrow=True)
 class PageMatches:
     """The page's nodes in document order: their tag, text and href.  A null page or selector matches nothing."""
@@ -24,14 +34,19 @@ class PageMatches:
         self.known: dict = {}
 
     def eval(self, html: str, selector: str) -> Iterator[tuple]:
-        if html is None or selector is None:
-            return
-        if selector not in self.known:
-            self.known[selector] = dom.compiled(selector)
-        page = dom.Page(html)
-        for k, n in enumerate(page.matches(self.known[selector])):
-            yield k, n["tag"], page.text(n), dict(n["attrs"]).get("href")
+        yield from _matches(self.known, html, selector)
+
+
+@udtf(returnType=SCHEMA, useArrow=True)
+class StrictPageMatches:
+    """``PageMatches`` of pages in which only references with their semicolon count (``dom.closed``)."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+
+    def eval(self, html: str, selector: str) -> Iterator[tuple]:
+        yield from _matches(self.known, dom.closed(html), selector)
 
 
-def register(spark: SparkSession, name: str = "page_matches") -> None:
-    spark.udtf.register(name, PageMatches)
+def register(spark: SparkSession, name: str = "page_matches", strict: bool = False) -> None:
+    spark.udtf.register(name, StrictPageMatches if strict else PageMatches)
