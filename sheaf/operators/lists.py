@@ -21,6 +21,12 @@ NEXT, DESCRIPTION = 'a[rel="next"], .pagination .next a', ".object-description"
 ITEM = D.both(D.tag("a"), lambda n: D.attr(n, "href").contains("/item/"))
 
 
+def _cut(found: Column) -> Column:
+    """Of each found node the node (``box``) and, as ``nodes``, itself and what is below it: a row for each needs no more of
+    its page.  A node's id is its place in the page."""
+    return F.explode(F.transform(found, lambda b: F.struct(b.alias("box"), F.slice(N, b["id"] + 1, b["stop"] - b["id"]).alias("nodes"))))
+
+
 def _image(box: Column) -> dict[str, Column]:
     img = D.first(D.find(N, D.tag("img"), box))
     return {"name": filled(D.attr(img, "alt")), "image_url": image_upgrade(F.coalesce(filled(D.attr(img, "src")), filled(D.attr(img, "data-src"))))}
@@ -39,7 +45,7 @@ def overview(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """page_no, pos, list_id, name, item_count, privacy, url, teaser, created_at, icon_url; one row per list on the pages.
 
     ``max_pages`` is for live crawling (``MAX_LIST_PAGES``); without it all pages count."""
-    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("page_no", "nodes", F.explode(D.find(N, D.cls("dgst-wrapper"))).alias("box"))
+    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("page_no", _cut(D.find(N, D.cls("dgst-wrapper"))).alias("cut")).select("page_no", "cut.*")
     box = F.col("box")
     meta = D.below(N, D.cls("dgst-meta"), D.cls("meta"), box)
     rows = rows.withColumn("link", D.first(D.find(N, D.both(D.tag("a"), lambda n: D.attr(n, "href").contains("/list/")), box))).withColumn("meta", meta)
@@ -62,7 +68,7 @@ def items(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """list_id, page_no, pos, item_id, name, image_url: every link to an item inside an icon, in page order.
 
     ``max_pages`` is for live crawling (``MAX_ITEM_PAGES``); without it all pages count."""
-    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("list_id", "page_no", "nodes", F.explode(D.below(N, D.cls("item-icon"), ITEM)).alias("a"))
+    rows = (pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)).select("list_id", "page_no", _cut(D.below(N, D.cls("item-icon"), ITEM)).alias("cut")).select("list_id", "page_no", "cut.nodes", F.col("cut.box").alias("a"))
     rows = rows.select("list_id", "page_no", F.col("a.id").alias("at"), path_id(D.attr(F.col("a"), "href"), "item").alias("item_id"), *(c.alias(k) for k, c in _image(F.col("a")).items()))
     pos = F.row_number().over(Window.partitionBy("list_id").orderBy("page_no", "at"))
     return rows.where("item_id is not null").select("list_id", "page_no", pos.alias("pos"), "item_id", "name", "image_url")
