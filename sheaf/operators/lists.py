@@ -79,12 +79,15 @@ def detail(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
 
     Pages are parsed with ``inner={"description": DESCRIPTION}``: the description is markup."""
     stats = D.text(N, D.first(D.find(N, D.cls("object-stats"))))
-    head = pages.where("page_no = 1").select(
-        "list_id", filled(D.text(N, D.first(D.find(N, D.both(D.tag("h1"), D.cls("title")))))).alias("title"), group(stats, r"([0-9]+)\s*item").cast("bigint").alias("total"),
+    head = F.struct(
+        filled(D.text(N, D.first(D.find(N, D.both(D.tag("h1"), D.cls("title")))))).alias("title"), group(stats, r"([0-9]+)\s*item").cast("bigint").alias("total"),
         filled(trim("description")).alias("description"),
     )
-    found = items(pages, max_pages).groupBy("list_id").agg(F.count(F.lit(1)).alias("item_count"))
-    out = head.join(found, "list_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    first = F.col("page_no") == 1
+    counted = F.size(F.filter(D.below(N, D.cls("item-icon"), ITEM), lambda a: path_id(D.attr(a, "href"), "item").isNotNull()))
+    counted = counted if max_pages is None else F.when(F.col("page_no") <= max_pages, counted).otherwise(0)
+    rows = pages.select("list_id", F.when(first, head).alias("head"), counted.cast("bigint").alias("found"))
+    out = rows.groupBy("list_id").agg(F.first("head", ignorenulls=True).alias("head"), F.sum("found").alias("item_count")).where("head is not null").select("list_id", "head.*", "item_count")
     return out.withColumn("total", F.coalesce(F.nullif("total", F.lit(0)), "item_count"))
 
 

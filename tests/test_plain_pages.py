@@ -75,3 +75,20 @@ def test_usual_spellings_are_looked_up_as_the_patterns_decide(spark, table, foun
 def test_spread_deals_rows_by_their_number(spark):
     rows = spark.range(0, 50_000, 1, 1)
     assert dom.spread(rows).rdd.getNumPartitions() == 5
+
+
+def test_list_details_parse_each_page_once_and_keep_lists_without_items(spark):
+    from sheaf.operators import lists
+
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan("list_detail").count("MapInArrow") == 1
+    pages = [(1, 1, '<h1 class="title">T</h1><div class="object-stats">0 items</div>'), (1, 2, '<span class="item-icon"><a href="/item/5">x</a><a href="/item/x">y</a></span>'), (2, 1, "<p>"), (3, 2, '<span class="item-icon"><a href="/item/6">x</a></span>')]
+    rows = dom.with_nodes(spark.createDataFrame(pages, "list_id bigint, page_no int, html string"), inner={"description": lists.DESCRIPTION})
+    assert sorted(map(tuple, lists.detail(rows).collect())) == [(1, "T", 1, None, 1), (2, None, 0, None, 0)]
+
+
+def test_a_list_row_keeps_only_its_own_nodes(spark):
+    from sheaf.operators import lists
+
+    pages = dom.with_nodes(spark.createDataFrame([(1, "<p>before</p>" + '<div class="dgst-wrapper"><b>x</b></div>' * 3)], "page_no int, html string"))
+    assert [len(r.cut.nodes) for r in pages.select(lists._cut(dom.find(F.col("nodes"), dom.cls("dgst-wrapper"))).alias("cut")).collect()] == [3, 3, 3]
