@@ -30,7 +30,7 @@ KNOWN = 1 << 16
 UNIT = 1 << 30
 #: Positions that are scored together, weights of one row of a network's copy, copies that are averaged in one place, and
 #: documents whose words are held at once.
-CHUNK, SLICE, FAN_IN, HELD = 1 << 15, 1 << 14, 16, 500
+CHUNK, SLICE, FAN_IN, HELD = 1 << 14, 1 << 14, 16, 500
 #: Exponents stop here, so that sums of exponentials stay finite in 32 bits.
 STEEPEST = np.float32(60)
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
@@ -83,8 +83,8 @@ class Network:
             z += near[SIDE + o : SIDE + o + n] * self.gate[p]
         return near, np.tanh(z, out=z)
 
-    def heads(self, h: np.ndarray, ids: np.ndarray) -> tuple:
-        """Unnormalised probabilities of classes and of tokens within the class, for tokens in ascending order, and their log-probabilities."""
+    def heads(self, h: np.ndarray, ids: np.ndarray, logs: bool = True) -> tuple:
+        """Unnormalised probabilities of classes and of tokens within the class, for tokens in ascending order, and their log-probabilities, if asked for."""
         kind, inner = np.divmod(ids.astype(np.int64), CLASSES)
         rows = np.arange(len(ids))
         u = h @ self.class_w
@@ -95,12 +95,14 @@ class Network:
             s, e = ends[c], ends[c + 1]
             np.matmul(h[s:e], self.word_w[c], out=v[s:e])
             v[s:e] += self.word_b[c]
-        log_p, sums = np.zeros(len(ids), np.float32), []
+        log_p, sums = np.zeros(len(ids), np.float32) if logs else None, []
         for z, at in ((u, kind), (v, inner)):
             np.minimum(z, STEEPEST, out=z)
-            log_p += z[rows, at]
+            if logs:
+                log_p += z[rows, at]
             sums.append(np.exp(z, out=z).sum(1))
-            log_p -= np.log(sums[-1])
+            if logs:
+                log_p -= np.log(sums[-1])
         return kind, inner, u, v, sums, ends, log_p
 
     def log_probs(self, seq: np.ndarray) -> np.ndarray:
@@ -151,7 +153,7 @@ class Trainer:
             return
         near, hidden = net.hidden(seq)
         h, ids = hidden[order[:n]], inside[order[:n]]
-        kind, inner, u, v, sums, ends, _ = net.heads(h, ids)
+        kind, inner, u, v, sums, ends, _ = net.heads(h, ids, logs=False)
         rows = np.arange(n)
         for z, at, total in ((u, kind, sums[0]), (v, inner, sums[1])):
             z *= (1 / (n * total))[:, None]
