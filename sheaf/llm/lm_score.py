@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, materialize
-from .tokens import WordHashes, texts_of
+from .tokens import words_of
 
 #: Tokens: the most frequent words by rank, then buckets that share all other words by hash; one more id pads.
 CLASSES, RARE = 64, 256
@@ -36,19 +36,21 @@ STEEPEST = np.float32(60)
 SHAPES = {"embed": (VOCAB + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, WIDTH, CLASSES), "word_b": (CLASSES, CLASSES)}
 
 
-class Vocabulary(dict):
-    """Word to token id; words that aren't ranked are remembered up to a bound."""
+class Vocabulary:
+    """Word, or hash of a word, to token id."""
 
     def __init__(self, ranked: list[int]):
-        self.rank = {h: i for i, h in enumerate(ranked)}
+        ranked = np.array(ranked, np.uint64)
+        self.rank = np.argsort(ranked)
+        self.known = ranked[self.rank]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        i = self.rank.get(h)
-        i = self[word] = VOCAB - RARE + h % RARE if i is None else i
-        return i
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        shared = VOCAB - RARE + hashes % np.uint64(RARE)
+        return (np.where(self.known[at] == hashes, self.rank[at], shared) if len(self.known) else shared).astype(np.uint16)
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.of(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))[0])
 
 
 class Network:
@@ -193,11 +195,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """Counts of all words of all documents by hash; tasks send one row for each word and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            found = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (t.lower().split() for t in texts_of(b.column(0))) if w]
-            word, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            found, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i in range(0, b.num_rows, HELD):
+                hashes, at, _ = words_of(b.column(0).slice(i, HELD))
+                found.append(hashes)
+                counts.append(np.bincount(at, minlength=len(hashes)))
+            word, which = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.zeros(len(word), np.int64)
+            np.add.at(n, which, np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -236,24 +243,23 @@ def encode(docs: DataFrame, shares: Shares) -> DataFrame:
     kind, ranked, near = docs.schema["doc_id"].dataType.simpleString(), shares.ranked, shares.near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, hashes, row = Vocabulary(ranked), WordHashes(), TaskContext.get().partitionId() << 33
+        vocabulary, row = Vocabulary(ranked), TaskContext.get().partitionId() << 33
         for b in (whole.slice(i, HELD) for whole in batches for i in range(0, whole.num_rows, HELD)):
-            words = [t.lower().split() for t in texts_of(b.column(1))]
-            ids = [np.fromiter(map(vocabulary.__getitem__, w), np.uint16, len(w)) for w in words]
-            rare = [[hashes[w[i]] for i in np.flatnonzero(x >= VOCAB - RARE)] for w, x in zip(words, ids, strict=True)]
-            many = np.array([len(x) for x in rare], np.int64)
-            word, owner = np.fromiter((h for x in rare for h in x), np.uint64, int(many.sum())), np.repeat(np.arange(len(rare)), many)
-            at = np.minimum(np.searchsorted(near[0], word), max(len(near[0]) - 1, 0))
-            hit = near[0][at] == word if len(near[0]) else np.zeros(len(word), bool)
-            gain = np.zeros(len(rare), np.int64)
-            np.add.at(gain, owner[hit], near[1][at[hit]])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(rare)))]).astype(np.int32)
-            left = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[~hit].view(np.int64)))
+            hashes, at, ends = words_of(b.column(1))
+            id_of = vocabulary.of(hashes)
+            rare = id_of >= VOCAB - RARE
+            found = np.minimum(np.searchsorted(near[0], hashes), max(len(near[0]) - 1, 0))
+            hit = rare & (near[0][found] == hashes) if len(near[0]) else np.zeros(len(hashes), bool)
+            share_of, left_of = np.zeros(len(hashes), np.int64), rare & ~hit
+            share_of[hit] = near[1][found[hit]]
+            upto = lambda x: np.concatenate([[0], np.cumsum(x[at])])[ends]
+            ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(id_of[at])])
+            left = pa.ListArray.from_arrays(pa.array(upto(left_of).astype(np.int32)), pa.array(hashes[at[left_of[at]]].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(gain), left],
+                [b.column(0), pa.array(np.arange(row, row + b.num_rows)), pa.array(np.diff(ends)), ids, pa.array(np.diff(upto(share_of))), left],
                 names=["doc_id", "row", "n_tokens", "ids", "gain", "words"],
             )
-            row += len(ids)
+            row += b.num_rows
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, ids binary, gain long, words array<long>")
     return found.withColumn("key", F.xxhash64("doc_id", "ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -25,6 +26,25 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a string column the hashes of its distinct words (A-Z lower-cased, ASCII blanks split them), which of them stands
+    at each place, text after text, and where texts end (from 0 on); null is empty.
+
+    Words are split and told apart in Arrow, so only distinct ones become Python objects.
+    """
+    whole = pa.concat_arrays([column])  # a slice that is cast and split comes out wrong
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
+    words, ends = split.flatten(), np.asarray(split.offsets).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at an end leave an empty word
+    coded = words.filter(full).dictionary_encode()
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    known = pa.concat_arrays([coded.dictionary.cast(pa.large_binary())])
+    _, offsets, data = known.buffers()
+    at, data = np.frombuffer(offsets, np.int64)[: len(known) + 1].tolist() if len(known) else [0], data.to_pybytes() if data else b""
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(known))
+    return hashes, coded.indices.to_numpy(), before[ends]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of uint64 hashes."""
     h = (h ^ (h >> np.uint64(32))) * MIX
