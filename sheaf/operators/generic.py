@@ -89,13 +89,13 @@ def labelled(label: str) -> Column:
     return trim(F.get(named, F.lit(0))["entry_text"])
 
 
-def extract(records_: DataFrame, config: dict[str, str]) -> DataFrame:
-    """``records`` of pages to page_id, image_url, manufacturer, name, scale, user_score, user_wish_rating."""
+def extract(records_: DataFrame, config: dict[str, str], keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``records`` of pages to ``keys``, image_url, manufacturer, name, scale, user_score, user_wish_rating."""
     one = lambda key: filled(trim(F.col(f"found.{key}"))) if config.get(key) else F.lit(None).cast("string")
     contains = lambda key: ":contains(" in config.get(key, "")
     image = filled(F.col("found.image")) if config.get("image") else F.lit(None).cast("string")
     maker = labelled("Company") if contains("manufacturer") else one("manufacturer")
-    return _basic(records_, ["page_id"], image, maker, _heading() if contains("name") else one("name"), one("scale"))
+    return _basic(records_, list(keys), image, maker, _heading() if contains("name") else one("name"), one("scale"))
 
 
 def _heading() -> Column:
@@ -154,34 +154,35 @@ def available_fields(records_: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("f.ord").alias("ord"), trim("f.first_label").alias("label"), F.substring(trim("f.first_value"), 1, 50).alias("value_preview"))
 
 
-def assemble(basic: DataFrame, fields: DataFrame, companies: DataFrame, artists: DataFrame, releases: DataFrame, related: DataFrame) -> DataFrame:
-    """One record per page.  The manufacturer falls back on the first company in that role, the name on the title;
-    lists without entries and statistics without a figure are null."""
-
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        body = F.struct(*(c for c in rows.columns if c not in ("page_id", "pos")))
-        return rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", body.alias("x")))), lambda r: r["x"]).alias(name))
+def assemble(records_: DataFrame, config: dict[str, str]) -> DataFrame:
+    """One record per page, put together within its row: no page meets another.  The manufacturer falls back on the first
+    company in that role, the name on the title; lists without entries and statistics without a figure are null."""
+    from . import fields as C
 
-    out = basic.join(fields, "page_id", "left")
-    for rows, name in ((companies, "companies"), (artists, "artists"), (releases, "releases"), (related, "related_items")):
-        out = out.join(listed(rows, name), "page_id", "left")
+    rows = records_.withColumn("table", C.ruled(F.col("fields")))
+    table, listed = F.col("table"), lambda found: D.let(found, lambda x: F.when(F.size(x) > 0, x))
+    lists = {
+        "companies": C.entries_of(table, "company", "Manufacturer"), "artists": C.entries_of(table, "artist", "Unknown"), "releases": C.releases_of(table), "related_items": C.related_items_of(F.col("related")),
+    }
+    rows = rows.select("page_id", "found", "fields", C.catalog_fields_of(table).alias("meta"), *(listed(found).alias(name) for name, found in lists.items()))
+    out = extract(rows, config, ("page_id", "meta", *lists)).select("*", "meta.*").drop("meta")
     maker = F.get(F.filter("companies", lambda c: c["role"] == "Manufacturer"), F.lit(0))["name"]
     stats = ["owned", "ordered", "wished", "listed", "average_score"]
     out = out.withColumn("manufacturer", F.coalesce("manufacturer", maker)).withColumn("name", F.coalesce("name", "title"))
-    return out.withColumn("community_stats", F.when(F.coalesce(*(F.col(c).cast("double") for c in stats)).isNotNull(), F.struct(*stats))).drop(*stats)
+    out = out.withColumn("community_stats", F.when(F.coalesce(*(F.col(c).cast("double") for c in stats)).isNotNull(), F.struct(*stats))).drop(*stats)
+    return out.select(*(c for c in out.columns if c not in lists and c != "community_stats"), *lists, "community_stats")
 
 
 def extract_catalog(pages: DataFrame) -> DataFrame:
     """The whole record of catalog pages (page_id, html).
 
-    Each page is parsed once; what it says is written to the shared folder, without its markup, and every part of the
-    record reads the columns it needs from there.
+    Each page is parsed once and its record put together in its row; records, without markup, are written to the shared
+    folder, from where a reader takes the columns it needs.
     """
     from . import fields as C
 
-    read = written(records(pages, SITES["catalog"]), "catalog")
-    table = C.field_table(read)
-    return assemble(extract(read, SITES["catalog"]), C.catalog_fields(table), C.entries(table, "company", "Manufacturer"), C.entries(table, "artist", "Unknown"), C.releases(table), C.related_items(read))
+    parts = tuple(dict.fromkeys((*EXTRACT_PARTS, *C.RECORD_PARTS)))
+    return written(assemble(records(pages, SITES["catalog"], parts), SITES["catalog"]), "catalog")
 
 
 def completeness(record: DataFrame) -> DataFrame:
